@@ -31,7 +31,7 @@ from .suffix_sort import prefix_words, shares_prefix, suffix_order
 from .words import _BASE, _INVERSE, _power
 
 LENGTH, PIECE = 50, 16
-GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES, RUN_BYTES = 1_500_000, 40_000_000, 12_000_000, 1 << 20
+GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES, RUN_BYTES = 1_500_000, 40_000_000, 5_000_000, 1 << 20
 LAST = (1 << 63) - 1
 _VALUE = mix64(np.arange(256, dtype=np.uint64), 17)
 
