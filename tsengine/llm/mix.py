@@ -22,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import stored, uniform
 
 WEIGHTS, TOTAL, MOST, LENGTH_POWER = (5.0, 2.0, 1.0), 1.5, 2.0, 0.25
 BINS, LEVELS = 2048, 2
+#: Source facts are broadcast up to this many sources; beyond it documents are salted over SALTS rows of facts.
+MOST_SOURCES, SALTS = 20_000, 64
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -58,14 +60,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most
 def mix_sources(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, length_power: float = LENGTH_POWER, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` and size, source_size, target, copies, taken (= copies * size); rows of 0 copies are kept."""
     rows = docs.withColumn("size", n_words(text_col))
-    sized = rows.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), "size")
+    sized = stored(rows.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), "size"), "sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, total, most)
     sources = sources.withColumn("whole", F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), F.lit(int(most)))).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
 
+    sources = stored(sources, "sources")
+    few = sources.count() <= MOST_SOURCES
+
     def ranked(frame: DataFrame, source: str, key: str, facts: DataFrame) -> DataFrame:
         """Join the facts of the sources and add ``place`` in [0, 1), which grows with the Pareto rank."""
         facts = facts.withColumnsRenamed({"source": "s_"})
-        joined = frame.join(facts, frame[source].eqNullSafe(facts["s_"]), "left").drop("s_")  # a row per source
+        if few:
+            joined = frame.join(F.broadcast(facts), frame[source].eqNullSafe(facts["s_"]), "left").drop("s_")
+        else:
+            facts = facts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = frame.withColumn("own_salt_", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+            joined = salted.join(facts, salted[source].eqNullSafe(facts["s_"]) & (salted["own_salt_"] == facts["salt_"]), "left").drop("s_", "salt_", "own_salt_")
         r = F.least(F.greatest(F.col("rest") / F.col("source_size"), F.lit(1e-9)), F.lit(1 - 1e-9))
         mean = F.col("source_size") / F.col("n_docs")
         u = uniform(F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))
@@ -84,12 +94,14 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: fl
         step = F.col("width") / BINS
         # without a cut, all rows are needed: the span is put behind the last place
         spans = spans.select("source", "source_size", "n_docs", "target", "whole", "rest", F.when(F.col("cut").isNull(), F.col("low") + F.col("width")).otherwise(F.col("low") + F.col("cut.bin") * step).alias("low"), step.alias("width"), F.coalesce(F.col("cut.done"), F.col("done")).alias("done"))
+        spans = stored(spans, "spans")
     edge = ranked(sized, "source", "id", spans).where(inside & (F.col("rest") > 0))
     order = Window.partitionBy("source").orderBy("place", F.col("id").asc_nulls_last(), "size")
     edge = edge.withColumn("upto", F.col("done") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # a document that crosses the target stays if that leaves less missing than without it
     near = F.abs(F.col("upto") - F.col("rest")) <= F.abs(F.col("upto") - F.col("size") - F.col("rest"))
     last = edge.where((F.col("upto") <= F.col("rest")) | ((F.col("upto") - F.col("size") < F.col("rest")) & near)).groupBy("source").agg(F.max(F.struct("place", F.coalesce(F.col("id"), F.lit(None)).isNull().alias("n"), "id", "size")).alias("last"))
+    last = stored(last, "last")
     cuts = spans.join(last.withColumnRenamed("source", "l_"), F.col("source").eqNullSafe(F.col("l_")), "left").drop("l_")
     out = ranked(rows, source_col, id_col, cuts)
     here = F.struct("place", F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "size")
