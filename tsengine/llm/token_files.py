@@ -19,6 +19,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,11 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 
 _SPLIT = re.compile("[^ \t\n\r]+")
-#: Chunks kept by a worker before its cache starts anew; null document ids are stored as this number.
-CACHE, NULL_ID = 250_000, -(1 << 63)
+#: In lower-case Latin-1 text without apostrophes (which open contractions): runs of letters, and runs of what is neither letter nor white space.
+_LATIN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\t-\r \x85\xa0]+")
+#: Chunks kept by a worker process, for all its tasks, before its cache starts anew; null document ids are stored as this number.
+CACHE, NULL_ID = 700_000, -(1 << 63)
+_encoders: dict[str, Ids] = {}
 INDEX = "shard int, name string, width int, n_docs long, n_ids long"
 
 
@@ -49,20 +53,32 @@ class Ids:
         self.encoder.no_truncation()
         self.encoder.no_padding()
         self.width = 2 if self.encoder.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         probe = "A, b\n c's  d."
         self.chunks = self.whole(probe) == b"".join(map(self.whole, _SPLIT.findall(probe)))
+        probe = "Ab, C\xc9 d1-2 (x)\xa0\xb2z."
+        self.folds = self.chunks and self.whole(probe) == b"".join(map(self.whole, _LATIN.findall(probe.lower())))
         self.cache: dict[str, bytes] = {}
 
+    @classmethod
+    def of(cls, path: str) -> Ids:
+        """The one of this worker process."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
     def whole(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.chunks or self.special and self.special.search(text):
             return self.whole(text)
-        chunks = _SPLIT.findall(text)
+        if self.folds and "'" not in text and _latin(text):
+            chunks = _LATIN.findall(text.lower())
+        else:
+            chunks = _SPLIT.findall(text)
         try:
             return b"".join(map(self.cache.__getitem__, chunks))
         except KeyError:
@@ -70,10 +86,18 @@ class Ids:
                 self.cache = {}
             missing = list({c for c in chunks if c not in self.cache})
             for c, e in zip(missing, self.encoder.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.cache[c] = np.array(e.ids, self.kind).tobytes()
+                self.cache[c] = array(self.code, e.ids).tobytes()
             return b"".join(map(self.cache.__getitem__, chunks))
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _files(folder: str):
     """(file system, path): any store that pyarrow reaches by URI; a plain path is local."""
     from pyarrow import fs
@@ -93,7 +117,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     def write(batches):
         from pyspark import TaskContext
 
-        ids, shard = Ids(tokenizer), TaskContext.get().partitionId()
+        ids, shard = Ids.of(tokenizer), TaskContext.get().partitionId()
         store, top = _files(folder)
         name = f"{shard:06d}-{uuid.uuid4().hex}"
         end, sizes, docs_seen, out = np.array([end_id], ids.kind).tobytes(), [], [], None
