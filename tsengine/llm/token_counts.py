@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 #: Unicode white space, as the pre-tokenizer's pattern understands it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Chunks kept by a worker before its cache starts anew, the rows sampled for tier one, its size.
-CACHE, SAMPLE_ROWS, FREQUENT = 300_000, 2_000, 30_000
+#: Chunks kept by a worker process, for all its tasks, before its cache starts anew; the rows sampled for tier one, its size.
+CACHE, SAMPLE_ROWS, FREQUENT = 700_000, 2_000, 30_000
+_counters: dict[str, Counts] = {}
 
 
 class Counts:
@@ -50,6 +51,13 @@ class Counts:
         self.frequent = frequent or {}
         self.cache = dict(self.frequent)
 
+    @classmethod
+    def of(cls, path: str, frequent: dict[str, int]) -> Counts:
+        """The one of this worker process."""
+        if path not in _counters:
+            _counters[path] = cls(path, frequent)
+        return _counters[path]
+
     def whole(self, text: str) -> int:
         return len(self.encoder.encode(text, add_special_tokens=False).ids)
 
@@ -101,7 +109,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        counts = Counts(tokenizer, frequent.value)
+        counts = Counts.of(tokenizer, frequent.value)
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["t"]]
             n = pd.Series(counts.count(texts), dtype="int64")
