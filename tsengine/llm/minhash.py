@@ -8,9 +8,10 @@ weights (the Jaccard similarity of their sets where all weights are equal).
 
 Documents with equal shingles and weights are one class, and only classes go on. Classes that share a
 band of registers are verified by exact probability Jaccard on their shingles. In each bucket all classes are
-compared with a few centres first, the ones that share most buckets; then every pair
-of a bucket whose members are not yet connected is compared, so no link that decides a group is left out and no bucket is
-expanded into all its pairs. There is no cap on buckets, partners or candidates.
+compared with a few centres first, the ones that share most buckets; then every pair of a bucket whose members are not yet
+connected is compared, so no link that decides a group is left out. Small buckets are compared pair by pair;
+large ones as tiles, whose tasks send on a link from each connected member to the first it is connected with,
+never all pairs. There is no cap on buckets, partners or candidates.
 
 The result has a row per document: its id, component (the smallest id of its group) and whether it is kept (its id is the
 component). A text without words links with nothing and is kept; a null id stays null and groups by
@@ -30,7 +31,9 @@ from .common import as_one, mix64, stored, utf8_pieces
 from .components import components
 from .words import shingles, words_of
 
-SIZE, SIMILARITY, BANDS, ROWS, STAR_ROUNDS = 5, 0.8, 18, 4, 3
+SIZE, SIMILARITY, BANDS, ROWS, STAR_ROUNDS = 5, 0.8, 18, 4, 2
+#: Ids or pairs are broadcast up to this many rows, else joined by a shuffle. Buckets beyond SMALL members are compared as tiles of TILE members.
+MOST_SENT, SMALL, TILE = 400_000, 24, 192
 
 
 def weighted(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +146,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             yield pdf.loc[keep, ["a", "b"]]
 
     left, right = texts.toDF("a", "s", "w"), texts.toDF("b", "t", "v")
-    return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
+    return right.join(_sent(pairs), "b").join(left, "a").mapInPandas(run, "a long, b long")
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """A stored table of ids, for broadcast if a count shows it to be small."""
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a tile's sets, by products of incidence blocks."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), list(map(len, sets)))
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.where(count > 1, np.cumsum(count > 1) - 1, -1)
+    column = rank[column]
+    order = np.flatnonzero(column >= 0)
+    order = order[np.argsort(column[order], kind="stable")]
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    width = 4096
+    for at in range(0, int(rank.max(initial=-1)) + 1, width):
+        x, y = np.searchsorted(column, [at, at + width])
+        block = np.zeros((n, width), np.float32)
+        block[owner[x:y], column[x:y] - at] = 1
+        out += block @ block.T
+    return out
+
+
+def _tile_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links (a, b) that connect the members of a tile as all its verified pairs would."""
+    pdf = pdf.drop_duplicates("rep")
+    sets = [np.frombuffer(x, "<u4") for x in pdf["s"]]
+    weights = [np.frombuffer(x, "<f4").astype(float) if len(x) else None for x in pdf["w"]]
+    sizes = np.array(list(map(len, sets)))
+    rep, component = pdf["rep"].to_numpy(), pdf["component"].to_numpy()
+    common = _intersections(sets)
+    plain = np.array([w is None for w in weights])
+    jaccard = common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1)
+    open_ = np.triu(component[:, None] != component[None, :], 1) & (common > 0)
+    both = plain[:, None] & plain[None, :]
+    linked = open_ & both & (jaccard >= similarity - 1e-9)
+    for i, j in zip(*np.nonzero(open_ & ~both), strict=True):
+        x, y = (np.ones(sizes[k]) if weights[k] is None else weights[k] for k in (i, j))
+        linked[i, j] = probability_jaccard(sets[i], x, sets[j], y) >= similarity - 1e-12
+    i, j = np.nonzero(linked)
+    label = np.arange(len(rep))
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        if (label[i] == label[j]).all():
+            break
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label != label[label]).any():
+            label = label[label]
+    keep = label != np.arange(len(rep))
+    return pd.DataFrame({"a": rep[keep], "b": rep[label[keep]]})
+
+
+def _tiles(open_rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links of large buckets: members fall into tiles, and all pairs of tiles of a bucket are tasks of bounded size."""
+    n = F.ceil(F.col("n") / TILE).cast("int")
+    rows = open_rows.withColumn("tiles", n).withColumn("own", F.pmod(F.xxhash64("rep"), n).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("band", "h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "component")
+    rows = texts.join(_sent(stored(rows, "tiles")), "rep").select("band", "h", "x", "y", "rep", "component", "s", "w")
+    return rows.groupBy("band", "h", "x", "y").applyInPandas(lambda pdf: _tile_links(pdf, similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -154,7 +222,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_ = reps.select(F.col("id").cast("long").alias("rep"), F.posexplode("bands").alias("band", "h"))
     counts = rows_.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     multi = stored(rows_.join(counts, ["band", "h"]), "buckets")
-    texts = stored(_shingles_of(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")), multi.select(F.col("rep").alias("id")).distinct(), size).dropDuplicates(["rep"]), "shingles")
+    wanted = _sent(stored(multi.select(F.col("rep").alias("id")).distinct(), "wanted"))
+    texts = _shingles_of(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")), wanted, size)
+    texts = stored(texts, "shingles")
 
     degree = multi.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = multi.drop("n").join(degree, "rep").withColumn("component", F.col("rep"))
@@ -171,10 +241,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = stored(_verified(pairs, texts, similarity), "links")
         edges = found if edges is None else edges.unionByName(found)
         ranked = _still_open(ranked.drop("component"), components(edges)).withColumn("degree", F.xxhash64("rep", F.lit(turn)))
-    ranked = stored(ranked, "open")
-    x, y = ranked.select("band", "h", F.col("rep").alias("a"), F.col("component").alias("ca")), ranked.select("band", "h", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, ["band", "h"]).where("a > b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    edges = edges.unionByName(_verified(rest, texts, similarity))
+    ranked = ranked.drop("degree")
+    sizes = ranked.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"))
+    ranked = stored(ranked.join(sizes, ["band", "h"]), "open")
+    small = ranked.where(F.col("n") <= SMALL)
+    x, y = small.select("band", "h", F.col("rep").alias("a"), F.col("component").alias("ca")), small.select("band", "h", F.col("rep").alias("b"), F.col("component").alias("cb"))
+    rest = stored(x.join(y, ["band", "h"]).where("a > b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    edges = edges.unionByName(_verified(rest, texts, similarity)).unionByName(_tiles(ranked.where(F.col("n") > SMALL), texts, similarity))
     groups = components(edges)
     named = classes.join(groups, classes["rep"] == groups["id"], "left").select("class_a", "class_b", F.coalesce("component", "rep").alias("component"))
     ids = sigs.select("id", "class_a", "class_b").withColumnsRenamed({"class_a": "x", "class_b": "y"})
