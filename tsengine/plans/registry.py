@@ -1,4 +1,852 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL. Each query applies an operator to panels built from the given tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import clean, direction, evaluate, features, forecast, reports, sensitivity, series, store, windows
+from ..sources import panel as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+FIRST, LAST, DAYS, L, H = "1995-01-01", "2001-08-01", 2405, 64, 14
+LEVELS = [0.025, 0.1, 0.5, 0.9, 0.975]
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(fn):
+        key = name or fn.__name__
+        QUERIES[key] = fn
+        if sql is not None:
+            ORACLE_SQL[key] = sql if sql.lstrip().upper().startswith("WITH") else BASE + sql
+        return fn
+
+    return add
+
+
+# ---- the panels, in Spark and in SQL ----
+
+
+def table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def facts(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return src.build_panel(rows, "c_nationkey", "o_orderdate", "o_totalprice")
+
+
+def daily(spark, d):
+    return src.fill_calendar(facts(spark, d), "day", (FIRST, LAST))
+
+
+def cleaned(spark, d):
+    return clean.clean_standard(daily(spark, d).where(F.col("t") < DAYS - H))
+
+
+def history(spark, d):
+    return series.long_to_series(cleaned(spark, d), ["series_id"], "y_clean", "history")
+
+
+def actual_long(spark, d):
+    rows = daily(spark, d).where(F.col("t") >= DAYS - H)
+    return rows.select(F.col("series_id").cast("string").alias("input_key"), (F.col("t") - (DAYS - H - 1)).alias("h"), F.col("y").alias("actual"))
+
+
+def official(spark, d):
+    """input_key, series_id, window (64 values), kind."""
+    rows = history(spark, d).withColumn("actual", F.array().cast("array<double>"))
+    return windows.official_window(rows, L).withColumn("input_key", F.col("series_id").cast("string"))
+
+
+def rolling(spark, d):
+    """input_key = series/start, window, actual."""
+    return windows.rolling_blocks(history(spark, d), L, H).withColumn("input_key", F.concat_ws("/", F.col("series_id").cast("string"), F.format_string("%09d", "input_start")))
+
+
+def scales(spark, d, lag=1):
+    return evaluate.naive_scale(history(spark, d).withColumn("input_key", F.col("series_id").cast("string")), lag)
+
+
+def origins(spark, d):
+    return official(spark, d).select("input_key", F.element_at("window", -1).alias("origin"))
+
+
+def drift_direction(spark, d):
+    """A stand-in classifier: the direction of the last input step, for every horizon."""
+    rows = official(spark, d).select("input_key", (F.element_at("window", -1) > F.element_at("window", -2)).cast("int").alias("label"))
+    return rows.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(H))))
+
+
+def pool(spark, d, models=("naive2", "rw_drift", "ses")):
+    return forecast.forecast_pool(official(spark, d), H, list(models), 1)
+
+
+def r(c, n=4) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+BASE = f"""WITH facts AS (SELECT c_nationkey AS series_id, o_orderdate::DATE AS ds, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+cal AS (SELECT unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY))::DATE AS ds),
+daily AS (SELECT s.series_id, c.ds, date_diff('day', DATE '{FIRST}', c.ds)::INT AS t, f.y FROM (SELECT DISTINCT series_id FROM facts) s CROSS JOIN cal c LEFT JOIN facts f ON f.series_id = s.series_id AND f.ds = c.ds),
+nb AS (SELECT series_id, t, y, last_value(y IGNORE NULLS) OVER b AS y0, last_value(CASE WHEN y IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value(y IGNORE NULLS) OVER a AS y1, first_value(CASE WHEN y IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1 FROM daily WHERE t < {DAYS - H}
+ WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+cleaned AS (SELECT series_id, t, y, CASE WHEN y IS NOT NULL THEN y ELSE coalesce(y0 + (y1 - y0) * ((t - t0)::DOUBLE / (t1 - t0)::DOUBLE), y0, y1) END AS y_clean FROM nb),
+off AS (SELECT series_id::VARCHAR AS input_key, t - {DAYS - H - L} AS i, y_clean AS v FROM cleaned WHERE t >= {DAYS - H - L}),
+offw AS (SELECT input_key, list(v ORDER BY i) AS w FROM off GROUP BY 1),
+act AS (SELECT series_id::VARCHAR AS input_key, t - {DAYS - H - 1} AS h, y AS actual FROM daily WHERE t >= {DAYS - H}),
+blocks AS (SELECT series_id, (t // {L + H}) * {L + H} AS input_start, t % {L + H} AS i, y_clean AS v FROM cleaned WHERE t < {(DAYS - H) // (L + H) * (L + H)}),
+rw AS (SELECT series_id::VARCHAR || '/' || lpad(input_start::VARCHAR, 9, '0') AS input_key, series_id, input_start::INT AS input_start, list(v ORDER BY i) FILTER (WHERE i < {L}) AS w, list(v ORDER BY i) FILTER (WHERE i >= {L}) AS a FROM blocks GROUP BY ALL),
+hs AS (SELECT unnest(generate_series(1, {H}))::INT AS h),
+scale AS (SELECT series_id::VARCHAR AS input_key, avg(d) AS scale FROM (SELECT series_id, abs(y_clean - lag(y_clean) OVER (PARTITION BY series_id ORDER BY t)) AS d FROM cleaned) GROUP BY 1),
+alphas AS (SELECT unnest([0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])::DOUBLE AS alpha),
+sesf AS (SELECT input_key, w, arg_min(s, (s.sse, alpha)) AS f FROM (SELECT input_key, w, alpha, list_reduce(list_transform(w, lambda x: {{'sse': 0.0::DOUBLE, 'l': x}}), lambda p, q: {{'sse': p.sse + (q.l - p.l) * (q.l - p.l), 'l': p.l + alpha * (q.l - p.l)}}) AS s FROM offw CROSS JOIN alphas) GROUP BY ALL),
+fc AS (SELECT input_key, 'naive2' AS model, h, w[{L}] AS mean FROM offw CROSS JOIN hs UNION ALL SELECT input_key, 'rw_drift', h, w[{L}] + h * (w[{L}] - w[1]) / {L - 1} FROM offw CROSS JOIN hs UNION ALL SELECT input_key, 'ses', h, f.l FROM sesf CROSS JOIN hs),
+err AS (SELECT fc.*, actual, CASE WHEN abs(actual) + abs(mean) > 0 THEN 200 * abs(actual - mean) / (abs(actual) + abs(mean)) END AS term FROM fc JOIN act USING (input_key, h)),
+sc AS (SELECT input_key, model, avg(term) AS smape, avg(abs(actual - mean)) / any_value(scale) AS mase FROM err JOIN scale USING (input_key) GROUP BY ALL),
+owa0 AS (SELECT model, avg(smape) AS smape, avg(mase) AS mase FROM sc GROUP BY 1),
+owa AS (SELECT a.model, a.smape, a.mase, 0.5 * (a.smape / b.smape + a.mase / b.mase) AS owa FROM owa0 a CROSS JOIN (SELECT * FROM owa0 WHERE model = 'naive2') b),
+org AS (SELECT input_key, w[{L}] AS origin, (w[{L}] > w[{L - 1}])::INT AS label FROM offw),
+dsc AS (SELECT input_key, model, h, ((mean > origin) = (actual > origin))::INT AS correct FROM fc JOIN act USING (input_key, h) JOIN org USING (input_key) WHERE actual IS NOT NULL),
+dbh AS (SELECT 'raw_origin' AS basis, model, h, sum(correct)::BIGINT AS correct_count, count(*) AS evaluation_count, sum(correct) / count(*)::DOUBLE AS accuracy FROM dsc GROUP BY ALL)
+"""
+
+# ---- sources ----
+
+
+@query("SELECT series_id, ds, y FROM facts")
+def build_panel(spark, d):
+    return facts(spark, d)
+
+
+@query("SELECT series_id, ds, t, y FROM daily")
+def fill_calendar(spark, d):
+    return daily(spark, d)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def scan_series(spark, d):
+    from pyspark.sql import types as T
+
+    kinds = {"c_custkey": T.LongType(), "c_name": T.StringType(), "c_nationkey": T.IntegerType(), "c_acctbal": T.DoubleType(), "c_mktsegment": T.StringType()}
+    return src.scan_series(spark, f"{d}/customer.parquet", T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 50")
+def select_population(spark, d):
+    return src.select_population(table(spark, d, "customer"), 50, "BUILDING", "c_mktsegment", "c_custkey").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_keys, 'duplicate' AS violation FROM lineitem")
+def check_population(spark, d):
+    return src.check_population(table(spark, d, "lineitem"), 1, "l_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def fetch_pending_series(spark, d):
+    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return src.fetch_pending_series(table(spark, d, "customer"), done, "c_custkey").select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def scan_results(spark, d):
+    keys = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return src.scan_results(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "kind"), keys, "F", ["o_totalprice"], "o_orderkey")
+
+
+@query(f"SELECT s.series_id, m.model, CASE WHEN m.model = 'naive2' THEN {H} ELSE 0 END::BIGINT AS n, CASE WHEN m.model = 'naive2' THEN NULL ELSE 'missing' END AS reason, 'imported' AS origin FROM (SELECT DISTINCT series_id FROM facts) s CROSS JOIN (SELECT unnest(['naive2', 'archived']) AS model) m")
+def load_external_forecasts(spark, d):
+    own = forecast.fc_naive2(official(spark, d), H).withColumn("series_id", F.col("input_key").cast("int"))
+    return src.load_external_forecasts(own, facts(spark, d).select("series_id").distinct(), ["naive2", "archived"], H)
+
+
+@query()
+def verify_manifest(spark, d):
+    names = ["nation.parquet", "region.parquet", "absent.parquet"]
+    manifest = spark.createDataFrame([(n, 1, "") for n in names], "path string, size long, sha256 string")
+    return src.verify_manifest(spark, d, manifest)
+
+
+# ---- canonical forms ----
+
+
+@query(f"SELECT series_id, count(*)::INT AS observation_count, (count(*) - {H})::INT AS train_end, (count(*) - {H})::INT AS test_start, CASE WHEN count(*) <= {H} THEN 'short' END AS reason FROM facts GROUP BY 1")
+def canonical_series(spark, d):
+    rows = facts(spark, d).groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ds", "y"))), lambda s: s["y"]).alias("target"))
+    return series.canonical_series(rows, H).select("series_id", "observation_count", "train_end", "test_start", "reason")
+
+
+@query(f"SELECT series_id, {DAYS - H}::INT AS n_history, {H}::INT AS n_actual, round(sum(y) FILTER (WHERE t < {DAYS - H}), 2) AS s_history, round(sum(y) FILTER (WHERE t >= {DAYS - H}), 2) AS s_actual FROM daily GROUP BY 1")
+def split_history_test(spark, d):
+    add = lambda c: F.round(F.aggregate(F.filter(c, lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v), 2)
+    some = lambda c: F.when(F.exists(c, lambda v: v.isNotNull()), add(c))
+    rows = series.split_history_test(series.long_to_series(daily(spark, d), ["series_id"]), H)
+    return rows.select("series_id", F.size("history").alias("n_history"), F.size("actual").alias("n_actual"), some("history").alias("s_history"), some("actual").alias("s_actual"))
+
+
+@query("SELECT series_id, t, y FROM daily")
+def series_to_long(spark, d):
+    return series.series_to_long(series.long_to_series(daily(spark, d), ["series_id"]), ["series_id"])
+
+
+@query("SELECT 'sales/D/' || series_id || '/rolling/' || lpad(input_start::VARCHAR, 9, '0') AS key, series_id::VARCHAR AS series, input_start AS start FROM rw")
+def make_keys(spark, d):
+    rows = rolling(spark, d).select(series.make_key("sales", "D", F.col("series_id"), "rolling", F.col("input_start")).alias("key"))
+    parts = series.split_key(F.col("key"))
+    return rows.select("key", parts["series"].alias("series"), parts["start"].alias("start"))
+
+
+@query("SELECT o_custkey::BIGINT AS series_id, (count(*) - 2)::INT AS train_end FROM orders GROUP BY 1 HAVING count(*) - 2 >= 8")
+def eligible_series(spark, d):
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("series_id")).agg((F.count(F.lit(1)) - 2).cast("int").alias("train_end")).withColumn("freq", F.lit("D"))
+    return series.eligible_series(rows, spark.createDataFrame([("D", 6, 2)], "freq string, input_length int, horizon int")).select("series_id", "train_end")
+
+
+STD = f", st AS (SELECT input_key, w, list_avg(w) AS m, list_stddev_samp(w) AS s FROM offw)"
+
+
+@query(STD + f" SELECT input_key, model, basis, round(CASE WHEN basis = 'raw' THEN w[{L}] ELSE (w[{L}] - m) / s END, 4) AS last, round(CASE WHEN basis = 'raw' THEN NULL ELSE m END, 4) AS centre FROM st CROSS JOIN (SELECT unnest(['naive2', 'theta']) AS model, unnest(['raw', 'standard']) AS basis)")
+def input_policy(spark, d):
+    rows = windows.apply_standardise(windows.fit_standardise(official(spark, d))).withColumn("raw", F.col("window"))
+    out = series.input_policy(rows, {"naive2": "raw", "theta": "standard"})
+    return out.select("input_key", "model", "basis", r(F.element_at("context", -1)).alias("last"), r("centre").alias("centre"))
+
+
+# ---- cleaning ----
+
+
+@query("SELECT c_custkey, p.period::INT AS period, 'frequency' AS period_source FROM customer JOIN (SELECT unnest(['H','D','W','M','Q','Y']) AS f, unnest([24,1,1,12,4,1]) AS period) p ON p.f = CASE WHEN c_nationkey % 2 = 0 THEN 'M' ELSE 'D' END")
+def resolve_period(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, "M").otherwise("D").alias("freq"))
+    dim = spark.createDataFrame(list(series.PERIODS.items()), "freq string, default_period int")
+    return clean.resolve_period(rows, dim).select("c_custkey", "period", "period_source")
+
+
+@query("SELECT series_id, t, round(y_clean, 4) AS y_clean FROM cleaned")
+def clean_standard(spark, d):
+    return cleaned(spark, d).select("series_id", "t", r("y_clean").alias("y_clean"))
+
+
+ROBUST = f""", rr AS (SELECT series_id, t, y, y - quantile_cont(y, 0.5) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS resid FROM daily WHERE t < {DAYS - H}),
+qq AS (SELECT series_id, quantile_cont(resid, 0.25) AS a, quantile_cont(resid, 0.75) AS b FROM rr GROUP BY 1),
+ri AS (SELECT series_id, t, y, CASE WHEN resid >= a - 3 * (b - a) AND resid <= b + 3 * (b - a) THEN y END AS yi FROM rr JOIN qq USING (series_id)),
+rn AS (SELECT series_id, t, y, yi, last_value(yi IGNORE NULLS) OVER b AS y0, last_value(CASE WHEN yi IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value(yi IGNORE NULLS) OVER a AS y1, first_value(CASE WHEN yi IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1 FROM ri
+ WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+"""
+
+
+@query(ROBUST + "SELECT series_id, t, round(CASE WHEN yi IS NOT NULL THEN yi ELSE coalesce(y0 + (y1 - y0) * ((t - t0)::DOUBLE / (t1 - t0)::DOUBLE), y0, y1) END, 4) AS y_clean FROM rn")
+def clean_robust(spark, d):
+    return clean.clean_robust(daily(spark, d).where(F.col("t") < DAYS - H)).select("series_id", "t", r("y_clean").alias("y_clean"))
+
+
+@query("SELECT series_id, count(*) FILTER (WHERE y IS NULL) AS missing_before, count(*) FILTER (WHERE y_clean IS NULL) AS missing_after, count(*) FILTER (WHERE y <> y_clean) AS values_changed FROM cleaned GROUP BY 1")
+def clean_audit(spark, d):
+    return clean.clean_audit(cleaned(spark, d))
+
+
+@query("SELECT series_id, 'length' AS violation FROM cleaned WHERE series_id % 2 = 0 GROUP BY 1")
+def clean_contract(spark, d):
+    want = facts(spark, d).select("series_id").distinct().withColumn("expected", DAYS - H - F.when(F.col("series_id") % 2 == 0, 1).otherwise(0))
+    return clean.clean_contract(cleaned(spark, d), want)
+
+
+# ---- membership, windows, labels, scaling ----
+
+SPLIT = ", sp AS (SELECT series_id, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '123', series_id)), series_id) <= greatest(1, floor((1.0::DOUBLE - 0.8::DOUBLE) * count(*) OVER ())) THEN 'test' ELSE 'train' END AS partition FROM (SELECT DISTINCT series_id FROM facts))"
+
+
+def membership(spark, d):
+    return windows.split_membership(facts(spark, d).select("series_id"), 0.8, 123)
+
+
+@query(SPLIT + " SELECT series_id, partition FROM sp")
+def split_membership(spark, d):
+    return membership(spark, d)
+
+
+@query(SPLIT + " SELECT n_nationkey AS series_id, partition, CASE WHEN partition IS NULL THEN 'evaluation_only' ELSE 'modelling' END AS role FROM nation LEFT JOIN sp ON series_id = n_nationkey AND n_nationkey <> 3")
+def membership_roles(spark, d):
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("series_id"))
+    return windows.membership_roles(rows, membership(spark, d).where("series_id <> 3"))
+
+
+@query(f"SELECT input_key, len(w)::INT AS n_in, len(a)::INT AS n_out, round(w[1], 4) AS first, round(w[{L}], 4) AS last, round(a[{H}], 4) AS final FROM rw")
+def rolling_blocks(spark, d):
+    e = lambda c, k: r(F.element_at(c, k))
+    return rolling(spark, d).select("input_key", F.size("window").alias("n_in"), F.size("actual").alias("n_out"), e("window", 1).alias("first"), e("window", -1).alias("last"), e("actual", -1).alias("final"))
+
+
+@query("SELECT input_key, i::INT AS i, round(v, 4) AS v FROM off")
+def official_window(spark, d):
+    return official(spark, d).select("input_key", F.posexplode("window").alias("i", "v")).select("input_key", "i", r("v").alias("v"))
+
+
+LABELS = f", lb AS (SELECT input_key, series_id, input_start, w, h, (a[h] > w[{L}])::INT AS label FROM rw CROSS JOIN hs)"
+
+
+def labelled(spark, d):
+    return windows.direction_labels(rolling(spark, d))
+
+
+@query(LABELS + " SELECT input_key, h, label FROM lb")
+def direction_labels(spark, d):
+    return labelled(spark, d).select("input_key", F.posexplode("labels").alias("h", "label")).select("input_key", (F.col("h") + 1).alias("h"), "label")
+
+
+@query(f"SELECT input_key, round(list_avg(w), 4) AS centre, round(CASE WHEN list_min(w) = list_max(w) THEN 1.0 ELSE list_stddev_samp(w) END, 4) AS scale, {L}::INT AS n, list_min(w) = list_max(w) AS constant FROM rw")
+def fit_standardise(spark, d):
+    return windows.fit_standardise(rolling(spark, d)).select("input_key", r("centre").alias("centre"), r("scale").alias("scale"), F.col("count").alias("n"), "constant")
+
+
+@query(STD + " SELECT input_key, i::INT AS i, round((v - m) / s, 6) AS z FROM st JOIN off USING (input_key)")
+def apply_standardise(spark, d):
+    rows = windows.apply_standardise(windows.fit_standardise(official(spark, d)))
+    return rows.select("input_key", F.posexplode("standard").alias("i", "z")).select("input_key", "i", r("z", 6).alias("z"))
+
+
+@query("SELECT input_key, i::INT AS i, round(v, 3) AS v FROM off")
+def invert_standardise(spark, d):
+    state = windows.apply_standardise(windows.fit_standardise(official(spark, d)))
+    rows = state.select("input_key", F.posexplode("standard").alias("i", "v"))
+    return windows.invert_standardise(rows, state, ["v"]).select("input_key", "i", r("v", 3).alias("v"))
+
+
+@query(STD + " SELECT input_key, i::INT AS i, round(ln(1 + v), 6) AS v FROM off")
+def transform_steps(spark, d):
+    rows = windows.transform_steps(official(spark, d).withColumns({"centre": F.lit(0.0), "scale": F.lit(1.0)}), ["identity", "log1p"])
+    return rows.select("input_key", F.posexplode("transformed").alias("i", "v")).select("input_key", "i", r("v", 6).alias("v"))
+
+
+DATASET = LABELS + SPLIT + f", ds AS (SELECT input_key, series_id, input_start, list_avg(w) AS centre, w[{L}] AS reference, sum(label)::INT AS ups, max(label) FILTER (WHERE h = {H}) AS label FROM lb GROUP BY ALL), dd AS (SELECT ds.*, partition FROM ds JOIN sp USING (series_id))"
+
+
+def dataset(spark, d):
+    return windows.window_dataset(rolling(spark, d), membership(spark, d)).withColumn("label", F.element_at("labels", -1))
+
+
+@query(DATASET + " SELECT input_key, round(centre, 4) AS centre, round(reference, 4) AS reference, ups, label, partition, 'prepared_origin' AS basis FROM dd")
+def window_dataset(spark, d):
+    ups = F.aggregate("labels", F.lit(0), lambda a, v: a + v)
+    return dataset(spark, d).select("input_key", r("centre").alias("centre"), r("reference").alias("reference"), ups.alias("ups"), "label", "partition", "basis")
+
+
+COHORT = DATASET + """, cn AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM dd GROUP BY 1), cq AS (SELECT label, n, CASE WHEN total <= 200 THEN n ELSE greatest(floor(n / total::DOUBLE * 200), 1) END AS quota, total FROM cn),
+cr AS (SELECT *, CASE WHEN total <= 200 THEN 0 ELSE 200 - sum(quota) OVER () END AS rest, row_number() OVER (ORDER BY n DESC, label) AS rk, count(*) OVER () AS k FROM cq),
+cf AS (SELECT label, greatest(quota + sign(rest) * (floor(abs(rest) / k) + CASE WHEN rk <= abs(rest) % k THEN 1 ELSE 0 END), 1) AS quota FROM cr),
+co AS (SELECT input_key, label, row_number() OVER (ORDER BY md5(concat_ws('|', '124', input_key)), input_key) AS ref_order FROM (SELECT input_key, dd.label, quota, row_number() OVER (PARTITION BY dd.label ORDER BY md5(concat_ws('|', '123', input_key)), input_key) AS rk FROM dd JOIN cf ON cf.label = dd.label) WHERE rk <= quota)"""
+
+
+def cohort(spark, d):
+    return windows.stratified_cohort(dataset(spark, d).where("label is not null"), 200, 123)
+
+
+@query(COHORT + " SELECT input_key, label, ref_order::INT AS ref_order FROM co")
+def stratified_cohort(spark, d):
+    return cohort(spark, d)
+
+
+@query(DATASET + " SELECT input_key, row_number() OVER (ORDER BY input_key)::INT AS ref_order FROM dd WHERE partition = 'train'")
+def full_cohort(spark, d):
+    return windows.full_cohort(dataset(spark, d))
+
+
+@query(COHORT + " SELECT input_key FROM co UNION SELECT input_key FROM offw")
+def feature_keys(spark, d):
+    return windows.feature_keys(cohort(spark, d), official(spark, d).select("input_key", "kind"))
+
+
+# ---- features ----
+
+
+def z(spark, d):
+    return features.z_scored(rolling(spark, d).select("input_key", "window"))
+
+
+Z = ", zz AS (SELECT input_key, list_transform(w, lambda v: CASE WHEN list_min(w) < list_max(w) THEN (v - list_avg(w)) / list_stddev_samp(w) ELSE 0.0 END) AS z FROM rw), zl AS (SELECT input_key, unnest(z) AS v, unnest(range(len(z))) AS i FROM zz)"
+
+
+@query(f"SELECT input_key, {L}.0::DOUBLE AS series_length, 0.0::DOUBLE AS nperiods, 1.0::DOUBLE AS seasonal_period FROM rw")
+def feat_shape(spark, d):
+    return features.feat_shape(z(spark, d)).select("input_key", "series_length", "nperiods", "seasonal_period")
+
+
+ACF = Z + """, d0 AS (SELECT input_key, i, v FROM zl), d1 AS (SELECT a.input_key, a.i, b.v - a.v AS v FROM zl a JOIN zl b ON a.input_key = b.input_key AND b.i = a.i + 1), d2 AS (SELECT a.input_key, a.i, b.v - a.v AS v FROM d1 a JOIN d1 b ON a.input_key = b.input_key AND b.i = a.i + 1),
+al AS (SELECT 0 AS k, * FROM d0 UNION ALL SELECT 1, * FROM d1 UNION ALL SELECT 2, * FROM d2), ac AS (SELECT k, input_key, i, v - avg(v) OVER (PARTITION BY k, input_key) AS c FROM al), pw AS (SELECT k, input_key, sum(c * c) AS p FROM ac GROUP BY ALL),
+lg AS (SELECT a.k, a.input_key, b.i - a.i AS lag, sum(a.c * b.c) AS s FROM ac a JOIN ac b ON a.k = b.k AND a.input_key = b.input_key AND b.i - a.i BETWEEN 1 AND 10 GROUP BY ALL), af AS (SELECT k, input_key, sum(s) FILTER (WHERE lag = 1) / any_value(p) AS a1, sum((s / p) * (s / p)) AS a10 FROM lg JOIN pw USING (k, input_key) GROUP BY ALL)
+"""
+
+
+@query(ACF + " SELECT input_key, round(max(a1) FILTER (WHERE k = 0), 5) AS x_acf1, round(max(a10) FILTER (WHERE k = 0), 5) AS x_acf10, round(max(a1) FILTER (WHERE k = 1), 5) AS diff1_acf1, round(max(a10) FILTER (WHERE k = 1), 5) AS diff1_acf10, round(max(a1) FILTER (WHERE k = 2), 5) AS diff2_acf1, round(max(a10) FILTER (WHERE k = 2), 5) AS diff2_acf10 FROM af GROUP BY 1")
+def feat_acf(spark, d):
+    out = features.feat_acf(z(spark, d))
+    return out.select("input_key", *[r(c, 5).alias(c) for c in ("x_acf1", "x_acf10", "diff1_acf1", "diff1_acf10", "diff2_acf1", "diff2_acf10")])
+
+
+@query()
+def feat_pacf(spark, d):
+    return features.feat_pacf(z(spark, d)).drop("window", "z")
+
+
+@query(Z + f", md AS (SELECT input_key, median(v) AS m FROM zl GROUP BY 1) SELECT a.input_key, sum(((a.v > m) <> (b.v > m))::INT)::DOUBLE AS crossing_points FROM zl a JOIN zl b ON a.input_key = b.input_key AND b.i = a.i + 1 JOIN md ON md.input_key = a.input_key GROUP BY 1")
+def feat_crossing(spark, d):
+    return features.feat_crossing(z(spark, d)).select("input_key", "crossing_points")
+
+
+@query(Z + ", bn AS (SELECT zl.input_key, i, CASE WHEN list_max(z) > list_min(z) THEN least(floor((v - list_min(z)) / (list_max(z) - list_min(z)) * 10), 9) ELSE 0 END AS b FROM zl JOIN zz USING (input_key)), isl AS (SELECT input_key, b, row_number() OVER (PARTITION BY input_key ORDER BY i) - row_number() OVER (PARTITION BY input_key, b ORDER BY i) AS g FROM bn), rn AS (SELECT input_key, b, g, count(*) AS n FROM isl GROUP BY ALL) SELECT input_key, max(n)::DOUBLE AS flat_spots FROM rn GROUP BY 1")
+def feat_flat_spots(spark, d):
+    return features.feat_flat_spots(z(spark, d)).select("input_key", "flat_spots")
+
+
+@query(Z + f", tl AS (SELECT input_key, i // 10 AS k, var_samp(v) AS a, avg(v) AS b FROM zl WHERE i < {L // 10 * 10} GROUP BY ALL) SELECT input_key, round(var_samp(a), 6) AS lumpiness, round(var_samp(b), 6) AS stability FROM tl GROUP BY 1")
+def feat_tiles(spark, d):
+    return features.feat_tiles(z(spark, d)).select("input_key", r("lumpiness", 6).alias("lumpiness"), r("stability", 6).alias("stability"))
+
+
+@query()
+def feat_arch(spark, d):
+    return features.feat_arch(z(spark, d)).select("input_key", "arch_lm")
+
+
+@query()
+def feat_unitroot(spark, d):
+    return features.feat_unitroot(z(spark, d)).select("input_key", "unitroot_kpss", "unitroot_pp")
+
+
+@query()
+def feat_decomp(spark, d):
+    return features.feat_decomp(z(spark, d)).drop("window", "z")
+
+
+@query()
+def feat_smoothing(spark, d):
+    return features.feat_smoothing(features.z_scored(official(spark, d).select("input_key", "window"))).select("input_key", "alpha", "beta", "hw_alpha", "hw_beta")
+
+
+@query()
+def feat_vector(spark, d):
+    return features.feat_vector(features.z_scored(official(spark, d).select("input_key", "window")))
+
+
+# ---- forecasts ----
+
+
+@query(f", sd AS (SELECT input_key, sqrt(avg((v - p) * (v - p))) AS s FROM (SELECT input_key, v, lag(v) OVER (PARTITION BY input_key ORDER BY i) AS p FROM off) WHERE p IS NOT NULL GROUP BY 1) SELECT input_key, 'naive' AS model, h, round(w[{L}], 4) AS mean, round(s * sqrt(h), 4) AS se FROM offw JOIN sd USING (input_key) CROSS JOIN hs")
+def fc_naive(spark, d):
+    return forecast.fc_naive(official(spark, d), H).select("input_key", "model", "h", r("mean").alias("mean"), r("se").alias("se"))
+
+
+@query(f", sd AS (SELECT a.input_key, sqrt(avg((b.v - a.v) * (b.v - a.v))) AS s FROM off a JOIN off b ON a.input_key = b.input_key AND b.i = a.i + 7 GROUP BY 1) SELECT input_key, 'snaive' AS model, h, round(w[{L} - 7 + ((h - 1) % 7) + 1], 4) AS mean, round(s * sqrt((h - 1) // 7 + 1), 4) AS se FROM offw JOIN sd USING (input_key) CROSS JOIN hs")
+def fc_snaive(spark, d):
+    return forecast.fc_snaive(official(spark, d), H, 7).select("input_key", "model", "h", r("mean").alias("mean"), r("se").alias("se"))
+
+
+@query(f", sl AS (SELECT input_key, w, (w[{L}] - w[1]) / {L - 1} AS b FROM offw), sd AS (SELECT input_key, sqrt(sum((v - p - b) * (v - p - b)) / {L - 1}) AS s FROM (SELECT input_key, v, lag(v) OVER (PARTITION BY input_key ORDER BY i) AS p FROM off) JOIN sl USING (input_key) WHERE p IS NOT NULL GROUP BY 1) SELECT input_key, 'rw_drift' AS model, h, round(w[{L}] + h * b, 4) AS mean, round(s * sqrt(h * (1 + h / {L - 1}.0::DOUBLE)), 4) AS se FROM sl JOIN sd USING (input_key) CROSS JOIN hs")
+def fc_rw_drift(spark, d):
+    return forecast.fc_rw_drift(official(spark, d), H).select("input_key", "model", "h", r("mean").alias("mean"), r("se").alias("se"))
+
+
+SEAS = f", sc0 AS (SELECT input_key, i, v - avg(v) OVER (PARTITION BY input_key) AS c FROM off), sp0 AS (SELECT input_key, sum(c * c) AS p FROM sc0 GROUP BY 1), sl0 AS (SELECT a.input_key, b.i - a.i AS lag, sum(a.c * b.c) AS s FROM sc0 a JOIN sc0 b ON a.input_key = b.input_key AND b.i - a.i BETWEEN 1 AND 7 GROUP BY ALL), sq0 AS (SELECT input_key, abs(max(s / p) FILTER (WHERE lag = 7)) > 1.645 / sqrt({L}) * sqrt(1 + 2 * sum((s / p) * (s / p)) FILTER (WHERE lag < 7)) AS seasonal FROM sl0 JOIN sp0 USING (input_key) GROUP BY 1)"
+
+
+@query(SEAS + " SELECT input_key, seasonal FROM sq0")
+def seasonality_test(spark, d):
+    return forecast.seasonality_test(official(spark, d), 7).select("input_key", "seasonal")
+
+
+SADJ = SEAS + f", ma AS (SELECT a.input_key, a.i, any_value(a.v) / avg(b.v) AS ratio FROM off a JOIN off b ON a.input_key = b.input_key AND b.i BETWEEN a.i - 3 AND a.i + 3 WHERE a.i BETWEEN 3 AND {L - 4} GROUP BY ALL), sf AS (SELECT input_key, i % 7 AS s, avg(ratio) AS f FROM ma GROUP BY ALL), sg AS (SELECT input_key, s, CASE WHEN seasonal THEN f / avg(f) OVER (PARTITION BY input_key) ELSE 1.0 END AS f FROM sf JOIN sq0 USING (input_key))"
+
+
+@query(SADJ + " SELECT input_key, s::INT AS s, round(f, 6) AS f FROM sg")
+def seasonal_adjust(spark, d):
+    return forecast.seasonal_adjust(official(spark, d), 7).select("input_key", F.posexplode("factors").alias("s", "f")).select("input_key", "s", r("f", 6).alias("f"))
+
+
+@query(SADJ + f" SELECT o.input_key, 'naive2' AS model, h, round(w[{L}] / a.f * b.f, 3) AS mean FROM offw o CROSS JOIN hs JOIN sg a ON a.input_key = o.input_key AND a.s = {(L - 1) % 7} JOIN sg b ON b.input_key = o.input_key AND b.s = ({L} + h - 1) % 7")
+def fc_naive2(spark, d):
+    return forecast.fc_naive2(official(spark, d), H, 7).withColumn("mean", r("mean", 3))
+
+
+@query("SELECT input_key, model, h, round(mean, 3) AS mean FROM fc WHERE model = 'ses'")
+def fc_ses(spark, d):
+    return forecast.fc_ses(official(spark, d), H).withColumn("mean", r("mean", 3))
+
+
+def trend_sql(model, alphas, betas, phis):
+    grid = f"(SELECT unnest({list(alphas)})::DOUBLE AS alpha) CROSS JOIN (SELECT unnest({list(betas)})::DOUBLE AS beta) CROSS JOIN (SELECT unnest({list(phis)})::DOUBLE AS phi)"
+    guess = "(p.l + phi * p.b)"
+    step = f"{{'sse': p.sse + (q.l - {guess}) * (q.l - {guess}), 'l': {guess} + alpha * (q.l - {guess}), 'b': phi * p.b + alpha * beta * (q.l - {guess})}}"
+    damp = "CASE WHEN f.phi = 1 THEN h ELSE f.phi * (1 - pow(f.phi, h)) / (1 - f.phi) END"
+    return f""", tg AS (SELECT input_key, alpha, beta, phi, list_reduce(list_transform(w[2:], lambda x: {{'sse': 0.0::DOUBLE, 'l': x, 'b': w[2] - w[1]}}), lambda p, q: {step}) AS s FROM offw CROSS JOIN {grid}),
+tf AS (SELECT input_key, arg_min({{'l': s.l, 'b': s.b, 'phi': phi}}, (s.sse, alpha, beta, phi)) AS f FROM tg GROUP BY 1) SELECT input_key, '{model}' AS model, h, round(f.l + {damp} * f.b, 2) AS mean FROM tf CROSS JOIN hs"""
+
+
+@query(trend_sql("holt", forecast.ALPHAS[::2], forecast.BETAS[:3], [1.0]))
+def fc_holt(spark, d):
+    return forecast.fc_holt(official(spark, d), H).withColumn("mean", r("mean", 2))
+
+
+@query(trend_sql("damped", forecast.ALPHAS[::4], forecast.BETAS[:2], forecast.PHIS[:2]))
+def fc_damped(spark, d):
+    return forecast.fc_damped(official(spark, d), H).withColumn("mean", r("mean", 2))
+
+
+@query(", sl AS (SELECT input_key, regr_slope(v, i) AS b FROM off GROUP BY 1) SELECT input_key, 'theta' AS model, h, round(mean + 0.5 * b * h, 3) AS mean FROM fc JOIN sl USING (input_key) WHERE model = 'ses'")
+def fc_theta(spark, d):
+    return forecast.fc_theta(official(spark, d), H).withColumn("mean", r("mean", 3))
+
+
+QZ = ", zq AS (SELECT unnest([0.025, 0.1, 0.5, 0.9, 0.975])::DOUBLE AS level, unnest([-1.9599639845400536, -1.2815515655446008, 0.0, 1.2815515655446008, 1.9599639845400536])::DOUBLE AS z), sd AS (SELECT input_key, sqrt(avg((v - p) * (v - p))) AS s FROM (SELECT input_key, v, lag(v) OVER (PARTITION BY input_key ORDER BY i) AS p FROM off) WHERE p IS NOT NULL GROUP BY 1), " + f"fq AS (SELECT input_key, 'naive' AS model, h, level, w[{L}] + z * s * sqrt(h) AS q FROM offw JOIN sd USING (input_key) CROSS JOIN hs CROSS JOIN zq)"
+
+
+def quantiles(spark, d):
+    return forecast.interval_quantiles(forecast.fc_naive(official(spark, d), H), LEVELS)
+
+
+@query(QZ + " SELECT input_key, model, h, level, round(q, 3) AS q FROM fq")
+def interval_quantiles(spark, d):
+    return quantiles(spark, d).withColumn("q", r("q", 3))
+
+
+@query("SELECT input_key, model, h, round(mean, 3) AS mean FROM fc WHERE NOT (model = 'rw_drift' AND input_key = '3')")
+def forecast_pool(spark, d):
+    done = spark.createDataFrame([("3", "rw_drift")], "input_key string, model string")
+    return forecast.forecast_pool(official(spark, d), H, ["naive2", "rw_drift", "ses"], 1, done).withColumn("mean", r("mean", 3))
+
+
+@query(f"SELECT input_key, h, 'ses' AS requested, CASE WHEN input_key::INT % 2 = 0 THEN 'naive2' ELSE 'ses' END AS executed, input_key::INT % 2 = 0 AS fallback_used, round(CASE WHEN input_key::INT % 2 = 0 THEN max(mean) FILTER (WHERE model = 'naive2') ELSE max(mean) FILTER (WHERE model = 'ses') END, 3) AS mean FROM fc GROUP BY input_key, h")
+def forecast_fallback(spark, d):
+    w = official(spark, d)
+    first = forecast.fc_ses(w, H).where(F.col("input_key").cast("int") % 2 == 1)
+    return forecast.forecast_fallback(first, forecast.fc_naive2(w, H), "ses", "naive2").withColumn("mean", r("mean", 3))
+
+
+@query("SELECT input_key, 'naive' AS model, 'horizon' AS violation FROM offw WHERE input_key::INT % 2 = 0")
+def forecast_contract(spark, d):
+    f = forecast.fc_naive(official(spark, d), H).where((F.col("input_key").cast("int") % 2 == 1) | (F.col("h") < H))
+    return forecast.forecast_contract(f, quantiles(spark, d), H, LEVELS)
+
+
+@query(QZ + " SELECT input_key, model, h, level, round(q, 3) AS q, h % 2 = 0 AS rearranged FROM fq")
+def noncrossing_quantiles(spark, d):
+    q = quantiles(spark, d).withColumn("level", F.when(F.col("h") % 2 == 0, F.round(1 - F.col("level"), 3)).otherwise(F.col("level")))
+    return forecast.noncrossing_quantiles(q).withColumn("q", r("q", 3))
+
+
+@query()
+def apply_forecaster(spark, d):
+    return forecast.apply_forecaster(official(spark, d), lambda x: [float(sum(x[-7:]) / 7)] * H, H, "mean7")
+
+
+# ---- direction ----
+
+
+@query("SELECT DISTINCT greatest(1, least(greatest(1, round_even((0.1::DOUBLE * greatest(n, m)), 0)::INT), n - 1, m - 1))::INT AS width, n, m FROM (SELECT (n_nationkey + 2)::INT AS n, 64::INT AS m FROM nation UNION ALL SELECT (n_nationkey + 2)::INT, (n_nationkey + 2)::INT FROM nation)")
+def dtw_width(spark, d):
+    n = (F.col("n_nationkey") + 2).cast("int")
+    rows = table(spark, d, "nation")
+    rows = rows.select(n.alias("n"), F.lit(64).alias("m")).unionByName(rows.select(n.alias("n"), n.alias("m")))
+    return rows.select(direction.dtw_width(F.col("n"), F.col("m")).alias("width"), "n", "m").distinct()
+
+
+@query()
+def dtw_distance(spark, d):
+    a = official(spark, d).select(F.col("input_key").alias("ka"), F.col("series_id").alias("sa"), F.col("window").alias("a"))
+    b = official(spark, d).select(F.col("input_key").alias("kb"), F.col("series_id").alias("sb"), F.col("window").alias("b"))
+    return direction.dtw_distance(a.join(b, F.col("sa") + 1 == F.col("sb"))).select("ka", "kb", "distance")
+
+
+def refs(spark, d):
+    return dataset(spark, d).select("input_key", F.col("standard").alias("v"), "labels").join(cohort(spark, d).select("input_key", "ref_order"), "input_key").withColumnRenamed("input_key", "ref_key")
+
+
+def query_windows(spark, d):
+    return windows.apply_standardise(windows.fit_standardise(official(spark, d))).select("input_key", F.col("standard").alias("v"))
+
+
+@query()
+def dtw_1nn(spark, d):
+    return direction.dtw_1nn(query_windows(spark, d), refs(spark, d))
+
+
+@query("WITH q AS (SELECT vec_id::VARCHAR AS input_key, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT vec_id::VARCHAR AS ref_key, vec_id::INT AS ref_order, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 <> 0), p AS (SELECT input_key, ref_key, ref_order, list_distance(q.v, r.v) AS distance FROM q CROSS JOIN r), b AS (SELECT *, row_number() OVER (PARTITION BY input_key ORDER BY distance, ref_order) AS rk FROM p) SELECT input_key, ref_key, ref_order, round(distance, 6) AS distance FROM b WHERE rk = 1")
+def knn_join_l2(spark, d):
+    e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("input_key"), "v")
+    refs_ = e.where("vec_id % 20 <> 0").select(F.col("vec_id").cast("string").alias("ref_key"), F.col("vec_id").cast("int").alias("ref_order"), "v")
+    return direction.knn_join_l2(q, refs_).withColumn("distance", r("distance", 6))
+
+
+@query(f", rs AS (SELECT input_key, w, j, greatest((j + 0.5) * {L} / 512.0::DOUBLE - 0.5, 0.0)::DOUBLE AS x FROM offw CROSS JOIN (SELECT unnest(range(512)) AS j)) SELECT input_key, j::INT AS j, round(w[least(floor(x), {L - 1})::INT + 1] * (1 - (x - floor(x))) + w[least(floor(x) + 1, {L - 1})::INT + 1] * (x - floor(x)), 3) AS v FROM rs")
+def linear_resize(spark, d):
+    return direction.linear_resize(official(spark, d), 512).select("input_key", F.posexplode("resized").alias("j", "v")).select("input_key", "j", r("v", 3).alias("v"))
+
+
+@query(COHORT + f" SELECT co.input_key, ref_order::INT AS ref_order, {L}::INT AS n_features, lb.label FROM co JOIN lb ON lb.input_key = co.input_key AND lb.h = 3 WHERE lb.label IS NOT NULL")
+def training_matrix(spark, d):
+    v, c = dataset(spark, d), cohort(spark, d)
+    return direction.training_matrix(v.select("input_key", F.col("standard").alias("v")), v.select("input_key", "labels"), c, 3).select("input_key", "ref_order", F.size("features").alias("n_features"), "label")
+
+
+@query()
+def rf_predict_horizons(spark, d):
+    v = dataset(spark, d)
+    models = direction.rf_fit_horizons(v.select("input_key", F.col("standard").alias("v")), v.select("input_key", "labels"), cohort(spark, d), 2, trees=20, depth=8)
+    return direction.rf_predict_horizons(query_windows(spark, d), models)
+
+
+@query(f"SELECT input_key, 'drift' AS model FROM offw WHERE input_key::INT % 2 = 0")
+def prediction_contract(spark, d):
+    rows = drift_direction(spark, d).where((F.col("input_key").cast("int") % 2 == 1) | (F.col("h") < H)).withColumn("model", F.lit("drift"))
+    return forecast.prediction_contract(rows, H)
+
+
+# ---- combination and metrics ----
+
+
+@query(trend_sql("holt", forecast.ALPHAS[::2], forecast.BETAS[:3], [1.0]).rsplit("SELECT input_key, 'holt'", 1)[0] + "," + trend_sql("damped", forecast.ALPHAS[::4], forecast.BETAS[:2], forecast.PHIS[:2]).replace("tg AS", "ug AS").replace("tf AS", "uf AS").replace("FROM tg", "FROM ug").rsplit("SELECT input_key, 'damped'", 1)[0].lstrip(", ") + f" SELECT fc.input_key, 'comb' AS model, h, round((mean + (tf.f.l + h * tf.f.b) + (uf.f.l + uf.f.phi * (1 - pow(uf.f.phi, h)) / (1 - uf.f.phi) * uf.f.b)) / 3, 2) AS mean FROM fc JOIN tf ON tf.input_key = fc.input_key JOIN uf ON uf.input_key = fc.input_key WHERE model = 'ses'")
+def combine_comb(spark, d):
+    return evaluate.combine_comb(pool(spark, d, ("ses", "holt", "damped"))).withColumn("mean", r("mean", 2))
+
+
+@query("SELECT input_key, 'weighted' AS model, h, round(sum(mean * CASE model WHEN 'naive2' THEN 0.25 ELSE 0.75 END), 3) AS mean FROM fc WHERE model IN ('naive2', 'rw_drift') GROUP BY ALL")
+def combine_weighted(spark, d):
+    return evaluate.combine_weighted(pool(spark, d, ("naive2", "rw_drift")), {"naive2": 0.25, "rw_drift": 0.75}).withColumn("mean", r("mean", 3))
+
+
+@query("SELECT f AS freq, CASE f WHEN 'H' THEN 24 WHEN 'M' THEN 12 WHEN 'Q' THEN 4 ELSE 1 END::INT AS lag, count(*) AS n FROM (SELECT ['H','D','W','M','Q','Y'][(c_nationkey % 6) + 1] AS f FROM customer) GROUP BY ALL")
+def mase_lag(spark, d):
+    freq = F.element_at(F.array(*map(F.lit, "HDWMQY")), F.col("c_nationkey") % 6 + 1)
+    return table(spark, d, "customer").select(freq.alias("freq")).groupBy("freq").agg(F.count(F.lit(1)).alias("n")).select("freq", evaluate.mase_lag(F.col("freq")).alias("lag"), "n")
+
+
+@query("SELECT input_key, model, round(smape, 4) AS smape FROM sc")
+def metric_smape(spark, d):
+    return evaluate.metric_smape(pool(spark, d), actual_long(spark, d)).withColumn("smape", r("smape"))
+
+
+@query("SELECT input_key, model, round(mase, 5) AS mase, NULL::VARCHAR AS violation FROM sc")
+def metric_mase(spark, d):
+    return evaluate.metric_mase(pool(spark, d), actual_long(spark, d), scales(spark, d)).withColumn("mase", r("mase", 5))
+
+
+def series_scores(spark, d):
+    f, a = pool(spark, d), actual_long(spark, d)
+    return evaluate.metric_smape(f, a).join(evaluate.metric_mase(f, a, scales(spark, d)), ["input_key", "model"])
+
+
+def owa_table(spark, d):
+    return evaluate.metric_owa(series_scores(spark, d))
+
+
+@query("SELECT model, round(smape, 4) AS smape, round(mase, 5) AS mase, round(owa, 5) AS owa FROM owa")
+def metric_owa(spark, d):
+    return owa_table(spark, d).select("model", r("smape").alias("smape"), r("mase", 5).alias("mase"), r("owa", 5).alias("owa"))
+
+
+QUERIES["baseline_comparison"], ORACLE_SQL["baseline_comparison"] = metric_owa, ORACLE_SQL["metric_owa"]
+
+
+@query("SELECT a.model, round(0.5 * (a.smape / b.smape + a.mase / b.mase), 5) AS owa FROM owa a CROSS JOIN (SELECT * FROM owa WHERE model = 'ses') b")
+def rebase_owa(spark, d):
+    rows = owa_table(spark, d).drop("owa")
+    return evaluate.rebase_owa(rows, rows.where("model = 'ses'")).select("model", r("owa", 5).alias("owa"))
+
+
+@query("SELECT input_key, model, round(avg((actual - mean) * (actual - mean)), 0) AS mse, round(avg(abs(actual - mean)), 3) AS mae, round(avg(abs(actual - mean)) / any_value(scale), 5) AS mase, round(avg(CASE WHEN actual <> 0 THEN abs((actual - mean) / actual) END), 5) AS mape, round(avg(term), 4) AS smape, round(sqrt(avg((actual - mean) * (actual - mean))), 3) AS rmse, round(sqrt(avg((actual - mean) * (actual - mean))) / avg(abs(actual)), 5) AS nrmse, round(avg(abs(actual - mean)) / avg(abs(actual)), 5) AS nd FROM err JOIN scale USING (input_key) GROUP BY ALL")
+def point_metrics(spark, d):
+    out = evaluate.point_metrics(pool(spark, d), actual_long(spark, d), scales(spark, d))
+    places = {"mse": 0, "mae": 3, "mase": 5, "mape": 5, "smape": 4, "rmse": 3, "nrmse": 5, "nd": 5}
+    return out.select("input_key", "model", *[r(c, n).alias(c) for c, n in places.items()])
+
+
+@query(QZ + """, st AS (SELECT input_key, model, h, any_value(actual) AS a, sum(CASE WHEN level BETWEEN 0.1 AND 0.9 THEN 2 * CASE WHEN actual >= q THEN level * (actual - q) ELSE (level - 1) * (actual - q) END END) AS loss, max(q) FILTER (WHERE level = 0.5) AS med, max(q) FILTER (WHERE level = 0.025) AS lo, max(q) FILTER (WHERE level = 0.975) AS hi FROM fq JOIN act USING (input_key, h) WHERE actual IS NOT NULL GROUP BY ALL)
+SELECT input_key, model, round(avg((a - med) * (a - med)), 0) AS mse_median, round(avg((hi - lo) + 40 * greatest(lo - a, 0) + 40 * greatest(a - hi, 0)) / any_value(scale), 4) AS msis, round(sum(loss) / 3 / sum(abs(a)), 5) AS mean_weighted_quantile_loss FROM st JOIN scale USING (input_key) GROUP BY ALL""")
+def quantile_metrics(spark, d):
+    out = evaluate.quantile_metrics(quantiles(spark, d), actual_long(spark, d), scales(spark, d))
+    return out.select("input_key", "model", r("mse_median", 0).alias("mse_median"), r("msis").alias("msis"), r("mean_weighted_quantile_loss", 5).alias("mean_weighted_quantile_loss"))
+
+
+@query(f"SELECT input_key, model, CASE WHEN model = 'ses' THEN 'mean_only' ELSE 'quantile' END AS capability, count(actual) AS n_used, count(*) - count(actual) AS n_masked, CASE WHEN model = 'ses' THEN 'point' ELSE 'point_and_quantile' END AS metric_set FROM err GROUP BY ALL")
+def metric_mask(spark, d):
+    f = pool(spark, d).withColumn("capability", F.when(F.col("model") == "ses", "mean_only").otherwise("quantile"))
+    return evaluate.metric_mask(actual_long(spark, d), f)
+
+
+@query("SELECT input_key, model, m AS metric FROM (SELECT input_key, model, unnest([CASE WHEN smape IS NULL THEN 'smape' END, CASE WHEN mase IS NULL THEN 'mase' END]) AS m FROM sc) WHERE m IS NOT NULL")
+def finite_metrics(spark, d):
+    return evaluate.finite_metrics(series_scores(spark, d), ["smape", "mase"], ["input_key", "model"])
+
+
+@query("SELECT input_key, model, h, (mean > origin)::INT AS label FROM fc JOIN org USING (input_key)")
+def forecast_direction(spark, d):
+    return evaluate.forecast_direction(pool(spark, d), origins(spark, d))
+
+
+def scored(spark, d):
+    o = origins(spark, d)
+    truth = actual_long(spark, d).join(o, "input_key").select("input_key", "h", (F.col("actual") > F.col("origin")).cast("int").alias("label"))
+    return evaluate.direction_score(evaluate.forecast_direction(pool(spark, d), o), truth, "raw_origin")
+
+
+def by_horizon(spark, d):
+    return evaluate.direction_by_horizon(scored(spark, d))
+
+
+@query("SELECT input_key, model, h, 'raw_origin' AS basis, correct FROM dsc")
+def direction_score(spark, d):
+    return scored(spark, d)
+
+
+@query("SELECT basis, model, h, correct_count, evaluation_count, round(accuracy, 6) AS accuracy FROM dbh")
+def direction_by_horizon(spark, d):
+    return by_horizon(spark, d).withColumn("accuracy", r("accuracy", 6))
+
+
+@query("SELECT basis, model, round(arg_max(accuracy, h), 6) AS da, max(h) AS h FROM dbh GROUP BY ALL")
+def terminal_da(spark, d):
+    return evaluate.terminal_da(by_horizon(spark, d)).withColumn("da", r("da", 6))
+
+
+@query("SELECT model, h, 'basis' AS violation FROM dbh WHERE h = 3")
+def basis_guard(spark, d):
+    rows = by_horizon(spark, d).withColumn("basis", F.when(F.col("h") == 3, "prepared_origin").otherwise(F.col("basis")))
+    return evaluate.basis_guard(rows, "raw_origin", ["model", "h"])
+
+
+# ---- sensitivity ----
+
+GRID = ", gu AS (SELECT round(1 + 0.005::DOUBLE * unnest(range(25)), 3) AS lambda_up), gd AS (SELECT round(1 - 0.005::DOUBLE * unnest(range(21)), 3) AS lambda_down)"
+
+
+@query(GRID + " SELECT lambda_up, lambda_down FROM gu CROSS JOIN gd")
+def lambda_grid(spark, d):
+    return sensitivity.lambda_grid(spark)
+
+
+GATE = f", gt AS (SELECT input_key, model, label, origin, CASE WHEN (last > origin)::INT = label THEN 'keep' WHEN label = 1 THEN 'up' ELSE 'down' END AS gate FROM (SELECT input_key, model, arg_max(mean, h) AS last FROM fc GROUP BY ALL) JOIN org USING (input_key))"
+
+
+@query(GATE + " SELECT input_key, model, h, round(mean * CASE gate WHEN 'up' THEN 1.1 WHEN 'down' THEN 0.9 ELSE 1 END, 3) AS mean FROM fc JOIN gt USING (input_key, model)")
+def direction_adjust(spark, d):
+    out = sensitivity.direction_adjust(pool(spark, d), drift_direction(spark, d), origins(spark, d), 1.1, 0.9)
+    return out.select("input_key", "model", "h", r("mean", 3).alias("mean"))
+
+
+SURFACE = GATE + GRID + """, ss AS (SELECT f.model, lambda_up, lambda_down, f.input_key, avg(CASE WHEN abs(actual) + abs(m) > 0 THEN 200 * abs(actual - m) / (abs(actual) + abs(m)) END) AS s, avg(abs(actual - m)) / any_value(scale) AS ma, sum(((m > origin) = (actual > origin))::INT) AS c, count(actual) AS k FROM (SELECT fc.*, lambda_up, lambda_down, origin, mean * CASE gate WHEN 'up' THEN lambda_up WHEN 'down' THEN lambda_down ELSE 1 END AS m FROM fc JOIN gt USING (input_key, model) CROSS JOIN gu CROSS JOIN gd) f JOIN act USING (input_key, h) JOIN scale USING (input_key) GROUP BY f.model, lambda_up, lambda_down, f.input_key),
+sf2 AS (SELECT model, lambda_up, lambda_down, sum(s) / count(*) AS smape, sum(ma) / count(*) AS mase, sum(c)::BIGINT AS correct_count, sum(k)::BIGINT AS step_count, count(*) AS evaluation_count FROM ss GROUP BY ALL), sfo AS (SELECT a.*, 0.5 * (a.smape / b.smape + a.mase / b.mase) AS owa FROM sf2 a CROSS JOIN (SELECT * FROM owa WHERE model = 'naive2') b)"""
+
+
+def surface(spark, d):
+    ref = owa_table(spark, d).where("model = 'naive2'")
+    return sensitivity.sensitivity_surface(pool(spark, d), drift_direction(spark, d), actual_long(spark, d), origins(spark, d), scales(spark, d), ref)
+
+
+@query(SURFACE + " SELECT model, lambda_up, lambda_down, round(smape, 4) AS smape, round(mase, 5) AS mase, correct_count, step_count, evaluation_count, round(owa, 5) AS owa FROM sfo")
+def sensitivity_surface(spark, d):
+    return surface(spark, d).select("model", "lambda_up", "lambda_down", r("smape").alias("smape"), r("mase", 5).alias("mase"), "correct_count", "step_count", "evaluation_count", r("owa", 5).alias("owa"))
+
+
+@query(SURFACE + " SELECT model, round(owa, 5) AS owa FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY owa) AS rk FROM sfo) WHERE rk = 1")
+def select_candidate(spark, d):
+    return sensitivity.select_candidate(surface(spark, d)).select("model", r("owa", 5).alias("owa"))
+
+
+@query(GATE + " SELECT input_key, model, h, round(mean * CASE gate WHEN 'up' THEN 1.02 WHEN 'down' THEN 0.95 ELSE 1 END, 3) AS mean FROM fc JOIN gt USING (input_key, model) WHERE model = 'ses'")
+def selected_paths(spark, d):
+    chosen = spark.createDataFrame([("ses", 1.02, 0.95)], "model string, lambda_up double, lambda_down double")
+    out = sensitivity.selected_paths(pool(spark, d), drift_direction(spark, d), origins(spark, d), chosen)
+    return out.select("input_key", "model", "h", r("mean", 3).alias("mean"))
+
+
+@query(f""", om AS (SELECT input_key, round(0.5 + k * 0.001::DOUBLE, 3) AS lam, avg(CASE WHEN abs(actual) + abs(mean * round(0.5 + k * 0.001::DOUBLE, 3)) > 0 THEN 200 * abs(actual - mean * round(0.5 + k * 0.001::DOUBLE, 3)) / (abs(actual) + abs(mean * round(0.5 + k * 0.001::DOUBLE, 3))) END) AS o FROM err CROSS JOIN (SELECT unnest(range(1001)) AS k) WHERE model = 'ses' GROUP BY ALL) SELECT input_key, 'ses' AS model, round(min(o), 4) AS smape FROM om GROUP BY 1""")
+def oracle_multiplier(spark, d):
+    return sensitivity.oracle_multiplier(pool(spark, d, ("ses",)), actual_long(spark, d)).select("input_key", "model", r("smape").alias("smape"))
+
+
+# ---- reports ----
+
+
+def selected(spark, d):
+    return owa_table(spark, d).join(evaluate.terminal_da(by_horizon(spark, d)).select("model", "da"), "model")
+
+
+SEL = ", se AS (SELECT o.model, smape, mase, owa, da FROM owa o JOIN (SELECT model, arg_max(accuracy, h) AS da FROM dbh GROUP BY 1) t ON t.model = o.model), sr AS (SELECT * FROM se WHERE model = 'naive2')"
+
+
+@query(SEL + " SELECT se.model, round(se.smape, 4) AS smape, round(se.owa, 5) AS owa, round(100 * (1 - se.smape / sr.smape), 4) AS smape_improvement, round(100 * (1 - se.owa / sr.owa), 4) AS owa_improvement FROM se CROSS JOIN sr")
+def table1(spark, d):
+    return reports.table1(selected(spark, d), "naive2", ["smape", "owa"]).select("model", r("smape").alias("smape"), r("owa", 5).alias("owa"), r("smape_improvement").alias("smape_improvement"), r("owa_improvement").alias("owa_improvement"))
+
+
+@query(SEL + " SELECT 'A' AS panel, model, round(da, 4) AS value FROM se WHERE da IS NOT NULL UNION ALL SELECT 'B', model, round(owa, 4) FROM se UNION ALL SELECT 'C', se.model, round(100 * (1 - se.owa / sr.owa), 4) FROM se CROSS JOIN sr")
+def table2(spark, d):
+    return reports.table2(selected(spark, d), "naive2").withColumn("value", r("value"))
+
+
+@query(SEL + " SELECT model, metric, round(value, 4) AS value FROM (SELECT model, unnest(['smape', 'mase', 'owa', 'da']) AS metric, unnest([smape, mase, owa, da]) AS value FROM se) WHERE value IS NOT NULL")
+def metrics_long(spark, d):
+    return reports.metrics_long(selected(spark, d), ["model"], ["smape", "mase", "owa", "da"]).withColumn("value", r("value"))
+
+
+FREQ = ", fr AS (SELECT s.model, CASE WHEN s.input_key::INT % 2 = 0 THEN 'even' ELSE 'odd' END AS frequency, avg(s.smape) AS smape, avg(s.mase) AS mase, avg(s.smape) / 200 AS da, count(*) AS evaluation_count FROM sc s GROUP BY ALL), fa AS (SELECT model, sum(smape * evaluation_count) / sum(evaluation_count) AS smape, sum(mase * evaluation_count) / sum(evaluation_count) AS mase, sum(da * evaluation_count) / sum(evaluation_count) AS da, sum(evaluation_count)::BIGINT AS evaluation_count FROM fr GROUP BY 1)"
+
+
+@query(FREQ + " SELECT a.model, round(a.smape, 4) AS smape, round(a.mase, 5) AS mase, round(a.da, 5) AS da, a.evaluation_count, round(0.5 * (a.smape / b.smape + a.mase / b.mase), 5) AS owa FROM fa a CROSS JOIN (SELECT * FROM fa WHERE model = 'naive2') b")
+def aggregate_all(spark, d):
+    part = F.when(F.col("input_key").cast("int") % 2 == 0, "even").otherwise("odd")
+    rows = series_scores(spark, d).groupBy("model", part.alias("frequency")).agg(F.avg("smape").alias("smape"), F.avg("mase").alias("mase"), (F.avg("smape") / 200).alias("da"), F.count(F.lit(1)).alias("evaluation_count"))
+    out = reports.aggregate_all(rows, "naive2", 2)
+    return out.select("model", r("smape").alias("smape"), r("mase", 5).alias("mase"), r("da", 5).alias("da"), "evaluation_count", r("owa", 5).alias("owa"))
+
+
+@query("SELECT h, round(max(accuracy) FILTER (WHERE model = 'naive2'), 6) AS naive2, round(max(accuracy) FILTER (WHERE model = 'rw_drift'), 6) AS rw_drift, round(max(accuracy) FILTER (WHERE model = 'ses'), 6) AS ses FROM dbh GROUP BY 1")
+def accuracy_matrix(spark, d):
+    models = ["naive2", "rw_drift", "ses"]
+    return reports.accuracy_matrix(by_horizon(spark, d), models, ["h"]).select("h", *[r(m, 6).alias(m) for m in models])
+
+
+@query(", rk AS (SELECT model, h, rank() OVER (PARTITION BY h ORDER BY accuracy DESC) + (count(*) OVER (PARTITION BY h, accuracy) - 1) / 2.0::DOUBLE AS rank FROM dbh) SELECT model, round(avg(rank), 6) AS mean_rank, count(*) AS blocks FROM rk GROUP BY 1")
+def mean_ranks(spark, d):
+    return reports.mean_ranks(by_horizon(spark, d), ["naive2", "rw_drift", "ses"], ["h"]).withColumn("mean_rank", r("mean_rank", 6))
+
+
+@query("SELECT DISTINCT h, 'forest' AS model FROM dbh UNION ALL SELECT h, 'ses' FROM dbh WHERE model = 'ses' AND h > 10")
+def incomplete_models(spark, d):
+    rows = by_horizon(spark, d).where("not (model = 'ses' and h > 10)")
+    return reports.incomplete_models(rows, ["naive2", "ses", "forest"], ["h"])
+
+
+# ---- restart ----
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01')")
+def pending_keys(spark, d):
+    done = table(spark, d, "lineitem").where("l_shipdate < timestamp_ntz'1998-01-01'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return store.pending_keys(table(spark, d, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def missing_keys(spark, d):
+    return store.missing_keys(table(spark, d, "customer"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+@query("SELECT c_custkey, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def identity_match(spark, d):
+    other = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return store.identity_match(table(spark, d, "customer"), other, "c_custkey")
+
+
+@query("SELECT o_orderpriority AS stage, count(*) AS planned, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1")
+def stage_counts(spark, d):
+    plan = table(spark, d, "orders").select(F.col("o_orderpriority").alias("stage"), F.col("o_orderkey").alias("input_key"), "o_orderstatus")
+    return store.stage_counts(plan.drop("o_orderstatus"), plan.where("o_orderstatus = 'F'"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def merge_results(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    return store.merge_results(rows.where("l_linenumber <= 3"), rows.where("l_linenumber > 3"), keys=["l_orderkey", "l_linenumber"])[1]
