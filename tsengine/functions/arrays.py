@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, fn) -> Column:
+    """fn of a value that is computed once a row, also where fn uses it inside a lambda function."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -19,13 +24,12 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def centred(x: Column) -> Column:
-    """x minus its mean; the mean is computed once an array, as an element of a one-row array."""
-    return F.flatten(F.transform(F.array(mean(x)), lambda m: F.transform(x, lambda v: v - m)))
+    """x minus its mean."""
+    return let(mean(x), lambda m: F.transform(x, lambda v: v - m))
 
 
 def variance(x: Column) -> Column:
-    c = centred(x)
-    return F.when(F.size(x) > 1, dot(c, c) / (F.size(x) - 1))
+    return let(centred(x), lambda c: F.when(F.size(c) > 1, dot(c, c) / (F.size(c) - 1)))
 
 
 def lagged(x: Column, k: int) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import acf, centred, diff, dot, lagged, mean, total, variance
+from ..functions.arrays import acf, centred, diff, dot, lagged, let, mean, total, variance
 
 #: The fixed order of feat_vector.
 ORDER = (
@@ -20,7 +20,7 @@ ORDER = (
 def z_scored(windows: DataFrame, array_col: str = "window", name: str = "z") -> DataFrame:
     """(v - mean) / sample deviation; zeros for a constant window."""
     rows = windows.withColumns({"z_mean": mean(F.col(array_col)), "z_sd": F.sqrt(variance(F.col(array_col)))})
-    return rows.withColumn(name, F.transform(array_col, lambda v: F.when(F.col("z_sd") > 0, (v - F.col("z_mean")) / F.col("z_sd")).otherwise(F.lit(0.0)))).drop("z_mean", "z_sd")
+    return rows.withColumn(name, let(F.struct(F.col("z_mean").alias("m"), F.col("z_sd").alias("s")), lambda q: F.transform(array_col, lambda v: F.when(q["s"] > 0, (v - q["m"]) / q["s"]).otherwise(F.lit(0.0))))).drop("z_mean", "z_sd")
 
 
 def feat_shape(rows: DataFrame, period: int = 1) -> DataFrame:
@@ -32,10 +32,10 @@ def feat_acf(rows: DataFrame, period: int = 1) -> DataFrame:
     rows = rows.withColumns({"c0": centred(F.col("z")), "c1": centred(diff(F.col("z"))), "c2": centred(diff(diff(F.col("z"))))})
     out = {}
     for name, c in (("x", "c0"), ("diff1", "c1"), ("diff2", "c2")):
-        out[f"{name}_acf1"] = acf(F.col(c), 1)
-        power = dot(F.col(c), F.col(c))
-        squares = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k, c=c: F.pow(dot(F.slice(c, F.lit(1), F.greatest(F.size(c) - k, F.lit(0))), F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0)))), 2))
-        out[f"{name}_acf10"] = F.when(power > 0, total(squares) / (power * power))
+        out[f"{name}_acf1"] = let(F.col(c), lambda x: acf(x, 1))
+        square = lambda x, k: F.pow(dot(F.slice(x, F.lit(1), F.greatest(F.size(x) - k, F.lit(0))), F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))), 2)
+        ten = lambda x: let(dot(x, x), lambda p: F.when(p > 0, total(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: square(x, k))) / (p * p)))
+        out[f"{name}_acf10"] = let(F.col(c), ten)
     out["seas_acf1"] = acf(F.col("c0"), period) if period > 1 else F.lit(None).cast("double")
     return rows.withColumns(out).drop("c0", "c1", "c2")
 
@@ -75,13 +75,14 @@ def feat_crossing(rows: DataFrame) -> DataFrame:
     n = F.size("z")
     rows = rows.withColumn("m_", (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2)
     a, b = lagged(F.col("z"), 1)
-    return rows.withColumn("crossing_points", total(F.zip_with(a, b, lambda p, q: ((p > F.col("m_")) != (q > F.col("m_"))).cast("double")))).drop("m_")
+    return rows.withColumn("crossing_points", let(F.col("m_"), lambda m: total(F.zip_with(a, b, lambda p, q: ((p > m) != (q > m)).cast("double"))))).drop("m_")
 
 
 def feat_flat_spots(rows: DataFrame) -> DataFrame:
     """The longest run within one of ten equal ranges."""
     lo, hi = F.array_min("z"), F.array_max("z")
-    rows = rows.withColumn("b_", F.transform("z", lambda v: F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * 10), F.lit(9))).otherwise(F.lit(0)).cast("int")))
+    bins = let(F.struct(lo.alias("lo"), hi.alias("hi")), lambda e: F.transform("z", lambda v: F.when(e["hi"] > e["lo"], F.least(F.floor((v - e["lo"]) / (e["hi"] - e["lo"]) * 10), F.lit(9))).otherwise(F.lit(0)).cast("int")))
+    rows = rows.withColumn("b_", bins)
     start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(a, b):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import acf, centred, diff, dot, mean, total
+from ..functions.arrays import acf, centred, diff, dot, let, mean, total
 
 ALPHAS = tuple(round(0.1 * k, 1) for k in range(1, 10))
 BETAS = (0.05, 0.1, 0.2, 0.4)
@@ -23,8 +23,8 @@ PHIS = (0.8, 0.9, 0.98)
 
 
 def _steps(windows: DataFrame, model: str, horizon: int, value: Callable[[Column], Column], keep: list[str] | None = None, key: str = "input_key") -> DataFrame:
-    rows = windows.select(key, *(keep or []), F.explode(F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.struct(h.alias("h"), value(h).alias("mean")))).alias("s"))
-    return rows.select(key, F.lit(model).alias("model"), *(keep or []), "s.h", "s.mean")
+    rows = windows.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))  # fits are computed below, once a window
+    return rows.select(key, F.lit(model).alias("model"), *(keep or []), "h", value(F.col("h")).alias("mean"))
 
 
 def residual_sd(x: Column, k: int = 1) -> Column:
@@ -52,8 +52,8 @@ def fc_rw_drift(windows: DataFrame, horizon: int, array_col: str = "window") ->
     """last + h (last - first) / (n - 1); se = sigma sqrt(h (1 + h / (n - 1)))."""
     x = F.col(array_col)
     rows = windows.withColumns({"n_": F.size(x), "x_": F.element_at(x, -1), "slope_": (F.element_at(x, -1) - F.element_at(x, 1)) / (F.size(x) - 1)})
-    d = F.transform(diff(x), lambda v: v - F.col("slope_"))
-    rows = rows.withColumn("sd_", F.sqrt(dot(d, d) / (F.col("n_") - 1)))
+    d = let(F.col("slope_"), lambda b: F.transform(diff(x), lambda v: v - b))
+    rows = rows.withColumn("sd_", let(d, lambda e: F.sqrt(dot(e, e) / (F.col("n_") - 1))))
     out = _steps(rows, "rw_drift", horizon, lambda h: F.col("x_") + h * F.col("slope_"), ["sd_", "n_"])
     return out.withColumn("se", F.col("sd_") * F.sqrt(F.col("h") * (1 + F.col("h") / (F.col("n_") - 1)))).drop("sd_", "n_")
 
@@ -62,11 +62,12 @@ def seasonality_test(windows: DataFrame, period: int, array_col: str = "window")
     """n >= 3 m and |acf_m| > 1.645 / sqrt(n) sqrt(1 + 2 sum of the squared acf below m); what can't be told is false."""
     if period <= 1:
         return windows.withColumn("seasonal", F.lit(False))
-    rows = windows.withColumn("c_", centred(F.col(array_col)))
-    c = F.col("c_")
-    below = [F.pow(acf(c, k), 2) for k in range(1, period)]
-    limit = 1.645 / F.sqrt(F.size(c)) * F.sqrt(1 + 2 * sum(below, F.lit(0.0)))
-    return rows.withColumn("seasonal", F.coalesce((F.size(c) >= 3 * period) & (F.abs(acf(c, period)) > limit), F.lit(False))).drop("c_")
+    def test(c):
+        below = [F.pow(acf(c, k), 2) for k in range(1, period)]
+        limit = 1.645 / F.sqrt(F.size(c)) * F.sqrt(1 + 2 * sum(below, F.lit(0.0)))
+        return F.coalesce((F.size(c) >= 3 * period) & (F.abs(acf(c, period)) > limit), F.lit(False))
+
+    return windows.withColumn("seasonal", let(centred(F.col(array_col)), test))
 
 
 def seasonal_adjust(windows: DataFrame, period: int, array_col: str = "window") -> DataFrame:
@@ -80,12 +81,14 @@ def seasonal_adjust(windows: DataFrame, period: int, array_col: str = "window")
     ends = lambda i: (F.element_at(x, i - half + 1) + F.element_at(x, i + half + 1)) / 2 if period % 2 == 0 else F.lit(0.0)
     inside = F.sequence(F.lit(half), F.greatest(n - half - 1, F.lit(half)))
     ratios = F.transform(inside, lambda i: F.struct((i % period).alias("s"), (F.element_at(x, i + 1) / ((total(span(i)) - ends(i)) / period)).alias("r")))
-    rows = rows.withColumn("r_", F.when(n > 2 * half, ratios))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda s: mean(F.transform(F.filter("r_", lambda r: r["s"] == s), lambda r: r["r"])))
-    rows = rows.withColumn("raw_", raw).withColumn("mean_", mean(F.col("raw_")))
-    good = F.col("seasonal") & F.forall("raw_", lambda v: v.isNotNull() & (v > 0))
-    rows = rows.withColumn("seasonal", F.coalesce(good, F.lit(False))).withColumn("factors", F.when(F.col("seasonal"), F.transform("raw_", lambda v: v / F.col("mean_"))).otherwise(F.array_repeat(F.lit(1.0), period)))
-    return rows.withColumn("adjusted", F.transform(x, lambda v, i: v / F.element_at("factors", (i % period) + 1))).drop("r_", "raw_", "mean_")
+    raw = let(ratios, lambda q: F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda s: mean(F.transform(F.filter(q, lambda r: r["s"] == s), lambda r: r["r"]))))
+    good = lambda q: F.coalesce(F.col("seasonal") & (n > 2 * half) & F.forall(q, lambda v: v.isNotNull() & (v > 0)), F.lit(False))
+    normed = lambda q: let(mean(q), lambda m: F.transform(q, lambda v: v / m))
+    plain = F.array_repeat(F.lit(1.0), period)
+    # the factors are null where the series is not adjusted; the explode keeps them from being computed again for each value
+    rows = rows.withColumn("k_", F.explode(F.array(F.when(F.col("seasonal"), let(raw, lambda q: F.when(good(q), normed(q)))))))
+    rows = rows.withColumns({"seasonal": F.col("k_").isNotNull(), "factors": F.coalesce("k_", plain)}).drop("k_")
+    return rows.withColumn("adjusted", let(F.col("factors"), lambda f: F.transform(x, lambda v, i: v / F.element_at(f, (i % period) + 1))))
 
 
 def _restored(h: Column, n: Column, period: int) -> Column:
@@ -142,7 +145,7 @@ def damped_fit(x: Column, alphas=ALPHAS[::4], betas=BETAS[:2], phis=PHIS[:2]) ->
 
 
 def _smoothed(windows: DataFrame, model: str, horizon: int, fit: Callable[[Column], Column], value: Callable[[Column], Column], period: int, array_col: str) -> DataFrame:
-    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": fit(F.col("adjusted"))})
+    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": let(F.col("adjusted"), fit)})
     return _steps(rows, model, horizon, lambda h: value(h) * _restored(h, F.col("n_"), period))
 
 
@@ -169,7 +172,7 @@ def slope_of(x: Column) -> Column:
 
 def fc_theta(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
     """SES plus half of the least-squares slope a step."""
-    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": ses_fit(F.col("adjusted")), "s_": slope_of(F.col("adjusted"))})
+    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": let(F.col("adjusted"), ses_fit), "s_": let(F.col("adjusted"), slope_of)})
     return _steps(rows, "theta", horizon, lambda h: (F.col("f_.level") + 0.5 * F.col("s_") * h) * _restored(h, F.col("n_"), period))
 
 

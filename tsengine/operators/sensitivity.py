@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .evaluate import smape_term
 
 UP, DOWN = (1.0, 0.005, 25), (1.0, -0.005, 21)
@@ -82,8 +83,13 @@ def oracle_multiplier(forecasts: DataFrame, actuals: DataFrame, count: int = 100
         total = F.aggregate(terms, F.lit(0.0), lambda a, s: a + 200 * s["e"] / s["d"])
         return F.struct(F.when(F.size(terms) > 0, total / F.size(terms)).alias("o"), lam.alias("lam"))
 
-    tried = paths.withColumn("all_", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), objective))
-    least = tried.withColumn("best_", F.array_min(F.filter("all_", lambda s: s["o"].isNotNull())))
-    ties = F.size(F.filter("all_", lambda s: s["o"] <= F.col("best_.o") + 2.0**-26))
-    return least.select("input_key", "model", F.col("best_.lam").alias("multiplier"), F.col("best_.o").alias("smape"), ties.alias("ties"), F.when(F.col("best_").isNull() | F.exists("all_", lambda s: s["o"].isNull()), "not finite").alias("violation"))
+    def judged(tried):
+        def with_best(best):
+            ties = F.size(F.filter(tried, lambda s: s["o"] <= best["o"] + 2.0**-26))
+            return F.struct(best["lam"].alias("multiplier"), best["o"].alias("smape"), ties.alias("ties"), F.when(best.isNull() | F.exists(tried, lambda s: s["o"].isNull()), "not finite").alias("violation"))
+
+        return let(F.array_min(F.filter(tried, lambda s: s["o"].isNotNull())), with_best)
+
+    out = paths.withColumn("r_", F.explode(F.array(let(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), objective), judged))))
+    return out.select("input_key", "model", "r_.*")
 

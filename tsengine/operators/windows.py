@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 
 def shuffled(seed: int, *keys: Column | str) -> Column:
     """A fixed pseudo-random order that other engines can repeat."""
@@ -64,13 +66,14 @@ def fit_standardise(windows: DataFrame, array_col: str = "window") -> DataFrame:
     n = F.size(x)
     constant = (F.array_min(x) == F.array_max(x)) | (n == 1)
     out = windows.withColumns({"count": n, "constant": constant}).withColumn("centre", F.when(F.col("constant"), F.element_at(x, 1)).otherwise(_sum(x) / n))
-    deviation = F.sqrt(_sum(F.transform(x, lambda v: (v - F.col("centre")) * (v - F.col("centre")))) / (n - 1))
+    deviation = let(F.col("centre"), lambda c: F.sqrt(_sum(F.transform(x, lambda v: (v - c) * (v - c))) / (n - 1)))
     return out.withColumn("scale", F.when(F.col("constant"), F.lit(1.0)).otherwise(deviation))
 
 
 def apply_standardise(windows: DataFrame, array_col: str = "window", name: str = "standard") -> DataFrame:
     """(v - centre) / scale; without a state the values stay."""
-    return windows.withColumn(name, F.transform(array_col, lambda v: (v - F.coalesce("centre", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0))))
+    state = F.struct(F.coalesce("centre", F.lit(0.0)).alias("c"), F.coalesce("scale", F.lit(1.0)).alias("s"))
+    return windows.withColumn(name, let(state, lambda z: F.transform(array_col, lambda v: (v - z["c"]) / z["s"])))
 
 
 def invert_standardise(forecasts: DataFrame, state: DataFrame, columns: list[str], key: str = "input_key") -> DataFrame:
@@ -93,12 +96,13 @@ def transform_steps(windows: DataFrame, recipe: list[str], direction: str = "for
         raise ValueError(f"unknown steps: {sorted(unknown)}")
     chosen = [STEPS[r][0] for r in recipe] if direction == "forward" else [STEPS[r][1] for r in reversed(recipe)]
 
-    def run(v):
+    def run(v, z):
         for step in chosen:
-            v = step(v, F.coalesce("centre", F.lit(0.0)), F.coalesce("scale", F.lit(1.0)))
+            v = step(v, z["c"], z["s"])
         return v
 
-    return windows.withColumn(name, F.transform(array_col, run))
+    state = F.struct(F.coalesce("centre", F.lit(0.0)).alias("c"), F.coalesce("scale", F.lit(1.0)).alias("s"))
+    return windows.withColumn(name, let(state, lambda z: F.transform(array_col, lambda v: run(v, z))))
 
 
 def window_dataset(windows: DataFrame, membership: DataFrame, key: str = "series_id") -> DataFrame:

@@ -225,9 +225,9 @@ def resolve_period(spark, d):
     return clean.resolve_period(rows, dim).select("c_custkey", "period", "period_source")
 
 
-@query("SELECT series_id, t, round(y_clean, 4) AS y_clean FROM cleaned")
+@query("SELECT series_id, t, round(y_clean, 7) AS y_clean FROM cleaned")
 def clean_standard(spark, d):
-    return cleaned(spark, d).select("series_id", "t", r("y_clean").alias("y_clean"))
+    return cleaned(spark, d).select("series_id", "t", r("y_clean", 7).alias("y_clean"))
 
 
 ROBUST = f""", rr AS (SELECT series_id, t, y, y - quantile_cont(y, 0.5) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS resid FROM daily WHERE t < {DAYS - H}),
@@ -238,9 +238,9 @@ rn AS (SELECT series_id, t, y, yi, last_value(yi IGNORE NULLS) OVER b AS y0, las
 """
 
 
-@query(ROBUST + "SELECT series_id, t, round(CASE WHEN yi IS NOT NULL THEN yi ELSE coalesce(y0 + (y1 - y0) * ((t - t0)::DOUBLE / (t1 - t0)::DOUBLE), y0, y1) END, 4) AS y_clean FROM rn")
+@query(ROBUST + "SELECT series_id, t, round(CASE WHEN yi IS NOT NULL THEN yi ELSE coalesce(y0 + (y1 - y0) * ((t - t0)::DOUBLE / (t1 - t0)::DOUBLE), y0, y1) END, 7) AS y_clean FROM rn")
 def clean_robust(spark, d):
-    return clean.clean_robust(daily(spark, d).where(F.col("t") < DAYS - H)).select("series_id", "t", r("y_clean").alias("y_clean"))
+    return clean.clean_robust(daily(spark, d).where(F.col("t") < DAYS - H)).select("series_id", "t", r("y_clean", 7).alias("y_clean"))
 
 
 @query("SELECT series_id, count(*) FILTER (WHERE y IS NULL) AS missing_before, count(*) FILTER (WHERE y_clean IS NULL) AS missing_after, count(*) FILTER (WHERE y <> y_clean) AS values_changed FROM cleaned GROUP BY 1")
@@ -274,15 +274,15 @@ def membership_roles(spark, d):
     return windows.membership_roles(rows, membership(spark, d).where("series_id <> 3"))
 
 
-@query(f"SELECT input_key, len(w)::INT AS n_in, len(a)::INT AS n_out, round(w[1], 4) AS first, round(w[{L}], 4) AS last, round(a[{H}], 4) AS final FROM rw")
+@query(f"SELECT input_key, len(w)::INT AS n_in, len(a)::INT AS n_out, round(w[1], 7) AS first, round(w[{L}], 7) AS last, round(a[{H}], 7) AS final FROM rw")
 def rolling_blocks(spark, d):
-    e = lambda c, k: r(F.element_at(c, k))
+    e = lambda c, k: r(F.element_at(c, k), 7)
     return rolling(spark, d).select("input_key", F.size("window").alias("n_in"), F.size("actual").alias("n_out"), e("window", 1).alias("first"), e("window", -1).alias("last"), e("actual", -1).alias("final"))
 
 
-@query("SELECT input_key, i::INT AS i, round(v, 4) AS v FROM off")
+@query("SELECT input_key, i::INT AS i, round(v, 7) AS v FROM off")
 def official_window(spark, d):
-    return official(spark, d).select("input_key", F.posexplode("window").alias("i", "v")).select("input_key", "i", r("v").alias("v"))
+    return official(spark, d).select("input_key", F.posexplode("window").alias("i", "v")).select("input_key", "i", r("v", 7).alias("v"))
 
 
 LABELS = f", lb AS (SELECT input_key, series_id, input_start, w, h, (a[h] > w[{L}])::INT AS label FROM rw CROSS JOIN hs)"
@@ -308,11 +308,11 @@ def apply_standardise(spark, d):
     return rows.select("input_key", F.posexplode("standard").alias("i", "z")).select("input_key", "i", r("z", 6).alias("z"))
 
 
-@query("SELECT input_key, i::INT AS i, round(v, 3) AS v FROM off")
+@query("SELECT input_key, i::INT AS i, round(v, 6) AS v FROM off")
 def invert_standardise(spark, d):
     state = windows.apply_standardise(windows.fit_standardise(official(spark, d)))
     rows = state.select("input_key", F.posexplode("standard").alias("i", "v"))
-    return windows.invert_standardise(rows, state, ["v"]).select("input_key", "i", r("v", 3).alias("v"))
+    return windows.invert_standardise(rows, state, ["v"]).select("input_key", "i", r("v", 6).alias("v"))
 
 
 @query(STD + " SELECT input_key, i::INT AS i, round(ln(1 + v), 6) AS v FROM off")
@@ -328,10 +328,10 @@ def dataset(spark, d):
     return windows.window_dataset(rolling(spark, d), membership(spark, d)).withColumn("label", F.element_at("labels", -1))
 
 
-@query(DATASET + " SELECT input_key, round(centre, 4) AS centre, round(reference, 4) AS reference, ups, label, partition, 'prepared_origin' AS basis FROM dd")
+@query(DATASET + " SELECT input_key, round(centre, 4) AS centre, round(reference, 7) AS reference, ups, label, partition, 'prepared_origin' AS basis FROM dd")
 def window_dataset(spark, d):
     ups = F.aggregate("labels", F.lit(0), lambda a, v: a + v)
-    return dataset(spark, d).select("input_key", r("centre").alias("centre"), r("reference").alias("reference"), ups.alias("ups"), "label", "partition", "basis")
+    return dataset(spark, d).select("input_key", r("centre").alias("centre"), r("reference", 7).alias("reference"), ups.alias("ups"), "label", "partition", "basis")
 
 
 COHORT = DATASET + """, cn AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM dd GROUP BY 1), cq AS (SELECT label, n, CASE WHEN total <= 200 THEN n ELSE greatest(floor(n / total::DOUBLE * 200), 1) END AS quota, total FROM cn),
