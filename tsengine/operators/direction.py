@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 2048
 
@@ -55,28 +56,29 @@ def pair_distances(a: list, b: list, proportion: float) -> np.ndarray:
 
 
 def dtw_distance(pairs: DataFrame, proportion: float = 0.10, a_col: str = "a", b_col: str = "b") -> DataFrame:
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(pair_distances(list(a), list(b), proportion))
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(distance=pair_distances(list(pdf[a_col]), list(pdf[b_col]), proportion))
 
-    return pairs.withColumn("distance", run(a_col, b_col))
+    return pairs.mapInPandas(run, T.StructType([*pairs.schema.fields, T.StructField("distance", T.DoubleType())]))
 
 
 def _nearest(queries: DataFrame, refs: DataFrame, distances, block: int) -> DataFrame:
     """(input_key, ref_key, ref_order, distance): blocks of references go to all queries; ties go to the first in ref_order."""
-    @F.pandas_udf("array<struct<distance:double,ref_order:int,ref_key:string>>")
-    def best(q: pd.Series, r: pd.Series) -> pd.Series:
-        out = []
-        for x, rows in zip(q, r, strict=True):
-            d = distances(np.asarray(x, float), [np.asarray(e["v"], float) for e in rows])
-            k = min(range(len(rows)), key=lambda i: (d[i], rows[i]["ref_order"]), default=None)
-            out.append([] if k is None or not np.isfinite(d[k]) else [{"distance": float(d[k]), "ref_order": int(rows[k]["ref_order"]), "ref_key": rows[k]["ref_key"]}])
-        return pd.Series(out)
+    def best(batches):
+        for pdf in batches:
+            out = []
+            for key, q, rows in zip(pdf["input_key"], pdf["q"], pdf["rows"], strict=True):
+                d = distances(np.asarray(q, float), [np.asarray(e["v"], float) for e in rows])
+                k = min(range(len(rows)), key=lambda i: (d[i], rows[i]["ref_order"]), default=None)
+                near = k is not None and np.isfinite(d[k])
+                out.append((key, *((float(d[k]), int(rows[k]["ref_order"]), rows[k]["ref_key"]) if near else (None, None, None))))
+            yield pd.DataFrame(out, columns=["input_key", "distance", "ref_order", "ref_key"]).astype({"distance": "Float64", "ref_order": "Int32"})
 
     blocks = refs.groupBy(F.floor(F.col("ref_order") / block).alias("block")).agg(F.collect_list(F.struct("ref_key", "ref_order", "v")).alias("rows"))
     met = queries.select("input_key", F.col("v").alias("q")).crossJoin(blocks)  # the stated queries against blocks of all references
-    found = met.select("input_key", F.explode_outer(best("q", "rows")).alias("b"))
-    least = found.groupBy("input_key").agg(F.min(F.when(F.col("b").isNotNull(), F.struct("b.distance", "b.ref_order", "b.ref_key"))).alias("b"))
+    found = met.mapInPandas(best, "input_key string, distance double, ref_order int, ref_key string")
+    least = found.groupBy("input_key").agg(F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "ref_order", "ref_key"))).alias("b"))
     return least.select("input_key", F.col("b.ref_key").alias("ref_key"), F.col("b.ref_order").alias("ref_order"), F.col("b.distance").alias("distance"))
 
 

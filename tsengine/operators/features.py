@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import acf, centred, diff, dot, lagged, let, mean, total, variance
 
@@ -17,6 +18,16 @@ ORDER = (
 )
 
 
+def _with_python(rows: DataFrame, names: list[str], fn) -> DataFrame:
+    """Columns of doubles that a function of the z-scored array gives, in Arrow batches."""
+    def run(batches):
+        for pdf in batches:
+            found = pd.DataFrame([fn(np.asarray(v, float)) for v in pdf["z"]], columns=names, dtype=float)
+            yield pd.concat([pdf.reset_index(drop=True), found], axis=1)
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]]))
+
+
 def z_scored(windows: DataFrame, array_col: str = "window", name: str = "z") -> DataFrame:
     """(v - mean) / sample deviation; zeros for a constant window."""
     rows = windows.withColumns({"z_mean": mean(F.col(array_col)), "z_sd": F.sqrt(variance(F.col(array_col)))})
@@ -58,15 +69,10 @@ def _pacf(x: np.ndarray, most: int) -> np.ndarray:
 
 def feat_pacf(rows: DataFrame, period: int = 1) -> DataFrame:
     """Sums of the first five squared partial autocorrelations of values and differences, and the one at the period."""
-    @F.pandas_udf("struct<x_pacf5:double,diff1x_pacf5:double,diff2x_pacf5:double,seas_pacf:double>")
-    def run(z: pd.Series) -> pd.DataFrame:
-        out = []
-        for v in z:
-            x = np.asarray(v, float)
-            out.append([float((_pacf(np.diff(x, k), 5) ** 2).sum()) for k in range(3)] + [float(_pacf(x, period)[-1]) if period > 1 else None])
-        return pd.DataFrame(out, columns=["x_pacf5", "diff1x_pacf5", "diff2x_pacf5", "seas_pacf"])
+    def run(x):
+        return [*(float((_pacf(np.diff(x, k), 5) ** 2).sum()) for k in range(3)), float(_pacf(x, period)[-1]) if period > 1 else 0.0]
 
-    return rows.withColumn("p_", run("z")).select("*", "p_.*").drop("p_")
+    return _with_python(rows, ["x_pacf5", "diff1x_pacf5", "diff2x_pacf5", "seas_pacf"], run)
 
 
 def feat_crossing(rows: DataFrame) -> DataFrame:
@@ -111,20 +117,12 @@ def _lag_r2(x: np.ndarray, lags: int = 12) -> float:
 
 
 def feat_arch(rows: DataFrame) -> DataFrame:
-    @F.pandas_udf("double")
-    def run(z: pd.Series) -> pd.Series:
-        return pd.Series([_lag_r2(np.asarray(v, float)) for v in z])
-
-    return rows.withColumn("arch_lm", run("z"))
+    return _with_python(rows, ["arch_lm"], lambda x: [_lag_r2(x)])
 
 
 def feat_unitroot(rows: DataFrame) -> DataFrame:
     """KPSS level statistic with a Bartlett window of floor(4 (n/100)^0.25) lags; Phillips-Perron Z-alpha."""
-    @F.pandas_udf("struct<unitroot_kpss:double,unitroot_pp:double>")
-    def run(z: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_unitroot(np.asarray(v, float)) for v in z], columns=["unitroot_kpss", "unitroot_pp"])
-
-    return rows.withColumn("u_", run("z")).select("*", "u_.*").drop("u_")
+    return _with_python(rows, ["unitroot_kpss", "unitroot_pp"], _unitroot)
 
 
 def _long_run(e: np.ndarray, lags: int) -> float:
@@ -153,11 +151,7 @@ def feat_decomp(rows: DataFrame, period: int = 1) -> DataFrame:
     """Trend, remainder and seasonal features of a centred moving-average decomposition."""
     names = ["trend_ma", "linearity_ma", "curvature_ma", "e_acf1_ma", "e_acf10_ma", "seasonal_strength_ma", "peak_ma", "trough_ma", "spike_ma"]
 
-    @F.pandas_udf("struct<" + ",".join(f"{n}:double" for n in names) + ">")
-    def run(z: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_decomposed(np.asarray(v, float), period) for v in z], columns=names)
-
-    return rows.withColumn("d_", run("z")).select("*", "d_.*").drop("d_")
+    return _with_python(rows, names, lambda x: _decomposed(x, period))
 
 
 def _decomposed(x: np.ndarray, period: int) -> list[float]:

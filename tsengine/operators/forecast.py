@@ -145,7 +145,7 @@ def damped_fit(x: Column, alphas=ALPHAS[::4], betas=BETAS[:2], phis=PHIS[:2]) ->
 
 
 def _smoothed(windows: DataFrame, model: str, horizon: int, fit: Callable[[Column], Column], value: Callable[[Column], Column], period: int, array_col: str) -> DataFrame:
-    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": let(F.col("adjusted"), fit)})
+    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": let(F.col("adjusted"), lambda x: fit(x))})
     return _steps(rows, model, horizon, lambda h: value(h) * _restored(h, F.col("n_"), period))
 
 
@@ -172,7 +172,7 @@ def slope_of(x: Column) -> Column:
 
 def fc_theta(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
     """SES plus half of the least-squares slope a step."""
-    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": let(F.col("adjusted"), ses_fit), "s_": let(F.col("adjusted"), slope_of)})
+    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": let(F.col("adjusted"), lambda x: ses_fit(x)), "s_": let(F.col("adjusted"), lambda x: slope_of(x))})
     return _steps(rows, "theta", horizon, lambda h: (F.col("f_.level") + 0.5 * F.col("s_") * h) * _restored(h, F.col("n_"), period))
 
 
