@@ -612,9 +612,9 @@ def combine_comb(spark, d):
     return evaluate.combine_comb(pool(spark, d, ("ses", "holt", "damped"))).withColumn("mean", r("mean", 2))
 
 
-@query("SELECT input_key, 'weighted' AS model, h, round(sum(mean * CASE model WHEN 'naive2' THEN 0.25 ELSE 0.75 END), 3) AS mean FROM fc WHERE model IN ('naive2', 'rw_drift') GROUP BY ALL")
+@query("SELECT input_key, 'weighted' AS model, h, round(sum(mean * CASE model WHEN 'naive2' THEN 0.25 ELSE 0.75 END), 6) AS mean FROM fc WHERE model IN ('naive2', 'rw_drift') GROUP BY ALL")
 def combine_weighted(spark, d):
-    return evaluate.combine_weighted(pool(spark, d, ("naive2", "rw_drift")), {"naive2": 0.25, "rw_drift": 0.75}).withColumn("mean", r("mean", 3))
+    return evaluate.combine_weighted(pool(spark, d, ("naive2", "rw_drift")), {"naive2": 0.25, "rw_drift": 0.75}).withColumn("mean", r("mean", 6))
 
 
 @query("SELECT f AS freq, CASE f WHEN 'H' THEN 24 WHEN 'M' THEN 12 WHEN 'Q' THEN 4 ELSE 1 END::INT AS lag, count(*) AS n FROM (SELECT ['H','D','W','M','Q','Y'][(c_nationkey % 6) + 1] AS f FROM customer) GROUP BY ALL")
