@@ -176,5 +176,6 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id", w
                     out.loc[out["id"] == NULL_ID, "id"] = pd.NA
                     yield out.assign(ids=raw) if with_ids else out
 
-    shards = index.select("name", "width", "n_docs", "base").repartition(F.col("name"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)  # a fixed number, as the few rows of the index would else be one task
+    shards = index.select("name", "width", "n_docs", "base").repartition(parts, "name")
     return shards.mapInPandas(read, schema).withColumnRenamed("id", id_col)
