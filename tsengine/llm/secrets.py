@@ -16,12 +16,11 @@ base spans only. Other columns are left out.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from statistics import fmean
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import uniform
@@ -102,9 +101,10 @@ def learn_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     part = sample_docs / max(total, 1)
     chosen = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).where("t is not null")
     chosen = chosen.where(uniform(F.lit("formats"), F.coalesce("k", F.lit(""))) < part) if part < 1 else chosen
-    found = chosen.mapInPandas(run, "kind string, s string").distinct().toPandas().sort_values(["kind", "s"])
-    found["order"] = [hashlib.md5(s.encode()).digest() for s in found["s"]]
-    return Formats({k: g.sort_values("order")["s"].head(examples).tolist() for k, g in found.groupby("kind")})
+    found = chosen.mapInPandas(run, "kind string, s string").distinct()
+    by_hash = Window.partitionBy("kind").orderBy(F.md5("s"), "s")  # trimmed to the first rows of a kind before the shuffle
+    found = found.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= examples).toPandas().sort_values(["kind", "place"])
+    return Formats({k: g["s"].tolist() for k, g in found.groupby("kind")})
 
 
 def find_secrets(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
