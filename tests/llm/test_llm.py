@@ -211,3 +211,19 @@ def test_clashing_names(spark, docs):
     odd = docs.withColumns({"size": F.lit("x"), "component": F.lit(1), "score": F.lit(None)})
     assert minhash.near_duplicates(odd).count() == docs.count()
     assert token_counts.count_tokens(odd, tokenizer_path("byte_bpe_50k.json"), tier_one=False).count() == docs.count()
+
+
+def test_sql_agrees(spark):
+    """Every query with SQL gives the rows of its SQL on whole small tables."""
+    import duckdb
+
+    from tsengine.llm import queries
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        got, want = queries.QUERIES[name](spark, folder).toPandas(), con.sql(sql).df()
+        key, columns = got.columns[0], sorted(got.columns)
+        a, b = (x[columns].sort_values(key).reset_index(drop=True) for x in (got, want))
+        pd.testing.assert_frame_equal(a, b, check_exact=True)
