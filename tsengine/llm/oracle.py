@@ -68,6 +68,37 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Operator 6. Strings of 50 bytes as hex digits, taken from blocks of 1,024 bytes with the 49 that follow.
+REPEATS = """
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+  SELECT doc_id, off, substr(h, 2 * off + 1, 2 * (1024 + 49)) AS part FROM (SELECT *, unnest(range(0, len(h) // 2, 1024)) AS off FROM b)
+), grams AS (
+  SELECT doc_id, off + i AS p, substr(part, 2 * i + 1, 100) AS gram FROM (SELECT *, unnest(range(0, least(1024, len(part) // 2 - 49))) AS i FROM blocks)
+), firsts AS (
+  SELECT gram, min(doc_id) AS low FROM grams GROUP BY gram HAVING min(doc_id) < max(doc_id)
+), marks AS (
+  SELECT DISTINCT doc_id, p FROM grams JOIN firsts USING (gram) WHERE doc_id > low
+), steps AS (
+  SELECT *, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM marks
+), numbered AS (
+  SELECT *, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM steps
+), runs AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + 50 AS z FROM numbered GROUP BY doc_id, run
+), cut AS (
+  SELECT doc_id, h, a, coalesce(a, len(h) // 2) AS upto, coalesce(z, len(h) // 2) AS z,
+    coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since,
+    lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS is_last
+  FROM b LEFT JOIN runs USING (doc_id)
+), kept AS (
+  SELECT doc_id, any_value(len(h)) // 2 AS n_bytes, sum(CASE WHEN a IS NULL THEN 0 ELSE z - a END) AS n_removed, count(a) AS n_spans,
+    string_agg(substr(h, 2 * since + 1, 2 * (upto - since)) || CASE WHEN is_last THEN substr(h, 2 * z + 1) ELSE '' END, '' ORDER BY a) AS rest
+  FROM cut GROUP BY doc_id
+)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
 #: Operator 10. All pairs of vectors of one width that have a cosine; what links reach, step by step.
 EMBEDDINGS = """
 WITH RECURSIVE raw AS (
