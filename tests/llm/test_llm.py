@@ -181,6 +181,23 @@ def test_secrets(spark, empty):
     assert secrets.find_secrets(empty.select("doc_id", "text")).count() == 0
 
 
+def test_learned_formats(spark):
+    """A credential without a keyword is found by its format; other runs with digits are not; base spans stay."""
+    draw = random.Random(8)
+    key = lambda: "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    other = lambda: f"{draw.choice(WORDS)}-{draw.choice(WORDS)}-{draw.choice(WORDS)}-{draw.randrange(10, 99)}"
+    rows = [(k, f"api_key={key()} {prose(k, 4)} {other()}") for k in range(120)]
+    bare = {500 + k: key() for k in range(20)}
+    plain = {600 + k: other() for k in range(20)}
+    frame = spark.createDataFrame([*rows, *((k, f"{prose(k, 6)} {v} end") for k, v in {**bare, **plain}.items())], "doc_id long, text string")
+    formats = secrets.learn_formats(frame.where("doc_id < 200"))
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.find_secrets(frame, formats).collect()}
+    assert all([x[0] for x in got[k]] == ["assign"] for k, _ in rows)
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    found = {k for k, v in bare.items() if got[k] == [("format", texts[k].index(v), texts[k].index(v) + 24)]}
+    assert len(found) >= 18 and not any(got[k] for k in plain)
+
+
 def test_quality(spark, empty):
     rows = [(k, prose(k, 50) if k % 3 else " ".join(w + "$$$" for w in prose(k, 50).split())) for k in range(120)]
     frame = spark.createDataFrame([*rows, (500, None)], "doc_id long, text string")
