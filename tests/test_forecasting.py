@@ -133,3 +133,20 @@ def test_user_forecaster(spark):
 
     got = {r["input_key"]: r for r in forecast.apply_forecaster(win(spark, [1, 2, 3], [1]), fn, 2).collect()}
     assert got["k0"]["mean"] == [3, 3] and "short" in got["k1"]["error"]
+
+
+def test_forest_job_is_whole(spark, monkeypatch):
+    from tsengine.plans import registry
+
+    asked = {}
+
+    def fit(vectors, labels, cohort, horizons, **given):
+        asked.update(keys={r[0] for r in cohort.select("input_key").collect()}, horizons=horizons, given=given)
+        return dict.fromkeys(range(1, horizons + 1), 1)
+
+    monkeypatch.setattr(direction, "rf_fit_horizons", fit)
+    out = registry.rf_predict_horizons(spark, "/root/testdata/sf0.001")
+    train = {r[0] for r in registry.dataset(spark, "/root/testdata/sf0.001").where("kind = 'rolling' and partition = 'train'").select("input_key").collect()}
+    assert asked["keys"] == train and len(train) > 200
+    assert asked["horizons"] == registry.H and not asked["given"]  # the operator's own trees and depth
+    assert {r[0] for r in out.select("h").distinct().collect()} == set(range(1, registry.H + 1))

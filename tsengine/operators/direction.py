@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 2048
+AT_ONCE = 6  # fits of horizons side by side
 
 
 def dtw_width(n: Column, m: Column, proportion: float = 0.10) -> Column:
@@ -116,19 +117,23 @@ def training_matrix(vectors: DataFrame, labels: DataFrame, cohort: DataFrame, h:
 
 
 def rf_fit_horizons(vectors: DataFrame, labels: DataFrame, cohort: DataFrame, horizons: int, trees: int = 200, depth: int = 30, seed: int = 42) -> dict:
-    """One independent forest a horizon; a horizon with one class only is that class."""
+    """One independent forest a horizon, fitted side by side; a horizon with one class only is that class."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    models = {}
-    for h in range(1, horizons + 1):
+    def fit(h):
         rows = training_matrix(vectors, labels, cohort, h).select(array_to_vector(F.col("features").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
         ends = rows.agg(F.min("label"), F.max("label")).first()
-        if ends[0] is not None and ends[0] == ends[1]:
-            models[h] = int(ends[0])
-        elif ends[0] is not None:
-            models[h] = RandomForestClassifier(numTrees=trees, maxDepth=depth, impurity="gini", featureSubsetStrategy="sqrt", seed=seed, minInstancesPerNode=1).fit(rows)
-    return models
+        if ends[0] is None or ends[0] == ends[1]:
+            return None if ends[0] is None else int(ends[0])
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, impurity="gini", featureSubsetStrategy="sqrt", seed=seed, minInstancesPerNode=1).fit(rows)
+
+    with ThreadPool(AT_ONCE) as pool:
+        fitted = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(1, horizons + 1), 1)
+    return {h: m for h, m in enumerate(fitted, 1) if m is not None}
 
 
 def rf_predict_horizons(vectors: DataFrame, models: dict, model: str = "forest") -> DataFrame:

@@ -593,8 +593,9 @@ def training_matrix(spark, d):
 
 @query()
 def rf_predict_horizons(spark, d):
-    v = dataset(spark, d)
-    models = direction.rf_fit_horizons(v.select("input_key", F.col("standard").alias("v")), v.select("input_key", "labels"), cohort(spark, d), 2, trees=20, depth=8)
+    v = dataset(spark, d).select("input_key", "kind", "partition", F.col("standard").alias("v"), "labels").persist()  # read by every fit
+    models = direction.rf_fit_horizons(v.select("input_key", "v"), v.select("input_key", "labels"), windows.full_cohort(v), H)
+    v.unpersist()
     return direction.rf_predict_horizons(query_windows(spark, d), models)
 
 
