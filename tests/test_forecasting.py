@@ -150,3 +150,14 @@ def test_forest_job_is_whole(spark, monkeypatch):
     assert asked["keys"] == train and len(train) > 200
     assert asked["horizons"] == registry.H and not asked["given"]  # the operator's own trees and depth
     assert {r[0] for r in out.select("h").distinct().collect()} == set(range(1, registry.H + 1))
+
+
+def test_warping_references_are_whole(spark):
+    from tsengine.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    train = {r[0] for r in registry.dataset(spark, d).where("partition = 'train' and labels[0] is not null").select("input_key").collect()}
+    assert {r[0] for r in registry.refs(spark, d).select("ref_key").collect()} == train and len(train) > 200
+    label = {r[0]: r[1] for r in registry.dataset(spark, d).selectExpr("input_key", "labels[0]").collect()}
+    cut = registry.reference_cohort(spark, d, 100).collect()
+    assert len(cut) == 100 and all(r["label"] == label[r["input_key"]] for r in cut)

@@ -344,6 +344,12 @@ def cohort(spark, d):
     return windows.stratified_cohort(dataset(spark, d).where("label is not null"), 200, 123)
 
 
+def reference_cohort(spark, d, cap=10_000):
+    """The references of time warping: rolling windows of training series, by the first horizon's label."""
+    first = dataset(spark, d).where("kind = 'rolling' and partition = 'train'").withColumn("label", F.element_at("labels", 1))
+    return windows.stratified_cohort(first.where("label is not null"), cap, 123)
+
+
 @query(COHORT + " SELECT input_key, label, ref_order::INT AS ref_order FROM co")
 def stratified_cohort(spark, d):
     return cohort(spark, d)
@@ -560,7 +566,7 @@ def dtw_distance(spark, d):
 
 
 def refs(spark, d):
-    return dataset(spark, d).select("input_key", F.col("standard").alias("v"), "labels").join(cohort(spark, d).select("input_key", "ref_order"), "input_key").withColumnRenamed("input_key", "ref_key")
+    return dataset(spark, d).select("input_key", F.col("standard").alias("v"), "labels").join(reference_cohort(spark, d).select("input_key", "ref_order"), "input_key").withColumnRenamed("input_key", "ref_key")
 
 
 def query_windows(spark, d):
