@@ -244,3 +244,31 @@ def test_sql_agrees(spark):
         key, columns = got.columns[0], sorted(got.columns)
         a, b = (x[columns].sort_values(key).reset_index(drop=True) for x in (got, want))
         pd.testing.assert_frame_equal(a, b, check_exact=True)
+
+
+def test_hot_anchor_is_spread(spark, tmp_path, monkeypatch):
+    """A short passage in many contexts: each context is a stretch of its own, all with one anchor."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(n))
+    passage = "this short line stands in each and every document, as it is"
+    texts = [f"{words(200)} {passage} {words(200)}" for _ in range(150)]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sort, seen = suffix_dedup.suffix_order, str(tmp_path)
+
+    def spy(text, *given, **named):
+        with open(f"{seen}/{random.random()}", "w") as f:
+            f.write(str(len(text)))
+        return sort(text, *given, **named)
+
+    monkeypatch.setattr(suffix_dedup, "suffix_order", spy)
+    got = suffix_dedup.remove_repeats(given, group_bytes=20_000, shard_bytes=3_000).collect()
+    first = {}
+    for k, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], k)
+    for r in got:
+        t = texts[r["doc_id"]]
+        marks = [p for p in range(len(t) - 49) if first[t[p : p + 50]] < r["doc_id"]]
+        assert (r["span_start"], r["span_end"]) == (([marks[0]], [marks[-1] + 50]) if marks else ([], []))
+    sizes = [int(x.read_text()) for x in tmp_path.iterdir()]
+    assert len(got) == 150 and max(sizes) < 2 * 3_000

@@ -9,10 +9,12 @@ found without shuffling a row for every byte:
 * The stretches with shared anchors, each different one once a group with its smallest id, meet in shards by
   anchor; equal strings have equal anchors. A shard sorts the suffixes of its different stretches in two stages, and
   neighbours with ``LENGTH`` common first bytes are equal strings: their smallest id is known.
+* An anchor whose stretches have more than ``SHARD_BYTES`` in all is hot: its stretches are split into their single strings,
+  which meet by a hash of the string instead, so a hot anchor is spread over all shards and equal strings still meet.
 * Shards answer with the smallest ids, run-length coded and only where they matter; groups mark what is covered.
 
-All three visits of a group read the same shuffled documents. What a shard or bucket gets for one string, however common, is
-one stretch a group. Strings are judged on the input and never cross documents.
+All three visits of a group read the same shuffled documents. What a shard gets for one hot anchor is each of its
+different strings once a group; what a bucket gets for one anchor is one entry a group. Strings are judged on the input and never cross documents.
 
 Null texts count as empty. A null id counts as larger than all others. Rows with equal ids never remove from each
 other; repeated rows are handled each. Texts under ``LENGTH`` bytes stay whole. An empty table gives
@@ -109,6 +111,25 @@ def _asked(row: np.ndarray, anchor: np.ndarray, buckets: int):
     return sorted_key[new], several, back
 
 
+def _split(group: tuple, hot: np.ndarray, length: int):
+    """The columns of a group with its hot stretches split into their single strings, and which rows are such strings."""
+    *columns, runs = group
+    row, start, count, anchor, content, run, first = columns
+    pick, rest = np.flatnonzero(hot), np.flatnonzero(~hot)
+    n = count[pick]
+    owner = np.repeat(pick, n)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at, names = first[owner] + step, np.zeros(len(owner), np.uint64)
+    powers = _power(_BASE, length)
+    for r in np.unique(run[owner]).tolist():
+        own = np.flatnonzero(run[owner] == r)
+        for k in range(0, len(own), 1 << 14):
+            part = own[k : k + (1 << 14)]
+            names[part] = mix64((_VALUE[runs[r][at[part][:, None] + np.arange(length)]] * powers).sum(1) + np.uint64(length))  # the content hash of a stretch of one string
+    singles = (row[owner], start[owner] + step, np.ones(len(owner), np.int64), anchor[owner], names, run[owner], at)
+    return (*(np.concatenate([x[rest], y]) for x, y in zip(columns, singles, strict=True)), runs), np.arange(len(rest) + len(owner)) >= len(rest)
+
+
 def _rows(columns: dict) -> pa.Table:
     kinds = {"b": pa.int32(), "part": pa.int32()}
     return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()})
@@ -118,20 +139,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """(id, n_bytes, span_start, span_end, kept): the maximal removed runs in bytes, and the bytes that stay."""
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     groups, buckets, shards = (max(1, -(-total // size)) for size in (group_bytes, bucket_bytes, shard_bytes))
+    usual = 2 * length - PIECE  # bytes of a stretch without repeated pieces, at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     rows = rows.select(F.pmod(F.xxhash64("id", "t"), F.lit(groups)).cast("int").alias("b"), "id", "t")
 
     def ask(table: pa.Table) -> pa.Table:
-        row, _, _, anchor, *_ = _group(table, length)
-        key, several, _ = _asked(row, anchor, buckets)
+        row, _, count, anchor, content, *_ = _group(table, length)
+        key, several, back = _asked(row, anchor, buckets)
+        once = np.unique(content, return_index=True)[1]
+        size = np.bincount(back[once], count[once] + length - 1, len(key)).astype(np.int64)
+        over = np.minimum(np.maximum(size - usual, 0), (1 << 32) - 1)  # nearly always 0
         bucket = (key >> np.uint64(32)).astype(np.int64)
         at = np.searchsorted(bucket, np.unique(bucket)).tolist() + [len(key)]
-        out = {"b": [], "part": [], "keys": [], "several": []}
+        out = {"b": [], "part": [], "keys": [], "several": [], "over": []}
         for x, y in zip(at, at[1:], strict=False):
             out["b"].append(table.column("b")[0].as_py())
             out["part"].append(int(bucket[x]))
             out["keys"].append(key[x:y].astype("<u4").tobytes())
             out["several"].append(np.packbits(several[x:y]).tobytes())
+            out["over"].append(over[x:y].astype("<u4").tobytes())
         return _rows(out)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -144,28 +170,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         shared = several.copy()
         shared[order[1:][same]] = True
         shared[order[:-1][same]] = True
-        masks = np.split(shared, np.cumsum(sizes)[:-1])
-        return _rows({"b": table.column("b").to_pylist(), "part": table.column("part").to_pylist(), "mask": [np.packbits(x).tobytes() for x in masks]})
+        over = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("over").to_pylist()]).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], ~same])) if len(flat) else np.zeros(0, np.int64)
+        hot = np.zeros(len(flat), np.bool_)
+        if len(flat):
+            hot[order] = np.repeat(np.add.reduceat(over[order] + usual, begin) > shard_bytes, np.diff(np.append(begin, len(flat))))
+        masks = [[np.packbits(x).tobytes() for x in np.split(bits, np.cumsum(sizes)[:-1])] for bits in (shared, hot)]
+        return _rows({"b": table.column("b").to_pylist(), "part": table.column("part").to_pylist(), "mask": masks[0], "hot": masks[1]})
 
     def send(table: pa.Table, masks: pa.Table) -> pa.Table:
-        out = {"part": [], "b": [], "names": [], "counts": [], "low": [], "high": [], "bytes": []}
+        out = {"part": [], "b": [], "names": [], "counts": [], "low": [], "high": [], "bytes": [], "hot": []}
         if table.num_rows and masks.num_rows:
-            row, _, count, anchor, content, run, first, runs = _group(table, length)
-            key, _, back = _asked(row, anchor, buckets)
+            group = _group(table, length)
+            key, _, back = _asked(group[0], group[3], buckets)
             bucket = (key >> np.uint64(32)).astype(np.int64)
-            shared = np.zeros(len(key), np.bool_)
-            for part, mask in zip(masks.column("part").to_pylist(), masks.column("mask").to_pylist(), strict=True):
+            shared, hot = np.zeros(len(key), np.bool_), np.zeros(len(key), np.bool_)
+            for part, mask, warm in zip(*(masks.column(k).to_pylist() for k in ("part", "mask", "hot")), strict=True):
                 x, y = np.searchsorted(bucket, [part, part + 1])
                 shared[x:y] = np.unpackbits(np.frombuffer(mask, np.uint8), count=y - x)
+                hot[x:y] = np.unpackbits(np.frombuffer(warm, np.uint8), count=y - x)
+            keep = shared[back]
+            (row, _, count, anchor, content, run, first, runs), single = _split((*(x[keep] for x in group[:-1]), group[-1]), hot[back][keep], length)
             doc = _ids(table)[row]
-            keep = np.flatnonzero(shared[back])
+            meet = mix64(np.where(single, content, anchor), 5)
+            keep = np.arange(len(row))
             if len(keep):
-                shard = _part(mix64(anchor[keep], 5), shards)
+                shard = _part(meet[keep], shards)
                 keep = keep[np.lexsort((content[keep], shard))]
                 new = np.flatnonzero(np.concatenate([[True], content[keep][1:] != content[keep][:-1]]))
                 low, high = np.minimum.reduceat(doc[keep], new), np.maximum.reduceat(doc[keep], new)
                 keep = keep[new]
-                shard = _part(mix64(anchor[keep], 5), shards)
+                shard = _part(meet[keep], shards)
                 at = np.searchsorted(shard, np.unique(shard)).tolist() + [len(keep)]
                 b = table.column("b")[0].as_py()
                 for x, y in zip(at, at[1:], strict=False):
@@ -173,6 +208,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     out["part"].append(int(shard[x]))
                     out["b"].append(b)
                     out["names"].append(content[part].tobytes())
+                    out["hot"].append(np.unique(anchor[part][single[part]] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
                     out["counts"].append(count[part].astype("<u4").tobytes())
                     out["low"].append(low[x:y].astype("<i8").tobytes())
                     out["high"].append(high[x:y].astype("<i8").tobytes())
@@ -210,13 +246,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         length_of, value_of, owner_of = np.diff(np.append(edge, len(values))), values[edge], owner[edge]
         runs_at = np.searchsorted(owner_of, np.arange(len(different) + 1))
         below = np.minimum.reduceat(value_of, runs_at[:-1])
-        out = {"b": [], "names": [], "runs": [], "lengths": [], "values": []}
-        for b, ask, top in zip(table.column("b").to_pylist(), np.split(which, np.cumsum(sizes)[:-1]), high, strict=True):
+        out = {"b": [], "names": [], "runs": [], "lengths": [], "values": [], "hot": []}
+        for b, ask, top, hot in zip(table.column("b").to_pylist(), np.split(which, np.cumsum(sizes)[:-1]), high, table.column("hot").to_pylist(), strict=True):
             ask = ask[below[ask] < top]  # else no document of the group has a string that starts earlier
             if len(ask):
                 n = runs_at[ask + 1] - runs_at[ask]
                 take = np.repeat(runs_at[ask] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 out["b"].append(b)
+                out["hot"].append(hot)
                 out["names"].append(different[ask].tobytes())
                 out["runs"].append(n.astype("<u4").tobytes())
                 out["lengths"].append(length_of[take].astype("<u4").tobytes())
@@ -233,7 +270,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             by = np.argsort(name, kind="stable")
             begins = (np.cumsum(n) - n)[by]
             n, name = n[by], name[by]
-            row, start, _, _, content, *_ = _group(table, length)
+            group = _group(table, length)
+            hot = np.isin((group[3] & np.uint64(0xFFFFFFFF)).astype(np.uint32), whole("hot", "<u4"))
+            (row, start, _, _, content, *_), _ = _split(group, hot, length)
             place = np.minimum(np.searchsorted(name, content), len(name) - 1)
             hit = np.flatnonzero(name[place] == content)
             m = n[place[hit]]
@@ -257,10 +296,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             kept.append(b"".join(t[a:b] for a, b in zip([0, *y], [*x, len(t)], strict=True)) if x else t)
         return pa.table({"id": ids, "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "span_start": pa.array([s[0] for s in spans], pa.list_(pa.int64())), "span_end": pa.array([s[1] for s in spans], pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 
-    asked = rows.groupBy("b").applyInArrow(ask, "b int, part int, keys binary, several binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "b int, part int, mask binary")
-    sent = rows.groupBy("b").cogroup(answered.groupBy("b")).applyInArrow(send, "part int, b int, names binary, counts binary, low binary, high binary, bytes binary")
-    found = sent.groupBy("part").applyInArrow(smallest, "b int, names binary, runs binary, lengths binary, values binary")
+    asked = rows.groupBy("b").applyInArrow(ask, "b int, part int, keys binary, several binary, over binary")
+    answered = asked.groupBy("part").applyInArrow(answer, "b int, part int, mask binary, hot binary")
+    sent = rows.groupBy("b").cogroup(answered.groupBy("b")).applyInArrow(send, "part int, b int, names binary, counts binary, low binary, high binary, bytes binary, hot binary")
+    found = sent.groupBy("part").applyInArrow(smallest, "b int, names binary, runs binary, lengths binary, values binary, hot binary")
     out = rows.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(cut, "id long, n_bytes long, span_start array<long>, span_end array<long>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
