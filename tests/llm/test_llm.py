@@ -272,3 +272,15 @@ def test_hot_anchor_is_spread(spark, tmp_path, monkeypatch):
         assert (r["span_start"], r["span_end"]) == (([marks[0]], [marks[-1] + 50]) if marks else ([], []))
     sizes = [int(x.read_text()) for x in tmp_path.iterdir()]
     assert len(got) == 150 and max(sizes) < 2 * 3_000
+
+
+def test_formats_are_learned_from_all(spark):
+    """Short credentials with dots are candidates; a rare kind in a large table is learned, from whole strings."""
+    assert secrets.candidates("see ab.12-cd.34xy now, Abc123Def456", []) == [(4, 17), (23, 35)]
+    long = "token = " + "a1" * 150
+    rows = [(k, f"nothing {k}") for k in range(30_000)] + [(30_000 + k, f"password: Zq{k}.x7-{k}.Yw9") for k in range(5)] + [(40_000, long)]
+    texts = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"])).repartition(4)
+    got = secrets.learn_formats(texts)
+    assert "assign" in got.kinds
+    coded = [secrets.symbols_of(s) for s in [f"Zq{k}.x7-{k}.Yw9" for k in range(5)] + ["a1" * 150]]
+    assert got.kinds["assign"][2] == pytest.approx(np.mean([secrets.Automaton(coded).score(s) for s in coded]), abs=0.05)

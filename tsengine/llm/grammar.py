@@ -18,13 +18,13 @@ def symbols_of(text: str, fixed: str = "") -> str:
 class Automaton:
     """States with counts of arrivals, ends and steps; merged while their counts can come from one distribution."""
 
-    def __init__(self, strings: list[str], alpha: float = 0.05, depth: int = 64):
+    def __init__(self, strings: list[str], alpha: float = 0.05):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.ends, self.seen = [0], [0]
         for s in strings:
             at = 0
-            for c in s[:depth]:
+            for c in s:
                 self.seen[at] += 1
                 self.count[at][c] = self.count[at].get(c, 0) + 1
                 if c not in self.next[at]:

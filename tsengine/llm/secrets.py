@@ -1,21 +1,24 @@
 """Secret scans (operator 5): fixed patterns, and formats learned by grammar inference.
 
-The fixed patterns give the base spans and, from a bounded sample of documents, labelled
+The fixed patterns give the base spans and, from all documents, labelled
 credentials: the values of assignments, the access keys and the long hex runs. For each kind a
 probabilistic automaton is inferred by merging compatible states of the prefix tree of its examples; one more
-is inferred from other candidates of the sample. A candidate is any run of
-``[A-Za-z0-9+/_=-]`` of ``MIN_CANDIDATE`` characters or more with letters and digits that no base span overlaps. All candidates are
+is inferred from other candidates. A candidate is any run of
+``[A-Za-z0-9+/_.=-]`` of ``MIN_CANDIDATE`` characters or more with letters and digits that no base span overlaps; of a run that one
+overlaps, the parts between dots are judged alike. All candidates are
 scored: one whose best format likelihood a symbol beats the background's by ``MARGIN`` and is no less than ``FLOOR`` below the
 mean of that format's own examples is added as a span of kind ``format``.
 
-Spans are in code points, end exclusive. Every whole text is scanned where it lies, without a shuffle. The sample is
-about ``SAMPLE_DOCS`` documents, chosen by a hash of their ids, and at most ``EXAMPLES`` strings a kind.
+Spans are in code points, end exclusive. Every whole text is scanned where it lies, without a shuffle, once to learn and once to mark. The examples of a kind are
+the ``EXAMPLES`` strings of all documents with the smallest hashes, each whole; a kind with fewer than 5 different strings in the table is
+not learned.
 Null texts count as empty and have no span; repeated rows are scanned each; an empty table, or one without credentials, yields
 base spans only. Other columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from statistics import fmean
 
@@ -23,7 +26,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import uniform
 from .grammar import Automaton, symbols_of
 
 # The base patterns and the least lengths of what they match.
@@ -34,9 +36,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "format")
 
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
-CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{16,}")
-MIN_CANDIDATE, MARGIN, FLOOR = 16, 0.35, 0.6
-SAMPLE_DOCS, EXAMPLES = 20_000, 400
+MIN_CANDIDATE, MARGIN, FLOOR = LEAST["assign"], 0.35, 0.6
+CANDIDATE = re.compile(f"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
+PART = re.compile(f"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}")
+EXAMPLES = 400
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,13 +55,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Runs that may be credentials and touch no base span."""
+    free = lambda m: not any(a < m.end() and m.start() < b for a, _, b in base)
     out = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if s.isalpha() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
-        if not any(a < m.end() and m.start() < b for a, _, b in base):
-            out.append(m.span())
+    for run in CANDIDATE.finditer(text):
+        for m in [run] if free(run) else filter(free, PART.finditer(text, *run.span())):
+            s = m[0]
+            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+                out.append(m.span())
     return out
 
 
@@ -86,30 +89,29 @@ class Formats:
         return best is not None and best[1] >= -FLOOR and best[0] - self.other.score(symbols_of(s)) >= MARGIN
 
 
-def learn_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, examples: int = EXAMPLES) -> Formats:
-    """Infer the automata from a bounded sample of documents that may hold credentials."""
+def learn_formats(docs: DataFrame, text_col: str = "text", examples: int = EXAMPLES) -> Formats:
+    """Infer the automata from a bounded number of strings a kind, out of all documents."""
     def run(batches):
+        least: dict[str, dict[str, str]] = {}  # of each kind the strings with the smallest hashes so far
         for pdf in batches:
-            rows = []
             for t in pdf["t"]:
                 base = base_spans(t)
-                rows += [(KINDS[b[1]], value_of(t, b)[:128]) for b in base]
-                rows += [("other", t[a:b][:128]) for a, b in candidates(t, base)]
-            yield pd.DataFrame(rows, columns=["kind", "s"])
-
-    total = docs.count()
-    part = sample_docs / max(total, 1)
-    chosen = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).where("t is not null")
-    chosen = chosen.where(uniform(F.lit("formats"), F.coalesce("k", F.lit(""))) < part) if part < 1 else chosen
-    found = chosen.mapInPandas(run, "kind string, s string").distinct()
-    by_hash = Window.partitionBy("kind").orderBy(F.md5("s"), "s")  # trimmed to the first rows of a kind before the shuffle
+                for kind, s in [*((KINDS[b[1]], value_of(t, b)) for b in base), *(("other", t[a:b]) for a, b in candidates(t, base))]:
+                    least.setdefault(kind, {})[s] = hashlib.md5(s.encode("utf-8", "replace")).hexdigest()
+                    if len(least[kind]) >= 4 * examples:
+                        least[kind] = dict(sorted(least[kind].items(), key=lambda x: (x[1], x[0]))[:examples])
+        rows = [(kind, s) for kind, found in least.items() for s, _ in sorted(found.items(), key=lambda x: (x[1], x[0]))[:examples]]
+        yield pd.DataFrame(rows, columns=["kind", "s"])
+
+    found = docs.select(F.col(text_col).alias("t")).where("t is not null").mapInPandas(run, "kind string, s string").distinct()
+    by_hash = Window.partitionBy("kind").orderBy(F.md5("s"), "s")  # each task sends the first rows of a kind only
     found = found.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= examples).toPandas().sort_values(["kind", "place"])
     return Formats({k: g["s"].tolist() for k, g in found.groupby("kind")})
 
 
 def find_secrets(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end>>), base spans and those of the learned formats, by start and kind."""
-    sent = docs.sparkSession.sparkContext.broadcast(formats if formats is not None else learn_formats(docs, id_col, text_col))
+    sent = docs.sparkSession.sparkContext.broadcast(formats if formats is not None else learn_formats(docs, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
