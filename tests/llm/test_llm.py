@@ -274,6 +274,16 @@ def test_hot_anchor_is_spread(spark, tmp_path, monkeypatch):
     assert len(got) == 150 and max(sizes) < 2 * 3_000
 
 
+def test_axes_sample_is_not_empty(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "SAMPLE_ROWS", 20)
+    fit, sizes = embed_dedup.rotation, []
+    monkeypatch.setattr(embed_dedup, "rotation", lambda sample, width: sizes.append(len(sample)) or fit(sample, width))
+    v = np.random.default_rng(3).normal(size=(2_000, 4))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    embed_dedup.similar_vectors(rows)
+    assert 5 < sizes[0] < 40
+
+
 def test_formats_are_learned_from_all(spark):
     """Short credentials with dots are candidates; a rare kind in a large table is learned, from whole strings."""
     assert secrets.candidates("see ab.12-cd.34xy now, Abc123Def456", []) == [(4, 17), (23, 35)]

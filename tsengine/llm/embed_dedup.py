@@ -138,7 +138,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = COSINE, id_col: str =
     for (width,) in classes.select("width").distinct().orderBy("width").collect():
         own = classes.where(F.col("width") == width)
         total = own.count()
-        sample = [r["raw"] for r in own.where(uniform(F.lit("axes"), "name") < SAMPLE_ROWS / max(total, 1)).orderBy("name").limit(2 * SAMPLE_ROWS).select("raw").collect()]
+        sample = [r["raw"] for r in own.where(uniform(F.lit("axes"), F.col("name")) < SAMPLE_ROWS / max(total, 1)).orderBy("name").limit(2 * SAMPLE_ROWS).select("raw").collect()]
         out = _tiles(own, spark.sparkContext.broadcast(rotation(sample, width)), width, threshold, block)
         links.append(out)
     if not links:
