@@ -284,6 +284,17 @@ def test_axes_sample_is_not_empty(spark, monkeypatch):
     assert 5 < sizes[0] < 40
 
 
+def test_items_without_an_id(spark):
+    line = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(0, f"before {line} after"), (1, f"{line} and red green blue"), (2, "none of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, line), (None, "seven eight nine ten"), (7, "red green blue")], "item_id long, text string")
+    for block_words in (2_000_000, 5):
+        found = decontaminate.find_contamination(docs, bench, block_words=block_words)
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.contamination_digest(found).collect()}
+        assert got == {0: (11, 1, decontaminate.items_sha256([])), 1: (14, 2, decontaminate.items_sha256(["7"])), 2: (0, 0, decontaminate.items_sha256([]))}
+        assert {r["doc_id"]: r["text"].split() for r in decontaminate.cut_spans(found).collect()}[0] == ["before", "after"]
+
+
 def test_formats_are_learned_from_all(spark):
     """Short credentials with dots are candidates; a rare kind in a large table is learned, from whole strings."""
     assert secrets.candidates("see ab.12-cd.34xy now, Abc123Def456", []) == [(4, 17), (23, 35)]

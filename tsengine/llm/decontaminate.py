@@ -11,7 +11,8 @@ broadcast of that bound and one pass over the documents, so a benchmark of any s
 Word hashes have 64 bits; a match takes as many equal hashes as the phrase has words.
 
 Null texts and empty texts have no words and are never hit; null items and items without words have
-no window. Repeated rows and equal ids are handled each; item ids are a set of strings. With an
+no window. Repeated rows and equal ids are handled each; item ids are a set of strings, in which
+all items without an id are one null, the last: it counts in ``n_items`` and is left out of ``items_sha256``, as in the SQL. With an
 empty benchmark nothing is hit. Columns with whatever names are passed on untouched.
 """
 
@@ -92,7 +93,7 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int
                 for r, codes in enumerate(np.split(code, np.searchsorted(row, np.arange(1, len(starts) - 1)))):
                     yield pa.RecordBatch.from_arrays([ids.slice(at + r, 1), pa.array([len(codes)], pa.int64()), pa.array([codes.astype("<u8").tobytes()])], names=["i", "n", "c"])
 
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null").mapInArrow(run, "i string, n long, c binary").where("n > 0")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, "i string, n long, c binary").where("n > 0")
     items = stored(items, "items")
     blocks = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // block_words))
     for k in range(blocks):
@@ -146,7 +147,7 @@ def _search(batch: pa.RecordBatch, phrases: Phrases, at_text: int) -> pa.RecordB
             edge = np.diff(np.r_[0, mark.astype(np.int8), 0])
             spans[0].append(a[np.flatnonzero(edge == 1)].tolist())
             spans[1].append(b[np.flatnonzero(edge == -1) - 1].tolist())
-            spans[2].append(sorted(found.get(r, set()) | set(old[2][at + r] or [])))
+            spans[2].append(sorted(found.get(r, set()) | set(old[2][at + r] or []), key=lambda x: (x is None, x or "")))
         n_hit.append(hit)
     whole = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
     new = [whole(n_words), whole(n_hit), *(pa.array(x, pa.list_(k)) for x, k in zip(spans, (pa.int64(), pa.int64(), pa.string()), strict=True))]
