@@ -305,3 +305,50 @@ def test_formats_are_learned_from_all(spark):
     assert "assign" in got.kinds
     coded = [secrets.symbols_of(s) for s in [f"Zq{k}.x7-{k}.Yw9" for k in range(5)] + ["a1" * 150]]
     assert got.kinds["assign"][2] == pytest.approx(np.mean([secrets.Automaton(coded).score(s) for s in coded]), abs=0.05)
+
+
+def _role_frame(spark):
+    rows = [(1, t, "assistant" if t == 0 else "user", "x" * (300 if t == 0 else 20)) for t in (-1, 0, 1)]  # negative turns
+    rows += [(2, 5, "user", f"piece {k}?") for k in range(1000)]  # one turn, again and again
+    rows += [(3, k * 3 - 500, "user", "the same") for k in range(700)]  # gaps, repeated texts
+    return rows, spark.createDataFrame([*rows, (None, 1, "user", ""), (None, 1, "user", ""), (7, None, "user", None)], "conv_id long, turn long, role string, text string")
+
+
+def test_chat_turns(spark, monkeypatch):
+    """Any turn numbers; decoding by blocks equals one pass over the whole conversation; no block is too large."""
+    rows, frame = _role_frame(spark)
+    frame = frame.withColumns({"block": F.lit("b"), "t": F.lit(1), "role_2": F.lit(None)})
+    model = chat.fit_roles(frame)
+    got = chat.format_chats(frame, model).toPandas()
+    assert len(got) == len(rows) + 3 and got.conv_id.isna().sum() == 2
+    assert sorted(got[got.conv_id == 1].turn) == [-1, 0, 1]
+    for c in (1, 3):
+        texts = [x for k, _, _, x in sorted(r for r in rows if r[0] == c)]
+        obs = [o for r in spark.createDataFrame([(x,) for x in texts], "text string").select(chat._observed(F.col("text")).alias("o")).collect() for o in r["o"]]
+        whole = [chat.ROLES[k - 1] for k in chat.viterbi(model.steps(np.array(obs)))]
+        assert got[got.conv_id == c].sort_values("turn").role.tolist() == whole
+    assert chat.format_chats(frame.limit(0), model).count() == 0
+    batch = pd.DataFrame([(0, 2, 5, "x", np.array([1])) for _ in range(1000)], columns=["part", "c", "t", "x", "o"])
+    sizes = [len(x) for pdf in chat._blocks([batch], model) for x in pdf["t"]]
+    assert sum(sizes) == 1000 and max(sizes) <= chat.BLOCK
+
+
+def test_viterbi_is_best_of_all_paths():
+    import itertools
+
+    draw = np.random.default_rng(5)
+    model = chat.RoleModel.of({(s, int(o)): int(n) for s in (1, 2, 3) for o, n in zip(draw.integers(0, chat.N_OBS, 60), draw.integers(1, 9, 60), strict=True)}, {(1, 2): 4, (2, 3): 9, (3, 2): 7})
+    for _ in range(5):
+        steps = model.steps(draw.integers(0, chat.N_OBS, 6))
+        score = lambda p, steps=steps: sum(steps[i][a, b] for i, (a, b) in enumerate(zip((0, *p[:-1]), p, strict=True)))
+        best = max(map(score, itertools.product((1, 2, 3), repeat=6)))
+        assert score(chat.viterbi(steps).tolist()) == pytest.approx(best) and chat.product(steps)[0].max() == pytest.approx(best)
+
+
+def test_chat_held_out(spark):
+    """Held-out accuracy on the given table, against turns that always alternate."""
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    got = chat.format_chats(talks, chat.fit_roles(talks)).join(talks.select("conv_id", "turn", F.col("role").alias("want")), ["conv_id", "turn"])
+    got = got.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 == 0)
+    right = got.agg(F.avg((F.col("role") == F.col("want")).cast("int")), F.avg((F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant") == F.col("want")).cast("int"))).first()
+    assert right[0] > 0.95 and right[0] > right[1] + 0.1

@@ -1,18 +1,20 @@
 """Chat formatting (operator 1): roles by a hidden Markov model and Viterbi, then canonical turns.
 
 Input rows are pieces of transcripts: a conversation, the piece's number in it, and text of one or more lines. Each
-line is an observation: the speaker marker it opens with (if any), whether it opens a piece, its length class and whether it
-asks. States are the roles. A line that neither opens a piece nor has a marker nearly always keeps the role
+line is an observation: the speaker marker it opens with (if any), whether it opens a piece, its length class, the piece's number of lines (for the
+line that opens it), whether it asks, and whether it is an item of a list, a heading or code. States are the roles. A line that neither opens a piece nor has a marker nearly always keeps the role
 of the line before it; the others follow the transitions between turns. Emissions and transitions are
 counted from labelled pieces, over all of them but one fold, on top of fixed prior counts, so unlabelled input works too.
 
-Conversations are decoded exactly whatever their length. Pieces fall into blocks of ``BLOCK`` numbers; a block's best score from each state before
-it to each state at its end is a small matrix, matrices of ``BLOCK`` neighbours are combined level by level, and
-the states at the block borders come down the same levels. No task sees more than ``BLOCK`` rows of a conversation.
+Conversations are decoded exactly whatever their length and numbers. Pieces are sorted by conversation and number over range
+partitions; in each, neighbours form blocks of at most ``BLOCK`` pieces and ``BLOCK_CHARS`` characters. A block's best score from each state before
+it to each state at its end is a small matrix. The matrices of a conversation's blocks are combined within a partition, those products
+over partitions, and the states at the borders come down the same two levels. What one group holds is a
+block's pieces, a partition's matrices, or one matrix a partition, also for a conversation with a third of all rows.
 
-A null or empty text is one empty line. A row without conversation or number stands alone.
+A null or empty text is one empty line. A row without conversation or number stands alone. Numbers may be negative, repeat or have gaps.
 Rows with equal numbers follow each other in the order of a hash of their text; repeated rows are pieces each. An
-empty table gives an empty result. A missing or unknown role is no label. Other columns are left out.
+empty table gives an empty result. A missing or unknown role is no label. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 ROLES = ("system", "user", "assistant")
-BLOCK = 64
+BLOCK, BLOCK_CHARS = 64, 4_000_000
+LENGTHS = (20, 60, 120, 240, 480, 960)  # bounds of the length classes of a line
 # Speaker markers of common transcript styles.
 MARKERS = {
     "system": ("system", "instructions?", "context"),
@@ -35,7 +38,9 @@ MARKERS = {
     "assistant": ("assistant", "ai", "bot", "model", "agent", "answer", "a", "gpt"),
 }
 OPEN = "^[\\s#*>]*[<\\[(|]*\\s*(?i:{})\\s*[|>\\])]*\\*{{0,2}}\\s*(?:[:>]|(?<=[|>\\])])\\s*$)\\*{{0,2}}[ \\t]*"
-N_OBS = 4 * 2 * 3 * 2
+SHAPE = "^\\s*(?:[-*•]\\s|\\d{1,3}[.)]\\s|#{1,6}\\s|```|\\||    )"
+N_LENGTHS, N_SIZES = len(LENGTHS) + 1, 4
+N_OBS = 4 * 2 * N_LENGTHS * N_SIZES * 2 * 2
 
 
 def marker(line: Column) -> Column:
@@ -46,16 +51,19 @@ def marker(line: Column) -> Column:
     return out
 
 
-def observation(line: Column, place: Column) -> Column:
+def observation(line: Column, place: Column, lines: Column) -> Column:
     size = F.length(line)
-    length = F.when(size < 80, 0).when(size < 420, 1).otherwise(2)
+    length = sum(((size >= n).cast("int") for n in LENGTHS), F.lit(0))
+    many = F.when(place > 0, 0).when(lines == 1, 1).when(lines <= 3, 2).otherwise(3)
     ask = F.rtrim(line).endswith("?").cast("int")
-    return ((marker(line) * 2 + (place == 0).cast("int")) * 3 + length) * 2 + ask
+    shape = line.rlike(SHAPE).cast("int")
+    return ((((marker(line) * 2 + (place == 0).cast("int")) * N_LENGTHS + length) * N_SIZES + many) * 2 + ask) * 2 + shape
 
 
 def _fields(obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(marker, opens a piece or has a marker) of observations."""
-    mark, first = obs // 12, obs // 6 % 2
+    of_marker = N_OBS // 4
+    mark, first = obs // of_marker, obs // (of_marker // 2) % 2
     return mark, (first == 1) | (mark > 0)
 
 
@@ -71,10 +79,10 @@ class RoleModel:
     def of(cls, emissions: dict[tuple[int, int], int], turns: dict[tuple[int, int], int]) -> RoleModel:
         obs = np.arange(N_OBS)
         mark, _ = _fields(obs)
-        e = np.ones((N_OBS, 4)) * 0.5
+        e = np.ones((N_OBS, 4)) * 0.02
         for state in (1, 2, 3):
-            e[mark == state, state] += 20.0
-            e[mark == 0, state] += 2.0
+            e[mark == state, state] += 1.0
+            e[mark == 0, state] += 0.1
         for (state, o), n in emissions.items():
             e[o, state] += n
         e[:, 0] = 0
@@ -129,7 +137,7 @@ def fit_roles(pieces: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
 
 
 def _observed(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line, k: observation(line, k))
+    return F.element_at(F.transform(F.array(F.split(F.coalesce(text, F.lit("")), "\n")), lambda lines: F.transform(lines, lambda line, k: observation(line, k, F.size(lines)))), 1)
 
 
 def format_chats(pieces: DataFrame, model: RoleModel, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
@@ -137,30 +145,50 @@ def format_chats(pieces: DataFrame, model: RoleModel, conv_col: str = "conv_id",
 
     ``rendered`` is ``<|role|>``, a line end, the text without speaker markers and ``<|end|>`` with a line end, for each run of lines of one role.
     """
-    sent = pieces.sparkSession.sparkContext.broadcast(model)
+    spark = pieces.sparkSession
+    sent = spark.sparkContext.broadcast(model)
     rows = pieces.select(F.col(conv_col).alias("c"), F.col(turn_col).cast("long").alias("t"), F.col(text_col).alias("x"))
-    alone = F.col("c").isNull() | F.col("t").isNull()
-    rows = rows.withColumns({"h": F.xxhash64("x"), "alone": alone}).withColumn("o", _observed(F.col("x")))
-    rows = rows.withColumn("block", F.floor(F.col("t") / BLOCK).cast("long")).withColumn("own", F.when(F.col("alone"), F.xxhash64("h", F.monotonically_increasing_id())))
-    blocks = rows.groupBy("c", "alone", "own", "block").agg(F.sort_array(F.collect_list(F.struct("t", "h", "x", "o"))).alias("rows"))
-
-    low, high = rows.where("not alone").agg(F.min("block"), F.max("block")).first()
-    if low is None or low == high:
-        ready = blocks.withColumns({"before": F.lit(0), "last": F.lit(-1)})
-    else:
-        blocks = stored(blocks, "blocks")
-        ready = _borders(blocks.where("not alone"), sent, low, high)
-        ready = blocks.where("not alone").join(ready, ["c", "block"]).unionByName(blocks.where("alone").withColumns({"before": F.lit(0), "last": F.lit(-1)}))
+    rows = rows.withColumns({"h": F.xxhash64("x"), "tie": F.monotonically_increasing_id(), "o": _observed(F.col("x"))})
+    order, parts = ["c", "t", "h", "tie"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    kind = pieces.schema[conv_col].dataType.simpleString()
+    blocks = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    blocks = blocks.mapInPandas(lambda batches: _blocks(batches, sent.value), f"part int, block long, c {kind}, alone boolean, t array<long>, x array<string>, o array<array<int>>, m array<double>")
+    blocks = stored(blocks, "blocks")
+    borders = _borders(blocks.where("not alone").select("c", "part", "block", "m"), sent)
+    ready = blocks.drop("m").join(borders, ["part", "block"], "left").withColumns({"before": F.coalesce("before", F.lit(0)), "last": F.coalesce("last", F.lit(-1))})
 
     @F.pandas_udf("array<struct<role:string,n_segments:int,rendered:string>>")
     def decode(observed: pd.Series, texts: pd.Series, before: pd.Series, last: pd.Series) -> pd.Series:
         return pd.Series([_render(o, x, sent.value, b, e) for o, x, b, e in zip(observed, texts, before, last, strict=True)])
 
-    pick = lambda name: F.transform("rows", lambda r: r[name])
-    out = ready.withColumn("done", decode(pick("o"), pick("x"), "before", "last")).select("c", F.explode(F.arrays_zip(pick("t").alias("t"), "done")).alias("r"))
+    out = ready.withColumn("done", decode("o", "x", "before", "last")).select("c", F.explode(F.arrays_zip("t", "done")).alias("r"))
     return out.select(F.col("c").alias(conv_col), F.col("r.t").alias(turn_col), F.col("r.done.role").alias("role"), F.col("r.done.n_segments").alias("n_segments"), F.col("r.done.rendered").alias("rendered"))
 
 
+def _blocks(batches, model: RoleModel):
+    """Blocks of a sorted partition: neighbours of one conversation, at most BLOCK pieces and, beyond the first, BLOCK_CHARS characters."""
+    def row(part, number, c, alone, items):
+        m = product(model.steps(np.concatenate([np.asarray(o, np.int64) for _, _, o in items]))).ravel()
+        return part, number, c, alone, [t for t, _, _ in items], [x for _, x, _ in items], [o for _, _, o in items], m
+
+    names = ["part", "block", "c", "alone", "t", "x", "o", "m"]
+    open_, chars, number, at = [], 0, 0, None
+    for pdf in batches:
+        done = []
+        turns = pdf["t"].astype("Int64").to_numpy(object, na_value=None)
+        for part, c, t, x, o in zip(pdf["part"], pdf["c"].astype(object).where(pdf["c"].notna(), None), turns, pdf["x"], pdf["o"], strict=True):
+            alone = c is None or t is None
+            chars += len(x or "")
+            if open_ and (alone or at[2:] != (c, False) or len(open_) == BLOCK or chars > BLOCK_CHARS):
+                done.append(row(at[0], number, *at[2:], open_))
+                number, open_, chars = number + 1, [], len(x or "")
+            at = (part, None, c, alone)
+            open_.append((t, x, o))
+        yield pd.DataFrame(done, columns=names)
+    if open_:
+        yield pd.DataFrame([row(at[0], number, *at[2:], open_)], columns=names)
+
+
 def _render(observed, texts, model: RoleModel, before: int, last: int) -> list[dict]:
     import re
 
@@ -184,33 +212,27 @@ def _render(observed, texts, model: RoleModel, before: int, last: int) -> list[d
     return out
 
 
-def _borders(blocks: DataFrame, sent, low: int, high: int) -> DataFrame:
-    """(c, block, before, last): the states before and at the end of each block on the best path of its conversation."""
-    @F.pandas_udf("array<double>")
-    def matrix(observed: pd.Series) -> pd.Series:
-        return pd.Series([product(sent.value.steps(np.concatenate([np.asarray(o, np.int64) for o in rows]))).ravel() for rows in observed])
+def _borders(blocks: DataFrame, sent) -> DataFrame:
+    """(part, block, before, last) for conversations of more than one block: the states before and at the end of each on the best path."""
+    square = lambda parts: np.stack([np.asarray(p, float).reshape(4, 4) for p in parts])
 
     @F.pandas_udf("array<double>")
     def combined(parts: pd.Series) -> pd.Series:
-        return pd.Series([product(np.stack([np.asarray(p, float).reshape(4, 4) for p in rows])).ravel() for rows in parts])
+        return pd.Series([product(square(rows)).ravel() for rows in parts])
 
     @F.pandas_udf("array<int>")
     def path(parts: pd.Series, before: pd.Series, last: pd.Series) -> pd.Series:
-        return pd.Series([viterbi(np.stack([np.asarray(p, float).reshape(4, 4) for p in rows]), int(b), None if e < 0 else int(e)) for rows, b, e in zip(parts, before, last, strict=True)])
-
-    level = blocks.select("c", "block", matrix(F.transform("rows", lambda r: r["o"])).alias("m"))
-    ups = []
-    while True:
-        parent = stored(level.groupBy("c", F.floor(F.col("block") / BLOCK).cast("long").alias("up")).agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("parts")), "level")
-        ups.append(parent)
-        low, high = low // BLOCK, high // BLOCK
-        if low == high:
-            break
-        level = parent.select("c", F.col("up").alias("block"), combined(F.transform("parts", lambda p: p["m"])).alias("m"))
-    known = None
-    for parent in reversed(ups):
-        here = parent.withColumns({"before": F.lit(0), "last": F.lit(-1)}) if known is None else parent.join(known.withColumnRenamed("block", "up"), ["c", "up"])
-        here = here.withColumn("states", path(F.transform("parts", lambda p: p["m"]), "before", "last"))
-        pairs = F.arrays_zip(F.transform("parts", lambda p: p["block"]).alias("block"), F.concat(F.array("before"), F.slice("states", 1, F.greatest(F.size("states") - 1, F.lit(0)))).alias("before"), F.col("states").alias("last"))
-        known = here.select("c", F.explode(pairs).alias("p")).select("c", "p.block", "p.before", "p.last")
-    return known
+        return pd.Series([viterbi(square(rows), int(b), None if e < 0 else int(e)) for rows, b, e in zip(parts, before, last, strict=True)])
+
+    def down(level: DataFrame, key: str) -> DataFrame:
+        """A row for each part of a level, with the states before and at its end."""
+        states = level.withColumn("states", path(F.transform("parts", lambda p: p["m"]), "before", "last"))
+        before = F.concat(F.array("before"), F.slice("states", 1, F.greatest(F.size("states") - 1, F.lit(0))))
+        pairs = F.arrays_zip(F.transform("parts", lambda p: p[key]).alias(key), before.alias("before"), F.col("states").alias("last"))
+        return states.select(*[x for x in ("c", "part") if x in level.columns], F.explode(pairs).alias("p")).select("*", f"p.{key}", "p.before", "p.last").drop("p")
+
+    inside = stored(blocks.groupBy("c", "part").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("parts")), "level")
+    over = inside.select("c", "part", combined(F.transform("parts", lambda p: p["m"])).alias("m"), F.size("parts").alias("n"))
+    over = over.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("part", "m"))).alias("parts"), F.sum("n").alias("n")).where("n > 1")
+    over = stored(down(over.drop("n").withColumns({"before": F.lit(0), "last": F.lit(-1)}), "part"), "level")
+    return down(inside.join(over, ["c", "part"]), "block").select("part", "block", "before", "last")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import numpy as np
@@ -9,20 +10,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []  # folders of this process that still exist
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is read from the session. Only where it is unset (tests on one machine) a local
-    folder is used and set.
+    The setting is read from the session. Where it is unset, a session with a local master gets a
+    local folder; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(remove_scratch)
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_scratch(since: int = 0) -> None:
+    """Remove the folders made so far, from the ``since``-th on; results that read them can't be read afterwards.
+
+    Called at the end of the process, by the pipeline after each stage, and by callers who have used their results.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    for folder in _made[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:]
+
+
+def n_scratch() -> int:
+    """How many folders there are; what is made later can be removed by this number."""
+    return len(_made)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +59,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_folder(folder: str):
+    """(file system, path): any store that pyarrow reaches by URI; a plain path is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def added_name(columns: list[str], name: str) -> str:
+    """The name of a column that an operator adds to others: ``name``, or ``name_2``, ``name_3`` ... where the input has it already."""
+    taken, k, out = {c.lower() for c in columns}, 1, name
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
 def uniform(*columns: Column | str) -> Column:
     """A number in (0, 1) fixed by the columns: the first 13 hex digits of an md5, offset by half a step."""
     text = F.concat_ws("|", *[c if isinstance(c, Column) else F.lit(c) for c in columns])

@@ -9,7 +9,7 @@ for each task attempt and the index names only the attempts that succeeded, so a
 again after an executor is lost does no harm.
 
 A null text has only the end id. A null document id sorts last and reads back as null; equal ids
-stand in text order, repeated rows each. An empty table gives a folder with an empty index. Other
+stand in the order of a hash of their text, repeated rows each. An empty table gives a folder with an empty index. Other
 columns are left out.
 """
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import open_folder, shared_folder
 
 _SPLIT = re.compile("[^ \t\n\r]+")
 #: In lower-case Latin-1 text without apostrophes (which open contractions): runs of letters, and runs of what is neither letter nor white space.
@@ -98,13 +98,6 @@ def _latin(text: str) -> bool:
     return True
 
 
-def _files(folder: str):
-    """(file system, path): any store that pyarrow reaches by URI; a plain path is local."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every whole text, append ``end_id``, write the files; returns the folder (a new shared one if not given)."""
     spark = docs.sparkSession
@@ -118,7 +111,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         from pyspark import TaskContext
 
         ids, shard = Ids.of(tokenizer), TaskContext.get().partitionId()
-        store, top = _files(folder)
+        store, top = open_folder(folder)
         name = f"{shard:06d}-{uuid.uuid4().hex}"
         end, sizes, docs_seen, out = np.array([end_id], ids.kind).tobytes(), [], [], None
         for pdf in batches:
@@ -158,7 +151,7 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id", w
     def read(batches):
         from pyarrow import fs
 
-        store, top = _files(folder)
+        store, top = open_folder(folder)
         for pdf in batches:
             for name, width, n_docs, base in zip(pdf["name"], pdf["width"], pdf["n_docs"], pdf["base"], strict=True):
                 get = lambda end, kind, name=name: np.frombuffer(store.open_input_file(f"{top}/{name}.{end}").read(), kind)
