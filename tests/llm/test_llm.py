@@ -225,7 +225,10 @@ def test_chat(spark):
 
 
 def test_clashing_names(spark, docs):
-    odd = docs.withColumns({"size": F.lit("x"), "component": F.lit(1), "score": F.lit(None)})
+    odd = docs.withColumns({**{c: F.lit("x") for c in ("size", "source_size", "target", "low", "whole", "rest", "q", "u", "v", "n", "k", "copies", "Taken")}, "component": F.lit(1), "score": F.lit(None)})
+    mixed = mix.mix_sources(odd)
+    assert mixed.columns == [*odd.columns, "size_2", "source_size_2", "target_2", "copies_2", "taken_2"] and mixed.where("size = 'x'").count() == docs.count()
+    assert mix.repeat_copies(mixed, odd.columns, "copies_2").columns == odd.columns and mix.repeat_copies(mixed, odd.columns, "copies_2").count() > 0
     assert minhash.near_duplicates(odd).count() == docs.count()
     assert token_counts.count_tokens(odd, tokenizer_path("byte_bpe_50k.json"), tier_one=False).count() == docs.count()
 
@@ -352,3 +355,42 @@ def test_chat_held_out(spark):
     got = got.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 == 0)
     right = got.agg(F.avg((F.col("role") == F.col("want")).cast("int")), F.avg((F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant") == F.col("want")).cast("int"))).first()
     assert right[0] > 0.95 and right[0] > right[1] + 0.1
+
+
+def test_mix_ties(spark):
+    """Rows that share an id, or have none, meet the target as others do; sources of any number are filled without one-task windows."""
+    def gap(rows):
+        out = mix.mix_sources(spark.createDataFrame(rows, SCHEMA)).toPandas()
+        assert len(out) == len(rows) and (out.taken <= 2 * out["size"]).all()
+        by = out.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+        return (abs(by.taken - by.target) / by.most).max()
+
+    line = "ten words are in this one line as it is"
+    assert gap([(None, line, "a")] * 100) <= 0.5
+    assert gap([(7, line, "a")] * 99 + [(8, line, None)] * 31) <= 0.5
+    assert gap([(None, line.replace("ten", f"n{k}"), "a") for k in range(90)] + [(k, line, "b") for k in range(50)]) <= 0.5
+    assert gap([(k, line if k % 3 else None, f"s{k % 40}") for k in range(400)]) <= 0.5
+    few = mix.MOST_SOURCES
+    try:
+        rows = [(k, line, f"s{k % 7}" if k % 7 else None) for k in range(300)]
+        one = mix.mix_sources(spark.createDataFrame(rows, SCHEMA)).toPandas().sort_values("doc_id").taken.tolist()
+        mix.MOST_SOURCES = 1
+        assert mix.mix_sources(spark.createDataFrame(rows, SCHEMA)).toPandas().sort_values("doc_id").taken.tolist() == one
+    finally:
+        mix.MOST_SOURCES = few
+
+
+def test_mix_targets(spark):
+    """Shares by weight with stops, against filling the sources one after another."""
+    draw = random.Random(2)
+    sizes = [(f"s{k:03d}" if k else None, draw.choice([0, 1, 5, 50, 900]), 1) for k in range(25)]
+    got = {r["source"]: r["target"] for r in mix.source_targets(spark.createDataFrame(sizes, "source string, source_size long, n_docs long")).collect()}
+    names = [s for s, _, _ in sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))]
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
+    size = {s: n for s, n, _ in sizes}
+    stopped = set()
+    for _ in sizes:
+        rate = (1.5 * sum(size.values()) - 2 * sum(size[s] for s in stopped)) / sum(weight[s] for s in size if s not in stopped)
+        stopped |= {s for s in size if rate * weight[s] >= 2 * size[s]}
+    assert all(got[s] == pytest.approx(2 * size[s] if s in stopped else rate * weight[s]) for s in size)
+    assert sum(got.values()) == pytest.approx(1.5 * sum(size.values()))

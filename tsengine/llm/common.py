@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: list[str] = []  # folders of this process that still exist
@@ -59,6 +59,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """``df`` with row numbers from 1 in the order of columns: sorted range partitions, written, and a prefix sum over one count for each."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"part_": F.spark_partition_id(), "at_": place})
+    rows = stored(rows, "numbered")
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    counts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    return rows.join(F.broadcast(counts), "part_").withColumn(name, F.col("before_") + F.col("at_") + 1).drop("part_", "at_", "before_")
+
+
 def open_folder(folder: str):
     """(file system, path): any store that pyarrow reaches by URI; a plain path is local."""
     from pyarrow import fs

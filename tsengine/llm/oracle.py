@@ -3,7 +3,7 @@
 #: Operator 2. The rank order of a source is taken whole here; the constants are those of ``mix``.
 MIX = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('1|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS y FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM d GROUP BY source
 ), w AS (
@@ -23,17 +23,17 @@ WITH d AS (
 ), r AS (
   SELECT *, greatest(target - whole * source_size, 0.0) AS rest FROM u
 ), o AS (
-  SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.whole, r.rest,
+  SELECT d.doc_id, d.source, d.size, d.y, r.source_size, r.target, r.whole, r.rest,
     least(greatest(r.rest / r.source_size, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) AS p,
     (('0x' || substr(md5('1|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS x,
     r.source_size / r.n_docs AS mean
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 ), q AS (
   SELECT *, x / (1 - x) / (p / (1 - p) * pow(greatest(size, 1)::DOUBLE / greatest(mean, 1.0::DOUBLE), 0.25)) AS odds FROM o
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY odds, y) AS place FROM q
 ), k AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING)::DOUBLE AS upto,
-    dense_rank() OVER (PARTITION BY source ORDER BY odds, doc_id NULLS LAST, size) AS place
-  FROM q
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place)::DOUBLE AS upto FROM n
 ), c AS (
   SELECT *, max(CASE WHEN upto <= rest OR (upto - size < rest AND abs(upto - rest) <= abs(upto - size - rest)) THEN place END) OVER (PARTITION BY source) AS last_place FROM k
 )
