@@ -79,11 +79,11 @@ def _ranked(frame: DataFrame, facts: DataFrame, few: bool, length_power: float)
 
 
 def _narrowed(rows: DataFrame, spans: DataFrame, few: bool, at: str, inside: Column) -> DataFrame:
-    """``spans`` with low, width and done moved to the bin of ``at`` where a source reaches its rest; behind the last bin if it never does."""
+    """``spans`` with low, width and done moved to the bin of ``at`` where a source goes beyond its rest; behind the last bin if it never does."""
     binned = _with_facts(rows, spans, few).where(inside).withColumn("bin", F.least(F.floor((F.col(at) - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("int"))
     bins = binned.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("done").alias("done"))
     run = Window.partitionBy("source").orderBy("bin")  # BINS rows a source at most
-    reached = bins.withColumn("upto", F.col("done") + F.sum("words").over(run)).where(F.col("upto") >= F.col("rest"))
+    reached = bins.withColumn("upto", F.col("done") + F.sum("words").over(run)).where(F.col("upto") > F.col("rest"))
     cut = reached.groupBy(F.col("source").alias("c_")).agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("done"))).alias("cut"))
     step = F.col("width") / BINS
     low = F.when(F.col("cut").isNull(), F.col("low") + F.col("width")).otherwise(F.col("low") + F.col("cut.bin") * step)
