@@ -1,32 +1,41 @@
 """Embedding near-dedup (operator 10): PCA-ordered tiled comparison with early stopping.
 
 Equal vectors are one class, and only classes are compared. A rotation to principal axes, fitted on a
-bounded sample (any rotation gives the same cosines), puts most of the variance first. Unit vectors with
-cosine c are sqrt(2 - 2c) apart, so along the first axis links lie in the same or in adjacent slabs of that
-width. Slabs are split into blocks of about ``BLOCK`` rows and pairs of blocks are compared as tiles: sub-tiles whose boxes on
-the leading axes are too far apart are skipped, the products of the leading dimensions are summed first, and a pair is
+bounded sample (any rotation gives the same cosines), puts most of the variance first. On the leading axes a tree of median
+cuts, of the same sample, deals the classes into at most ``MOST_LEAVES`` leaves of about a block of rows; the exact box of each leaf is known from
+all its rows. Unit vectors with cosine c are sqrt(2 - 2c) apart, so a row is copied only to the leaves whose boxes are no farther
+from it, and pairs of leaves without such rows never meet. A leaf with more rows is split into blocks by row number, and pairs of blocks are
+compared as tiles: sub-tiles whose boxes are too far apart are skipped, those that lie so close that all their pairs must link
+are taken whole, for the others the products of the leading dimensions are summed first, and a pair is
 given up as soon as the partial product and the product of the suffix norms stay below the threshold. The cosines of
-what is left are computed in double precision on the vectors as given.
+what is left are computed in double precision on the vectors as given. Copies travel as 32-bit floats where that loses nothing.
+Blocks grow with the table up to ``BLOCK_BYTES``, so up to 8 such blocks the shuffle is in proportion to the rows. Beyond that, vectors without any
+structure on their leading axes (where exact comparison is quadratic) are copied to all blocks, others to near ones.
 
 A tile sends on, for each of its vectors with links, their number and the smallest class it is connected to within
 the tile, never the pairs themselves. Vectors that are null, zero or hold nulls or non-finite numbers, and vectors
 of different lengths, link with nothing. Repeated rows are copies. A null id is no candidate for the smallest id of a
-component; alone it has a null component and is not kept. An empty table gives an empty result. Other columns are left out.
+component; alone it has a null component and is not kept. An empty table gives an empty result. Other columns, whatever their names, are left out.
+Lengths of vectors are compared one after another, those that only one class has not at all. The driver holds ``SAMPLE_BYTES`` of vectors and a box a leaf.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, uniform
+from .common import numbered, stored, uniform
 from .components import components
 
-COSINE, BLOCK, SUB, SAMPLE_ROWS, LEADING = 0.95, 3072, 768, 8_000, (8, 16, 32)
+COSINE, SUB, SAMPLE_ROWS, SAMPLE_BYTES, LEADING = 0.95, 768, 8_000, 16_000_000, (8, 16, 32)
+#: A block is an eighth of the rows, and no more than BLOCK_BYTES of doubles.
+BLOCKS, BLOCK_BYTES, BOX_AXES, MOST_LEAVES = 8, 16_000_000, 16, 1024
 
 
 def _usable(v) -> np.ndarray | None:
@@ -46,6 +55,14 @@ def _prepared(batches):
         yield pd.DataFrame({"id": pdf["id"], "raw": raw})
 
 
+def _short(raw: bytes) -> bytes:
+    """A vector as 32-bit floats if they hold it exactly, else as it is."""
+    x = np.frombuffer(raw, np.float64)
+    with np.errstate(over="ignore"):
+        y = x.astype(np.float32)
+    return y.tobytes() if (y == x).all() else raw
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -60,6 +77,45 @@ def rotation(sample: list[bytes], width: int) -> np.ndarray:
     return axes[:, np.argsort(-values, kind="stable")]
 
 
+@dataclass
+class Tree:
+    """Median cuts on the leading axes: a complete binary tree of ``depth`` levels, its nodes in one row after another."""
+
+    depth: int
+    axis: np.ndarray
+    cut: np.ndarray
+
+    @classmethod
+    def of(cls, points: np.ndarray, leaves: int) -> Tree:
+        depth = max(0, math.ceil(math.log2(max(1, min(leaves, MOST_LEAVES, len(points) // 8)))))
+        axis, cut = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
+        parts = {0: points}
+        for k in range(2**depth - 1):
+            own = parts.pop(k)
+            if len(own) > 1 and own.var(0).max() > 0:
+                axis[k] = int(own.var(0).argmax())
+                cut[k] = np.median(own[:, axis[k]])
+            right = own[:, axis[k]] > cut[k]
+            parts[2 * k + 1], parts[2 * k + 2] = own[~right], own[right]
+        return cls(depth, axis, cut)
+
+    def leaf(self, points: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            at = 2 * at + 1 + (points[np.arange(len(points)), self.axis[at]] > self.cut[at])
+        return at - (2**self.depth - 1)
+
+
+def near_boxes(points: np.ndarray, low: np.ndarray, high: np.ndarray, reach: float) -> np.ndarray:
+    """points x boxes: whether a point is no farther than ``reach`` from a box."""
+    far = np.zeros((len(points), len(low)))
+    for k in range(points.shape[1]):
+        x = points[:, k, None]
+        gap = np.maximum(np.maximum(low[None, :, k] - x, x - high[None, :, k]), 0)
+        far += gap * gap
+    return far <= reach * reach
+
+
 def tile_links(left: np.ndarray, right: np.ndarray | None, threshold: float, axes: np.ndarray):
     """Yield arrays (i, j) of linked pairs, a sub-tile at a time. ``right`` None: pairs i < j within ``left``."""
     def ordered(x):
@@ -70,6 +126,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, threshold: float, axe
         return order, y, np.concatenate([tails, np.zeros((len(y), 1))], axis=1)
 
     slack, apart = 1e-9, 2 - 2 * threshold + 1e-9
+    surely = math.sqrt(max(0.0, 2 - 2 * threshold - 1e-9))
     a = ordered(left)
     b = a if right is None else ordered(right)
     width = left.shape[1]
@@ -86,6 +143,11 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, threshold: float, axe
             if gap @ gap > apart:
                 continue
             ya, yb, ta, tb = a[1][s : s + SUB], b[1][t : t + SUB], a[2][s : s + SUB], b[2][t : t + SUB]
+            ca, cb = ya.mean(0), yb.mean(0)
+            if norm(ya - ca).max() + norm(yb - cb).max() + np.sqrt(((ca - cb) ** 2).sum()) <= surely:
+                i, j = np.nonzero(np.tri(len(ya), len(yb), -1, bool).T if right is None and s == t else np.ones((len(ya), len(yb)), np.bool_))
+                yield a[0][s + i], b[0][t + j]
+                continue
             part = ya[:, : steps[0]] @ yb[:, : steps[0]].T
             reach = part + ta[:, steps[0], None] * tb[None, :, steps[0]] >= threshold - slack
             i, j = np.nonzero(reach)
@@ -102,7 +164,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, threshold: float, axe
                 i, j = i[keep], j[keep]
             i, j = a[0][s + i], b[0][t + j]
             if right is None:
-                keep = i != j if s != t else i < j
+                keep = i != j if s != t else i < j  # of a sub-tile with itself each pair stands twice
                 i, j = i[keep], j[keep]
             for at in range(0, len(i), 1 << 16):
                 p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
@@ -126,69 +188,97 @@ def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", block: int | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     kind = vectors.schema[id_col].dataType.simpleString()
     named = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(_prepared, f"id {kind}, raw binary").withColumn("width", (F.length("raw") / 8).cast("int")).withColumn("name", F.md5("raw"))
     named = stored(named, "vectors")
     classes = named.where("raw is not null").groupBy("name", "width").agg(F.min(F.col("id").cast("long")).alias("low"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
-    classes = stored(classes.withColumn("node", F.xxhash64("name")), "classes")
-    links, edges = [], []
+    classes = stored(numbered(classes, ["name"], "node"), "classes")
+    links = []
     spark = vectors.sparkSession
-    for (width,) in classes.select("width").distinct().orderBy("width").collect():
+    for width, total in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("width").collect():
         own = classes.where(F.col("width") == width)
-        total = own.count()
-        sample = [r["raw"] for r in own.where(uniform(F.lit("axes"), F.col("name")) < SAMPLE_ROWS / max(total, 1)).orderBy("name").limit(2 * SAMPLE_ROWS).select("raw").collect()]
-        out = _tiles(own, spark.sparkContext.broadcast(rotation(sample, width)), width, threshold, block)
-        links.append(out)
-    if not links:
-        return named.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    found = links[0]
-    for x in links[1:]:
-        found = found.unionByName(x)
+        most = max(16, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * width)))
+        sample = [r["raw"] for r in own.where(uniform(F.lit("axes"), F.col("name")) < most / total).orderBy("name").limit(2 * most).select("raw").collect()]
+        axes = rotation(sample, width)
+        points = (unit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, width)) @ axes)[:, :BOX_AXES] if sample else np.zeros((0, min(width, BOX_AXES)))
+        size = block or max(1, min(BLOCK_BYTES // (8 * width), -(-total // BLOCKS)))
+        links.append(_tiles(own, spark.sparkContext.broadcast((axes, Tree.of(points, -(-total // size)))), width, threshold, size))
+    if links:
+        found = links[0]
+        for x in links[1:]:
+            found = found.unionByName(x)
+    else:
+        found = classes.select("node", F.col("n").alias("links"), F.col("node").alias("root")).limit(0)
     found = stored(found, "links")
-    edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    groups = components(edges)
+    groups = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     per_node = found.groupBy("node").agg(F.sum("links").alias("links"))
     facts = classes.select("name", "node", "low", "n").join(per_node, "node", "left").join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = facts.groupBy("component").agg(F.min("low").alias("component_id"))
     facts = facts.join(least, "component").select("name", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = named.select("id", F.col("name").alias("own"), "raw").drop("raw").join(facts, F.col("own") == F.col("name"), "left")
+    out = named.select("id", F.col("name").alias("own")).join(facts, F.col("own") == F.col("name"), "left")
     component = F.when(F.col("name").isNull(), F.col("id").cast("long")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id").cast("long") == component, F.lit(False)).alias("kept"))
 
 
-def _tiles(classes: DataFrame, axes, width: int, threshold: float, block: int) -> DataFrame:
-    """(node, links, root) from every tile: how many vectors it is linked with there, and a node it is connected to."""
-    slab_width = math.sqrt(2 - 2 * threshold) + 1e-6
+def _tiles(classes: DataFrame, shared, width: int, threshold: float, block: int) -> DataFrame:
+    """(node, links, root) from every tile: how many vectors it is linked with there, and a node it is connected to. shared: broadcast (axes, tree)."""
+    reach = math.sqrt(2 - 2 * threshold) + 1e-6
+    vectors = lambda raw: np.frombuffer(b"".join(raw), np.float64).reshape(-1, width)
+    leading = lambda x: (unit(x) @ shared.value[0])[:, :BOX_AXES]
 
     @F.pandas_udf("int")
-    def slab(raw: pd.Series) -> pd.Series:
-        x = unit(np.frombuffer(b"".join(raw), np.float64).reshape(-1, width))
-        return pd.Series(np.floor(x @ axes.value[:, 0] / slab_width).astype(np.int32))
-
-    rows = stored(classes.select("node", "n", "raw", slab("raw").alias("slab")), "slabs")
-    sizes = rows.groupBy("slab").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))  # a few slabs of fixed width
-    near = sizes.select(F.col("slab").alias("slab"), "blocks")
-    up, down = near.select((F.col("slab") - 1).alias("slab"), F.col("blocks").alias("up")), near.select((F.col("slab") + 1).alias("slab"), F.col("blocks").alias("down"))
-    plan = F.broadcast(near.join(up, "slab", "left").join(down, "slab", "left"))  # at most 2 / width + 1 rows
-    placed = rows.join(plan, "slab").withColumn("block", F.pmod("node", F.col("blocks")).cast("int"))
-    numbers = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(numbers(F.col("blocks")), lambda k: F.struct(F.col("slab").alias("s"), F.least("block", k).alias("x"), F.col("slab").alias("t"), F.greatest("block", k).alias("y"), (F.col("block") > k).alias("right")))
-    above = F.transform(numbers(F.col("up")), lambda k: F.struct(F.col("slab").alias("s"), F.col("block").alias("x"), (F.col("slab") + 1).alias("t"), k.alias("y"), F.lit(False).alias("right")))
-    below = F.transform(numbers(F.col("down")), lambda k: F.struct((F.col("slab") - 1).alias("s"), k.alias("x"), F.col("slab").alias("t"), F.col("block").alias("y"), F.lit(True).alias("right")))
-    sent = placed.withColumn("tile", F.explode(F.concat(own, above, below))).select("tile.*", "node", "n", "raw")
+    def leaf(raw: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[1].leaf(leading(vectors(raw))).astype(np.int32))
+
+    def ends(batches):
+        k = 2**shared.value[1].depth
+        low, high, rows = np.full((k, min(width, BOX_AXES)), np.inf), np.full((k, min(width, BOX_AXES)), -np.inf), np.zeros(k, np.int64)
+        for pdf in batches:
+            if len(pdf):
+                at, y = pdf["leaf"].to_numpy(), leading(vectors(pdf["raw"]))
+                np.minimum.at(low, at, y)
+                np.maximum.at(high, at, y)
+                rows += np.bincount(at, minlength=k)
+        leaf, axis = np.nonzero(rows[:, None] * np.ones(low.shape[1]))
+        yield pd.DataFrame({"leaf": leaf, "axis": axis, "low": low[leaf, axis], "high": high[leaf, axis], "n": rows[leaf]})
+
+    rows = stored(classes.select("node", "n", "raw", leaf("raw").alias("leaf")), "leaves")
+    facts = rows.mapInPandas(ends, "leaf int, axis int, low double, high double, n long").groupBy("leaf", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).toPandas()  # MOST_LEAVES x BOX_AXES rows
+    leaves = np.sort(facts["leaf"].unique())
+    wide = {c: facts.pivot(index="leaf", columns="axis", values=c).loc[leaves].to_numpy() for c in ("low", "high", "n")}
+    plan = classes.sparkSession.sparkContext.broadcast((leaves, wide["low"], wide["high"], np.maximum(1, (2 * wide["n"][:, 0].astype(np.int64) + block) // (2 * block))))
+
+    def send(batches):
+        leaves, low, high, blocks = plan.value
+        for batch in batches:
+            at, node = np.searchsorted(leaves, batch.column("leaf").to_numpy()), batch.column("node").to_numpy()
+            for k in range(0, len(at), 1024):
+                part = slice(k, k + 1024)
+                row, to = np.nonzero(near_boxes(leading(vectors(batch.column("raw")[part].to_pylist())), low, high, reach))
+                row, to = np.repeat(row + k, blocks[to]), np.repeat(to, blocks[to])
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (to[1:] != to[:-1])])
+                other = np.arange(len(row)) - np.repeat(new, np.diff(np.r_[new, len(row)]))
+                here, own = at[row], node[row] % blocks[at[row]]
+                right = (here > to) | ((here == to) & (own > other))
+                pick = lambda x, y, right=right: pa.array(np.where(right, y, x), pa.int32())
+                rows = batch.select(["node", "n"]).take(pa.array(row))
+                short = pa.array([_short(x) for x in batch.column("raw")[part].to_pylist()], pa.binary()).take(pa.array(row - k))
+                yield pa.RecordBatch.from_arrays([pick(here, to), pick(own, other), pick(to, here), pick(other, own), pa.array(right), rows.column("node"), rows.column("n"), short], names=["s", "x", "t", "y", "right", "node", "n", "raw"])
+
+    sent = rows.mapInArrow(send, "s int, x int, t int, y int, right boolean, node long, n long, raw binary")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["s"].iloc[0] == pdf["t"].iloc[0] and pdf["x"].iloc[0] == pdf["y"].iloc[0]
         side = pdf["right"].to_numpy(bool)
         order = np.argsort(side, kind="stable")
         node, n = pdf["node"].to_numpy()[order], pdf["n"].to_numpy()[order]
-        raw = np.frombuffer(b"".join(pdf["raw"].iloc[order]), np.float64).reshape(-1, width)
+        raw = np.stack([np.frombuffer(x, np.float32 if len(x) < 8 * width else np.float64) for x in pdf["raw"].iloc[order]]).astype(np.float64)
         cut = len(raw) if same else int((~side).sum())
         count, label = np.zeros(len(raw), np.int64), np.arange(len(raw))
         if same or 0 < cut < len(raw):
-            for i, j in tile_links(raw[:cut], None if same else raw[cut:], threshold, axes.value):
+            for i, j in tile_links(raw[:cut], None if same else raw[cut:], threshold, shared.value[0]):
                 j = j if same else j + cut
                 count += np.bincount(i, n[j], len(raw)).astype(np.int64) + np.bincount(j, n[i], len(raw)).astype(np.int64)
                 _joined(label, i, j)
