@@ -228,6 +228,11 @@ def test_clashing_names(spark, docs):
     odd = docs.withColumns({**{c: F.lit("x") for c in ("size", "source_size", "target", "low", "whole", "rest", "q", "u", "v", "n", "k", "copies", "Taken")}, "component": F.lit(1), "score": F.lit(None)})
     mixed = mix.mix_sources(odd)
     assert mixed.columns == [*odd.columns, "size_2", "source_size_2", "target_2", "copies_2", "taken_2"] and mixed.where("size = 'x'").count() == docs.count()
+    found = decontaminate.find_contamination(docs.withColumns({c: F.lit(7) for c in ("n_words", "N_hit", "span_start", "item_ids")}), spark.createDataFrame([(1, corpus()[5][1])], "item_id long, text string"))
+    assert found.columns[-5:] == ["n_words_2", "n_hit_2", "span_start_2", "span_end", "item_ids_2"]
+    cut = decontaminate.cut_spans(found)
+    assert cut.where("n_words = 7 and N_hit = 7").count() == docs.count() and decontaminate.contamination_digest(found).where("contaminated").count() == 1
+    assert cut.where("doc_id = 5").first()["text"].strip() == ""
     assert mix.repeat_copies(mixed, odd.columns, "copies_2").columns == odd.columns and mix.repeat_copies(mixed, odd.columns, "copies_2").count() > 0
     assert minhash.near_duplicates(odd).count() == docs.count()
     assert token_counts.count_tokens(odd, tokenizer_path("byte_bpe_50k.json"), tier_one=False).count() == docs.count()
@@ -394,3 +399,32 @@ def test_mix_targets(spark):
         stopped |= {s for s in size if rate * weight[s] >= 2 * size[s]}
     assert all(got[s] == pytest.approx(2 * size[s] if s in stopped else rate * weight[s]) for s in size)
     assert sum(got.values()) == pytest.approx(1.5 * sum(size.values()))
+
+
+def test_long_text_in_pieces(monkeypatch):
+    """Words, shingles and hits of a long row are the same however it is cut, over blocks of the benchmark too."""
+    import pyarrow as pa
+
+    from tsengine.llm import words
+
+    draw = random.Random(6)
+    text = " ".join(draw.choice(WORDS) + ("é" * 40 if k % 500 == 3 else "") for k in range(6000))
+    values = pa.array(["a b", text, "", None, text[:50] + "x" * 5000], pa.string()).fill_null("")
+    whole = [x for x in words.word_parts(values, 1 << 24)]
+    parts = [x for x in words.word_parts(values, 700)]
+    flat = lambda found: sorted((at + r, a, b, int(c)) for at, _, row, first, end, code, _, _ in found for r, a, b, c in zip(row.tolist(), first.tolist(), end.tolist(), code, strict=True))
+    assert len(parts) > 20 and flat(parts) == flat(whole)
+    shingled = lambda limit: sorted((at + int(r), int(c)) for at, _, row, code in words.shingle_parts(values, 5, limit) for r, c in zip(row, code, strict=True))
+    assert shingled(700) == shingled(1 << 24)
+    w = text.split()
+    items = [("a", " ".join(w[90:150])), (None, " ".join(w[2000:2012])), ("b", "one two"), ("c", " ".join(w[5990:]))]
+    code = {i: words.words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[3] for i, t in items}
+    blocks = {"x": decontaminate.Phrases.of([(i, code[i]) for i in ("a", None)], 10), "y": decontaminate.Phrases.of([(i, code[i]) for i in ("b", "c", "a")], 10)}
+    monkeypatch.setattr(decontaminate.Phrases, "read", classmethod(lambda cls, folder, name: blocks[name]))
+    got = []
+    for limit in (700, 1 << 24):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", limit)
+        got.append(decontaminate._search(pa.RecordBatch.from_arrays([values], names=["t"]), "", ["x", "y"], 0, 10).to_pydict())
+    assert got[0] == got[1] and got[0]["n_words"] == [2, 6000, 0, 0, got[0]["n_words"][4]]
+    hit = {k for a, b in ((90, 150), (2000, 2012), (5990, 6000)) for k in range(a, b)}
+    assert got[0]["n_hit"][1] == len(hit) and got[0]["item_ids"][1] == ["a", "c", None]

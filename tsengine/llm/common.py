@@ -87,6 +87,11 @@ def added_name(columns: list[str], name: str) -> str:
     return out
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def uniform(*columns: Column | str) -> Column:
     """A number in (0, 1) fixed by the columns: the first 13 hex digits of an md5, offset by half a step."""
     text = F.concat_ws("|", *[c if isinstance(c, Column) else F.lit(c) for c in columns])

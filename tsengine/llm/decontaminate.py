@@ -1,24 +1,28 @@
 """Benchmark decontamination (operator 3): an FM-index for each training shard.
 
-A shard is a run of whole documents of about ``SHARD_BYTES``. Its words become symbols of the alphabet of
-benchmark words; all other words are one separator, and stretches between separators that are
+A shard is a run of whole documents of about ``SHARD_BYTES``, or a piece of a longer document that takes up the last words of
+the piece before it. Its words become symbols of the alphabet of benchmark words; all other words are one separator, and stretches between separators that are
 shorter than the shortest test phrase cannot hold one and are left out. Test phrases (windows of
-consecutive item words) are searched backward through wavelet-tree ranks, all at once, occurrences
+consecutive item words) whose words all stand in the shard are searched backward through wavelet-tree ranks, all at once, occurrences
 are located by sampled suffix positions, and the covered words are merged into removal spans.
 
-Documents are never shuffled. Items go out in blocks of at most ``BLOCK_WORDS`` words; each block is a
-broadcast of that bound and one pass over the documents, so a benchmark of any size works.
+Documents are never shuffled and are read once. The phrases are built by Spark: long items are cut into pieces that overlap by a window less one word, pieces
+are grouped into blocks of about ``BLOCK_WORDS`` words, and each block is a set of flat arrays in the shared folder
+(the words, where each different window starts, and which items it is of). Tasks map them into memory and keep the last ones used, so a benchmark of any size works.
 Word hashes have 64 bits; a match takes as many equal hashes as the phrase has words.
 
 Null texts and empty texts have no words and are never hit; null items and items without words have
 no window. Repeated rows and equal ids are handled each; item ids are a set of strings, in which
 all items without an id are one null, the last: it counts in ``n_items`` and is left out of ``items_sha256``, as in the SQL. With an
-empty benchmark nothing is hit. Columns with whatever names are passed on untouched.
+empty benchmark nothing is hit. Columns with whatever names are passed on untouched; the five columns that are added stand last, and
+one whose name the input has is called name_2 (``common.added_name``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,145 +30,227 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_one, stored, utf8_pieces
+from .common import added_name, as_one, mix64, open_folder, quoted, shared_folder, stored
 from .fm_index import FMIndex
-from .words import words_of
+from .words import word_parts
 
-WINDOW, SHARD_BYTES, BLOCK_WORDS = 10, 2 << 20, 2_000_000
+WINDOW, SHARD_BYTES, BLOCK_WORDS, PIECE_WORDS = 10, 2 << 20, 4_000_000, 1 << 16
+#: Bytes of phrase blocks that a worker process keeps, beyond the one in use.
+KEPT_BYTES = 128_000_000
+ADDED = [("n_words", "bigint"), ("n_hit", "bigint"), ("span_start", "array<bigint>"), ("span_end", "array<bigint>"), ("item_ids", "array<string>")]
+ARRAYS = {"words": "<u8", "text": "<i4", "start": "<i4", "length": "<i4", "owner_at": "<i4", "owner": "<i4"}
+_kept: dict[str, Phrases] = {}
 
 
 class Phrases:
-    """The distinct windows of a block of items as symbols, and the items of each window."""
-
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
-        codes, owner, length = [], [], []
-        for name, words in items:
-            size = min(window, len(words))
-            for k in range(len(words) - size + 1 if size else 0):
-                codes.append(np.pad(words[k : k + size], (0, window - size)))
-                owner.append(name)
-                length.append(size)
-        table = np.array(codes, np.uint64).reshape(len(codes), window)
-        length = np.array(length, np.int64)
-        self.words = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, np.uint64)
-        symbols = np.where(np.arange(window) < length[:, None], np.searchsorted(self.words, table) + 2, 0).astype(np.int64)
-        self.symbols, which = np.unique(symbols, axis=0, return_inverse=True) if len(symbols) else (symbols, np.zeros(0, np.int64))
-        self.lengths = (self.symbols > 0).sum(1)
-        self.owners: list[set[str]] = [set() for _ in self.symbols]
-        for w, name in zip(which.ravel(), owner, strict=True):
-            self.owners[w].add(name)
-
-    def find(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """(whether each word of the shard is covered, the item ids found in each row)."""
-        covered, found = np.zeros(len(code), np.bool_), {}
-        if not len(self.symbols) or not len(code):
-            return covered, found
+    """The different windows of a block of items, as places in one array of symbols, and the items of each window."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], names: list[str | None]):
+        self.names, self.arrays = names, arrays
+        self.words, self.text, self.start, self.length, self.owner_at, self.owner = (arrays[k] for k in ARRAYS)
+        self.bytes = sum(x.nbytes for x in arrays.values())
+
+    @classmethod
+    def of(cls, items: list[tuple[str | None, np.ndarray]], window: int) -> Phrases:
+        """From pieces of items with their word hashes; a piece shorter than a window is one window."""
+        names = sorted({i for i, _ in items}, key=lambda x: (x is None, x or ""))
+        number = {x: k for k, x in enumerate(names)}
+        size = np.array([len(w) for _, w in items], np.int64)
+        code = np.concatenate([w for _, w in items]) if items else np.zeros(0, np.uint64)
+        words, text = np.unique(code, return_inverse=True)
+        own = np.minimum(size, window)
+        count = np.where(size > 0, size - own + 1, 0)
+        begin = np.cumsum(size) - size
+        piece = np.repeat(np.arange(len(items)), count)
+        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + begin[piece]
+        length = own[piece]
+        # windows with equal names of 128 bits are one
+        padded = np.concatenate([code, np.zeros(window, np.uint64)])
+        a, b = length.astype(np.uint64), mix64(length.astype(np.uint64), 5)
+        for k in range(window):
+            w = np.where(length > k, padded[start + k], np.uint64(0))
+            a, b = mix64(a ^ w, k + 1), mix64(b + w, 99 - k)
+        owner = np.array([number[i] for i, _ in items], np.int64)[piece] if items else piece
+        order = np.lexsort((owner, b, a))
+        a, b, owner, start, length = a[order], b[order], owner[order], start[order], length[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, np.bool_)
+        once = new | np.r_[True, owner[1:] != owner[:-1]] if len(a) else new
+        which = np.cumsum(new) - 1
+        arrays = {"words": words, "text": text.ravel() + 2, "start": start[new], "length": length[new], "owner_at": np.searchsorted(which[once], np.arange(int(new.sum()) + 1)), "owner": owner[once]}
+        return cls({k: np.ascontiguousarray(v, ARRAYS[k]) for k, v in arrays.items()}, names)
+
+    def write(self, folder: str) -> str:
+        store, top = open_folder(folder)
+        name = uuid.uuid4().hex  # a task that runs again writes files of its own
+        store.create_dir(top, recursive=True)
+        for end, data in [*((k, v.tobytes()) for k, v in self.arrays.items()), ("names", json.dumps(self.names).encode())]:
+            with store.open_output_stream(f"{top}/{name}.{end}") as f:
+                f.write(data)
+        return name
+
+    @classmethod
+    def read(cls, folder: str, name: str) -> Phrases:
+        """From the files of a block; mapped where the folder is on a local or mounted disk."""
+        from pyarrow import fs
+
+        if name in _kept:
+            _kept[name] = _kept.pop(name)  # the last one used
+            return _kept[name]
+        store, top = open_folder(folder)
+
+        def get(end, kind):
+            path = f"{top}/{name}.{end}"
+            if isinstance(store, fs.LocalFileSystem) and store.get_file_info(path).size:
+                return np.memmap(path, kind, "r")
+            return np.frombuffer(store.open_input_file(path).read(), kind)
+
+        out = cls({k: get(k, kind) for k, kind in ARRAYS.items()}, json.loads(bytes(get("names", "u1"))))
+        while _kept and sum(x.bytes for x in _kept.values()) + out.bytes > KEPT_BYTES:
+            _kept.pop(next(iter(_kept)))
+        _kept[name] = out
+        return out
+
+    def find(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether each word of the shard is covered, and pairs of a row and an item found there)."""
+        covered, none = np.zeros(len(code), np.bool_), np.zeros(0, np.int64)
+        if not len(self.start) or not len(code):
+            return covered, none, none
         place = np.minimum(np.searchsorted(self.words, code), len(self.words) - 1)
         known = self.words[place] == code
         edge = np.flatnonzero(np.r_[True, (known[1:] != known[:-1]) | (row[1:] != row[:-1])])
         size = np.diff(np.r_[edge, len(code)])
-        keep = known[edge] & (size >= self.lengths.min())
+        keep = known[edge] & (size >= self.length.min())
         first, size = edge[keep], size[keep]
         if not len(first):
-            return covered, found
+            return covered, none, none
         # the stretches one after another, each followed by the separator 1; the sentinel 0 is last
         start = np.cumsum(size + 1) - (size + 1)
         word_at = np.arange(int((size + 1).sum())) - np.repeat(start, size + 1) + np.repeat(first, size + 1)
         text = place[np.minimum(word_at, len(code) - 1)] + 2
         text[start + size] = 1
-        index = FMIndex(np.append(text, 0), len(self.words) + 2)
-        phrase, at = index.locate(*index.search(self.symbols, self.lengths))
+        # the phrases that can occur, and symbols for the words of the shard only
+        here = np.zeros(len(self.words) + 2, np.bool_)
+        here[text] = True
+        here[:2] = True
+        met = np.concatenate([[0], np.cumsum(here[self.text])])
+        phrase = np.flatnonzero(met[self.start + self.length] - met[self.start] == self.length)
+        if not len(phrase):
+            return covered, none, none
+        symbol = np.cumsum(here) - 1
+        index = FMIndex(symbol[np.append(text, 0)], int(here.sum()))
+        length = self.length[phrase].astype(np.int64)
+        which, at = index.locate(*index.search(symbol[self.text], self.start[phrase].astype(np.int64), length))
         begin = word_at[at]
-        change = np.zeros(len(code) + 1, np.int64)
-        np.add.at(change, begin, 1)
-        np.add.at(change, begin + self.lengths[phrase], -1)
-        for r, p in set(zip(row[begin].tolist(), phrase.tolist(), strict=True)):
-            found.setdefault(r, set()).update(self.owners[p])
-        return np.cumsum(change[:-1]) > 0, found
+        change = np.bincount(begin, minlength=len(code) + 1) - np.bincount(begin + length[which], minlength=len(code) + 1)
+        pair = np.unique(row[begin].astype(np.int64) * len(self.start) + phrase[which])
+        r, p = np.divmod(pair, len(self.start))
+        n = (self.owner_at[p + 1] - self.owner_at[p]).astype(np.int64)
+        take = np.repeat(self.owner_at[p] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.cumsum(change[:-1]) > 0, np.repeat(r, n), self.owner[take].astype(np.int64)
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int):
-    """The items as Phrases, a block at a time; one item is never split."""
+def write_phrases(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> tuple[str, list[str]]:
+    """(folder, names of blocks): the items' windows as files."""
     def run(batches):
         for batch in batches:
-            ids, values = batch.column(0), as_one(batch, "t")
-            for at, data, starts in utf8_pieces(values):
-                row, _, _, code = words_of(data, starts)
-                for r, codes in enumerate(np.split(code, np.searchsorted(row, np.arange(1, len(starts) - 1)))):
-                    yield pa.RecordBatch.from_arrays([ids.slice(at + r, 1), pa.array([len(codes)], pa.int64()), pa.array([codes.astype("<u8").tobytes()])], names=["i", "n", "c"])
+            ids, parts = batch.column(0), []
+            for at, n, row, _, _, code, _, ends in word_parts(as_one(batch, "t")):
+                parts.append(code)
+                if not ends:
+                    continue
+                code, parts = np.concatenate(parts), []
+                for r, codes in enumerate(np.split(code, np.searchsorted(row, np.arange(1, n))) if n > 1 else [code]):
+                    pieces = [codes[k : k + PIECE_WORDS + window - 1].astype("<u8").tobytes() for k in range(0, max(len(codes) - window + 1, 1), PIECE_WORDS) if len(codes)]
+                    if pieces:
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([at + r] * len(pieces))), pa.array(pieces, pa.binary())], names=["i", "c"])
 
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, "i string, n long, c binary").where("n > 0")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, "i string, c binary")
     items = stored(items, "items")
-    blocks = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // block_words))
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()
-        yield k == blocks - 1, Phrases([(r["i"], np.frombuffer(r["c"], "<u8")) for r in part], window)
+    total = (items.agg(F.sum(F.length("c"))).first()[0] or 0) // 8
+    blocks, folder = max(1, -(-total // block_words)), shared_folder(benchmark.sparkSession, "phrases")
+
+    def build(table: pa.Table) -> pa.Table:
+        pieces = [(i, np.frombuffer(c, "<u8")) for i, c in zip(table.column("i").to_pylist(), table.column("c").to_pylist(), strict=True)]
+        return pa.table({"name": [Phrases.of(pieces, window).write(folder)]})
+
+    made = items.withColumn("block", F.pmod(F.xxhash64("i", "c"), F.lit(blocks))).groupBy("block").applyInArrow(build, "name string")
+    return folder, [r["name"] for r in stored(made, "blocks").orderBy("name").collect()]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` and n_words, n_hit, span_start and span_end (merged removal spans in UTF-8 bytes), item_ids (sorted strings)."""
-    added = [("n_words", "bigint"), ("n_hit", "bigint"), ("span_start", "array<bigint>"), ("span_end", "array<bigint>"), ("item_ids", "array<string>")]
+    folder, blocks = write_phrases(benchmark, item_col, item_text_col, window, block_words)
     names = docs.columns
     at_text = names.index(text_col)
-    out = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    sparse = [f"cast(null as {kind}) as {n}" for n, kind in added]
-    out = out.selectExpr("*", *sparse)
-    fields = T.StructType(out.schema.fields)
-    for last, phrases in _item_blocks(benchmark, item_col, item_text_col, window, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def run(batches, sent=sent):
-            for batch in batches:
-                yield _search(batch, sent.value, at_text)
-
-        out = out.mapInArrow(run, fields)
-        out = out if last else stored(out, "searched")
-    return out.toDF(*names, *[n for n, _ in added])
-
-
-def _search(batch: pa.RecordBatch, phrases: Phrases, at_text: int) -> pa.RecordBatch:
-    values = as_one(batch, batch.schema.names[at_text])
-    old = [batch.column(batch.num_columns - k).to_pylist() for k in (3, 2, 1)]
-    n_words, n_hit, spans = [], [], ([], [], [])
-    for at, data, starts in utf8_pieces(values, SHARD_BYTES):
-        row, first, end, code = words_of(data, starts)
-        covered, found = phrases.find(row, code)
-        rows = len(starts) - 1
-        ends = np.searchsorted(row, np.arange(rows + 1))
-        n_words.append(np.diff(ends))
-        hit = np.bincount(row[covered], minlength=rows)
-        for r in range(rows):
-            mark = covered[ends[r] : ends[r + 1]]
-            before = old[0][at + r]
-            if not hit[r] and not before:
-                for x in spans:
-                    x.append([])
-                continue
-            a, b = first[ends[r] : ends[r + 1]] - starts[r], end[ends[r] : ends[r + 1]] - starts[r]
-            for x, y in zip(before or [], old[1][at + r] or [], strict=True):
-                mark = mark | ((a >= x) & (b <= y))
-            hit[r] = mark.sum()
-            edge = np.diff(np.r_[0, mark.astype(np.int8), 0])
-            spans[0].append(a[np.flatnonzero(edge == 1)].tolist())
-            spans[1].append(b[np.flatnonzero(edge == -1) - 1].tolist())
-            spans[2].append(sorted(found.get(r, set()) | set(old[2][at + r] or []), key=lambda x: (x is None, x or "")))
-        n_hit.append(hit)
-    whole = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    new = [whole(n_words), whole(n_hit), *(pa.array(x, pa.list_(k)) for x, k in zip(spans, (pa.int64(), pa.int64(), pa.string()), strict=True))]
-    return pa.RecordBatch.from_arrays([*batch.columns[:-5], *new], names=batch.schema.names)
+    inner = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    added = T._parse_datatype_string(", ".join(f"{n} {kind}" for n, kind in ADDED)).fields
+
+    def run(batches):
+        for batch in batches:
+            yield _search(batch, folder, blocks, at_text, window)
+
+    out = inner.mapInArrow(run, T.StructType([*inner.schema.fields, *added]))
+    new: list[str] = []
+    for n, _ in ADDED:
+        new.append(added_name([*names, *new], n))
+    return out.toDF(*names, *new)
+
+
+def _search(batch: pa.RecordBatch, folder: str, blocks: list[str], at_text: int, window: int) -> pa.RecordBatch:
+    n_words = np.zeros(batch.num_rows, np.int64)
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}  # of each row the runs of covered words: first, end, first byte, end byte
+    found: dict[int, set[str | None]] = {}
+    carry = None
+    for at, n, row, first, end, code, begins, ends in word_parts(as_one(batch, batch.schema.names[at_text]), SHARD_BYTES):
+        new = len(code)
+        if not begins:  # the row goes on: its last words once more, as a window may stand across
+            row, first, end, code = (np.concatenate([x, y]) for x, y in zip(carry, (row, first, end, code), strict=True))
+        carry = None if ends else tuple(x[max(0, len(code) - window + 1) :] for x in (row, first, end, code))
+        covered = np.zeros(len(code), np.bool_)
+        for name in blocks:
+            phrases = Phrases.read(folder, name)
+            more, r, owner = phrases.find(row, code)
+            covered |= more
+            for x, y in zip(r.tolist(), owner.tolist(), strict=True):
+                found.setdefault(at + x, set()).add(phrases.names[y])
+        edges = np.searchsorted(row, np.arange(n + 1))
+        base = n_words[at] - (len(code) - new) if n == 1 else 0
+        n_words[at : at + n] += np.diff(edges) if n > 1 else new
+        if not covered.any():
+            continue
+        start = np.flatnonzero(covered & np.r_[True, ~covered[:-1] | (row[1:] != row[:-1])])
+        stop = np.flatnonzero(covered & np.r_[~covered[1:] | (row[1:] != row[:-1]), True])
+        for r, x, y in zip(row[start].tolist(), start.tolist(), stop.tolist(), strict=True):
+            w = int(base) - int(edges[r])
+            run, own = (x + w, y + 1 + w, int(first[x]), int(end[y])), runs.setdefault(at + r, [])
+            while own and run[0] <= own[-1][1]:  # goes on from the piece before
+                a, b, c, d = own.pop()
+                run = (min(a, run[0]), max(b, run[1]), min(c, run[2]), max(d, run[3]))
+            own.append(run)
+    n_hit = np.zeros(batch.num_rows, np.int64)
+    begins_at, ends_at, names = ([[] for _ in range(batch.num_rows)] for _ in range(3))
+    for r, own in runs.items():
+        n_hit[r] = sum(y - x for x, y, _, _ in own)
+        begins_at[r], ends_at[r] = [a for _, _, a, _ in own], [b for _, _, _, b in own]
+        names[r] = sorted(found[r], key=lambda x: (x is None, x or ""))
+    lists = [pa.array(x, pa.list_(pa.int64())) for x in (begins_at, ends_at)] + [pa.array(names, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words), pa.array(n_hit), *lists], names=[*batch.schema.names, *(n for n, _ in ADDED)])
 
 
 def contamination_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: counts, and the SHA-256 of its item ids joined by commas."""
-    return found.select(F.col(id_col), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    n_words, n_hit, _, _, items = quoted(found.columns[-5:])
+    return found.select(F.col(id_col), n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def cut_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
     """``found`` with its removal spans cut out of the text, one space in place of each; other texts unchanged."""
-    raw = F.col(text_col).cast("binary")
-    kept = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), "span_end").alias("a"), F.concat("span_start", F.array(F.octet_length(raw).cast("long"))).alias("b"))
+    _, n_hit, start, end, _ = quoted(found.columns[-5:])
+    text = quoted([text_col])[0]
+    raw = text.cast("binary")
+    kept = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), end).alias("a"), F.concat(start, F.array(F.octet_length(raw).cast("long"))).alias("b"))
     cut = F.concat_ws(" ", F.transform(kept, lambda x: F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")).cast("string")))
-    return found.withColumn(text_col, F.when(F.col("n_hit") > 0, cut).otherwise(F.col(text_col)))
+    return found.withColumn(text_col, F.when(n_hit > 0, cut).otherwise(text))
 
 
 def items_sha256(items: list[str]) -> str:

@@ -71,15 +71,15 @@ class FMIndex:
         self.sample_at = np.concatenate([[0], np.cumsum(sampled)])
         self.sampled, self.samples = sampled, order[sampled]
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix range [low, high) of each phrase, a row padded on its right."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
+    def search(self, text: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix range [low, high) of each phrase; a phrase is ``lengths`` symbols of ``text`` from ``start`` on."""
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
         live = np.flatnonzero(lengths > 0)
         for k in range(int(lengths.max(initial=0))):
             live = live[(lengths[live] > k) & (low[live] < high[live])]
             if not len(live):
                 break
-            c = phrases[live, lengths[live] - 1 - k]
+            c = text[start[live] + lengths[live] - 1 - k]
             low[live] = self.before[c] + self.tree.rank(c, low[live])
             high[live] = self.before[c] + self.tree.rank(c, high[live])
         return low, high

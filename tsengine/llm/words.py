@@ -8,8 +8,9 @@ are word bytes, so the split is done on UTF-8 bytes without decoding.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-from .common import mix64
+from .common import mix64, utf8_pieces
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -62,6 +63,50 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, first, end, code
 
 
+def word_parts(values: pa.Array, limit: int = 1 << 20):
+    """The words of a string array in parts of about ``limit`` bytes, so a text of any length takes no more memory than its words need.
+
+    Yields (first row, number of rows, row, first byte, end byte, hash, begins, ends): rows counted from the first one of the part, bytes
+    from the start of each text. A part is a run of whole rows, or a piece of one long row, cut between words; begins and
+    ends tell whether it holds the row's first and last words. A word is never cut, however long.
+    """
+    for at, data, starts in utf8_pieces(values, limit):
+        if len(starts) > 2 or len(data) <= 2 * limit:
+            row, first, end, code = words_of(data, starts)
+            yield at, len(starts) - 1, row, first - starts[row], end - starts[row], code, True, True
+            continue
+        begin = 0
+        while begin < len(data):
+            stop = min(begin + limit, len(data))
+            while stop < len(data):
+                inside = _IS_WORD[data[stop : stop + 4096]]
+                gap = int(inside.argmin())
+                stop += len(inside) if inside[gap] else gap
+                if not inside[gap]:
+                    break
+            row, first, end, code = words_of(data[begin:stop], np.array([0, stop - begin]))
+            yield at, 1, row, first + begin, end + begin, code, begin == 0, stop == len(data)
+            begin = stop
+
+
+def shingle_parts(values: pa.Array, size: int, limit: int = 1 << 20):
+    """(first row, number of rows, row, shingle hash) of runs of whole rows; of a long row its words come in parts, its shingles at once."""
+    kept: list[np.ndarray] = []
+    carry = np.zeros(0, np.uint64)
+    for at, n, row, _, _, code, begins, ends in word_parts(values, limit):
+        if begins and ends:
+            yield at, n, *shingles(code, row, size)
+            continue
+        code = code if begins else np.concatenate([carry, code])
+        carry = code[max(0, len(code) - size + 1) :]
+        if len(code) >= size:
+            kept.append(shingles(code, np.zeros(len(code), np.int64), size)[1])
+        if ends:
+            codes = np.concatenate(kept) if kept else shingles(code, np.zeros(len(code), np.int64), size)[1]
+            kept, carry = [], np.zeros(0, np.uint64)
+            yield at, n, np.zeros(len(codes), np.int8), codes
+
+
 def shingles(code: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every run of ``size`` words inside a row; a shorter row, not empty, is one shingle."""
     n = len(code)
