@@ -428,3 +428,34 @@ def test_long_text_in_pieces(monkeypatch):
     assert got[0] == got[1] and got[0]["n_words"] == [2, 6000, 0, 0, got[0]["n_words"][4]]
     hit = {k for a, b in ((90, 150), (2000, 2012), (5990, 6000)) for k in range(a, b)}
     assert got[0]["n_hit"][1] == len(hit) and got[0]["item_ids"][1] == ["a", "c", None]
+
+
+def test_near_duplicates_without_ids(spark):
+    """One row of each group is kept, also among rows without an id, rows that share one, and repeated rows."""
+    base = [prose(k, 80) for k in range(6)]
+    near = base[0].replace(base[0].split()[40], "changed", 1)
+    rows = [(None, base[0]), (None, base[0]), (None, near), (5, base[1]), (5, base[1]), (None, base[1]), (7, base[2]), (7, base[3]), (8, base[3]), (9, None), (9, ""), (None, "?!"), (10, base[4])]
+    frame = spark.createDataFrame([(k, t, "z") for k, t in rows], "doc_id long, text string, component string").withColumns({c: F.lit(1) for c in ("class_a", "kept", "n", "hot", "k_")})
+    got = minhash.near_duplicates(frame).toPandas()
+    assert len(got) == len(rows) and got.kept.sum() == 1 + 1 + 1 + 1 + 3 + 1
+    assert sorted(got[got.component == 5].kept) == [False, False, True] and sorted(got[got.component == 7].doc_id) == [7, 7, 8]
+    out = minhash.drop_near_duplicates(frame)
+    left = out.toPandas()
+    assert out.columns == frame.columns and len(left) == 8
+    assert sorted(left.text.fillna("-")) == sorted([base[0] if base[0] in set(left.text) else near, base[1], base[2], base[3], base[4], "-", "", "?!"])
+
+
+def test_hot_bucket_is_dealt(spark, monkeypatch):
+    """Hot buckets give the same groups."""
+    draw = random.Random(5)
+    base = prose(1, 200).split()
+    texts = []
+    for k in range(60):
+        t = list(base)
+        t[draw.randrange(200)] = f"n{k}"
+        texts.append(" ".join(t))
+    frame = spark.createDataFrame(list(enumerate(texts + [prose(k, 50) for k in range(50, 60)])), "doc_id long, text string")
+    want = {r["doc_id"]: r["component"] for r in minhash.near_duplicates(frame).collect()}
+    monkeypatch.setattr(minhash, "max", lambda *x: 5, raising=False)  # the least size of a hot bucket
+    assert {r["doc_id"]: r["component"] for r in minhash.near_duplicates(frame).collect()} == want
+    assert {want[k] for k in range(60)} == {0} and all(want[k] == k for k in range(60, 70))
