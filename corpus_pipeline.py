@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsengine.llm.common import stored
+from tsengine.llm.common import added_name, n_scratch, quoted, remove_scratch, stored
 from tsengine.llm.decontaminate import cut_spans, find_contamination
 from tsengine.llm.minhash import drop_near_duplicates
 from tsengine.llm.mix import mix_sources, repeat_copies
@@ -21,7 +21,8 @@ from tsengine.llm.token_files import read_token_files, write_token_files
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below the threshold go."""
     ranker = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, ranker).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    name = added_name(docs.columns, "score")
+    return score_quality(docs, ranker, score_col=name).where(F.col(name) >= THRESHOLD).select(*quoted(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out; documents without any stay as they are."""
     found = cut_spans(find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return found.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_hit = quoted(found.columns)[-4]
+    return found.withColumn("n_chars", F.when(n_hit > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*quoted(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    return repeat_copies(mix_sources(docs), docs.columns)
+    mixed = mix_sources(docs)
+    return repeat_copies(mixed, docs.columns, mixed.columns[-2])
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +55,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before = n_scratch()
+        out = stage(spark, docs, sf_dir)
+        inner = n_scratch()
+        docs = stored(out, name)
+        remove_scratch(before, inner)  # what only this stage needed
     return docs

@@ -459,3 +459,96 @@ def test_hot_bucket_is_dealt(spark, monkeypatch):
     monkeypatch.setattr(minhash, "max", lambda *x: 5, raising=False)  # the least size of a hot bucket
     assert {r["doc_id"]: r["component"] for r in minhash.near_duplicates(frame).collect()} == want
     assert {want[k] for k in range(60)} == {0} and all(want[k] == k for k in range(60, 70))
+
+
+def test_held_out_credentials(spark):
+    """With the base patterns hidden, formats learned from some labelled credentials find the others among all candidates."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").where("text is not null").collect()]
+    found = {"other": set()}
+    for t in texts:
+        base = secrets.base_spans(t)
+        for b in base:
+            found.setdefault(secrets.KINDS[b[1]], set()).add(secrets.value_of(t, b))
+        found["other"].update(t[a:b] for a, b in secrets.candidates(t, base))
+    out = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % 4 == 0
+    formats = secrets.Formats({k: [s for s in sorted(v) if not out(s)] for k, v in found.items()})
+    held = {k: [s for s in v if out(s)] for k, v in found.items()}
+    hits = sum(formats.is_secret(s) for k, v in held.items() if k != "other" for s in v)
+    wrong = sum(map(formats.is_secret, held["other"]))
+    assert hits >= 0.98 * sum(len(v) for k, v in held.items() if k != "other") > 100 and wrong == 0
+    assert len(formats.kinds["hex"][1].step) > 1 and len(formats.kinds["assign"][1].step) > 1
+
+
+def test_ranker_by_another_solver():
+    """Plain gradient descent on the same pairs ends at the same order."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(300, len(quality.FEATURES)))
+    label = (x[:, 0] - 0.5 * x[:, 3] + draw.normal(size=300) * 0.5 > 0).astype(int)
+    got = quality.fit_ranker(x, label, ridge=0.05)
+    z = np.clip((x - x.mean(0)) / x.std(0), -5, 5)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    d = (z[good][:, None] - z[bad][None]).reshape(-1, z.shape[1])  # all pairs instead of drawn ones
+    w = np.zeros(z.shape[1])
+    for _ in range(1500):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 0.05 * w)
+    assert np.corrcoef(z @ w, got.latent(x))[0, 1] > 0.99
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage on a small corpus against a brute-force version of it; columns stay, scratch folders go."""
+    import re
+    from pathlib import Path
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    passage = prose(70, 40)
+    texts = [prose(k, 80) if k % 4 else " ".join(w + "$$$" for w in prose(k, 80).split()) for k in range(60)]
+    texts[1] += " " + passage + " " + prose(71, 30)
+    near = texts[2].split()
+    near[50] = "changed"
+    texts += [texts[2], " ".join(near), texts[3]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, n_hit string, size string, copies int"
+    rows = [(k, t, "x", f"s{k % 2}", len(t), "s", "h", "z", 7) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        docs = out.cache()
+        seen[name] = docs.orderBy("doc_id").collect()
+    assert {r["doc_id"] for r in seen["quality"]} == {k for k in range(63) if k >= 60 or k % 4}
+    assert {r["doc_id"] for r in seen["near_dedup"]} == {k for k in range(60) if k % 4}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    got = {r["doc_id"]: r for r in seen["decontaminate"]}
+    assert set(got) == {k for k in range(60) if k % 4} and all(got[k]["text"] == texts[k] for k in got if k != 1)
+    assert words(got[1]["text"]) == words(texts[1].replace(passage, " ")) and got[1]["n_chars"] == len(got[1]["text"])
+    assert all((r["score"], r["n_hit"], r["size"], r["copies"]) == ("s", "h", "z", 7) for r in seen["mix"])
+    size = {k: len(got[k]["text"].split()) for k in got}
+    taken = {}
+    for r in seen["mix"]:
+        assert r["text"] == got[r["doc_id"]]["text"]
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + 1
+    assert max(taken.values()) <= 2
+    total = {s: sum(n for k, n in size.items() if k % 2 == s) for s in (0, 1)}
+    rate = 1.5 * sum(total.values()) / 7
+    target = {0: 2 * total[0], 1: 1.5 * sum(total.values()) - 2 * total[0]} if rate * 5 >= 2 * total[0] else {0: rate * 5, 1: rate * 2}
+    for s in (0, 1):
+        assert abs(sum(size[k] * n for k, n in taken.items() if k % 2 == s) - target[s]) <= max(size.values())
+    from tsengine.llm import common
+
+    before = common.n_scratch()
+    final = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+    assert common.n_scratch() - before == len(corpus_pipeline.STAGES)
+    lib, at = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), 0
+    assert [r["doc_id"] for r in final] == sorted(k for k, n in taken.items() for _ in range(n))
+    for r in final:
+        ids = np.array([*lib.encode(got[r["doc_id"]]["text"], add_special_tokens=False).ids, 2], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    folder = Path(common._made[-1].removeprefix("file://"))
+    assert folder.exists()
+    common.remove_scratch(before)
+    assert not folder.exists()

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 _made: list[str] = []  # folders of this process that still exist
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+def shared_folder(spark: SparkSession, name: str, scratch: bool = True) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; ``scratch``: ``remove_scratch`` may remove it.
 
     The setting is read from the session. Where it is unset, a session with a local master gets a
     local folder; on a cluster that is an error.
@@ -27,24 +27,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(root)
-    if not _made:
-        atexit.register(remove_scratch)
-    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if scratch:
+        if not _made:
+            atexit.register(remove_scratch)
+        _made.append(folder)
+    return folder
 
 
-def remove_scratch(since: int = 0) -> None:
-    """Remove the folders made so far, from the ``since``-th on; results that read them can't be read afterwards.
+def remove_scratch(since: int = 0, until: int | None = None) -> None:
+    """Remove the folders made so far, or those from ``since`` to ``until`` by number; results that read them can't be read afterwards.
 
     Called at the end of the process, by the pipeline after each stage, and by callers who have used their results.
     """
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
-    for folder in _made[since:]:
+    for folder in _made[since:until]:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:]
+    del _made[since:until]
 
 
 def n_scratch() -> int:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 
-#: Symbols: a character's class, so that one example stands for others of its format.
-_CLASS = {**dict.fromkeys("abcdef", "x"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("ABCDEF", "X"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "0")}
-SYMBOLS = "xaXA0" + "+/_.=-"
+#: A character's class, so that one example stands for others of its format: digits, hex letters, vowels and consonants of either case; other characters stand for themselves.
+_CLASS = {c: k for k, cs in {"0": "0123456789", "x": "abcdef", "v": "iouy", "c": "ghjklmnpqrstvwxz", "X": "ABCDEF", "V": "IOUY", "C": "GHJKLMNPQRSTVWXZ"}.items() for c in cs}
+SYMBOLS = "0xvcXVC" + "+/_.=-"
+#: The first symbol of a string tells its length: one symbol a length up to LONG, one for all beyond.
+LONG, HEAD = 128, 0x100
 
 
 def symbols_of(text: str, fixed: str = "") -> str:
-    """The classes of a string's characters; a fixed prefix stands as it is, one symbol."""
+    """Length, fixed prefix (one symbol, if the string has it) and the classes of the other characters."""
     head = "P" if fixed and text.startswith(fixed) else ""
-    return head + "".join(_CLASS.get(c, c) for c in text[len(fixed) if head else 0 :])
+    return chr(HEAD + min(len(text), LONG)) + head + "".join(_CLASS.get(c, c) for c in text[len(fixed) if head else 0 :])
 
 
 class Automaton:
@@ -87,7 +89,7 @@ class Automaton:
                 kept.append(b)
             edge = sorted({(k, c) for k in kept for c, to in self.next[k].items() if to not in kept})
         index = {k: i for i, k in enumerate(kept)}
-        width = len(SYMBOLS) + 2
+        width = len(SYMBOLS) + 2  # with the fixed prefix and the end; the length is a symbol of the first state only
         self.step = [{c: (index[to], math.log((self.count[k].get(c, 0) + 0.05) / (self.seen[k] + 0.05 * width))) for c, to in self.next[k].items() if to in index} for k in kept]
         self.end = [math.log((self.ends[k] + 0.05) / (self.seen[k] + 0.05 * width)) for k in kept]
         self.miss = [math.log(0.05 / (self.seen[k] + 0.05 * width)) for k in kept]

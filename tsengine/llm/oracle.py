@@ -119,3 +119,31 @@ WITH RECURSIVE raw AS (
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings LEFT JOIN degree USING (vec_id) LEFT JOIN component USING (vec_id)
 """
+
+
+def _spans(kind: str, place: int, pattern: str, keep: str) -> str:
+    """Matches of a pattern with their starts: the lengths of the gaps and matches before them."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {place} AS k, a, a + len(f) AS z FROM (
+  SELECT doc_id, found[i] AS f, list_sum(list_transform(gaps[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: len(x))), 0) AS a FROM (
+    SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS gaps FROM d))) WHERE {keep}"""
+
+
+ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+#: The base spans of operator 5.
+SECRETS = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), s AS (
+  {_spans("assign", 0, ASSIGN, f"len(regexp_extract(f, '{ASSIGN}', 1)) >= 12")}
+  UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "len(f) >= 18")}
+  UNION ALL {_spans("hex", 2, "[0-9a-f]+", "len(f) >= 16")}
+), g AS (
+  SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+    string_agg(kind || ':' || a::BIGINT || ':' || z::BIGINT, ',' ORDER BY a, k) AS base_spans
+  FROM s GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  coalesce(base_spans, '') AS base_spans, sha256(coalesce(base_spans, '')) AS base_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""

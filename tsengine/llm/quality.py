@@ -10,8 +10,9 @@ what reaches the driver is bounded: a short vector of numbers for each. Scoring
 text once, without a shuffle. Labels, language, source and ids are never inputs of a score.
 
 Null text counts as empty and gets the score of the empty text. A null id is not held out and has
-no label. Null labels are left out of training; of repeated label rows each counts, of repeated documents
-with one id one. With no label of either class every score is 0.5. Other columns are left out.
+no label. Null labels are left out of training; equal label rows count once, an id with both labels counts as one row of each,
+of repeated documents with one id one is taken. With no label of either class every score is 0.5. Ties in score are ties. Other columns, whatever their names, pass through:
+``score_col`` must be a new name (``common.added_name`` gives one).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 THRESHOLD, MAX_LABELLED, PAIRS_EACH = 0.3, 8_000, 4
 FEATURES = (
     "log_words", "word_length", "long_words", "distinct_words", "top_word", "distinct_lines", "line_words", "upper", "digits", "symbols",
@@ -131,4 +134,4 @@ def score_quality(docs: DataFrame, ranker: Ranker, text_col: str = "text", score
         x = np.array([text_features(t if isinstance(t, str) else "") for t in texts], float).reshape(len(texts), len(FEATURES))
         return pd.Series(ranker.score(x))
 
-    return docs.withColumn(score_col, score(F.col(text_col)))
+    return docs.select("*", score(quoted([text_col])[0]).alias(score_col))

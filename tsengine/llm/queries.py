@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import fit_roles, format_chats
+from .common import shared_folder
 from .decontaminate import contamination_digest, find_contamination
 from .embed_dedup import similar_vectors
 from .minhash import near_duplicates
 from .mix import mix_sources
-from .oracle import DECONTAMINATE, EMBEDDINGS, MIX, REPEATS
+from .oracle import DECONTAMINATE, EMBEDDINGS, MIX, REPEATS, SECRETS
 from .quality import THRESHOLD, held_out, score_quality, train_quality
 from .secrets import find_secrets, secrets_digest
 from .suffix_dedup import remove_repeats, repeats_digest
@@ -43,13 +44,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_token_files(spark, write_token_files(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+    folder = shared_folder(spark, "token-files")
+    return read_token_files(spark, write_token_files(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(find_secrets(_read(spark, sf_dir, "documents")))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 5 that SQL can express: its spans without those of the learned formats."""
+    found = find_secrets(_read(spark, sf_dir, "documents")).withColumn("spans", F.filter("spans", lambda x: x["kind"] != "format"))
+    return secrets_digest(found).withColumnRenamed("spans", "base_spans")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(remove_repeats(_read(spark, sf_dir, "documents")))
 
@@ -72,5 +80,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_decontaminate, op4_token_files, op5_secret_scan, op6_suffix_dedup, op7_minhash_dedup, op8_token_counts, op9_quality, op10_embedding_dedup)}
-ORACLE_SQL = {"op2_mix_sources": MIX, "op3_decontaminate": DECONTAMINATE, "op6_suffix_dedup": REPEATS, "op10_embedding_dedup": EMBEDDINGS}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_decontaminate, op4_token_files, op5_secret_scan, op6_suffix_dedup, op7_minhash_dedup, op8_token_counts, op9_quality, op10_embedding_dedup, secret_base_spans)}
+ORACLE_SQL = {"op2_mix_sources": MIX, "op3_decontaminate": DECONTAMINATE, "op6_suffix_dedup": REPEATS, "op10_embedding_dedup": EMBEDDINGS, "secret_base_spans": SECRETS}

@@ -6,8 +6,10 @@ probabilistic automaton is inferred by merging compatible states of the prefix t
 is inferred from other candidates. A candidate is any run of
 ``[A-Za-z0-9+/_.=-]`` of ``MIN_CANDIDATE`` characters or more with letters and digits that no base span overlaps; of a run that one
 overlaps, the parts between dots are judged alike. All candidates are
-scored: one whose best format likelihood a symbol beats the background's by ``MARGIN`` and is no less than ``FLOOR`` below the
-mean of that format's own examples is added as a span of kind ``format``.
+scored: one whose best format likelihood a symbol beats the background's by a margin and is no less than a floor below the
+mean of that format's own examples is added as a span of kind ``format``. Both bounds are set on examples that
+the automata don't see (one of ``FOLDS``): the floor lets ``RECALL`` of the format's own pass, the margin stands between those and the other
+candidates, ``MARGIN`` at least where the examples pass it. With fewer than ``ENOUGH`` such examples they are ``FLOOR`` and ``MARGIN``.
 
 Spans are in code points, end exclusive. Every whole text is scanned where it lies, without a shuffle, once to learn and once to mark. The examples of a kind are
 the ``EXAMPLES`` strings of all documents with the smallest hashes, each whole; a kind with fewer than 5 different strings in the table is
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from statistics import fmean
 
 import pandas as pd
@@ -39,7 +42,7 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 MIN_CANDIDATE, MARGIN, FLOOR = LEAST["assign"], 0.35, 0.6
 CANDIDATE = re.compile(f"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
 PART = re.compile(f"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}")
-EXAMPLES = 400
+EXAMPLES, FOLDS, ENOUGH, RECALL = 400, 5, 5, 0.98
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,22 +74,42 @@ def value_of(text: str, span: tuple[int, int, int]) -> str:
     return ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
 
 
+def _fold(s: str) -> int:
+    return zlib.crc32(s.encode("utf-8", "replace")) % FOLDS
+
+
 class Formats:
-    """One automaton a kind of credential and one for other candidates."""
+    """One automaton a kind of credential and one for other candidates, with bounds set on examples they don't see."""
 
     def __init__(self, examples: dict[str, list[str]]):
         self.kinds = {}
+        others = examples.get("other", [])
+        seen = [s for s in others if _fold(s)] or others
+        self.other = Automaton([symbols_of(s) for s in seen] or [symbols_of(c * 16) for c in "a0x"])
         for kind, strings in examples.items():
-            if kind != "other" and len(strings) >= 5:
-                fixed = "AKIA" if kind == "access" else ""
-                coded = [symbols_of(s, fixed) for s in strings]
-                model = Automaton(coded)
-                self.kinds[kind] = (fixed, model, fmean(map(model.score, coded)))
-        self.other = Automaton([symbols_of(s) for s in examples.get("other", [])] or ["a" * 16, "0" * 16, "x" * 16])
+            if kind == "other" or len(strings) < 5:
+                continue
+            fixed = "AKIA" if kind == "access" else ""
+            coded = [symbols_of(s, fixed) for s in strings if _fold(s)] or [symbols_of(s, fixed) for s in strings]
+            model = Automaton(coded)
+            mean = fmean(map(model.score, coded))
+            gain = lambda s, model=model, fixed=fixed: model.score(symbols_of(s, fixed)) - self.other.score(symbols_of(s))
+            own = [s for s in strings if not _fold(s)]
+            floor, margin = FLOOR, MARGIN
+            if len(own) >= ENOUGH:
+                least = lambda values: sorted(values)[int((1 - RECALL) * len(own))]
+                floor = mean - least(model.score(symbols_of(s, fixed)) for s in own) + 0.05
+                gains, most = least(map(gain, own)), max(map(gain, others), default=0.0)
+                margin = min(gains, max(MARGIN, (gains + most) / 2))
+            self.kinds[kind] = (fixed, model, mean, floor, margin)
 
     def is_secret(self, s: str) -> bool:
-        best = max(((v := model.score(symbols_of(s, fixed))), v - mean) for fixed, model, mean in self.kinds.values()) if self.kinds else None
-        return best is not None and best[1] >= -FLOOR and best[0] - self.other.score(symbols_of(s)) >= MARGIN
+        plain = self.other.score(symbols_of(s))
+        for fixed, model, mean, floor, margin in self.kinds.values():
+            score = model.score(symbols_of(s, fixed))
+            if score >= mean - floor and score - plain >= margin > 0:
+                return True
+        return False
 
 
 def learn_formats(docs: DataFrame, text_col: str = "text", examples: int = EXAMPLES) -> Formats:

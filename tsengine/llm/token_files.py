@@ -101,7 +101,7 @@ def _latin(text: str) -> bool:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every whole text, append ``end_id``, write the files; returns the folder (a new shared one if not given)."""
     spark = docs.sparkSession
-    folder = folder or shared_folder(spark, "token-files")
+    folder = folder or shared_folder(spark, "token-files", scratch=False)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     order = [F.col("id").asc_nulls_last(), F.xxhash64("t"), F.col("t")]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
