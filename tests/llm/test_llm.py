@@ -552,3 +552,28 @@ def test_pipeline(spark, tmp_path):
     assert folder.exists()
     common.remove_scratch(before)
     assert not folder.exists()
+
+
+def test_sliced_texts(monkeypatch):
+    """Long texts give the same tokens in slices."""
+    from tokenizers import Tokenizer
+
+    from tsengine.llm import common
+
+    cut = common.slices
+    small = lambda text, pattern: cut(text, pattern, 50)
+    monkeypatch.setattr(token_counts, "slices", small)
+    monkeypatch.setattr(token_files, "slices", small)
+    text = prose(3, 900) + "  \n\n x\u00a0y  " + "\u65e5\u672c " * 40 + " don't  'll " + prose(4, 100) + "z" * 300
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
+    assert len(list(small(text, token_counts.CUT))) > 20
+    assert token_counts.Counts(a).count([text, text.replace(" ", "  ")]) == [len(Tokenizer.from_file(a).encode(t, add_special_tokens=False).ids) for t in (text, text.replace(" ", "  "))]
+    coder = token_files.Ids(b)
+    assert coder.encode(text) == coder.whole(text)
+
+
+def test_equal_hashes_are_compared():
+    source = np.frombuffer(b"abcdabcdabce", np.uint8)
+    suffix_dedup._compared(source[:8], np.array([0, 4, 8]), np.array([0, 0]), np.array([4, 4]))
+    with pytest.raises(ValueError):
+        suffix_dedup._compared(source, np.array([0, 4, 8, 12]), np.array([0, 0, 0]), np.array([4, 4, 4]))

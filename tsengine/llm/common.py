@@ -132,6 +132,15 @@ def utf8_pieces(values: pa.Array, limit: int = 1 << 20):
         row = end
 
 
+def slices(text: str, cut, size: int = 1 << 20):
+    """A long text in slices of about ``size`` characters, each ending behind the first character of a match of the pattern ``cut``."""
+    at = 0
+    while len(text) - at > size and (m := cut.search(text, at + size)):
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
+    yield text[at:]
+
+
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """The splitmix64 finaliser, elementwise on uint64."""
     x = x + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)

@@ -1,13 +1,13 @@
-"""Token counts (operator 8): a two-tier lookup on the map side, without a shuffle of pre-tokens.
+"""Token counts (operator 8): a two-tier lookup on the map side, without a shuffle of the texts' pre-tokens.
 
 Texts are cut into chunks at places where the byte-level pre-tokenizer always cuts: before a run
-of non-space characters with the one space in front of it. Tier one is a compact broadcast table
-with the token counts of the chunks that are frequent in a bounded sample; it only saves time and
-never decides a result. Tier two is a bounded cache in each worker, filled by encoding the chunks
+of non-space characters with the one space in front of it; a chunk holds one pre-token or a few. Tier one is a compact broadcast table
+with the token counts of the chunks that are frequent in a bounded sample (counted by a grouping of that sample's partial
+counts, the only shuffle); it only saves time and never decides a result. Tier two is a bounded cache in each worker, filled by encoding the chunks
 that were missing, all of a batch in one call. Every whole text is counted.
 
 Nulls count as empty: 0 bytes, 0 tokens, ``over_limit`` false. Repeated rows and ids are counted
-each. An empty table gives an empty result. Only the id and text columns are read; others, with
+each. A long text is counted in slices, cut before such a space. An empty table gives an empty result. Only the id and text columns are read; others, with
 whatever names, are left out.
 """
 
@@ -22,9 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Unicode white space, as the pre-tokenizer's pattern understands it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: A single space between other characters, where a long text may be cut; a chunk begins there.
+CUT = re.compile(f"[^{SPACE}] (?=[^{SPACE}])")
 #: Chunks kept by a worker process, for all its tasks, before its cache starts anew; the rows sampled for tier one, its size.
 CACHE, SAMPLE_ROWS, FREQUENT = 700_000, 2_000, 30_000
 _counters: dict[str, Counts] = {}
@@ -68,20 +72,22 @@ class Counts:
         for text in texts:
             if self.special and self.special.search(text):
                 out.append(self.whole(text))
-                continue
-            chunks = CHUNK.findall(text)
-            try:
-                out.append(sum(map(self.cache.__getitem__, chunks)))
-            except KeyError:
-                missing = list({c for c in chunks if c not in self.cache})
-                if len(self.cache) > CACHE:
-                    self.cache = dict(self.frequent)
-                    missing = list({c for c in chunks if c not in self.cache})
-                got = self.encoder.encode_batch_fast(missing, add_special_tokens=False)
-                self.cache.update(zip(missing, map(len, got), strict=True))
-                out.append(sum(map(self.cache.__getitem__, chunks)))
+            else:
+                out.append(sum(map(self._sliced, slices(text, CUT))))
         return out
 
+    def _sliced(self, text: str) -> int:
+        chunks = CHUNK.findall(text)
+        try:
+            return sum(map(self.cache.__getitem__, chunks))
+        except KeyError:
+            if len(self.cache) > CACHE:
+                self.cache = dict(self.frequent)
+            missing = list({c for c in chunks if c not in self.cache})
+            got = self.encoder.encode_batch_fast(missing, add_special_tokens=False)
+            self.cache.update(zip(missing, map(len, got), strict=True))
+            return sum(map(self.cache.__getitem__, chunks))
+
 
 def frequent_chunks(docs: DataFrame, path: str, text: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> dict[str, int]:
     """Tier one: token counts of the most frequent chunks of about ``rows`` sampled texts, at most ``most``."""

@@ -26,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_folder, shared_folder
+from .common import open_folder, shared_folder, slices
 
 _SPLIT = re.compile("[^ \t\n\r]+")
+#: White space behind another character, where a long text may be cut.
+_CUT = re.compile("[^ \t\n\r][ \t\n\r]")
 #: In lower-case Latin-1 text without apostrophes (which open contractions): runs of letters, and runs of what is neither letter nor white space.
 _LATIN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\t-\r \x85\xa0]+")
 #: Chunks kept by a worker process, for all its tasks, before its cache starts anew; null document ids are stored as this number.
@@ -75,6 +77,9 @@ class Ids:
     def encode(self, text: str) -> bytes:
         if not self.chunks or self.special and self.special.search(text):
             return self.whole(text)
+        return b"".join(map(self._sliced, slices(text, _CUT)))
+
+    def _sliced(self, text: str) -> bytes:
         if self.folds and "'" not in text and _latin(text):
             chunks = _LATIN.findall(text.lower())
         else:
