@@ -31,9 +31,10 @@ def test_quotas(spark):
         frame = spark.createDataFrame(list(enumerate(counts)), "label int, n long")
         return [r["quota"] for r in windows.class_quotas(frame, cap).orderBy("label").collect()]
 
-    assert quotas([11000, 5000, 2001], 10000) == [6111, 2778, 1111]
-    assert quotas([100, 1, 1], 3) == [1, 1, 1]
-    assert windows.n_test(100, 0.8) == 19
+    assert quotas([700, 250, 53], 100) == [70, 25, 5]  # floors 69, 24, 5 and two more, from the largest class on
+    assert quotas([50, 2, 1], 3) == [1, 1, 1]
+    assert quotas([5, 4], 9) == [5, 4]
+    assert windows.n_test(100, 0.8) == 19  # fixed value: the share is 0.19999..., not 0.2
 
 
 def test_clean(spark):
@@ -42,11 +43,17 @@ def test_clean(spark):
 
 
 def test_seasonal_and_naive2(spark):
-    flat = forecast.fc_naive2(win(spark, [12, 18, 9, 21, 13, 17, 10, 20]), 7, 4)
-    assert [r["mean"] for r in flat.orderBy("h").collect()] == [20.0] * 7
-    assert not forecast.seasonality_test(win(spark, [12, 18, 9, 21, 13, 17, 10, 20]), 4).first()["seasonal"]
-    assert not forecast.seasonality_test(win(spark, [3] * 20), 4).first()["seasonal"]
-    assert forecast.seasonality_test(win(spark, [10, 20, 35, 55] * 8), 4).first()["seasonal"]
+    short = [6, 4, 7, 3, 5, 8]  # less than three cycles of 3
+    assert not forecast.seasonality_test(win(spark, short), 3).first()["seasonal"]
+    assert [r["mean"] for r in forecast.fc_naive2(win(spark, short), 4, 3).orderBy("h").collect()] == [8.0] * 4
+    assert not forecast.seasonality_test(win(spark, [7] * 24), 6).first()["seasonal"]
+    # factors 0.5, 1, 1.5 around a level of 40: naive on the adjusted values gives the cycle back
+    wave = [20, 40, 60] * 9
+    assert forecast.seasonality_test(win(spark, wave), 3).first()["seasonal"]
+    assert [r["mean"] for r in forecast.fc_naive2(win(spark, wave), 6, 3).orderBy("h").collect()] == pytest.approx(wave[:6])
+    for model in ("ses", "holt", "damped", "theta"):
+        got = forecast.forecast_pool(win(spark, wave), 6, [model], 3).orderBy("h").collect()
+        assert [r["mean"] for r in got] == pytest.approx(wave[:6], rel=1e-6), model
 
 
 def test_noncrossing(spark):
@@ -65,10 +72,84 @@ def test_dtw():
 
 
 def test_dtw_tie(spark):
-    refs = spark.createDataFrame([("z-tied", 1, [0.0, 0.0]), ("a-tied", 2, [0.0, 0.0])], "ref_key string, ref_order int, v array<double>")
-    q = spark.createDataFrame([("q", [1.0, 1.0]), ("short", [1.0])], "input_key string, v array<double>")
-    got = {r["input_key"]: r["ref_key"] for r in direction.dtw_1nn(q, refs).collect()}
-    assert got == {"q": "z-tied", "short": None}
+    refs = spark.createDataFrame([("later", 9, [2.0, 2.0, 2.0]), ("sooner", 4, [2.0, 2.0, 2.0]), ("far", 1, [9.0, 9.0, 9.0])], "ref_key string, ref_order int, v array<double>")
+    q = spark.createDataFrame([("q", [1.0, 1.0, 1.0]), ("one value", [1.0])], "input_key string, v array<double>")
+    for block in (1, 2, 2048):
+        got = {r["input_key"]: r["ref_key"] for r in direction.dtw_1nn(q, refs, block=block).collect()}
+        assert got == {"q": "sooner", "one value": None}
+
+
+def test_neighbours_by_brute_force(spark):
+    """Bounds and matrix products change nothing: the nearest of all references, for series of two lengths."""
+    draw = np.random.default_rng(3)
+    refs = [draw.normal(size=n).cumsum() for n in [20] * 40 + [14] * 20]
+    queries = [draw.normal(size=n).cumsum() for n in (20, 14, 17)]
+    for x in queries:
+        for n in (20, 14):
+            rows = np.stack([r for r in refs if len(r) == n])
+            width = direction._width(len(x), n, 0.1)
+            exact = direction.banded_dtw(np.repeat(x[None], len(rows), 0), rows, width)
+            assert (direction.warping_bound(x, rows, width) <= exact + 1e-9).all()
+    a = spark.createDataFrame([(f"q{k}", x.tolist()) for k, x in enumerate(queries)], "input_key string, v array<double>")
+    b = spark.createDataFrame([(f"r{k}", k, x.tolist()) for k, x in enumerate(refs)] + [("q0", 99, queries[0].tolist())], "ref_key string, ref_order int, v array<double>")
+    got = {r["input_key"]: r for r in direction.dtw_1nn(a, b, block=16).collect()}
+    for k, x in enumerate(queries):
+        d = direction.pair_distances([x] * 61, [*refs, queries[0]], 0.1)
+        if not np.isfinite(d).any():  # lengths that no band joins
+            assert got[f"q{k}"]["ref_key"] is None
+            continue
+        assert got[f"q{k}"]["distance"] == pytest.approx(d.min()) and got[f"q{k}"]["ref_order"] in np.flatnonzero(d == d.min()).tolist() + [99]
+    near = {r["input_key"]: r for r in direction.knn_join_l2(a, b, 16, True).collect()}
+    assert near["q2"]["ref_key"] is None
+    for k in (0, 1):
+        d = [np.sqrt(((r - queries[k]) ** 2).sum()) if len(r) == len(queries[k]) else np.inf for r in refs]
+        assert near[f"q{k}"]["ref_key"] == f"r{int(np.argmin(d))}" and near[f"q{k}"]["distance"] == pytest.approx(min(d))
+
+
+def test_ranks(spark):
+    from tsengine.functions import ranks
+
+    rows = spark.createDataFrame([(k, f"c{k % 3}", f"{k * 7919 % 1000:03d}") for k in range(700)], "k int, c string, s string")
+    got = ranks.numbered(rows, "s", "k").toPandas().sort_values("number")
+    assert got.number.tolist() == list(range(1, 701)) and got.s.is_monotonic_increasing
+    for quota in (0, 1, 37, 10_000):
+        out = ranks.first_by_hash(rows, ["c"], F.md5("s"), ["k"], F.lit(quota)).toPandas()
+        import hashlib
+
+        for c, part in out.groupby("c"):
+            order = sorted((hashlib.md5(s.encode()).hexdigest(), k) for s, k in zip(part.s, part.k, strict=True))
+            assert sorted(part.k[part.chosen]) == sorted(k for _, k in order[:quota])
+
+
+def test_forests(spark):
+    """Two groups that lie apart, labels that turn with the horizon, and a horizon of one class."""
+    draw = np.random.default_rng(1)
+    rows = [(f"k{k}", (draw.normal(size=6) * 0.1 + (3 if k % 2 else -3)).tolist(), [k % 2, 1 - k % 2, 1]) for k in range(30)]
+    frame = spark.createDataFrame(rows, "input_key string, v array<double>, labels array<int>")
+    cohort = frame.select("input_key", F.lit(1).alias("ref_order"))
+    models = direction.rf_fit_horizons(frame, frame, cohort, 3, trees=5, depth=4)
+    got = {(r["input_key"], r["h"]): r["label"] for r in direction.rf_predict_horizons(frame, models).collect()}
+    assert got == {(k, h): labels[h - 1] for k, _, labels in rows for h in (1, 2, 3)}
+    assert {r["h"]: r["n_rows"] for r in direction.training_rows(frame, cohort, 2).collect()} == {1: 30, 2: 30}
+
+
+def test_manifest_of_files(spark, tmp_path):
+    import hashlib
+
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same name.bin").write_bytes(folder.encode() * 20_000_000)
+    found = panel.file_digests(spark, str(tmp_path))
+    manifest = [(f"{x}/same name.bin", 20_000_000, hashlib.sha256(b"a" * 20_000_000).hexdigest()) for x in "ac"]
+    got = {r["path"]: r["status"] for r in panel.verify_manifest(found, spark.createDataFrame(manifest, "path string, size long, sha256 string")).collect()}
+    assert got == {"a/same name.bin": "ok", "b/same name.bin": "unexpected", "c/same name.bin": "missing"}
+
+
+def test_reference_must_be_one_row(spark):
+    rows = spark.createDataFrame([("a", 2.0, 4.0), ("b", 1.0, 2.0), ("b", 3.0, 3.0)], "model string, smape double, mase double")
+    assert evaluate.rebase_owa(rows, rows.where("model = 'a'")).where("owa is not null").count() == 3
+    assert evaluate.rebase_owa(rows, rows.where("model = 'b'")).where("owa is null").count() == 3
+    assert reports.table1(rows, "b", ["mase"]).where("mase_improvement is null").count() == 3
 
 
 def metrics_fixture(spark):
@@ -98,8 +179,12 @@ def test_oracle_multiplier(spark):
         act = spark.createDataFrame([("k", h, float(v)) for h, v in enumerate(actual)], "input_key string, h int, actual double")
         return sensitivity.oracle_multiplier(fc, act).first()
 
-    got = run([9, 21, 8, 37], [8, 17, 11, 29])
-    assert got["multiplier"] == 1.235 and got["smape"] == pytest.approx(16.0873924561231)
+    got = run([10, 20, 40], [8, 16, 32])  # 1.25 makes it right
+    assert got["multiplier"] == 1.25 and got["smape"] == pytest.approx(0, abs=1e-9) and got["ties"] == 1
+    actual, mean = [10, 30], [10, 20]
+    tried = [sum(200 * abs(a - m * k / 1000) / (a + m * k / 1000) for a, m in zip(actual, mean, strict=True)) / 2 for k in range(500, 1501)]
+    got = run(actual, mean)
+    assert got["multiplier"] == pytest.approx(0.5 + tried.index(min(tried)) / 1000) and got["smape"] == pytest.approx(min(tried))
     zero = run([1, 2], [0, 0])
     assert (zero["multiplier"], zero["smape"], zero["ties"]) == (0.5, 200.0, 1001)
     assert run([0, 0], [0, 0])["violation"] is not None
@@ -145,6 +230,7 @@ def test_forest_job_is_whole(spark, monkeypatch):
         return dict.fromkeys(range(1, horizons + 1), 1)
 
     monkeypatch.setattr(direction, "rf_fit_horizons", fit)
+    monkeypatch.setattr(registry, "_forests", {})
     out = registry.rf_predict_horizons(spark, "/root/testdata/sf0.001")
     train = {r[0] for r in registry.dataset(spark, "/root/testdata/sf0.001").where("kind = 'rolling' and partition = 'train'").select("input_key").collect()}
     assert asked["keys"] == train and len(train) > 200
@@ -159,5 +245,5 @@ def test_warping_references_are_whole(spark):
     train = {r[0] for r in registry.dataset(spark, d).where("partition = 'train' and labels[0] is not null").select("input_key").collect()}
     assert {r[0] for r in registry.refs(spark, d).select("ref_key").collect()} == train and len(train) > 200
     label = {r[0]: r[1] for r in registry.dataset(spark, d).selectExpr("input_key", "labels[0]").collect()}
-    cut = registry.reference_cohort(spark, d, 100).collect()
+    cut = registry.cohort(spark, d, 100).collect()
     assert len(cut) == 100 and all(r["label"] == label[r["input_key"]] for r in cut)

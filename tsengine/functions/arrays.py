@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,13 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def settled(rows: DataFrame, *names: str) -> DataFrame:
+    """The same rows; the columns are computed here, once, and not again within what uses them (Python functions can't read an expression with lambdas)."""
+    for name in names:
+        rows = rows.withColumn(name, F.explode(F.array(name)))
+    return rows
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 

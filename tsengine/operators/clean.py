@@ -10,7 +10,7 @@ def resolve_period(series: DataFrame, period_dim: DataFrame, override: int | Non
     """The seasonal period of each series' frequency, or the override, and where it comes from."""
     period = F.lit(override).cast("int") if override is not None else F.col("default_period")
     source = F.lit("override" if override is not None else "frequency")
-    return series.join(F.broadcast(period_dim), "freq", "left").withColumns({"period": period, "period_source": source}).drop("default_period")
+    return series.join(period_dim, "freq", "left").withColumns({"period": period, "period_source": source}).drop("default_period")
 
 
 def clean_standard(long: DataFrame, key: str = "series_id", value_col: str = "y", name: str = "y_clean") -> DataFrame:

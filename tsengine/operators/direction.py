@@ -1,7 +1,8 @@
 """Directional models: time-warping and Euclidean nearest neighbours, resizing, and forests by horizon.
 
-Neighbour joins compare all queries with all references. References are dealt into blocks of bounded size; every query meets every block
-(a stated query set against all rows), each block keeps its best neighbour, and a grouped minimum picks the best of the blocks.
+Neighbour joins compare all queries with all references (a stated query set against all rows). Both are dealt into blocks of bounded size, a pair of
+blocks is a tile, each block is sent once a tile, and a tile keeps the best neighbour of each of its queries; a grouped minimum picks
+the best of the tiles.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 2048
+DTW_STEP = 64  # references that are warped at once, nearest bounds first
 AT_ONCE = 6  # fits of horizons side by side
 
 
@@ -64,36 +66,116 @@ def dtw_distance(pairs: DataFrame, proportion: float = 0.10, a_col: str = "a", b
     return pairs.mapInPandas(run, T.StructType([*pairs.schema.fields, T.StructField("distance", T.DoubleType())]))
 
 
-def _nearest(queries: DataFrame, refs: DataFrame, distances, block: int) -> DataFrame:
-    """(input_key, ref_key, ref_order, distance): blocks of references go to all queries; ties go to the first in ref_order."""
-    def best(batches):
-        for pdf in batches:
-            out = []
-            for key, q, rows in zip(pdf["input_key"], pdf["q"], pdf["rows"], strict=True):
-                d = distances(np.asarray(q, float), [np.asarray(e["v"], float) for e in rows])
-                k = min(range(len(rows)), key=lambda i: (d[i], rows[i]["ref_order"]), default=None)
-                near = k is not None and np.isfinite(d[k])
-                out.append((key, *((float(d[k]), int(rows[k]["ref_order"]), rows[k]["ref_key"]) if near else (None, None, None))))
-            yield pd.DataFrame(out, columns=["input_key", "distance", "ref_order", "ref_key"]).astype({"distance": "Float64", "ref_order": "Int32"})
-
-    blocks = refs.groupBy(F.floor(F.col("ref_order") / block).alias("block")).agg(F.collect_list(F.struct("ref_key", "ref_order", "v")).alias("rows"))
-    met = queries.select("input_key", F.col("v").alias("q")).crossJoin(blocks)  # the stated queries against blocks of all references
-    found = met.mapInPandas(best, "input_key string, distance double, ref_order int, ref_key string")
+def warping_bound(x: np.ndarray, refs: np.ndarray, width: int) -> np.ndarray:
+    """A lower bound of the banded distance of x to each row of refs.
+
+    A path enters each position of either side at least once, and a diagonal step counts for both: so the distances of each value
+    from the range of what it may be paired with add up, those of the first values but once.
+    """
+    def outside(a, b):
+        n, m = a.shape[-1], b.shape[-1]
+        out = np.empty(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]) + (n,))
+        for i in range(n):
+            part = b[..., max(0, i - width) : min(m, i + width + 1)]
+            out[..., i] = np.maximum(np.maximum(a[..., i] - part.max(-1), part.min(-1) - a[..., i]), 0) if part.shape[-1] else 0
+        return out
+
+    p, q = outside(x[None, :], refs), outside(refs, x[None, :])
+    return p[:, 1:].sum(1) + q[:, 1:].sum(1) + np.maximum(p[:, 0], q[:, 0])
+
+
+def nearest_by_warping(queries: list, refs: list, order: np.ndarray, proportion: float) -> list[tuple[float, int] | None]:
+    """(distance, place in refs) of each query's nearest reference, of equal ones the first by ``order``. Bounds spare most warping."""
+    arrays = [np.asarray(r, float) for r in refs]
+    lengths: dict[int, list[int]] = {}
+    for k, r in enumerate(arrays):
+        if len(r) > 1 and np.isfinite(r).all():
+            lengths.setdefault(len(r), []).append(k)
+    stacks = {m: (np.array(at), np.stack([arrays[k] for k in at])) for m, at in lengths.items()}
+    out: list[tuple[float, int] | None] = []
+    for q in queries:
+        x, best = np.asarray(q, float), None
+        if len(x) > 1 and np.isfinite(x).all():
+            for m, (at, rows) in stacks.items():
+                width = _width(len(x), m, proportion)
+                bound = warping_bound(x, rows, width)
+                by = np.argsort(bound, kind="stable")
+                for k in range(0, len(by), DTW_STEP):
+                    part = by[k : k + DTW_STEP]
+                    if best is not None and bound[part[0]] > best[0] + 1e-9:
+                        break
+                    d = banded_dtw(np.repeat(x[None, :], len(part), 0), rows[part], width)
+                    for i in np.flatnonzero(d == d.min()) if np.isfinite(d.min()) else ():
+                        found = (float(d[i]), int(order[at[part[i]]]), int(at[part[i]]))
+                        best = found if best is None else min(best, found)
+        out.append(None if best is None else (best[0], best[2]))
+    return out
+
+
+def nearest_by_distance(queries: list, refs: list, order: np.ndarray, own: list | None = None) -> list[tuple[float, int] | None]:
+    """The same by Euclidean distance: one matrix product finds what may be nearest, exact distances decide. own: for each query a reference to skip."""
+    arrays = [np.asarray(r, float) for r in refs]
+    out: list[tuple[float, int] | None] = [None] * len(queries)
+    rows = [np.asarray(q, float) for q in queries]
+    for m in {len(x) for x in rows}:
+        q, at = [k for k, x in enumerate(rows) if len(x) == m], np.array([k for k, r in enumerate(arrays) if len(r) == m and np.isfinite(r).all()], int)
+        if not m or not len(at):
+            continue
+        y = np.stack([arrays[k] for k in at])
+        sizes = (y * y).sum(1)
+        for begin in range(0, len(q), 256):
+            part = q[begin : begin + 256]
+            x = np.stack([rows[k] for k in part])
+            rough = (x * x).sum(1)[:, None] + sizes[None, :] - 2 * x @ y.T
+            for i, k in enumerate(part):
+                skip = np.isin(at, list(own[k]) if own is not None else [])
+                if skip.all() or not np.isfinite(x[i]).all():
+                    continue
+                near = np.where(skip, np.inf, rough[i])
+                may = np.flatnonzero(near <= near.min() + 1e-9 * (sizes.max() + (x[i] * x[i]).sum() + 1))
+                d = np.sqrt(((y[may] - x[i]) ** 2).sum(1))
+                out[k] = min((float(a), int(order[at[j]]), int(at[j])) for a, j in zip(d, may, strict=True))[::2]
+    return out
+
+
+def _nearest(queries: DataFrame, refs: DataFrame, best, block: int) -> DataFrame:
+    """(input_key, ref_key, ref_order, distance): all pairs of blocks of queries and of references; ties go to the first in ref_order."""
+    parts = [max(1, -(-rows.count() // block)) for rows in (queries, refs)]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in parts]
+    none = F.lit(None)
+    left = queries.select(F.pmod(F.xxhash64("input_key"), F.lit(parts[0])).cast("int").alias("x"), every[1].alias("y"), F.col("input_key").alias("key"), none.cast("int").alias("ref_order"), F.col("v").cast("array<double>").alias("v"))
+    right = refs.select(every[0].alias("x"), F.pmod(F.col("ref_order"), F.lit(parts[1])).cast("int").alias("y"), F.col("ref_key").alias("key"), F.col("ref_order").cast("int"), F.col("v").cast("array<double>").alias("v"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["ref_order"].notna()
+        q, r = pdf[~side], pdf[side]
+        keys, order = r["key"].tolist(), r["ref_order"].to_numpy(int)
+        found = best(q, r, order)
+        rows = [(k, *((f[0], int(order[f[1]]), keys[f[1]]) if f is not None else (None, None, None))) for k, f in zip(q["key"], found, strict=True)]
+        return pd.DataFrame(rows, columns=["input_key", "distance", "ref_order", "ref_key"]).astype({"distance": "Float64", "ref_order": "Int32"})
+
+    found = left.unionByName(right).groupBy("x", "y").applyInPandas(compare, "input_key string, distance double, ref_order int, ref_key string")
     least = found.groupBy("input_key").agg(F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "ref_order", "ref_key"))).alias("b"))
     return least.select("input_key", F.col("b.ref_key").alias("ref_key"), F.col("b.ref_order").alias("ref_order"), F.col("b.distance").alias("distance"))
 
 
 def dtw_1nn(queries: DataFrame, refs: DataFrame, proportion: float = 0.10, block: int = BLOCK) -> DataFrame:
     """The nearest reference of each query by banded time warping, null without a usable one. queries: input_key, v; refs: ref_key, ref_order, v."""
-    return _nearest(queries, refs, lambda x, rows: pair_distances([x] * len(rows), rows, proportion), block)
+    return _nearest(queries, refs, lambda q, r, order: nearest_by_warping(list(q["v"]), list(r["v"]), order, proportion), block)
 
 
-def knn_join_l2(queries: DataFrame, refs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The same by Euclidean distance."""
-    def distances(x, rows):
-        return np.array([np.sqrt(((x - r) ** 2).sum()) if len(r) == len(x) else np.inf for r in rows])
+def knn_join_l2(queries: DataFrame, refs: DataFrame, block: int = BLOCK, skip_own: bool = False) -> DataFrame:
+    """The same by Euclidean distance; ``skip_own``: a reference with a query's key is not its neighbour."""
+    def best(q, r, order):
+        own = None
+        if skip_own:
+            at: dict[str, set[int]] = {}
+            for k, key in enumerate(r["key"]):
+                at.setdefault(key, set()).add(k)
+            own = [at.get(key, set()) for key in q["key"]]
+        return nearest_by_distance(list(q["v"]), list(r["v"]), order, own)
 
-    return _nearest(queries, refs, distances, block)
+    return _nearest(queries, refs, best, block)
 
 
 def linear_resize(windows: DataFrame, n: int, array_col: str = "window", name: str = "resized") -> DataFrame:
@@ -116,6 +198,12 @@ def training_matrix(vectors: DataFrame, labels: DataFrame, cohort: DataFrame, h:
     return rows.where("label is not null")
 
 
+def training_rows(labels: DataFrame, cohort: DataFrame, horizons: int) -> DataFrame:
+    """(h, n_rows): the labelled rows of a cohort for each horizon."""
+    steps = labels.join(cohort.select("input_key"), "input_key").select(F.posexplode(F.slice("labels", 1, horizons)).alias("h", "label"))
+    return steps.where("label is not null").groupBy((F.col("h") + 1).alias("h")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def rf_fit_horizons(vectors: DataFrame, labels: DataFrame, cohort: DataFrame, horizons: int, trees: int = 200, depth: int = 30, seed: int = 42) -> dict:
     """One independent forest a horizon, fitted side by side; a horizon with one class only is that class."""
     from multiprocessing.pool import ThreadPool

@@ -57,15 +57,28 @@ def metric_mase(forecasts: DataFrame, actuals: DataFrame, scales: DataFrame) ->
     return rows.select("input_key", "model", F.when(good, F.col("mae") / F.col("scale")).alias("mase"), F.when(~F.coalesce(good, F.lit(False)), "zero scale").alias("violation"))
 
 
+def series_scores(rows: DataFrame) -> DataFrame:
+    """(input_key, model, smape, mase, violation) from rows that hold mean, actual and scale: both metrics in one aggregation."""
+    good = F.col("scale") > 0
+    means = rows.groupBy("input_key", "model").agg(F.avg(smape_term()).alias("smape"), F.avg(F.abs(F.col("actual") - F.col("mean"))).alias("mae"), F.first("scale").alias("scale"))
+    return means.select("input_key", "model", "smape", F.when(good, F.col("mae") / F.col("scale")).alias("mase"), F.when(~F.coalesce(good, F.lit(False)), "zero scale").alias("violation"))
+
+
 def metric_owa(scores: DataFrame, reference: str = "naive2") -> DataFrame:
     """Half the ratio of mean sMAPE to the reference's, plus half the same for MASE."""
     means = scores.groupBy("model").agg(F.avg("smape").alias("smape"), F.avg("mase").alias("mase"))
     return rebase_owa(means, means.where(F.col("model") == reference))
 
 
+def reference_row(reference: DataFrame, *by: str) -> DataFrame:
+    """(by, rs, rm): the components of the one reference row, null if there is none or more than one. Without ``by`` always a single row."""
+    facts = (reference.groupBy(*by) if by else reference).agg(F.first("smape").alias("rs"), F.first("mase").alias("rm"), F.count(F.lit(1)).alias("n_"))
+    return facts.select(*by, *[F.when(F.col("n_") == 1, F.col(c)).alias(c) for c in ("rs", "rm")])
+
+
 def rebase_owa(scores: DataFrame, reference: DataFrame) -> DataFrame:
-    """OWA from stored components against one reference row; null where a component is, or the reference is not above 0."""
-    ref = F.broadcast(reference.select(F.col("smape").alias("rs"), F.col("mase").alias("rm")).limit(1))
+    """OWA from stored components against one reference row; null where a component is, where there isn't exactly one such row, or where it is not above 0."""
+    ref = F.broadcast(reference_row(reference))  # a single row
     return scores.crossJoin(ref).withColumn("owa", F.when((F.col("rs") > 0) & (F.col("rm") > 0), 0.5 * (F.col("smape") / F.col("rs") + F.col("mase") / F.col("rm")))).drop("rs", "rm")
 
 

@@ -6,26 +6,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.arrays import acf, centred, diff, dot, lagged, let, mean, total, variance
+from ..functions.arrays import acf, centred, diff, dot, lagged, let, mean, settled, total, variance
 
-#: The fixed order of feat_vector.
+# The published order of the features. Eight of them are not built (entropy, arch_acf, garch_acf, arch_r2, garch_r2, hurst,
+# nonlinearity, hw_gamma); arch_lm is ARCH.LM there; _ma marks those that come from a moving-average decomposition instead of a smoother.
 ORDER = (
-    "series_length", "nperiods", "seasonal_period", "x_acf1", "x_acf10", "diff1_acf1", "diff1_acf10", "diff2_acf1", "diff2_acf10", "seas_acf1", "x_pacf5", "diff1x_pacf5", "diff2x_pacf5", "seas_pacf",
-    "crossing_points", "flat_spots", "lumpiness", "stability", "arch_lm", "unitroot_kpss", "unitroot_pp", "trend_ma", "linearity_ma", "curvature_ma", "e_acf1_ma", "e_acf10_ma", "seasonal_strength_ma", "peak_ma", "trough_ma", "spike_ma",
-    "alpha", "beta", "hw_alpha", "hw_beta",
+    "x_acf1", "x_acf10", "diff1_acf1", "diff1_acf10", "diff2_acf1", "diff2_acf10", "seas_acf1", "arch_lm", "crossing_points", "flat_spots", "alpha", "beta", "lumpiness",
+    "x_pacf5", "diff1x_pacf5", "diff2x_pacf5", "seas_pacf", "nperiods", "seasonal_period", "trend_ma", "spike_ma", "linearity_ma", "curvature_ma", "e_acf1_ma", "e_acf10_ma",
+    "seasonal_strength_ma", "peak_ma", "trough_ma", "stability", "hw_alpha", "hw_beta", "unitroot_kpss", "unitroot_pp", "series_length",
 )
+PACF = ("x_pacf5", "diff1x_pacf5", "diff2x_pacf5", "seas_pacf")
+UNITROOT = ("unitroot_kpss", "unitroot_pp")
+DECOMP = ("trend_ma", "linearity_ma", "curvature_ma", "e_acf1_ma", "e_acf10_ma", "seasonal_strength_ma", "peak_ma", "trough_ma", "spike_ma")
 
 
-def _with_python(rows: DataFrame, names: list[str], fn) -> DataFrame:
-    """Columns of doubles that a function of the z-scored array gives, in Arrow batches."""
-    def run(batches):
-        for pdf in batches:
-            found = pd.DataFrame([fn(np.asarray(v, float)) for v in pdf["z"]], columns=names, dtype=float)
-            yield pd.concat([pdf.reset_index(drop=True), found], axis=1)
+def _with_python(rows: DataFrame, names: tuple[str, ...], fn) -> DataFrame:
+    """Columns of doubles that a function of the z-scored array gives; only the array goes to Python, in Arrow batches."""
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def found(z: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fn(np.asarray(v, float)) for v in z], columns=list(names), dtype=float)
 
-    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]]))
+    return settled(rows, "z").withColumn("py_", found("z")).withColumns({n: F.col(f"py_.{n}") for n in names}).drop("py_")
 
 
 def z_scored(windows: DataFrame, array_col: str = "window", name: str = "z") -> DataFrame:
@@ -69,10 +71,11 @@ def _pacf(x: np.ndarray, most: int) -> np.ndarray:
 
 def feat_pacf(rows: DataFrame, period: int = 1) -> DataFrame:
     """Sums of the first five squared partial autocorrelations of values and differences, and the one at the period."""
-    def run(x):
-        return [*(float((_pacf(np.diff(x, k), 5) ** 2).sum()) for k in range(3)), float(_pacf(x, period)[-1]) if period > 1 else 0.0]
+    return _with_python(rows, PACF, lambda x: _pacfs(x, period))
 
-    return _with_python(rows, ["x_pacf5", "diff1x_pacf5", "diff2x_pacf5", "seas_pacf"], run)
+
+def _pacfs(x: np.ndarray, period: int) -> list[float]:
+    return [*(float((_pacf(np.diff(x, k), 5) ** 2).sum()) for k in range(3)), float(_pacf(x, period)[-1]) if period > 1 else 0.0]
 
 
 def feat_crossing(rows: DataFrame) -> DataFrame:
@@ -117,12 +120,12 @@ def _lag_r2(x: np.ndarray, lags: int = 12) -> float:
 
 
 def feat_arch(rows: DataFrame) -> DataFrame:
-    return _with_python(rows, ["arch_lm"], lambda x: [_lag_r2(x)])
+    return _with_python(rows, ("arch_lm",), lambda x: [_lag_r2(x)])
 
 
 def feat_unitroot(rows: DataFrame) -> DataFrame:
     """KPSS level statistic with a Bartlett window of floor(4 (n/100)^0.25) lags; Phillips-Perron Z-alpha."""
-    return _with_python(rows, ["unitroot_kpss", "unitroot_pp"], _unitroot)
+    return _with_python(rows, UNITROOT, _unitroot)
 
 
 def _long_run(e: np.ndarray, lags: int) -> float:
@@ -149,9 +152,7 @@ def _unitroot(x: np.ndarray) -> tuple[float, float]:
 
 def feat_decomp(rows: DataFrame, period: int = 1) -> DataFrame:
     """Trend, remainder and seasonal features of a centred moving-average decomposition."""
-    names = ["trend_ma", "linearity_ma", "curvature_ma", "e_acf1_ma", "e_acf10_ma", "seasonal_strength_ma", "peak_ma", "trough_ma", "spike_ma"]
-
-    return _with_python(rows, names, lambda x: _decomposed(x, period))
+    return _with_python(rows, DECOMP, lambda x: _decomposed(x, period))
 
 
 def _decomposed(x: np.ndarray, period: int) -> list[float]:
@@ -180,17 +181,16 @@ def _decomposed(x: np.ndarray, period: int) -> list[float]:
 
 def feat_smoothing(rows: DataFrame) -> DataFrame:
     """Weights of the best fits of linear (alpha, beta) and damped (hw_alpha, hw_beta) smoothing on their grids."""
-    from .forecast import damped_fit, holt_fit
+    from .forecast import smoothing_fits
 
-    rows = rows.withColumns({"f_": holt_fit(F.col("z")), "g_": damped_fit(F.col("z"))})
-    return rows.withColumns({"alpha": F.col("f_.alpha"), "beta": F.col("f_.beta"), "hw_alpha": F.col("g_.alpha"), "hw_beta": F.col("g_.beta")}).drop("f_", "g_")
+    rows = settled(rows, "z").withColumn("f_", smoothing_fits(F.col("z"), ("holt", "damped")))
+    return rows.withColumns({"alpha": F.col("f_.holt.alpha"), "beta": F.col("f_.holt.beta"), "hw_alpha": F.col("f_.damped.alpha"), "hw_beta": F.col("f_.damped.beta")}).drop("f_")
 
 
 def feat_vector(rows: DataFrame, period: int = 1, key: str = "input_key") -> DataFrame:
     """All features in the fixed order; what is missing or not finite becomes 0."""
-    for step in (feat_acf, feat_pacf, feat_decomp, feat_shape):
-        rows = step(rows, period)
-    for step in (feat_crossing, feat_flat_spots, feat_tiles, feat_arch, feat_unitroot, feat_smoothing):
-        rows = step(rows)
+    rows = feat_smoothing(feat_tiles(feat_flat_spots(feat_crossing(feat_shape(feat_acf(rows, period), period)))))
+    # all that needs Python, in one pass over the array
+    rows = _with_python(rows, (*PACF, *DECOMP, "arch_lm", *UNITROOT), lambda x: [*_pacfs(x, period), *_decomposed(x, period), _lag_r2(x), *_unitroot(x)])
     finite = lambda c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
     return rows.select(key, *[finite(c).alias(c) for c in ORDER])

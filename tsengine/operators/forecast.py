@@ -1,6 +1,7 @@
 """The forecast pool: closed forms and smoothing on arrays, quantiles, the output contract and user forecasters.
 
-All closed forms and smoothing fits are column expressions on the window's array, so they run where the row is, without a shuffle.
+Closed forms are column expressions on the window's array; smoothing weights are fitted by a kernel on Arrow batches, all windows and points
+of the grid at once. Both run where the row is, without a shuffle.
 Forecasts are rows (input_key, model, h, mean); quantiles are rows with level and q.
 """
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import acf, centred, diff, dot, let, mean, total
+from ..functions.arrays import acf, centred, diff, dot, let, mean, settled, total
 
 ALPHAS = tuple(round(0.1 * k, 1) for k in range(1, 10))
 BETAS = (0.05, 0.1, 0.2, 0.4)
@@ -91,75 +92,131 @@ def seasonal_adjust(windows: DataFrame, period: int, array_col: str = "window")
     return rows.withColumn("adjusted", let(F.col("factors"), lambda f: F.transform(x, lambda v, i: v / F.element_at(f, (i % period) + 1))))
 
 
-def _restored(h: Column, n: Column, period: int) -> Column:
-    return F.element_at("factors", ((n + h - 1) % period).cast("int") + 1) if period > 1 else F.lit(1.0)
+FIT = "struct<sse:double,alpha:double,beta:double,phi:double,level:double,slope:double>"
+#: The points of each method's grid: (alpha, beta, phi). Of equal errors the first one wins.
+GRIDS = {"ses": [(a, 0.0, 0.0) for a in ALPHAS], "holt": list(itertools.product(ALPHAS, BETAS, (1.0,))), "damped": list(itertools.product(ALPHAS, BETAS, PHIS))}
+AT_ONCE = 1 << 20  # windows times points in one step of the kernel
 
 
-def fc_naive2(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
-    """Naive on the seasonally adjusted raw history, restored."""
-    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "x_": F.element_at("adjusted", -1)})
-    return _steps(rows, "naive2", horizon, lambda h: F.col("x_") * _restored(h, F.col("n_"), period))
-
-
-def _best(fits: list[Column]) -> Column:
-    """The fit with the least squared error, of equal ones the first of the grid."""
-    start = fits[0]
-    return F.aggregate(F.array(*fits), start, lambda a, b: F.when(b["sse"] < a["sse"], b).otherwise(a))
+def fit_rows(values: list, method: str) -> list[tuple | None]:
+    """The point of a grid with the least squared one-step error for each array, with the error and the last level and slope.
 
+    SES starts from the first value; the others from the second, with the first difference as slope. What is too short is None.
+    """
+    grid = np.array(GRIDS[method], float)
+    alpha, beta, phi = grid.T
+    least = 1 if method == "ses" else 2
+    arrays = [None if v is None else np.asarray(v, float) for v in values]
+    out: list[tuple | None] = [None] * len(arrays)
+    lengths: dict[int, list[int]] = {}
+    for k, x in enumerate(arrays):
+        if x is not None and len(x) >= least:
+            lengths.setdefault(len(x), []).append(k)
+    step = max(1, AT_ONCE // len(grid))
+    for n, rows in lengths.items():
+        for begin in range(0, len(rows), step):
+            at = rows[begin : begin + step]
+            x = np.stack([arrays[k] for k in at])
+            level = np.repeat(x[:, least - 1, None], len(grid), 1)
+            slope = np.repeat(x[:, 1, None] - x[:, 0, None], len(grid), 1) if least == 2 else np.zeros_like(level)
+            sse = np.zeros_like(level)
+            for k in range(least, n):
+                guess = level + phi * slope
+                error = x[:, k, None] - guess
+                sse += error * error
+                level = guess + alpha * error
+                slope = phi * slope + alpha * beta * error
+            best = np.where(np.isnan(sse), np.inf, sse).argmin(1)
+            pick = np.arange(len(at))
+            for k, *fit in zip(at, sse[pick, best], alpha[best], beta[best], phi[best], level[pick, best], slope[pick, best], strict=True):
+                out[k] = tuple(map(float, fit))
+    return out
 
-def _double(v: float) -> Column:
-    return F.lit(float(v))
 
+def smoothing_fits(x: Column, methods: tuple[str, ...] = ("ses", "holt", "damped")) -> Column:
+    """A struct with a field for each method: (sse, alpha, beta, phi, level, slope)."""
+    names = ("sse", "alpha", "beta", "phi", "level", "slope")
 
-def ses_fit(x: Column, alphas=ALPHAS) -> Column:
-    """struct(sse, alpha, level) of simple exponential smoothing from the first value, by a grid."""
-    def fit(alpha):
-        start = F.struct(_double(0).alias("sse"), F.element_at(x, 1).alias("level"))
-        step = lambda s, v: F.struct((s["sse"] + (v - s["level"]) * (v - s["level"])).alias("sse"), (s["level"] + alpha * (v - s["level"])).alias("level"))
-        return F.aggregate(F.slice(x, 2, 1 << 30), start, step, lambda s: F.struct(s["sse"].alias("sse"), _double(alpha).alias("alpha"), s["level"].alias("level")))
+    @F.pandas_udf(", ".join(f"{m} {FIT}" for m in methods))
+    def fits(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({m: [None if f is None else dict(zip(names, f, strict=True)) for f in fit_rows(list(values), m)] for m in methods})
 
-    return _best([fit(a) for a in alphas])
+    return fits(x)
 
 
-def _trend_fit(x: Column, grid) -> Column:
-    """struct(sse, alpha, beta, phi, level, slope); the first level is the second value, the first slope the first difference."""
-    def fit(alpha, beta, phi):
-        start = F.struct(_double(0).alias("sse"), F.element_at(x, 2).alias("l"), (F.element_at(x, 2) - F.element_at(x, 1)).alias("b"))
+def _values(period: int) -> dict[str, Callable[[Column], Column]]:
+    """The mean at step h of each method, from what ``_prepared`` adds."""
+    back = lambda h: F.element_at("factors", ((F.col("n_") + h - 1) % period).cast("int") + 1) if period > 1 else F.lit(1.0)
+    fit = lambda m, f: F.col(f"f_.{m}.{f}")
+    damp = lambda h: fit("damped", "phi") * (1 - F.pow(fit("damped", "phi"), h)) / (1 - fit("damped", "phi"))
+    cycle = F.least(F.lit(max(period, 1)), F.col("n_"))
+    return {
+        "naive": lambda h: F.col("x_"),
+        "snaive": lambda h: F.element_at("raw_", F.col("n_") - cycle + ((h - 1) % cycle) + 1),
+        "rw_drift": lambda h: F.col("x_") + h * F.col("drift_"),
+        "naive2": lambda h: F.element_at("adjusted", -1) * back(h),
+        "ses": lambda h: fit("ses", "level") * back(h),
+        "holt": lambda h: (fit("holt", "level") + h * fit("holt", "slope")) * back(h),
+        "damped": lambda h: (fit("damped", "level") + damp(h) * fit("damped", "slope")) * back(h),
+        "theta": lambda h: (fit("ses", "level") + 0.5 * F.col("s_") * h) * back(h),
+    }
 
-        def step(s, v):
-            guess = s["l"] + phi * s["b"]
-            error = v - guess
-            return F.struct((s["sse"] + error * error).alias("sse"), (guess + alpha * error).alias("l"), (phi * s["b"] + alpha * beta * error).alias("b"))
 
-        return F.aggregate(F.slice(x, 3, 1 << 30), start, step, lambda s: F.struct(s["sse"].alias("sse"), _double(alpha).alias("alpha"), _double(beta).alias("beta"), _double(phi).alias("phi"), s["l"].alias("level"), s["b"].alias("slope")))
+POOL = ("naive", "snaive", "rw_drift", "naive2", "ses", "holt", "damped", "theta")
 
-    return F.when(F.size(x) >= 2, _best([fit(*g) for g in grid]))
 
+def _prepared(windows: DataFrame, models: list[str], period: int, array_col: str) -> DataFrame:
+    """What the models need of a window, each once: last value, drift, adjusted values with factors, fits of all smoothing methods, slope."""
+    rows = seasonal_adjust(windows, period, array_col)
+    x, n = F.col(array_col), F.size(array_col)
+    rows = rows.withColumns({"raw_": x, "n_": n, "x_": F.element_at(x, -1), "drift_": (F.element_at(x, -1) - F.element_at(x, 1)) / (n - 1)})
+    methods = tuple(m for m in GRIDS if m in models or (m == "ses" and "theta" in models))
+    if methods:
+        rows = settled(rows, "adjusted").withColumn("f_", smoothing_fits(F.col("adjusted"), methods))
+    return rows.withColumn("s_", let(F.col("adjusted"), slope_of)) if "theta" in models else rows
 
-def holt_fit(x: Column, alphas=ALPHAS[::2], betas=BETAS[:3]) -> Column:
-    return _trend_fit(x, itertools.product(alphas, betas, (1.0,)))
 
+def forecast_pool(windows: DataFrame, horizon: int, models: list[str] | None = None, period: int = 1, done: DataFrame | None = None, array_col: str = "window", keep: list[str] | None = None) -> DataFrame:
+    """(input_key, model, h, mean) of all models on all windows, in one pass; ``keep``: other columns of the windows that go along.
 
-def damped_fit(x: Column, alphas=ALPHAS[::4], betas=BETAS[:2], phis=PHIS[:2]) -> Column:
-    return _trend_fit(x, itertools.product(alphas, betas, phis))
+    Keys (input_key, model) that are done already give no rows, and windows of which all models are done are not computed.
+    """
+    names = list(models or POOL)
+    if unknown := set(names) - set(POOL):
+        raise ValueError(f"unknown models: {sorted(unknown)}")
+    keep, todo = list(keep or []), F.array(*map(F.lit, names))
+    if done is not None:
+        have = done.where(F.col("model").isin(names)).groupBy("input_key").agg(F.collect_set("model").alias("done_"))  # models a key at most
+        windows = windows.join(have, "input_key", "left")
+        todo = F.array_except(todo, F.coalesce("done_", F.array().cast("array<string>")))
+        windows = windows.withColumn("todo_", todo).where(F.size("todo_") > 0)
+        todo = F.col("todo_")
+    values = _values(period)
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+    paths = F.array(*[F.struct(F.lit(m).alias("model"), F.transform(steps, values[m]).alias("mean")) for m in names])
+    rows = _prepared(windows, names, period, array_col).select("input_key", *keep, F.explode(F.filter(paths, lambda p: F.array_contains(todo, p["model"]))).alias("p_"))
+    rows = rows.select("input_key", F.col("p_.model").alias("model"), *keep, F.posexplode("p_.mean").alias("h", "mean"))
+    return rows.select("input_key", "model", *keep, (F.col("h") + 1).alias("h"), "mean")
 
 
-def _smoothed(windows: DataFrame, model: str, horizon: int, fit: Callable[[Column], Column], value: Callable[[Column], Column], period: int, array_col: str) -> DataFrame:
-    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": let(F.col("adjusted"), lambda x: fit(x))})
-    return _steps(rows, model, horizon, lambda h: value(h) * _restored(h, F.col("n_"), period))
+def fc_naive2(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
+    """Naive on the seasonally adjusted raw history, restored."""
+    return forecast_pool(windows, horizon, ["naive2"], period, array_col=array_col)
 
 
 def fc_ses(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
-    return _smoothed(windows, "ses", horizon, ses_fit, lambda h: F.col("f_.level"), period, array_col)
+    """Simple exponential smoothing of the adjusted values, restored."""
+    return forecast_pool(windows, horizon, ["ses"], period, array_col=array_col)
 
 
 def fc_holt(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
-    return _smoothed(windows, "holt", horizon, holt_fit, lambda h: F.col("f_.level") + h * F.col("f_.slope"), period, array_col)
+    """Linear smoothing of the adjusted values, restored."""
+    return forecast_pool(windows, horizon, ["holt"], period, array_col=array_col)
 
 
 def fc_damped(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
-    damp = lambda h: F.col("f_.phi") * (1 - F.pow(F.col("f_.phi"), h)) / (1 - F.col("f_.phi"))
-    return _smoothed(windows, "damped", horizon, damped_fit, lambda h: F.col("f_.level") + damp(h) * F.col("f_.slope"), period, array_col)
+    """Damped linear smoothing of the adjusted values, restored."""
+    return forecast_pool(windows, horizon, ["damped"], period, array_col=array_col)
 
 
 def slope_of(x: Column) -> Column:
@@ -172,8 +229,7 @@ def slope_of(x: Column) -> Column:
 
 def fc_theta(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
     """SES plus half of the least-squares slope a step."""
-    rows = seasonal_adjust(windows, period, array_col).withColumns({"n_": F.size(array_col), "f_": let(F.col("adjusted"), lambda x: ses_fit(x)), "s_": let(F.col("adjusted"), lambda x: slope_of(x))})
-    return _steps(rows, "theta", horizon, lambda h: (F.col("f_.level") + 0.5 * F.col("s_") * h) * _restored(h, F.col("n_"), period))
+    return forecast_pool(windows, horizon, ["theta"], period, array_col=array_col)
 
 
 def interval_quantiles(forecasts: DataFrame, levels: list[float]) -> DataFrame:
@@ -183,19 +239,6 @@ def interval_quantiles(forecasts: DataFrame, levels: list[float]) -> DataFrame:
     return rows.select("input_key", "model", "h", F.col("l_.level").alias("level"), (F.col("mean") + F.col("l_.z") * F.col("se")).alias("q"))
 
 
-POOL = {"naive": lambda w, h, m: fc_naive(w, h).drop("se"), "snaive": lambda w, h, m: fc_snaive(w, h, m).drop("se"), "rw_drift": lambda w, h, m: fc_rw_drift(w, h).drop("se"), "naive2": fc_naive2, "ses": fc_ses, "holt": fc_holt, "damped": fc_damped, "theta": fc_theta}
-
-
-def forecast_pool(windows: DataFrame, horizon: int, models: list[str] | None = None, period: int = 1, done: DataFrame | None = None) -> DataFrame:
-    """All models on all windows; keys (input_key, model) that are done already are not computed again."""
-    out = None
-    for model in models or list(POOL):
-        todo = windows if done is None else windows.join(done.where(F.col("model") == model).select("input_key").distinct(), "input_key", "left_anti")
-        part = POOL[model](todo, horizon, period).select("input_key", "model", "h", "mean")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def forecast_fallback(primary: DataFrame, alternate: DataFrame, requested: str, executed: str) -> DataFrame:
     """The primary result of each (input_key, h), or the one approved alternative where it is missing or not finite."""
     good = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") != float("inf"))

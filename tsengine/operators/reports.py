@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluate import reference_row
+
 
 def table1(selected: DataFrame, reference: str, metrics: list[str], by: list[str] | None = None) -> DataFrame:
     """Selected models with their metrics and the improvement 100 (1 - m / reference) of each."""
     by = by or []
-    ref = selected.where(F.col("model") == reference).select(*by, *[F.col(m).alias(f"r_{m}") for m in metrics])
-    joined = selected.join(F.broadcast(ref), by) if by else selected.crossJoin(F.broadcast(ref.limit(1)))  # a row a frequency
+    ref = selected.where(F.col("model") == reference).groupBy(*by).agg(F.count(F.lit(1)).alias("n_"), *[F.first(m).alias(f"r_{m}") for m in metrics])
+    ref = ref.select(*by, *[F.when(F.col("n_") == 1, F.col(f"r_{m}")).alias(f"r_{m}") for m in metrics])  # more than one reference row is none
+    joined = selected.join(ref, by, "left") if by else selected.crossJoin(F.broadcast(ref))  # a single row
     return joined.select(*by, "model", *metrics, *[F.when(F.col(f"r_{m}") != 0, 100 * (1 - F.col(m) / F.col(f"r_{m}"))).alias(f"{m}_improvement") for m in metrics])
 
 
@@ -29,7 +32,7 @@ def aggregate_all(results: DataFrame, reference: str, frequencies: int) -> DataF
     n = F.sum("evaluation_count")
     weigh = lambda c: (F.sum(F.col(c) * F.col("evaluation_count")) / n).alias(c)
     rows = results.groupBy("model").agg(weigh("smape"), weigh("mase"), weigh("da"), n.alias("evaluation_count"), F.count(F.lit(1)).alias("k"), F.count_distinct("frequency").alias("f"))
-    ref = F.broadcast(rows.where(F.col("model") == reference).select(F.col("smape").alias("rs"), F.col("mase").alias("rm")).limit(1))
+    ref = F.broadcast(reference_row(rows.where(F.col("model") == reference)))  # a single row
     violation = F.when(F.col("k") > F.col("f"), "duplicate").when(F.col("f") != frequencies, "incomplete")
     return rows.crossJoin(ref).select("model", "smape", "mase", "da", "evaluation_count", (0.5 * (F.col("smape") / F.col("rs") + F.col("mase") / F.col("rm"))).alias("owa"), violation.alias("violation"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from .evaluate import smape_term
+from .evaluate import reference_row, smape_term
 
 UP, DOWN = (1.0, 0.005, 25), (1.0, -0.005, 21)
 
@@ -55,7 +55,7 @@ def sensitivity_surface(forecasts: DataFrame, directions: DataFrame, actuals: Da
     for g in ("up", "down"):
         full = full.join(part(g).withColumnRenamed(f"l_{g}", f"lambda_{g}"), ["model", f"lambda_{g}"], "left")
     add = lambda x: sum((F.coalesce(F.col(f"{x}_{g}"), F.lit(0)) for g in ("keep", "up", "down")), F.lit(0))
-    ref = F.broadcast(reference.select(F.col("smape").alias("rs"), F.col("mase").alias("rm")).limit(1))
+    ref = F.broadcast(reference_row(reference))  # a single row
     out = full.select("model", "lambda_up", "lambda_down", (add("s") / add("n")).alias("smape"), (add("m") / add("n")).alias("mase"), add("c").cast("long").alias("correct_count"), add("k").cast("long").alias("step_count"), add("n").cast("long").alias("evaluation_count")).crossJoin(ref)
     return out.withColumn("owa", 0.5 * (F.col("smape") / F.col("rs") + F.col("mase") / F.col("rm"))).drop("rs", "rm")
 
@@ -69,7 +69,7 @@ def select_candidate(surface: DataFrame) -> DataFrame:
 
 def selected_paths(forecasts: DataFrame, directions: DataFrame, origins: DataFrame, selection: DataFrame) -> DataFrame:
     """The adjusted paths of the winners only."""
-    rows = forecasts.join(F.broadcast(selection.select("model", "lambda_up", "lambda_down")), "model")
+    rows = forecasts.join(selection.select("model", "lambda_up", "lambda_down"), "model")
     return direction_adjust(rows, directions, origins, F.col("lambda_up"), F.col("lambda_down"))
 
 

@@ -45,7 +45,7 @@ def split_key(key: Column) -> dict[str, Column]:
 
 def eligible_series(series: DataFrame, freq_dim: DataFrame) -> DataFrame:
     """Series whose history holds at least one input and one horizon of their frequency."""
-    return series.join(F.broadcast(freq_dim), "freq").where(F.col("train_end") >= F.col("input_length") + F.col("horizon"))
+    return series.join(freq_dim, "freq").where(F.col("train_end") >= F.col("input_length") + F.col("horizon"))
 
 
 def input_policy(windows: DataFrame, models: dict[str, str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
+from ..functions.ranks import first_by_hash, numbered
 
 
 def shuffled(seed: int, *keys: Column | str) -> Column:
@@ -20,12 +21,13 @@ def test_count(n: Column, fraction: float) -> Column:
 
 
 def split_membership(series: DataFrame, fraction: float, seed: int, key: str = "series_id", freq_col: str | None = None) -> DataFrame:
-    """train or test for each series, by hash order within its frequency; the windows are over series."""
+    """train or test for each series, by hash order within its frequency; no window sees more than a bin of the hash."""
     by = [freq_col] if freq_col else []
-    order = Window.partitionBy(*by).orderBy(shuffled(seed, key), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rank = F.row_number().over(order)
-    return series.select(*by, key).distinct().withColumn("partition", F.when(rank <= test_count(n, fraction), "test").otherwise("train"))
+    rows = series.select(*by, key).distinct()
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("series_"))
+    rows = rows.join(counts.withColumnRenamed(freq_col, "f_"), F.col(freq_col).eqNullSafe(F.col("f_"))).drop("f_") if by else rows.crossJoin(F.broadcast(counts))
+    chosen = first_by_hash(rows, by, shuffled(seed, key), [key], test_count(F.col("series_"), fraction))
+    return chosen.select(*by, key, F.when(F.col("chosen"), "test").otherwise("train").alias("partition"))
 
 
 def membership_roles(series: DataFrame, split: DataFrame, key: str = "series_id") -> DataFrame:
@@ -125,15 +127,15 @@ def stratified_cohort(windows: DataFrame, cap: int, seed: int, key: str = "input
     """At most about ``cap`` windows, each class by its quota in hash order; ref_order is another hash order."""
     counts = windows.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     quotas = F.broadcast(class_quotas(counts, cap).select(F.col("label").alias("l_"), "quota"))  # a row per class
-    ranked = windows.join(quotas, F.col(label_col) == F.col("l_")).withColumn("rank", F.row_number().over(Window.partitionBy(label_col).orderBy(shuffled(seed, key), key)))
-    chosen = ranked.where(F.col("rank") <= F.col("quota"))
-    return chosen.select(key, label_col, F.row_number().over(Window.orderBy(shuffled(seed + 1, key), key)).alias("ref_order"))
+    rows = windows.select(key, label_col).join(quotas, F.col(label_col) == F.col("l_")).drop("l_")
+    chosen = first_by_hash(rows, [label_col], shuffled(seed, key), [key], F.col("quota")).where("chosen")
+    return chosen.select(key, label_col, F.row_number().over(Window.orderBy(shuffled(seed + 1, key), key)).alias("ref_order"))  # cap rows, or one a class
 
 
 def full_cohort(windows: DataFrame, key: str = "input_key") -> DataFrame:
     """All rolling windows of the training partition in key order."""
     chosen = windows.where((F.col("kind") == "rolling") & (F.col("partition") == "train")).select(key)
-    return chosen.withColumn("ref_order", F.row_number().over(Window.orderBy(key)))
+    return numbered(chosen, key, name="ref_order")
 
 
 def feature_keys(cohort: DataFrame, windows: DataFrame, key: str = "input_key") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.files import sha256_of
+
 SERIES_SCHEMA = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("start", T.TimestampNTZType()), T.StructField("freq", T.StringType()), T.StructField("target", T.ArrayType(T.FloatType()))])
 
 
@@ -80,12 +84,28 @@ def load_external_forecasts(forecasts: DataFrame, series: DataFrame, models: lis
     return wanted.join(got, [key, "model"], "left").select(key, "model", F.coalesce("n", F.lit(0)).cast("long").alias("n"), reason.alias("reason"), F.lit("imported").alias("origin"))
 
 
-def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(path, status) of the files of a folder against (path, size, sha256): ok, changed, missing or unexpected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("found_size"), F.sha2("content", 256).alias("found_sha"))
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size, sha256) of all files below a folder; paths are relative to it. A task reads a file in blocks, never as one value."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = store.makeQualified(top).toString().rstrip("/") + "/"
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")  # the content isn't read
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(sha256=[sha256_of(p) for p in pdf["path"]])
+
+    found = names.mapInPandas(run, "path string, length long, sha256 string")
+    short = F.regexp_replace("path", "^([a-z0-9]+:)/+", "$1/")
+    root = re.sub("^([a-z0-9]+:)/+", r"\1/", root)
+    return found.select(F.substring(short, F.lit(len(root) + 1), F.length(short)).alias("path"), F.col("length").alias("size"), "sha256")
+
+
+def verify_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, status) of files (path, size, sha256), as ``file_digests`` gives them, against a manifest: ok, changed, missing or unexpected."""
+    have = found.select("path", F.col("size").alias("found_size"), F.col("sha256").alias("found_sha"))
     status = F.when(F.col("found_size").isNull(), "missing").when(F.col("size").isNull(), "unexpected").when((F.col("size") != F.col("found_size")) | (F.col("sha256") != F.col("found_sha")), "changed").otherwise("ok")
-    return manifest.join(found, "path", "full_outer").select("path", status.alias("status"))
+    return manifest.join(have, "path", "full_outer").select("path", status.alias("status"))
 
 
 def write_tables(df: DataFrame, path: str, columns: list[str]) -> None:
