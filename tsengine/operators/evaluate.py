@@ -57,11 +57,11 @@ def metric_mase(forecasts: DataFrame, actuals: DataFrame, scales: DataFrame) ->
     return rows.select("input_key", "model", F.when(good, F.col("mae") / F.col("scale")).alias("mase"), F.when(~F.coalesce(good, F.lit(False)), "zero scale").alias("violation"))
 
 
-def series_scores(rows: DataFrame) -> DataFrame:
-    """(input_key, model, smape, mase, violation) from rows that hold mean, actual and scale: both metrics in one aggregation."""
+def series_scores(rows: DataFrame, **more: Column) -> DataFrame:
+    """(input_key, model, smape, mase, violation) from rows that hold mean, actual and scale: both metrics, and ``more`` aggregates, in one aggregation."""
     good = F.col("scale") > 0
-    means = rows.groupBy("input_key", "model").agg(F.avg(smape_term()).alias("smape"), F.avg(F.abs(F.col("actual") - F.col("mean"))).alias("mae"), F.first("scale").alias("scale"))
-    return means.select("input_key", "model", "smape", F.when(good, F.col("mae") / F.col("scale")).alias("mase"), F.when(~F.coalesce(good, F.lit(False)), "zero scale").alias("violation"))
+    means = rows.groupBy("input_key", "model").agg(F.avg(smape_term()).alias("smape"), F.avg(F.abs(F.col("actual") - F.col("mean"))).alias("mae"), F.first("scale").alias("scale"), *[c.alias(n) for n, c in more.items()])
+    return means.select("input_key", "model", *more, "smape", F.when(good, F.col("mae") / F.col("scale")).alias("mase"), F.when(~F.coalesce(good, F.lit(False)), "zero scale").alias("violation"))
 
 
 def metric_owa(scores: DataFrame, reference: str = "naive2") -> DataFrame:

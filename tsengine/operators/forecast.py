@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import acf, centred, diff, dot, let, mean, settled, total
+from ..functions.arrays import centred, diff, dot, let, mean, settled, total
 
 ALPHAS = tuple(round(0.1 * k, 1) for k in range(1, 10))
 BETAS = (0.05, 0.1, 0.2, 0.4)
@@ -64,9 +64,11 @@ def seasonality_test(windows: DataFrame, period: int, array_col: str = "window")
     if period <= 1:
         return windows.withColumn("seasonal", F.lit(False))
     def test(c):
-        below = [F.pow(acf(c, k), 2) for k in range(1, period)]
-        limit = 1.645 / F.sqrt(F.size(c)) * F.sqrt(1 + 2 * sum(below, F.lit(0.0)))
-        return F.coalesce((F.size(c) >= 3 * period) & (F.abs(acf(c, period)) > limit), F.lit(False))
+        lagged = lambda k: dot(F.slice(c, F.lit(1), F.greatest(F.size(c) - k, F.lit(0))), F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))))
+        sums = F.transform(F.sequence(F.lit(1), F.lit(period)), lagged)  # one expression for all lags
+        above = lambda r: F.abs(F.element_at(r, period)) > 1.645 / F.sqrt(F.size(c)) * F.sqrt(1 + 2 * total(F.transform(F.slice(r, 1, period - 1), lambda v: v * v)))
+        shares = lambda p: F.when(p > 0, let(F.transform(sums, lambda v: v / p), above))
+        return F.coalesce((F.size(c) >= 3 * period) & let(dot(c, c), shares), F.lit(False))
 
     return windows.withColumn("seasonal", let(centred(F.col(array_col)), test))
 

@@ -48,23 +48,26 @@ def cleaned(spark, d):
     return clean.clean_standard(daily(spark, d).where(F.col("t") < DAYS - H))
 
 
-_frames: dict[tuple[str, str], DataFrame] = {}
+_frames: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def frame(spark, d):
-    """One row a series: history (cleaned, without the last H days) and actual (those days as they are).
+def _frame_of(spark, d, name, long, cut, horizon):
+    """One row a series: history (cleaned, the first ``cut`` steps) and actual (the ``horizon`` steps behind as they are).
 
-    Nearly every query starts from it, some several times, so it is persisted for the session; ``forget_frames`` drops it.
+    Nearly every query starts from such a frame, some several times, so it is persisted for the session; ``forget_frames`` drops it.
     """
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _frames:
-        cut = DAYS - H
-        long = clean.clean_standard(daily(spark, d).withColumn("y_in", F.when(F.col("t") < cut, F.col("y"))), value_col="y_in")
+        long = clean.clean_standard(long.withColumn("y_in", F.when(F.col("t") < cut, F.col("y"))), value_col="y_in")
         rows = long.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "y", "y_clean"))).alias("r"))
-        _frames[key] = rows.select("series_id", F.transform(F.slice("r", 1, cut), lambda r: r["y_clean"]).alias("history"), F.transform(F.slice("r", cut + 1, H), lambda r: r["y"]).alias("actual")).persist()
+        _frames[key] = rows.select("series_id", F.transform(F.slice("r", 1, cut), lambda r: r["y_clean"]).alias("history"), F.transform(F.slice("r", cut + 1, horizon), lambda r: r["y"]).alias("actual")).persist()
     return _frames[key]
 
 
+def frame(spark, d):
+    return _frame_of(spark, d, "D", daily(spark, d), DAYS - H, H)
+
+
 def forget_frames() -> None:
     """For tables that have changed."""
     while _frames:
@@ -961,6 +964,90 @@ def incomplete_models(spark, d):
     return reports.incomplete_models(rows, ["naive2", "ses", "forest"], ["h"])
 
 
+# ---- seasonal panels ----
+
+#: Monthly sales by supplier and hourly events by type; the windows hold three cycles or more, so the seasonal path acts.
+PANELS = {
+    "M": {"table": "lineitem", "columns": ("l_suppkey", "l_shipdate", "l_extendedprice"), "grain": "month", "bounds": ("1995-01-01", "2001-11-01"), "steps": 83, "window": 72, "horizon": 6, "period": 12},
+    "H": {"table": "events", "columns": ("event_type", "ts", "value"), "grain": "hour", "bounds": ("2024-01-01 00:00:00", "2024-01-30 23:00:00"), "steps": 720, "window": 168, "horizon": 48, "period": 24},
+}
+
+
+def panel_windows(spark, d, freq):
+    """The official window of each series, with actual, scale and origin."""
+    p = PANELS[freq]
+    facts_ = src.build_panel(table(spark, d, p["table"]), *p["columns"], p["grain"])
+    rows = _frame_of(spark, d, freq, src.fill_calendar(facts_, p["grain"], p["bounds"]), p["steps"] - p["horizon"], p["horizon"])
+    rows = rows.withColumn("input_key", F.col("series_id").cast("string"))
+    scale = evaluate.naive_scale(rows, p["period"])
+    return windows.official_window(rows, p["window"]).join(scale, "input_key").withColumn("origin", F.element_at("window", -1))
+
+
+def panel_forecasts(spark, d, freq):
+    p = PANELS[freq]
+    rows = forecast.forecast_pool(panel_windows(spark, d, freq), p["horizon"], None, p["period"], keep=["actual", "scale", "origin"])
+    return rows.withColumn("actual", F.element_at("actual", F.col("h"))).withColumn("freq", F.lit(freq))
+
+
+def panel_sql(freq, select):
+    p = PANELS[freq]
+    series_, time_, value_ = p["columns"]
+    n, w, hz, m = p["steps"], p["window"], p["horizon"], p["period"]
+    half = m // 2
+    return f"""WITH RECURSIVE facts AS (SELECT {series_} AS series_id, date_diff('{p["grain"]}', TIMESTAMP '{p["bounds"][0]}', {time_}::TIMESTAMP)::INT AS t, sum({value_}::DECIMAL(18,2))::DOUBLE AS y FROM {p["table"]} GROUP BY ALL),
+whole AS MATERIALIZED (SELECT series_id, t, y FROM (SELECT series_id, unnest(range({n}))::INT AS t FROM (SELECT DISTINCT series_id FROM facts)) LEFT JOIN facts USING (series_id, t)),
+nb AS (SELECT series_id, t, y, last_value(y IGNORE NULLS) OVER b AS y0, last_value(CASE WHEN y IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value(y IGNORE NULLS) OVER a AS y1, first_value(CASE WHEN y IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1 FROM whole WHERE t < {n - hz}
+ WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+cleaned AS MATERIALIZED (SELECT series_id::VARCHAR AS input_key, t, CASE WHEN y IS NOT NULL THEN y ELSE coalesce(y0 + (y1 - y0) * ((t - t0)::DOUBLE / (t1 - t0)::DOUBLE), y0, y1) END AS v FROM nb),
+off AS MATERIALIZED (SELECT input_key, t - {n - hz - w} AS i, v FROM cleaned WHERE t >= {n - hz - w}), act AS MATERIALIZED (SELECT series_id::VARCHAR AS input_key, t - {n - hz - 1} AS h, y AS actual FROM whole WHERE t >= {n - hz}), hs AS (SELECT unnest(range(1, {hz + 1}))::INT AS h),
+scale AS (SELECT input_key, avg(abs(v - p)) AS scale FROM (SELECT input_key, v, lag(v, {m}) OVER (PARTITION BY input_key ORDER BY t) AS p FROM cleaned) GROUP BY 1),
+c0 AS MATERIALIZED (SELECT input_key, i, v - avg(v) OVER (PARTITION BY input_key) AS c FROM off), p0 AS (SELECT input_key, sum(c * c) AS p FROM c0 GROUP BY 1), l0 AS (SELECT a.input_key, b.i - a.i AS lag, sum(a.c * b.c) AS s FROM c0 a JOIN c0 b ON a.input_key = b.input_key AND b.i - a.i BETWEEN 1 AND {m} GROUP BY ALL),
+sq AS (SELECT input_key, {w} >= 3 * {m} AND any_value(p) > 0 AND abs(max(s / p) FILTER (WHERE lag = {m})) > 1.645 / sqrt({w}) * sqrt(1 + 2 * sum((s / p) * (s / p)) FILTER (WHERE lag < {m})) AS seasonal FROM l0 JOIN p0 USING (input_key) GROUP BY 1),
+ma AS (SELECT a.input_key, a.i, any_value(a.v) / ((sum(b.v) - sum(b.v) FILTER (WHERE abs(b.i - a.i) = {half}) / 2) / {m}) AS ratio FROM off a JOIN off b ON a.input_key = b.input_key AND b.i BETWEEN a.i - {half} AND a.i + {half} WHERE a.i BETWEEN {half} AND {w - half - 1} GROUP BY ALL),
+sf AS (SELECT input_key, i % {m} AS s, avg(ratio) AS f FROM ma GROUP BY ALL), sg AS MATERIALIZED (SELECT input_key, s, CASE WHEN coalesce(seasonal, false) AND min(f) OVER (PARTITION BY input_key) > 0 THEN f / avg(f) OVER (PARTITION BY input_key) ELSE 1.0 END AS f FROM sf JOIN sq USING (input_key)),
+adj AS MATERIALIZED (SELECT input_key, list(v ORDER BY i) AS w, list(v / f ORDER BY i) AS a, regr_slope(v / f, i) AS slope FROM off JOIN sg USING (input_key) WHERE s = i % {m} GROUP BY 1),
+{grid_sql("sesf", forecast.GRIDS["ses"], 1, "adj", "a")},
+{grid_sql("holtf", forecast.GRIDS["holt"], 2, "adj", "a")},
+{grid_sql("dampedf", forecast.GRIDS["damped"], 2, "adj", "a")},
+wide AS (SELECT adj.*, h, sg.f AS back, sesf.f.l AS l, holtf.f AS ho, dampedf.f AS da FROM adj JOIN sesf USING (input_key) JOIN holtf USING (input_key) JOIN dampedf USING (input_key) CROSS JOIN hs JOIN sg ON sg.input_key = adj.input_key AND sg.s = ({w} + h - 1) % {m}),
+fc AS MATERIALIZED (SELECT input_key, h, w[{w}] AS origin, unnest({list(forecast.POOL)}) AS model, unnest([w[{w}], w[{w - m} + ((h - 1) % {m}) + 1], w[{w}] + h * (w[{w}] - w[1]) / {w - 1}, a[{w}] * back, l * back, (ho.l + h * ho.b) * back, (da.l + da.phi * (1 - pow(da.phi, h)) / (1 - da.phi) * da.b) * back, (l + 0.5 * slope * h) * back]) AS mean FROM wide),
+err AS (SELECT fc.*, actual, scale, CASE WHEN abs(actual) + abs(mean) > 0 THEN 200 * abs(actual - mean) / (abs(actual) + abs(mean)) END AS term FROM fc JOIN act USING (input_key, h) JOIN scale USING (input_key)),
+sc AS MATERIALIZED (SELECT input_key, model, avg(term) AS smape, avg(abs(actual - mean)) / any_value(scale) AS mase, max(((mean > origin) = (actual > origin))::INT) FILTER (WHERE h = {hz}) AS correct FROM err GROUP BY ALL),
+ow AS (SELECT model, avg(smape) AS smape, avg(mase) AS mase, avg(correct) AS da, count(*) AS n FROM sc GROUP BY 1)
+{select}"""
+
+
+def of_panels(select):
+    return "WITH u AS (" + " UNION ALL ".join(f"SELECT * FROM ({panel_sql(f, select.format(freq=f))})" for f in PANELS) + ") "
+
+
+@query(of_panels("SELECT '{freq}' AS freq, input_key, model, h, mean FROM fc") + "SELECT freq, input_key, model, h, round(mean, 2) AS mean FROM u")
+def seasonal_paths(spark, d):
+    """All models on the monthly and the hourly panel, with seasonal adjustment where the test asks for it."""
+    parts = [panel_forecasts(spark, d, f).select("freq", "input_key", "model", "h", r("mean", 2).alias("mean")) for f in PANELS]
+    return parts[0].unionByName(parts[1])
+
+
+def panel_scores(spark, d, freq):
+    """(input_key, model, smape, mase, correct): with the direction of the last step."""
+    right = ((F.col("mean") > F.col("origin")) == (F.col("actual") > F.col("origin"))).cast("int")
+    return evaluate.series_scores(panel_forecasts(spark, d, freq), correct=F.max(F.when(F.col("h") == PANELS[freq]["horizon"], right)))
+
+
+@query(of_panels("SELECT '{freq}' AS freq, a.model, a.smape, a.mase, 0.5 * (a.smape / b.smape + a.mase / b.mase) AS owa FROM ow a CROSS JOIN (SELECT * FROM ow WHERE model = 'naive2') b") + "SELECT freq, model, round(smape, 4) AS smape, round(mase, 5) AS mase, round(owa, 5) AS owa FROM u")
+def frequency_scores(spark, d):
+    parts = [evaluate.metric_owa(panel_scores(spark, d, f)).select(F.lit(f).alias("freq"), "model", r("smape").alias("smape"), r("mase", 5).alias("mase"), r("owa", 5).alias("owa")) for f in PANELS]
+    return parts[0].unionByName(parts[1])
+
+
+@query(of_panels("SELECT '{freq}' AS freq, model, smape, mase, da, n FROM ow") + ", t AS (SELECT model, sum(smape * n) / sum(n) AS smape, sum(mase * n) / sum(n) AS mase, sum(da * n) / sum(n) AS da, sum(n)::BIGINT AS evaluation_count FROM u GROUP BY 1) SELECT a.model, round(a.smape, 4) AS smape, round(a.mase, 5) AS mase, round(a.da, 5) AS da, a.evaluation_count, round(0.5 * (a.smape / b.smape + a.mase / b.mase), 5) AS owa, NULL::VARCHAR AS violation FROM t a CROSS JOIN (SELECT * FROM t WHERE model = 'naive2') b")
+def frequency_totals(spark, d):
+    """Both panels in one table, weighted by their numbers of series."""
+    each = [panel_scores(spark, d, f).groupBy("model").agg(F.avg("smape").alias("smape"), F.avg("mase").alias("mase"), F.avg("correct").alias("da"), F.count(F.lit(1)).alias("evaluation_count")).withColumn("frequency", F.lit(f)) for f in PANELS]
+    out = reports.aggregate_all(each[0].unionByName(each[1]), "naive2", 2)
+    return out.select("model", r("smape").alias("smape"), r("mase", 5).alias("mase"), r("da", 5).alias("da"), "evaluation_count", r("owa", 5).alias("owa"), "violation")
+
+
 # ---- restart ----
 
 
