@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import acf, centred, diff, dot, lagged, let, mean, settled, total, variance
 
-# The published order of the features. Eight of them are not built (entropy, arch_acf, garch_acf, arch_r2, garch_r2, hurst,
-# nonlinearity, hw_gamma); arch_lm is ARCH.LM there; _ma marks those that come from a moving-average decomposition instead of a smoother.
+# The published order of the features. Three of them are not built (garch_acf, garch_r2, hw_gamma);
+# arch_lm is ARCH.LM there; _ma marks those that come from a moving-average decomposition instead of a smoother.
 ORDER = (
-    "x_acf1", "x_acf10", "diff1_acf1", "diff1_acf10", "diff2_acf1", "diff2_acf10", "seas_acf1", "arch_lm", "crossing_points", "flat_spots", "alpha", "beta", "lumpiness",
-    "x_pacf5", "diff1x_pacf5", "diff2x_pacf5", "seas_pacf", "nperiods", "seasonal_period", "trend_ma", "spike_ma", "linearity_ma", "curvature_ma", "e_acf1_ma", "e_acf10_ma",
+    "x_acf1", "x_acf10", "diff1_acf1", "diff1_acf10", "diff2_acf1", "diff2_acf10", "seas_acf1", "arch_lm", "crossing_points", "entropy", "flat_spots", "arch_acf", "arch_r2", "alpha", "beta", "hurst",
+    "lumpiness", "nonlinearity", "x_pacf5", "diff1x_pacf5", "diff2x_pacf5", "seas_pacf", "nperiods", "seasonal_period", "trend_ma", "spike_ma", "linearity_ma", "curvature_ma", "e_acf1_ma", "e_acf10_ma",
     "seasonal_strength_ma", "peak_ma", "trough_ma", "stability", "hw_alpha", "hw_beta", "unitroot_kpss", "unitroot_pp", "series_length",
 )
 PACF = ("x_pacf5", "diff1x_pacf5", "diff2x_pacf5", "seas_pacf")
 UNITROOT = ("unitroot_kpss", "unitroot_pp")
 DECOMP = ("trend_ma", "linearity_ma", "curvature_ma", "e_acf1_ma", "e_acf10_ma", "seasonal_strength_ma", "peak_ma", "trough_ma", "spike_ma")
+SPECTRUM = ("entropy", "hurst")
+SHAPE = ("nonlinearity", "arch_acf", "arch_r2")
 
 
 def _with_python(rows: DataFrame, names: tuple[str, ...], fn) -> DataFrame:
@@ -108,9 +110,9 @@ def feat_tiles(rows: DataFrame, width: int = 10) -> DataFrame:
     return rows.withColumns({"lumpiness": F.when(enough, variance(F.transform(tiles, variance))), "stability": F.when(enough, variance(F.transform(tiles, mean)))})
 
 
-def _lag_r2(x: np.ndarray, lags: int = 12) -> float:
+def _lag_r2(x: np.ndarray, lags: int = 12, centre: bool = True) -> float:
     """R squared of the squares on their own lags."""
-    s = (x - x.mean()) ** 2
+    s = (x - x.mean() if centre else x) ** 2
     if len(s) <= 2 * lags + 1 or s.std() == 0:
         return 0.0
     y = s[lags:]
@@ -150,6 +152,57 @@ def _unitroot(x: np.ndarray) -> tuple[float, float]:
     return float(kpss), float(m * (slope - 1) - 0.5 * (lr - g0) * m * m / max(lc @ lc, 1e-300))
 
 
+def feat_spectrum(rows: DataFrame) -> DataFrame:
+    """Spectral entropy of the periodogram, from 0 to 1; and 0.5 plus the fractional order by log-periodogram regression over sqrt(n) frequencies, within 0.5 and 1."""
+    return _with_python(rows, SPECTRUM, _spectrum)
+
+
+def _spectrum(x: np.ndarray) -> tuple[float, float]:
+    n = len(x)
+    if n < 8 or x.std() == 0:
+        return 0.0, 0.5
+    power = np.abs(np.fft.rfft(x - x.mean())[1 : n // 2 + 1]) ** 2
+    share = power / power.sum()
+    share = share[share > 1e-15]
+    entropy = float(-(share * np.log(share)).sum() / np.log(n // 2))
+    m = int(np.sqrt(n))
+    angle = np.log(4 * np.sin(np.pi * np.arange(1, m + 1) / n) ** 2)
+    level = np.log(np.maximum(power[:m], 1e-12))
+    a = angle - angle.mean()
+    return entropy, 0.5 + min(max(float(-(a @ level) / (a @ a)), 0.0), 0.5)
+
+
+def feat_nonlinear(rows: DataFrame) -> DataFrame:
+    """What squares and cubes of the value before explain of the residuals of a first-order regression (10 ln of the ratio of their sums of squares);
+    and of the squared residuals, the sum of the first 12 squared autocorrelations and the R squared on 12 lags."""
+    return _with_python(rows, SHAPE, _nonlinear)
+
+
+def _residuals(y: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """y less its mean and what the columns explain, one after another."""
+    y, columns = y - y.mean(), [c - c.mean() for c in columns]
+    while columns:
+        c, *columns = columns
+        power = c @ c
+        if power > 1e-12:
+            y = y - (y @ c / power) * c
+            columns = [d - (d @ c / power) * c for d in columns]
+    return y
+
+
+def _nonlinear(x: np.ndarray) -> tuple[float, float, float]:
+    if len(x) < 40 or x.std() == 0:
+        return 0.0, 0.0, 0.0
+    before, y = x[:-1], x[1:]
+    u = _residuals(y, [before])
+    v = _residuals(y, [before, before**2, before**3])
+    s = u * u - (u * u).mean()
+    if u @ u < 1e-9 or v @ v < 1e-9 or s @ s < 1e-9:
+        return 0.0, 0.0, 0.0
+    acf = np.array([s[k:] @ s[:-k] for k in range(1, 13)]) / (s @ s)
+    return float(10 * np.log((u @ u) / (v @ v))), float((acf**2).sum()), _lag_r2(u, centre=False)
+
+
 def feat_decomp(rows: DataFrame, period: int = 1) -> DataFrame:
     """Trend, remainder and seasonal features of a centred moving-average decomposition."""
     return _with_python(rows, DECOMP, lambda x: _decomposed(x, period))
@@ -191,6 +244,6 @@ def feat_vector(rows: DataFrame, period: int = 1, key: str = "input_key") -> Dat
     """All features in the fixed order; what is missing or not finite becomes 0."""
     rows = feat_smoothing(feat_tiles(feat_flat_spots(feat_crossing(feat_shape(feat_acf(rows, period), period)))))
     # all that needs Python, in one pass over the array
-    rows = _with_python(rows, (*PACF, *DECOMP, "arch_lm", *UNITROOT), lambda x: [*_pacfs(x, period), *_decomposed(x, period), _lag_r2(x), *_unitroot(x)])
+    rows = _with_python(rows, (*PACF, *DECOMP, "arch_lm", *UNITROOT, *SPECTRUM, *SHAPE), lambda x: [*_pacfs(x, period), *_decomposed(x, period), _lag_r2(x), *_unitroot(x), *_spectrum(x), *_nonlinear(x)])
     finite = lambda c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
     return rows.select(key, *[finite(c).alias(c) for c in ORDER])

@@ -230,8 +230,12 @@ def slope_of(x: Column) -> Column:
 
 
 def fc_theta(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
-    """SES plus half of the least-squares slope a step."""
-    return forecast_pool(windows, horizon, ["theta"], period, array_col=array_col)
+    """SES plus half of the least-squares slope a step; se = sigma sqrt(1 + (h - 1) alpha ** 2) of the SES, restored like the mean."""
+    back = F.element_at("factors", ((F.col("n_") + F.col("h") - 1) % period).cast("int") + 1) if period > 1 else F.lit(1.0)
+    fit = F.col("f_.ses")
+    rows = _prepared(windows, ["theta"], period, array_col).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    sigma = F.when(F.col("n_") > 1, F.sqrt(fit["sse"] / (F.col("n_") - 1)))
+    return rows.select("input_key", F.lit("theta").alias("model"), "h", _values(period)["theta"](F.col("h")).alias("mean"), (sigma * F.sqrt(1 + (F.col("h") - 1) * fit["alpha"] * fit["alpha"]) * back).alias("se"))
 
 
 def interval_quantiles(forecasts: DataFrame, levels: list[float]) -> DataFrame:

@@ -121,7 +121,7 @@ def grid_sql(name, points, first, source="offw", x="w"):
     guess = "(p.l + phi * p.b)"
     step = f"{{'sse': p.sse + (q.l - {guess}) * (q.l - {guess}), 'l': {guess} + alpha * (q.l - {guess}), 'b': phi * p.b + alpha * beta * (q.l - {guess})}}"
     slope = "x2.w[2] - x2.w[1]" if first == 2 else "0.0::DOUBLE"
-    return f"""{name} AS MATERIALIZED (SELECT input_key, arg_min({{'l': s.l, 'b': s.b, 'alpha': alpha, 'beta': beta, 'phi': phi}}, (s.sse, k)) AS f FROM (SELECT input_key, k, alpha, beta, phi, list_reduce(list_transform(x2.w[{first}:], lambda v: {{'sse': 0.0::DOUBLE, 'l': v, 'b': {slope}}}), lambda p, q: {step}) AS s FROM (SELECT input_key, {x} AS w FROM {source}) x2 CROSS JOIN (VALUES {values}) g(k, alpha, beta, phi)) GROUP BY input_key)"""
+    return f"""{name} AS MATERIALIZED (SELECT input_key, arg_min({{'sse': s.sse, 'l': s.l, 'b': s.b, 'alpha': alpha, 'beta': beta, 'phi': phi}}, (s.sse, k)) AS f FROM (SELECT input_key, k, alpha, beta, phi, list_reduce(list_transform(x2.w[{first}:], lambda v: {{'sse': 0.0::DOUBLE, 'l': v, 'b': {slope}}}), lambda p, q: {step}) AS s FROM (SELECT input_key, {x} AS w FROM {source}) x2 CROSS JOIN (VALUES {values}) g(k, alpha, beta, phi)) GROUP BY input_key)"""
 
 
 BASE = f"""WITH RECURSIVE facts AS MATERIALIZED (SELECT c_nationkey AS series_id, o_orderdate::DATE AS ds, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -467,11 +467,31 @@ pf AS (SELECT k, input_key, list_reduce(list_transform(range(6), lambda j: {'j':
 pc AS (SELECT input_key, coalesce(max(s) FILTER (WHERE k = 0), 0.0) AS x_pacf5, coalesce(max(s) FILTER (WHERE k = 1), 0.0) AS diff1x_pacf5, coalesce(max(s) FILTER (WHERE k = 2), 0.0) AS diff2x_pacf5, 0.0::DOUBLE AS seas_pacf FROM zz LEFT JOIN pf USING (input_key) GROUP BY 1)
 """
 # the lags are made orthogonal one after another; what is left of the squares is what they do not explain
-ARCH = f""", aq AS (SELECT input_key, list_transform(z, lambda v: (v - list_avg(z)) * (v - list_avg(z))) AS s FROM zz), av AS (SELECT input_key, list_transform(range(13), lambda k: list_transform(range(13, {L + 1}), lambda t: s[t - k])) AS vs FROM aq),
-gs(input_key, k, vs) AS (SELECT input_key, 1, list_transform(vs, lambda x: list_transform(x, lambda e: e - list_avg(x))) FROM av
- UNION ALL SELECT input_key, k + 1, list_transform(vs, lambda x, i: CASE WHEN (i = 1 OR i > k + 1) AND list_dot_product(vs[k + 1], vs[k + 1]) > 1e-18 THEN list_transform([list_dot_product(x, vs[k + 1]) / list_dot_product(vs[k + 1], vs[k + 1])], lambda c: list_transform(x, lambda e, j: e - c * vs[k + 1][j]))[1] ELSE x END) FROM gs WHERE k <= 12),
+def gram_sql(name, vectors, steps, least):
+    """Rounds of orthogonalisation: vs[1] loses what vs[2], vs[3] ... explain, one after another; {name}(input_key, k, vs) has round k."""
+    return f"""{name}(input_key, k, vs) AS (SELECT input_key, 1, list_transform(vs, lambda x: list_transform(x, lambda e: e - list_avg(x))) FROM {vectors}
+ UNION ALL SELECT input_key, k + 1, list_transform(vs, lambda x, i: CASE WHEN (i = 1 OR i > k + 1) AND list_dot_product(vs[k + 1], vs[k + 1]) > {least} THEN list_transform([list_dot_product(x, vs[k + 1]) / list_dot_product(vs[k + 1], vs[k + 1])], lambda c: list_transform(x, lambda e, j: e - c * vs[k + 1][j]))[1] ELSE x END) FROM {name} WHERE k <= {steps})"""
+
+
+def lags_sql(n):
+    return f"list_transform(range(13), lambda k: list_transform(range(13, {n + 1}), lambda t: s[t - k]))"
+
+
+# the lags are made orthogonal one after another; what is left of the squares is what they do not explain
+ARCH = f""", aq AS (SELECT input_key, list_transform(z, lambda v: (v - list_avg(z)) * (v - list_avg(z))) AS s FROM zz), av AS (SELECT input_key, {lags_sql(L)} AS vs FROM aq),
+{gram_sql("gs", "av", 12, 1e-18)},
 ah AS (SELECT b.input_key, CASE WHEN list_dot_product(a.vs[1], a.vs[1]) > 1e-18 THEN 1 - list_dot_product(b.vs[1], b.vs[1]) / list_dot_product(a.vs[1], a.vs[1]) ELSE 0.0 END AS arch_lm FROM gs b JOIN gs a ON a.input_key = b.input_key AND a.k = 1 WHERE b.k = 13)
 """
+SHAPE = f""", nv AS (SELECT input_key, [z[2:], z[:{L - 1}], list_transform(z[:{L - 1}], lambda v: v ** 2), list_transform(z[:{L - 1}], lambda v: v ** 3)] AS vs FROM zz),
+{gram_sql("ng", "nv", 3, 1e-12)},
+nu AS (SELECT input_key, list_transform(vs[1], lambda e: e * e) AS s, list_dot_product(vs[1], vs[1]) AS uu FROM ng WHERE k = 2), nw AS (SELECT input_key, list_dot_product(vs[1], vs[1]) AS vv FROM ng WHERE k = 4),
+nl AS (SELECT input_key, unnest(list_transform(s, lambda e: e - list_avg(s))) AS c, unnest(range({L - 1})) AS i FROM nu), np AS (SELECT input_key, sum(c * c) AS p FROM nl GROUP BY 1), na AS (SELECT a.input_key, b.i - a.i AS lag, sum(a.c * b.c) AS q FROM nl a JOIN nl b ON a.input_key = b.input_key AND b.i - a.i BETWEEN 1 AND 12 GROUP BY ALL), nf AS (SELECT input_key, sum((q / p) * (q / p)) AS arch_acf FROM na JOIN np USING (input_key) WHERE p > 0 GROUP BY 1),
+nr AS (SELECT input_key, {lags_sql(L - 1)} AS vs FROM nu), {gram_sql("nh", "nr", 12, 1e-18)}, ne AS (SELECT b.input_key, CASE WHEN list_dot_product(a.vs[1], a.vs[1]) > 1e-18 THEN 1 - list_dot_product(b.vs[1], b.vs[1]) / list_dot_product(a.vs[1], a.vs[1]) ELSE 0.0 END AS r2 FROM nh b JOIN nh a ON a.input_key = b.input_key AND a.k = 1 WHERE b.k = 13),
+sh AS (SELECT zz.input_key, uu >= 1e-9 AND vv >= 1e-9 AND p >= 1e-9 AS good, CASE WHEN good THEN 10 * ln(uu / vv) ELSE 0.0 END AS nonlinearity, CASE WHEN good THEN nf.arch_acf ELSE 0.0 END AS arch_acf, CASE WHEN good THEN r2 ELSE 0.0 END AS arch_r2 FROM zz JOIN nu USING (input_key) JOIN nw USING (input_key) JOIN np USING (input_key) LEFT JOIN nf USING (input_key) JOIN ne USING (input_key))
+"""
+SPECTRUM = f""", pg AS MATERIALIZED (SELECT input_key, j, sum(c * cos(2 * pi() * j * i / {L})) ** 2 + sum(c * sin(2 * pi() * j * i / {L})) ** 2 AS power FROM (SELECT input_key, i, v - avg(v) OVER (PARTITION BY input_key) AS c FROM zl) CROSS JOIN (SELECT unnest(range(1, {L // 2 + 1})) AS j) GROUP BY ALL), pt AS (SELECT input_key, sum(power) AS total FROM pg GROUP BY 1),
+sp AS (SELECT input_key, CASE WHEN any_value(total) > 1e-20 THEN -sum(CASE WHEN power / total > 1e-15 THEN power / total * ln(power / total) ELSE 0 END) / ln({L // 2}) ELSE 0.0 END AS entropy, CASE WHEN any_value(total) > 1e-20 THEN 0.5 + least(greatest(-regr_slope(ln(greatest(power, 1e-12)), ln(4 * sin(pi() * j / {L}) ** 2)) FILTER (WHERE j <= {int(L**0.5)}), 0), 0.5) ELSE 0.5 END AS hurst FROM pg JOIN pt USING (input_key) GROUP BY 1)
+"""
 UNITROOT = f""", kp AS (SELECT input_key, sum(s * s) AS ss FROM (SELECT input_key, sum(c) OVER (PARTITION BY input_key ORDER BY i) AS s FROM ac WHERE k = 0) GROUP BY 1), kl AS (SELECT input_key, any_value(p) AS p, any_value(p) / {L} + 2 * sum((1 - lag / 4.0::DOUBLE) * s / {L}) FILTER (WHERE lag <= 3) AS lr FROM lg JOIN pw USING (k, input_key) WHERE k = 0 GROUP BY 1),
 pr AS (SELECT * FROM (SELECT input_key, i, v AS y, lag(v) OVER (PARTITION BY input_key ORDER BY i) AS l FROM zl) WHERE l IS NOT NULL), pn AS (SELECT input_key, i, y - avg(y) OVER g AS yc, y, l - avg(l) OVER g AS lc FROM pr WINDOW g AS (PARTITION BY input_key)), pb AS (SELECT input_key, sum(lc * y) / greatest(sum(lc * lc), 1e-300) AS b, sum(lc * lc) AS ll FROM pn GROUP BY 1),
 pu AS (SELECT input_key, i, yc - b * lc AS u FROM pn JOIN pb USING (input_key)), pv AS (SELECT input_key, sum(u * u) / {L - 1} AS g0, 2 * (0.75 * sum(u * u1) + 0.5 * sum(u * u2) + 0.25 * sum(u * u3)) / {L - 1} AS more FROM (SELECT *, lag(u, 1, 0) OVER g AS u1, lag(u, 2, 0) OVER g AS u2, lag(u, 3, 0) OVER g AS u3 FROM pu WINDOW g AS (PARTITION BY input_key ORDER BY i)) GROUP BY 1),
@@ -521,6 +541,16 @@ def feat_arch(spark, d):
     return features.feat_arch(z(spark, d)).select("input_key", r("arch_lm", 4).alias("arch_lm"))
 
 
+@query(Z + SPECTRUM + f"SELECT input_key, {rounded(features.SPECTRUM)} FROM sp")
+def feat_spectrum(spark, d):
+    return features.feat_spectrum(z(spark, d)).select("input_key", *[r(c, 5).alias(c) for c in features.SPECTRUM])
+
+
+@query(Z + SHAPE + f"SELECT input_key, {rounded(features.SHAPE, 4)} FROM sh")
+def feat_nonlinear(spark, d):
+    return features.feat_nonlinear(z(spark, d)).select("input_key", *[r(c).alias(c) for c in features.SHAPE])
+
+
 @query(Z + ACF + UNITROOT + f"SELECT input_key, {rounded(features.UNITROOT)} FROM ur")
 def feat_unitroot(spark, d):
     return features.feat_unitroot(z(spark, d)).select("input_key", *[r(c, 5).alias(c) for c in features.UNITROOT])
@@ -536,8 +566,8 @@ def feat_smoothing(spark, d):
     return features.feat_smoothing(features.z_scored(official(spark, d).select("input_key", "window"))).select("input_key", "alpha", "beta", "hw_alpha", "hw_beta")
 
 
-VECTOR = z_sql("offw") + ACF + PACF + ARCH + UNITROOT + DECOMP + SMOOTHING + CROSSING + FLAT + TILES + f""", ax AS (SELECT input_key, coalesce(max(a1) FILTER (WHERE k = 0), 0) AS x_acf1, coalesce(max(a10) FILTER (WHERE k = 0), 0) AS x_acf10, coalesce(max(a1) FILTER (WHERE k = 1), 0) AS diff1_acf1, coalesce(max(a10) FILTER (WHERE k = 1), 0) AS diff1_acf10, coalesce(max(a1) FILTER (WHERE k = 2), 0) AS diff2_acf1, coalesce(max(a10) FILTER (WHERE k = 2), 0) AS diff2_acf10, 0.0::DOUBLE AS seas_acf1 FROM af GROUP BY 1),
-ve AS (SELECT *, 0.0::DOUBLE AS nperiods, 1.0::DOUBLE AS seasonal_period, {L}.0::DOUBLE AS series_length FROM ax JOIN pc USING (input_key) JOIN ah USING (input_key) JOIN ur USING (input_key) JOIN dz USING (input_key) JOIN sm USING (input_key) JOIN cp USING (input_key) JOIN fs USING (input_key) JOIN ts USING (input_key))
+VECTOR = z_sql("offw") + ACF + PACF + ARCH + UNITROOT + DECOMP + SPECTRUM + SHAPE + SMOOTHING + CROSSING + FLAT + TILES + f""", ax AS (SELECT input_key, coalesce(max(a1) FILTER (WHERE k = 0), 0) AS x_acf1, coalesce(max(a10) FILTER (WHERE k = 0), 0) AS x_acf10, coalesce(max(a1) FILTER (WHERE k = 1), 0) AS diff1_acf1, coalesce(max(a10) FILTER (WHERE k = 1), 0) AS diff1_acf10, coalesce(max(a1) FILTER (WHERE k = 2), 0) AS diff2_acf1, coalesce(max(a10) FILTER (WHERE k = 2), 0) AS diff2_acf10, 0.0::DOUBLE AS seas_acf1 FROM af GROUP BY 1),
+ve AS (SELECT *, 0.0::DOUBLE AS nperiods, 1.0::DOUBLE AS seasonal_period, {L}.0::DOUBLE AS series_length FROM ax JOIN pc USING (input_key) JOIN ah USING (input_key) JOIN ur USING (input_key) JOIN dz USING (input_key) JOIN sp USING (input_key) JOIN sh USING (input_key) JOIN sm USING (input_key) JOIN cp USING (input_key) JOIN fs USING (input_key) JOIN ts USING (input_key))
 """
 
 
@@ -601,9 +631,17 @@ def fc_damped(spark, d):
     return forecast.fc_damped(official(spark, d), H).withColumn("mean", r("mean", 2))
 
 
-@query("SELECT input_key, model, h, round(mean, 3) AS mean FROM fc WHERE model = 'theta'")
+@query(f"SELECT input_key, model, h, round(mean, 3) AS mean, round(sqrt(f.sse / {L - 1}) * sqrt(1 + (h - 1) * f.alpha * f.alpha), 3) AS se FROM fc JOIN sesf USING (input_key) WHERE model = 'theta'")
 def fc_theta(spark, d):
-    return forecast.fc_theta(official(spark, d), H).withColumn("mean", r("mean", 3))
+    return forecast.fc_theta(official(spark, d), H).select("input_key", "model", "h", r("mean", 3).alias("mean"), r("se", 3).alias("se"))
+
+
+THETA_SE = f"SELECT input_key, model, h, mean, sqrt(f.sse / {L - 1}) * sqrt(1 + (h - 1) * f.alpha * f.alpha) AS se FROM fc JOIN sesf USING (input_key) WHERE model = 'theta'"
+
+
+@query(f" SELECT input_key, model, h, level, round(mean + z * se, 3) AS q FROM ({THETA_SE}) CROSS JOIN (SELECT unnest([0.025, 0.1, 0.5, 0.9, 0.975])::DOUBLE AS level, unnest([-1.9599639845400536, -1.2815515655446008, 0.0, 1.2815515655446008, 1.9599639845400536])::DOUBLE AS z)")
+def theta_quantiles(spark, d):
+    return forecast.interval_quantiles(forecast.fc_theta(official(spark, d), H), LEVELS).withColumn("q", r("q", 3))
 
 
 QZ = ", zq AS (SELECT unnest([0.025, 0.1, 0.5, 0.9, 0.975])::DOUBLE AS level, unnest([-1.9599639845400536, -1.2815515655446008, 0.0, 1.2815515655446008, 1.9599639845400536])::DOUBLE AS z), sd AS (SELECT input_key, sqrt(avg((v - p) * (v - p))) AS s FROM (SELECT input_key, v, lag(v) OVER (PARTITION BY input_key ORDER BY i) AS p FROM off) WHERE p IS NOT NULL GROUP BY 1), " + f"fq AS (SELECT input_key, 'naive' AS model, h, level, w[{L}] + z * s * sqrt(h) AS q FROM offw JOIN sd USING (input_key) CROSS JOIN hs CROSS JOIN zq)"
