@@ -577,3 +577,30 @@ def test_equal_hashes_are_compared():
     suffix_dedup._compared(source[:8], np.array([0, 4, 8]), np.array([0, 0]), np.array([4, 4]))
     with pytest.raises(ValueError):
         suffix_dedup._compared(source, np.array([0, 4, 8, 12]), np.array([0, 0, 0]), np.array([4, 4, 4]))
+
+
+def test_recall_on_given_table(spark):
+    """All pairs of a given table with probability Jaccard of 0.8 or more, by brute force over shared shingles, are in one group."""
+    import re
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["component"] for r in minhash.near_duplicates(docs).collect()}
+    weights, where = {}, defaultdict(list)
+    for k, t in docs.select("doc_id", "text").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        seen = Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
+        weights[k] = {s: 1 + np.log(n) for s, n in seen.items()}
+        for s in seen:
+            where[s].append(k)
+    pairs = Counter((a, b) for ks in where.values() for i, a in enumerate(ks) for b in ks[i + 1 :])
+    links = 0
+    for (a, b), n in pairs.items():
+        if n * 2 < min(len(weights[a]), len(weights[b])):
+            continue  # similarity is below a half
+        names = {s: i for i, s in enumerate(sorted({*weights[a], *weights[b]}))}
+        sides = [(np.array(sorted(names[s] for s in w), np.uint64), np.array([v for _, v in sorted((names[s], v) for s, v in w.items())])) for w in (weights[a], weights[b])]
+        if minhash.probability_jaccard(*sides[0], *sides[1]) >= 0.8:
+            links += 1
+            assert got[a] == got[b]
+    assert links > 50

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.files import shared_folder as new_folder
+
 _made: list[str] = []  # folders of this process that still exist
 
 
@@ -19,15 +20,7 @@ def shared_folder(spark: SparkSession, name: str, scratch: bool = True) -> str:
     The setting is read from the session. Where it is unset, a session with a local master gets a
     local folder; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = new_folder(spark, name)
     if scratch:
         if not _made:
             atexit.register(remove_scratch)
