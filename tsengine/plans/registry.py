@@ -701,13 +701,14 @@ def dtw_width(spark, d):
     return rows.select(direction.dtw_width(F.col("n"), F.col("m")).alias("width"), "n", "m").distinct()
 
 
-# diagonals of the table of costs: a cell needs its neighbours on the last two
-DTW = f""", dp AS (SELECT a.input_key AS ka, b.input_key AS kb, a.w AS a, b.w AS b FROM offw a JOIN offw b ON a.input_key::INT + 1 = b.input_key::INT),
-dg(ka, kb, a, b, k, d1, d2) AS (SELECT ka, kb, a, b, 0, list_transform(range({L + 1}), lambda i: CASE WHEN i = 1 THEN abs(a[1] - b[1]) ELSE 'inf'::DOUBLE END), list_transform(range({L + 1}), lambda i: 'inf'::DOUBLE) FROM dp
- UNION ALL SELECT ka, kb, a, b, k + 1, list_transform(range({L + 1}), lambda i: CASE WHEN i >= 1 AND k + 3 - i BETWEEN 1 AND {L} AND abs(2 * i - k - 3) <= 6 THEN least(d1[i] + abs(a[i] - b[k + 3 - i]), d1[i + 1] + abs(a[i] - b[k + 3 - i]), d2[i] + 2 * abs(a[i] - b[k + 3 - i])) ELSE 'inf'::DOUBLE END), d1 FROM dg WHERE k < {2 * L - 2})"""
+def dtw_sql(pairs):
+    """dg: the distance of each pair (ka, kb, a, b), by diagonals of the table of costs: a cell needs its neighbours on the last two."""
+    return f""", dp AS ({pairs}),
+dg(ka, kb, a, b, k, d1, d2) USING KEY (ka, kb) AS (SELECT ka, kb, a, b, 0, list_transform(range({L + 1}), lambda i: CASE WHEN i = 1 THEN abs(a[1] - b[1]) ELSE 'inf'::DOUBLE END), list_transform(range({L + 1}), lambda i: 'inf'::DOUBLE) FROM dp
+ UNION SELECT ka, kb, a, b, k + 1, list_transform(range({L + 1}), lambda i: CASE WHEN i >= 1 AND k + 3 - i BETWEEN 1 AND {L} AND abs(2 * i - k - 3) <= 6 THEN least(d1[i] + abs(a[i] - b[k + 3 - i]), d1[i + 1] + abs(a[i] - b[k + 3 - i]), d2[i] + 2 * abs(a[i] - b[k + 3 - i])) ELSE 'inf'::DOUBLE END), d1 FROM dg WHERE k < {2 * L - 2})"""
 
 
-@query(DTW + f" SELECT ka, kb, round(d1[{L + 1}], 4) AS distance FROM dg WHERE k = {2 * L - 2}")
+@query(dtw_sql("SELECT a.input_key AS ka, b.input_key AS kb, a.w AS a, b.w AS b FROM offw a JOIN offw b ON a.input_key::INT + 1 = b.input_key::INT") + f" SELECT ka, kb, round(d1[{L + 1}], 4) AS distance FROM dg WHERE k = {2 * L - 2}")
 def dtw_distance(spark, d):
     a = official(spark, d).select(F.col("input_key").alias("ka"), F.col("series_id").alias("sa"), F.col("window").alias("a"))
     b = official(spark, d).select(F.col("input_key").alias("kb"), F.col("series_id").alias("sb"), F.col("window").alias("b"))
@@ -722,7 +723,7 @@ def query_windows(spark, d):
     return windows.apply_standardise(windows.fit_standardise(official(spark, d))).select("input_key", F.col("standard").alias("v"))
 
 
-@query()
+@query()  # SQL takes minutes for it; a test compares it with all pairs
 def dtw_1nn(spark, d):
     return direction.dtw_1nn(query_windows(spark, d), refs(spark, d))
 
