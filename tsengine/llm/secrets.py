@@ -42,7 +42,7 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 MIN_CANDIDATE, MARGIN, FLOOR = LEAST["assign"], 0.35, 0.6
 CANDIDATE = re.compile(f"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
 PART = re.compile(f"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}")
-EXAMPLES, FOLDS, ENOUGH, RECALL = 400, 5, 5, 0.98
+EXAMPLES, SALTS, FOLDS, ENOUGH, RECALL = 400, 8, 5, 5, 0.98
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -127,9 +127,10 @@ def learn_formats(docs: DataFrame, text_col: str = "text", examples: int = EXAMP
         yield pd.DataFrame(rows, columns=["kind", "s"])
 
     found = docs.select(F.col(text_col).alias("t")).where("t is not null").mapInPandas(run, "kind string, s string").distinct()
-    by_hash = Window.partitionBy("kind").orderBy(F.md5("s"), "s")  # each task sends the first rows of a kind only
-    found = found.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= examples).toPandas().sort_values(["kind", "place"])
-    return Formats({k: g["s"].tolist() for k, g in found.groupby("kind")})
+    # a kind is dealt over SALTS; of each share the first by hash come to the driver, which keeps the first of all
+    by_hash = Window.partitionBy("kind", F.pmod(F.xxhash64("s"), F.lit(SALTS))).orderBy("h", "s")
+    found = found.withColumn("h", F.md5("s")).withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= examples).toPandas().sort_values(["kind", "h", "s"])
+    return Formats({k: g["s"].tolist()[:examples] for k, g in found.groupby("kind")})
 
 
 def find_secrets(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
