@@ -67,7 +67,10 @@ def series_scores(rows: DataFrame, **more: Column) -> DataFrame:
 def metric_owa(scores: DataFrame, reference: str = "naive2") -> DataFrame:
     """Half the ratio of mean sMAPE to the reference's, plus half the same for MASE."""
     means = scores.groupBy("model").agg(F.avg("smape").alias("smape"), F.avg("mase").alias("mase"))
-    return rebase_owa(means, means.where(F.col("model") == reference))
+    every = Window.partitionBy()  # a row a model; the scores are read once
+    own = lambda c: F.max(F.when(F.col("model") == reference, F.col(c))).over(every)
+    rows = means.withColumns({"rs": own("smape"), "rm": own("mase")})
+    return rows.withColumn("owa", F.when((F.col("rs") > 0) & (F.col("rm") > 0), 0.5 * (F.col("smape") / F.col("rs") + F.col("mase") / F.col("rm")))).drop("rs", "rm")
 
 
 def reference_row(reference: DataFrame, *by: str) -> DataFrame:

@@ -17,21 +17,33 @@ def lambda_grid(spark: SparkSession, up=UP, down=DOWN) -> DataFrame:
     return axis("lambda_up", up).crossJoin(axis("lambda_down", down))
 
 
+def _gate() -> Column:
+    have = (F.col("last") > F.col("origin")).cast("int")
+    return F.when(have == F.col("want"), "keep").when(F.col("want") == 1, "up").otherwise("down")
+
+
+def _wanted(directions: DataFrame, origins: DataFrame) -> DataFrame:
+    """(input_key, want, origin): the classifier's last direction."""
+    return directions.groupBy("input_key").agg(F.max_by("label", "h").alias("want")).join(origins.select("input_key", "origin"), "input_key")
+
+
 def gates(forecasts: DataFrame, directions: DataFrame, origins: DataFrame) -> DataFrame:
     """(input_key, model, gate): keep where the base path's last direction agrees with the classifier's, else up or down."""
     last = forecasts.groupBy("input_key", "model").agg(F.max_by("mean", "h").alias("last"))
-    want = directions.groupBy("input_key").agg(F.max_by("label", "h").alias("want"))
-    rows = last.join(want, "input_key").join(origins.select("input_key", "origin"), "input_key")
-    have = (F.col("last") > F.col("origin")).cast("int")
-    return rows.select("input_key", "model", F.when(have == F.col("want"), "keep").when(F.col("want") == 1, "up").otherwise("down").alias("gate"))
+    return last.join(_wanted(directions, origins), "input_key").select("input_key", "model", _gate().alias("gate"))
+
+
+def gated(forecasts: DataFrame, directions: DataFrame, origins: DataFrame) -> DataFrame:
+    """The forecasts with their path's gate and origin, read once: a window over the steps of a path."""
+    last = F.max_by("mean", "h").over(Window.partitionBy("input_key", "model"))
+    return forecasts.withColumn("last", last).join(_wanted(directions, origins), "input_key").withColumn("gate", _gate()).drop("last", "want")
 
 
 def direction_adjust(forecasts: DataFrame, directions: DataFrame, origins: DataFrame, up: float | Column, down: float | Column) -> DataFrame:
     """The whole path times 1, up or down by its gate."""
     as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    rows = forecasts.join(gates(forecasts, directions, origins), ["input_key", "model"])
     factor = F.when(F.col("gate") == "up", as_col(up)).when(F.col("gate") == "down", as_col(down)).otherwise(F.lit(1.0))
-    return rows.withColumn("mean", F.col("mean") * factor)
+    return gated(forecasts, directions, origins).withColumn("mean", F.col("mean") * factor)
 
 
 def sensitivity_surface(forecasts: DataFrame, directions: DataFrame, actuals: DataFrame, origins: DataFrame, scales: DataFrame, reference: DataFrame, up=UP, down=DOWN) -> DataFrame:
@@ -42,19 +54,19 @@ def sensitivity_surface(forecasts: DataFrame, directions: DataFrame, actuals: Da
     """
     spark = forecasts.sparkSession
     axis = lambda a: F.array(*[F.round(F.lit(a[0]) + k * F.lit(a[1]), 3) for k in range(a[2])])
-    rows = forecasts.join(gates(forecasts, directions, origins), ["input_key", "model"]).join(actuals.select("input_key", "h", "actual"), ["input_key", "h"]).join(scales.select("input_key", "scale"), "input_key").join(origins.select("input_key", "origin"), "input_key")
+    rows = gated(forecasts, directions, origins).join(actuals.select("input_key", "h", "actual"), ["input_key", "h"]).join(scales.select("input_key", "scale"), "input_key")
     rows = rows.withColumn("lambda", F.explode(F.when(F.col("gate") == "up", axis(up)).when(F.col("gate") == "down", axis(down)).otherwise(F.array(F.lit(1.0)))))
     rows = rows.withColumn("mean", F.col("mean") * F.col("lambda"))
     right = ((F.col("mean") > F.col("origin")) == (F.col("actual") > F.col("origin"))).cast("int")
     series = rows.groupBy("model", "gate", "lambda", "input_key").agg(F.avg(smape_term()).alias("smape"), (F.avg(F.abs(F.col("actual") - F.col("mean"))) / F.first("scale")).alias("mase"), F.sum(right).alias("correct"), F.count("actual").alias("steps"))
     sums = series.groupBy("model", "gate", "lambda").agg(F.sum("smape").alias("s"), F.sum("mase").alias("m"), F.sum("correct").alias("c"), F.count(F.lit(1)).alias("n"), F.sum("steps").alias("k"))
-    part = lambda g: sums.where(F.col("gate") == g).select("model", F.col("lambda").alias(f"l_{g}"), *[F.col(x).alias(f"{x}_{g}") for x in ("s", "m", "c", "n", "k")])
-    grid = sums.select("model").distinct().crossJoin(lambda_grid(spark, up, down))
-    keep = part("keep").drop("l_keep")
-    full = grid.join(keep, "model", "left")
-    for g in ("up", "down"):
-        full = full.join(part(g).withColumnRenamed(f"l_{g}", f"lambda_{g}"), ["model", f"lambda_{g}"], "left")
-    add = lambda x: sum((F.coalesce(F.col(f"{x}_{g}"), F.lit(0)) for g in ("keep", "up", "down")), F.lit(0))
+    # the sums of a model (a row for each gate and lambda of its axis) stand in one map, which every point of the grid reads
+    key = lambda gate, value: F.concat_ws(":", gate, value.cast("string"))
+    maps = sums.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct(key(F.col("gate"), F.col("lambda")), F.struct("s", "m", "c", "n", "k")))).alias("sums"))
+    full = maps.crossJoin(F.broadcast(lambda_grid(spark, up, down)))  # UP x DOWN points
+    at = {"keep": F.lit(1.0), "up": F.col("lambda_up"), "down": F.col("lambda_down")}
+    full = full.withColumns({g: F.try_element_at("sums", key(F.lit(g), v)) for g, v in at.items()})
+    add = lambda x: sum((F.coalesce(F.col(f"{g}.{x}"), F.lit(0)) for g in at), F.lit(0))
     ref = F.broadcast(reference_row(reference))  # a single row
     out = full.select("model", "lambda_up", "lambda_down", (add("s") / add("n")).alias("smape"), (add("m") / add("n")).alias("mase"), add("c").cast("long").alias("correct_count"), add("k").cast("long").alias("step_count"), add("n").cast("long").alias("evaluation_count")).crossJoin(ref)
     return out.withColumn("owa", 0.5 * (F.col("smape") / F.col("rs") + F.col("mase") / F.col("rm"))).drop("rs", "rm")
