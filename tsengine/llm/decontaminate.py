@@ -1,9 +1,9 @@
 """Benchmark decontamination (operator 3): an FM-index for each training shard.
 
 A shard is a run of whole documents of about ``SHARD_BYTES``, or a piece of a longer document that takes up the last words of
-the piece before it. Its words become symbols of the alphabet of benchmark words; all other words are one separator, and stretches between separators that are
-shorter than the shortest test phrase cannot hold one and are left out. Test phrases (windows of
-consecutive item words) whose words all stand in the shard are searched backward through wavelet-tree ranks, all at once, occurrences
+the piece before it. Test phrases are windows of consecutive item words. Of those of all blocks, the ones go on whose first, middle and last ``GRAM`` words
+all stand in the shard somewhere (by hashes, so some more may). Their words are the alphabet of the shard's index; all other words are one separator, and stretches between separators that are
+shorter than the shortest phrase cannot hold one and are left out. The phrases are searched backward through wavelet-tree ranks, all at once, occurrences
 are located by sampled suffix positions, and the covered words are merged into removal spans.
 
 Documents are never shuffled and are read once. The phrases are built by Spark: long items are cut into pieces that overlap by a window less one word, pieces
@@ -34,11 +34,12 @@ from .common import added_name, as_one, mix64, open_folder, quoted, shared_folde
 from .fm_index import FMIndex
 from .words import word_parts
 
-WINDOW, SHARD_BYTES, BLOCK_WORDS, PIECE_WORDS = 10, 2 << 20, 4_000_000, 1 << 16
+WINDOW, GRAM, SHARD_BYTES, BLOCK_WORDS, PIECE_WORDS = 10, 4, 4 << 20, 4_000_000, 1 << 16
 #: Bytes of phrase blocks that a worker process keeps, beyond the one in use.
 KEPT_BYTES = 128_000_000
 ADDED = [("n_words", "bigint"), ("n_hit", "bigint"), ("span_start", "array<bigint>"), ("span_end", "array<bigint>"), ("item_ids", "array<string>")]
-ARRAYS = {"words": "<u8", "text": "<i4", "start": "<i4", "length": "<i4", "owner_at": "<i4", "owner": "<i4"}
+ARRAYS = {"words": "<u8", "text": "<i4", "start": "<i4", "length": "<i4", "owner_at": "<i4", "owner": "<i4", "head": "<u4", "middle": "<u4", "tail": "<u4"}
+GRAM_BITS = 24
 _kept: dict[str, Phrases] = {}
 
 
@@ -47,7 +48,7 @@ class Phrases:
 
     def __init__(self, arrays: dict[str, np.ndarray], names: list[str | None]):
         self.names, self.arrays = names, arrays
-        self.words, self.text, self.start, self.length, self.owner_at, self.owner = (arrays[k] for k in ARRAYS)
+        self.words, self.text, self.start, self.length, self.owner_at, self.owner, *self.grams = (arrays[k] for k in ARRAYS)
         self.bytes = sum(x.nbytes for x in arrays.values())
 
     @classmethod
@@ -76,7 +77,11 @@ class Phrases:
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, np.bool_)
         once = new | np.r_[True, owner[1:] != owner[:-1]] if len(a) else new
         which = np.cumsum(new) - 1
-        arrays = {"words": words, "text": text.ravel() + 2, "start": start[new], "length": length[new], "owner_at": np.searchsorted(which[once], np.arange(int(new.sum()) + 1)), "owner": owner[once]}
+        start, length = start[new], length[new]
+        gram = _grams(padded)
+        far = np.maximum(length - GRAM, 0)
+        grams = {"head": gram[start], "middle": gram[start + far // 2], "tail": gram[start + far]} if len(start) else dict.fromkeys(("head", "middle", "tail"), gram[:0])
+        arrays = {**grams, "words": words, "text": text.ravel(), "start": start, "length": length, "owner_at": np.searchsorted(which[once], np.arange(int(new.sum()) + 1)), "owner": owner[once]}
         return cls({k: np.ascontiguousarray(v, ARRAYS[k]) for k, v in arrays.items()}, names)
 
     def write(self, folder: str) -> str:
@@ -110,43 +115,71 @@ class Phrases:
         _kept[name] = out
         return out
 
-    def find(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether each word of the shard is covered, and pairs of a row and an item found there)."""
-        covered, none = np.zeros(len(code), np.bool_), np.zeros(0, np.int64)
-        if not len(self.start) or not len(code):
-            return covered, none, none
-        place = np.minimum(np.searchsorted(self.words, code), len(self.words) - 1)
-        known = self.words[place] == code
-        edge = np.flatnonzero(np.r_[True, (known[1:] != known[:-1]) | (row[1:] != row[:-1])])
-        size = np.diff(np.r_[edge, len(code)])
-        keep = known[edge] & (size >= self.length.min())
-        first, size = edge[keep], size[keep]
-        if not len(first):
-            return covered, none, none
-        # the stretches one after another, each followed by the separator 1; the sentinel 0 is last
-        start = np.cumsum(size + 1) - (size + 1)
-        word_at = np.arange(int((size + 1).sum())) - np.repeat(start, size + 1) + np.repeat(first, size + 1)
-        text = place[np.minimum(word_at, len(code) - 1)] + 2
-        text[start + size] = 1
-        # the phrases that can occur, and symbols for the words of the shard only
-        here = np.zeros(len(self.words) + 2, np.bool_)
-        here[text] = True
-        here[:2] = True
-        met = np.concatenate([[0], np.cumsum(here[self.text])])
-        phrase = np.flatnonzero(met[self.start + self.length] - met[self.start] == self.length)
-        if not len(phrase):
-            return covered, none, none
-        symbol = np.cumsum(here) - 1
-        index = FMIndex(symbol[np.append(text, 0)], int(here.sum()))
-        length = self.length[phrase].astype(np.int64)
-        which, at = index.locate(*index.search(symbol[self.text], self.start[phrase].astype(np.int64), length))
-        begin = word_at[at]
-        change = np.bincount(begin, minlength=len(code) + 1) - np.bincount(begin + length[which], minlength=len(code) + 1)
-        pair = np.unique(row[begin].astype(np.int64) * len(self.start) + phrase[which])
-        r, p = np.divmod(pair, len(self.start))
-        n = (self.owner_at[p + 1] - self.owner_at[p]).astype(np.int64)
-        take = np.repeat(self.owner_at[p] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.cumsum(change[:-1]) > 0, np.repeat(r, n), self.owner[take].astype(np.int64)
+    def likely(self, seen: np.ndarray) -> np.ndarray:
+        """The windows whose grams a shard has, and those too short for one."""
+        out = np.flatnonzero(seen[self.grams[0]] | (self.length < GRAM))
+        for gram in self.grams[1:]:
+            out = out[seen[gram[out]] | (self.length[out] < GRAM)]
+        return out
+
+
+def _grams(code: np.ndarray) -> np.ndarray:
+    """A short hash of each word with the GRAM - 1 that follow it (fewer at the end)."""
+    code = np.concatenate([code, np.zeros(GRAM - 1, np.uint64)])
+    n = len(code) - GRAM + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out = mix64(out ^ code[k : n + k], k)
+    return (out >> np.uint64(64 - GRAM_BITS)).astype(np.uint32)
+
+
+def find(blocks, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, list[tuple[int, str | None]]]:
+    """(whether each word of a shard is covered by a window of the blocks, pairs of a row and an item found there)."""
+    covered = np.zeros(len(code), np.bool_)
+    seen = np.zeros(1 << GRAM_BITS, np.bool_)
+    seen[_grams(code)] = True
+    parts, words, lengths = [], [], []
+    for block in blocks if len(code) else ():
+        some = block.likely(seen)
+        if len(some):
+            length = block.length[some].astype(np.int64)
+            at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(block.start[some].astype(np.int64), length)
+            parts.append((block, some))
+            words.append(block.words[block.text[at]])
+            lengths.append(length)
+    if not parts:
+        return covered, []
+    alphabet, symbol = np.unique(np.concatenate(words), return_inverse=True)
+    length = np.concatenate(lengths)
+    place = np.minimum(np.searchsorted(alphabet, code), len(alphabet) - 1)
+    known = alphabet[place] == code
+    edge = np.flatnonzero(np.r_[True, (known[1:] != known[:-1]) | (row[1:] != row[:-1])])
+    size = np.diff(np.r_[edge, len(code)])
+    keep = known[edge] & (size >= length.min())
+    first, size = edge[keep], size[keep]
+    if not len(first):
+        return covered, []
+    # the stretches one after another, each followed by the separator 1; the sentinel 0 is last
+    start = np.cumsum(size + 1) - (size + 1)
+    word_at = np.arange(int((size + 1).sum())) - np.repeat(start, size + 1) + np.repeat(first, size + 1)
+    text = place[np.minimum(word_at, len(code) - 1)] + 2
+    text[start + size] = 1
+    index = FMIndex(np.append(text, 0), len(alphabet) + 2)
+    which, at = index.locate(*index.search(symbol.ravel() + 2, np.cumsum(length) - length, length))
+    begin = word_at[at]
+    change = np.bincount(begin, minlength=len(code) + 1) - np.bincount(begin + length[which], minlength=len(code) + 1)
+    found = []
+    pair = np.unique(row[begin].astype(np.int64) * len(length) + which)
+    r, p = np.divmod(pair, len(length))
+    base = 0
+    for block, some in parts:
+        own = (p >= base) & (p < base + len(some))
+        w, rows = some[p[own] - base], r[own]
+        n = (block.owner_at[w + 1] - block.owner_at[w]).astype(np.int64)
+        take = np.repeat(block.owner_at[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        found += [(x, block.names[y]) for x, y in zip(np.repeat(rows, n).tolist(), block.owner[take].tolist(), strict=True)]
+        base += len(some)
+    return np.cumsum(change[:-1]) > 0, found
 
 
 def write_phrases(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> tuple[str, list[str]]:
@@ -206,13 +239,9 @@ def _search(batch: pa.RecordBatch, folder: str, blocks: list[str], at_text: int,
         if not begins:  # the row goes on: its last words once more, as a window may stand across
             row, first, end, code = (np.concatenate([x, y]) for x, y in zip(carry, (row, first, end, code), strict=True))
         carry = None if ends else tuple(x[max(0, len(code) - window + 1) :] for x in (row, first, end, code))
-        covered = np.zeros(len(code), np.bool_)
-        for name in blocks:
-            phrases = Phrases.read(folder, name)
-            more, r, owner = phrases.find(row, code)
-            covered |= more
-            for x, y in zip(r.tolist(), owner.tolist(), strict=True):
-                found.setdefault(at + x, set()).add(phrases.names[y])
+        covered, pairs = find((Phrases.read(folder, name) for name in blocks), row, code)
+        for r, item in pairs:
+            found.setdefault(at + r, set()).add(item)
         edges = np.searchsorted(row, np.arange(n + 1))
         base = n_words[at] - (len(code) - new) if n == 1 else 0
         n_words[at : at + n] += np.diff(edges) if n > 1 else new
