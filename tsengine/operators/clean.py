@@ -16,9 +16,9 @@ def resolve_period(series: DataFrame, period_dim: DataFrame, override: int | Non
 def clean_standard(long: DataFrame, key: str = "series_id", value_col: str = "y", name: str = "y_clean") -> DataFrame:
     """Linear interpolation between the neighbours of a gap, constant beyond the ends; finite values stay."""
     back = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(key).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)  # backward: a frame to the end would be read anew for each row
     at = F.when(F.col(value_col).isNotNull(), F.col("t"))
-    rows = long.withColumns({"y0": F.last(value_col, True).over(back), "t0": F.last(at, True).over(back), "y1": F.first(value_col, True).over(ahead), "t1": F.first(at, True).over(ahead)})
+    rows = long.withColumns({"y0": F.last(value_col, True).over(back), "t0": F.last(at, True).over(back), "y1": F.last(value_col, True).over(ahead), "t1": F.last(at, True).over(ahead)})
     blend = F.col("y0") + (F.col("y1") - F.col("y0")) * ((F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")))
     filled = F.when(F.col(value_col).isNotNull(), F.col(value_col)).otherwise(F.coalesce(blend, "y0", "y1"))
     return rows.withColumn(name, filled).drop("y0", "t0", "y1", "t1")

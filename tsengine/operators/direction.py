@@ -140,7 +140,8 @@ def nearest_by_distance(queries: list, refs: list, order: np.ndarray, own: list
 
 def _nearest(queries: DataFrame, refs: DataFrame, best, block: int) -> DataFrame:
     """(input_key, ref_key, ref_order, distance): all pairs of blocks of queries and of references; ties go to the first in ref_order."""
-    parts = [max(1, -(-rows.count() // block)) for rows in (queries, refs)]
+    counts, cores = [rows.count() for rows in (queries, refs)], int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [max(1, -(-counts[0] // block)), max(1, -(-counts[1] // block), min(cores, counts[1] // 64))]
     every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in parts]
     none = F.lit(None)
     left = queries.select(F.pmod(F.xxhash64("input_key"), F.lit(parts[0])).cast("int").alias("x"), every[1].alias("y"), F.col("input_key").alias("key"), none.cast("int").alias("ref_order"), F.col("v").cast("array<double>").alias("v"))

