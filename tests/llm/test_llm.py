@@ -604,3 +604,24 @@ def test_recall_on_given_table(spark):
             links += 1
             assert got[a] == got[b]
     assert links > 50
+
+
+def test_one_long_row_is_like_many():
+    """Names, weights and signatures of a row do not hang on the path for single rows."""
+    draw = np.random.default_rng(1)
+    code = draw.integers(0, 50, 300).astype(np.uint64)
+    one = minhash.weighted(np.zeros(300, np.int64), code)
+    two = minhash.weighted(np.repeat([0, 1], 300), np.r_[code, code])
+    half = len(one[1])
+    assert (one[0] == 0).all() and (two[1][half:] == one[1]).all() and (two[2][:half] == one[2]).all()
+    a, b = minhash._class(*one, 1), minhash._class(*two, 2)
+    assert a[0][0] == b[0][0] == b[0][1] and a[1][0] == b[1][1]
+    assert (minhash.prob_minhash(*one, 1, 72)[0] == minhash.prob_minhash(*two, 2, 72)[1]).all()
+
+
+def test_empty_tables(spark, empty):
+    rows = empty.withColumns({c: F.lit(1) for c in ("spans", "score", "held_out", "predicted")})
+    assert secrets.secrets_digest(secrets.find_secrets(rows)).count() == 0
+    none = quality.train_quality(rows, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.score_quality(rows, none, score_col="score_2").count() == 0
+    assert minhash.drop_near_duplicates(rows).count() == 0 and suffix_dedup.repeats_digest(suffix_dedup.remove_repeats(rows)).count() == 0

@@ -45,6 +45,13 @@ HOT, ROUNDING, AT_ONCE = 2000, 1e-9, 1 << 20
 
 def weighted(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle, weight) of the distinct shingles of each row, sorted by row and shingle."""
+    if len(row) and row[0] == row[-1]:  # one row, maybe a very long one: no order to keep beside the values
+        code = np.sort(code)
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        weight = np.diff(first, append=len(code)).astype(float)
+        np.log(weight, out=weight)
+        weight += 1
+        return np.broadcast_to(np.int64(row[0]), len(first)), code if len(first) == len(code) else code[first], weight
     order = np.lexsort((code, row))
     row, code = row[order], code[order]
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
@@ -102,12 +109,18 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 def _class(row: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two halves of each row's name and where its shingles begin."""
-    edges = np.searchsorted(row, np.arange(n + 1))
-    out = []
-    for x in (mix64(code ^ weight.view(np.uint64), 21), mix64(code + weight.view(np.uint64), 22)):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
-        out.append(mix64(total[edges[1:]] - total[edges[:-1]] + np.diff(edges).astype(np.uint64)).view(np.int64))
-    return *out, edges
+    edges = np.array([0, len(row)]) if n == 1 else np.searchsorted(row, np.arange(n + 1))
+    halves = lambda c, w: (mix64(c ^ w.view(np.uint64), 21), mix64(c + w.view(np.uint64), 22))
+    if n == 1:  # maybe a very long row: part by part
+        sums = [np.zeros(1, np.uint64), np.zeros(1, np.uint64)]
+        for k in range(0, len(code), AT_ONCE):
+            for total, x in zip(sums, halves(code[k : k + AT_ONCE], weight[k : k + AT_ONCE]), strict=True):
+                total += x.sum(dtype=np.uint64)
+    else:
+        totals = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in halves(code, weight)]
+        sums = [total[edges[1:]] - total[edges[:-1]] for total in totals]
+    a, b = (mix64(total + np.diff(edges).astype(np.uint64)).view(np.int64) for total in sums)
+    return a, b, edges
 
 
 def _masked(parts: list[np.ndarray], edges: list[np.ndarray]) -> pa.Array:
