@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import bpe_digest
+from .centroids import cluster_vectors
 from .chat import fit_roles, format_chats
 from .common import shared_folder
 from .decontaminate import contamination_digest, find_contamination
@@ -14,6 +16,7 @@ from .mix import mix_sources
 from .oracle import DECONTAMINATE, EMBEDDINGS, MIX, REPEATS, SECRETS
 from .quality import THRESHOLD, held_out, score_quality, train_quality
 from .secrets import find_secrets, secrets_digest
+from .spelling import spelling_variants
 from .suffix_dedup import remove_repeats, repeats_digest
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -80,5 +83,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_decontaminate, op4_token_files, op5_secret_scan, op6_suffix_dedup, op7_minhash_dedup, op8_token_counts, op9_quality, op10_embedding_dedup, secret_base_spans)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_digest(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_read(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_decontaminate, op4_token_files, op5_secret_scan, op6_suffix_dedup, op7_minhash_dedup, op8_token_counts, op9_quality, op10_embedding_dedup, op11_byte_bpe, op12_spelling, op13_centroids, secret_base_spans)}
 ORACLE_SQL = {"op2_mix_sources": MIX, "op3_decontaminate": DECONTAMINATE, "op6_suffix_dedup": REPEATS, "op10_embedding_dedup": EMBEDDINGS, "secret_base_spans": SECRETS}
