@@ -11,6 +11,8 @@ mean of that format's own examples is added as a span of kind ``format``. Both b
 the automata don't see (one of ``FOLDS``): the floor lets ``RECALL`` of the format's own pass, the margin stands between those and the other
 candidates, ``MARGIN`` at least where the examples pass it. With fewer than ``ENOUGH`` such examples they are ``FLOOR`` and ``MARGIN``.
 
+The automata read characters by class and, at the end, the length; lengths beyond 128 share one symbol.
+
 Spans are in code points, end exclusive. Every whole text is scanned where it lies, without a shuffle, once to learn and once to mark. The examples of a kind are
 the ``EXAMPLES`` strings of all documents with the smallest hashes, each whole; a kind with fewer than 5 different strings in the table is
 not learned.
@@ -23,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
+from itertools import accumulate
 from statistics import fmean
 
 import pandas as pd
@@ -57,8 +61,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs that may be credentials and touch no base span."""
-    free = lambda m: not any(a < m.end() and m.start() < b for a, _, b in base)
+    """Runs that may be credentials and touch no base span (``base`` is sorted)."""
+    starts, reach = [a for a, _, _ in base], [0, *accumulate((b for _, _, b in base), max)]
+    free = lambda m: reach[bisect_left(starts, m.end())] <= m.start()  # noqa: E731 - how far the spans that begin before its end go
     out = []
     for run in CANDIDATE.finditer(text):
         for m in [run] if free(run) else filter(free, PART.finditer(text, *run.span())):
