@@ -19,6 +19,7 @@ empty table gives an empty result. A missing or unknown role is no label. Other
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,12 +44,21 @@ N_LENGTHS, N_SIZES = len(LENGTHS) + 1, 4
 N_OBS = 4 * 2 * N_LENGTHS * N_SIZES * 2 * 2
 
 
-def marker(line: Column) -> Column:
-    """0 without a marker, else the place of its role in ROLES plus 1."""
-    out = F.lit(0)
-    for k, role in reversed(list(enumerate(ROLES, 1))):
-        out = F.when(line.rlike(OPEN.format("|".join(MARKERS[role]))), k).otherwise(out)
-    return out
+def opening(role: str, inside: bool = False) -> str:
+    """The pattern of a role's markers. Inside a piece neither single letters nor what stands in a quote or heading count."""
+    words = [w for w in MARKERS[role] if not inside or len(w) > 1]
+    return (OPEN.replace("[\\s#*>]*", "[\\s*]*") if inside else OPEN).format("|".join(words))
+
+
+def marker(line: Column, place: Column) -> Column:
+    """0 without a marker, else the place of its role in ROLES plus 1; ``place``: the line's in its piece."""
+    def first(inside: bool) -> Column:
+        out = F.lit(0)
+        for k, role in reversed(list(enumerate(ROLES, 1))):
+            out = F.when(line.rlike(opening(role, inside)), k).otherwise(out)
+        return out
+
+    return F.when(place == 0, first(False)).otherwise(first(True))
 
 
 def observation(line: Column, place: Column, lines: Column) -> Column:
@@ -57,7 +67,7 @@ def observation(line: Column, place: Column, lines: Column) -> Column:
     many = F.when(place > 0, 0).when(lines == 1, 1).when(lines <= 3, 2).otherwise(3)
     ask = F.rtrim(line).endswith("?").cast("int")
     shape = line.rlike(SHAPE).cast("int")
-    return ((((marker(line) * 2 + (place == 0).cast("int")) * N_LENGTHS + length) * N_SIZES + many) * 2 + ask) * 2 + shape
+    return ((((marker(line, place) * 2 + (place == 0).cast("int")) * N_LENGTHS + length) * N_SIZES + many) * 2 + ask) * 2 + shape
 
 
 def _fields(obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +134,10 @@ def viterbi(steps: np.ndarray, before: int = 0, last: int | None = None) -> np.n
 
 
 def fit_roles(pieces: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", held_out_fold: bool = True) -> RoleModel:
-    """Counts over all labelled pieces (without the held-out fold); what comes to the driver is a table of fixed size."""
+    """Counts over all labelled pieces (without the held-out fold); what comes to the driver is a table of fixed size.
+
+    A transition is counted between pieces with numbers t and t + 1; a piece with no labelled one right before it counts as the start of a conversation.
+    """
     state = F.array_position(F.array(*map(F.lit, ROLES)), F.lower(F.col(role_col))).cast("int")
     rows = pieces.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), state.alias("s"), _observed(F.col(text_col)).alias("o")).where("s > 0")
     rows = rows.where(F.crc32(F.coalesce(F.col("c").cast("string"), F.lit("")).cast("binary")) % 5 != 0) if held_out_fold else rows
@@ -141,9 +154,11 @@ def _observed(text: Column) -> Column:
 
 
 def format_chats(pieces: DataFrame, model: RoleModel, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """(conversation, number, role, n_segments, rendered) of every piece, in canonical turns.
+    """(conversation, number, role, n_segments, rendered, markers) of every piece, in canonical turns.
 
-    ``rendered`` is ``<|role|>``, a line end, the text without speaker markers and ``<|end|>`` with a line end, for each run of lines of one role.
+    ``rendered`` is ``<|role|>``, a line end, the text and ``<|end|>`` with a line end, for each run of lines of one role; ``<|`` in a text is escaped, so ``parse_turns``
+    reads exactly the turns back. A speaker marker is taken off only where a turn begins and has the marker's role; it stands in ``markers`` (one for each turn, mostly empty), so marker and
+    text of all turns, joined by line ends, are the piece.
     """
     spark = pieces.sparkSession
     sent = spark.sparkContext.broadcast(model)
@@ -157,12 +172,23 @@ def format_chats(pieces: DataFrame, model: RoleModel, conv_col: str = "conv_id",
     borders = _borders(blocks.where("not alone").select("c", "part", "block", "m"), sent)
     ready = blocks.drop("m").join(borders, ["part", "block"], "left").withColumns({"before": F.coalesce("before", F.lit(0)), "last": F.coalesce("last", F.lit(-1))})
 
-    @F.pandas_udf("array<struct<role:string,n_segments:int,rendered:string>>")
+    @F.pandas_udf("array<struct<role:string,n_segments:int,rendered:string,markers:array<string>>>")
     def decode(observed: pd.Series, texts: pd.Series, before: pd.Series, last: pd.Series) -> pd.Series:
         return pd.Series([_render(o, x, sent.value, b, e) for o, x, b, e in zip(observed, texts, before, last, strict=True)])
 
     out = ready.withColumn("done", decode("o", "x", "before", "last")).select("c", F.explode(F.arrays_zip("t", "done")).alias("r"))
-    return out.select(F.col("c").alias(conv_col), F.col("r.t").alias(turn_col), F.col("r.done.role").alias("role"), F.col("r.done.n_segments").alias("n_segments"), F.col("r.done.rendered").alias("rendered"))
+    return out.select(F.col("c").alias(conv_col), F.col("r.t").alias(turn_col), F.col("r.done.role").alias("role"), F.col("r.done.n_segments").alias("n_segments"), F.col("r.done.rendered").alias("rendered"), F.col("r.done.markers").alias("markers"))
+
+
+def escaped(text: str) -> str:
+    """``<|`` becomes ``<\\|``, and what looks like that already gets one more backslash."""
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def parse_turns(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of the turns of a rendering."""
+    turns = re.findall(r"<\|(\w+)\|>\n(.*?)<\|end\|>\n", rendered, re.DOTALL)
+    return [(role, re.sub(r"<(\\*)\\\|", r"<\1|", text)) for role, text in turns]
 
 
 def _blocks(batches, model: RoleModel):
@@ -190,25 +216,21 @@ def _blocks(batches, model: RoleModel):
 
 
 def _render(observed, texts, model: RoleModel, before: int, last: int) -> list[dict]:
-    import re
-
     obs = np.concatenate([np.asarray(o, np.int64) for o in observed])
-    states = viterbi(model.steps(obs), int(before), None if last < 0 else int(last))
-    mark = _fields(obs)[0]
-    out, at = [], 0
+    states = viterbi(model.steps(obs), int(before), None if last < 0 else int(last)).tolist()
+    mark, at, out = _fields(obs)[0], 0, []
     for text in texts:
-        lines = (text or "").split("\n")
-        segments: list[tuple[int, list[str]]] = []
-        for k, line in enumerate(lines):
-            state, m = int(states[at + k]), int(mark[at + k])
-            line = re.sub(OPEN.format("|".join(MARKERS[ROLES[m - 1]])), "", line, count=1) if m else line
-            if segments and segments[-1][0] == state and not m:
-                segments[-1][1].append(line)
-            else:
-                segments.append((state, [line]))
-        at += len(lines)
-        rendered = "".join(f"<|{ROLES[s - 1]}|>\n" + "\n".join(x).strip("\n") + "<|end|>\n" for s, x in segments)
-        out.append({"role": ROLES[segments[0][0] - 1], "n_segments": len(segments), "rendered": rendered})
+        segments: list[tuple[int, str, list[str]]] = []  # state, marker, lines
+        for k, line in enumerate((text or "").split("\n")):
+            state = states[at + k]
+            if segments and segments[-1][0] == state:
+                segments[-1][2].append(line)
+                continue
+            said = re.match(opening(ROLES[state - 1], k > 0), line) if mark[at + k] == state else None
+            segments.append((state, said[0] if said else "", [line[said.end() if said else 0 :]]))
+        at += k + 1
+        rendered = "".join(f"<|{ROLES[s - 1]}|>\n{escaped(chr(10).join(x))}<|end|>\n" for s, _, x in segments)
+        out.append({"role": ROLES[segments[0][0] - 1], "n_segments": len(segments), "rendered": rendered, "markers": [m for _, m, _ in segments]})
     return out
 
 
