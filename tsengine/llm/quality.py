@@ -1,6 +1,6 @@
 """Quality classifier (operator 9): Bradley-Terry scores from preference pairs.
 
-Each labelled document of quality 1 is preferred to labelled documents of quality 0. A linear
+Each labelled document of quality 1 is preferred to each labelled document of quality 0. A linear
 score of text features is learned by the logistic loss on feature differences, so only the order of
 documents matters. The cut is a quantile of the scores of the training rows, the one that agrees
 best with their labels; scores are shifted so that the cut stands at ``THRESHOLD`` and squashed to (0, 1).
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import quoted
 
-THRESHOLD, MAX_LABELLED, PAIRS_EACH = 0.3, 8_000, 4
+THRESHOLD, MAX_LABELLED, PAIRS_AT_ONCE = 0.3, 8_000, 1 << 20
 FEATURES = (
     "log_words", "word_length", "long_words", "distinct_words", "top_word", "distinct_lines", "line_words", "upper", "digits", "symbols",
     "marks_a_word", "marked_words", "space", "short_words", "entropy", "pairs_seen_again", "non_ascii", "title_words", "longest_line", "links",
@@ -81,8 +81,23 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_ranker(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: float = 1e-3) -> Ranker:
-    """Newton steps on the mean logistic loss of score differences over preference pairs."""
+def _all_pairs(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the mean logistic loss over all pairs of a good and a bad row, a block of good rows at a time."""
+    k, n = good.shape[1], len(good) * len(bad)
+    gradient, curve = np.zeros(k), np.zeros((k, k))
+    low = bad @ w
+    for at in range(0, len(good), PAIRS_AT_ONCE // len(bad) + 1):
+        z = good[at : at + PAIRS_AT_ONCE // len(bad) + 1]
+        p = 1 / (1 + np.exp(np.clip((z @ w)[:, None] - low, -30, 30)))  # chance of the wrong order
+        q = p * (1 - p)
+        gradient += z.T @ p.sum(1) - bad.T @ p.sum(0)
+        cross = z.T @ q @ bad
+        curve += (z * q.sum(1)[:, None]).T @ z + (bad * q.sum(0)[:, None]).T @ bad - cross - cross.T
+    return gradient / n, curve / n
+
+
+def fit_ranker(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> Ranker:
+    """Newton steps on the mean logistic loss of score differences over all preference pairs of the given rows."""
     k = x.shape[1] if x.ndim == 2 else len(FEATURES)
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
@@ -90,14 +105,10 @@ def fit_ranker(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, r
     centre, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = np.clip((x - centre) / scale, -5, 5)
-    draw = np.random.default_rng(11)
-    n = pairs_each * max(len(good), len(bad))
-    d = z[good[draw.permutation(n) % len(good)]] - z[bad[draw.permutation(n) % len(bad)]]
     w = np.zeros(k)
     for _ in range(60):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance of the wrong order
-        gradient = d.T @ p / n - ridge * w
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / n + ridge * np.eye(k), gradient)
+        gradient, curve = _all_pairs(z[good], z[bad], w)
+        step = np.linalg.solve(curve + ridge * np.eye(k), gradient - ridge * w)
         w += step * min(1.0, 3 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-7:
             break
