@@ -198,7 +198,7 @@ def write_phrases(benchmark: DataFrame, item_col: str, text_col: str, window: in
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array([at + r] * len(pieces))), pa.array(pieces, pa.binary())], names=["i", "c"])
 
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, "i string, c binary")
-    items = stored(items, "items")
+    items = stored(items.distinct(), "items")  # repeated rows of a benchmark count once
     total = (items.agg(F.sum(F.length("c"))).first()[0] or 0) // 8
     blocks, folder = max(1, -(-total // block_words)), shared_folder(benchmark.sparkSession, "phrases")
 

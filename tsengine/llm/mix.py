@@ -133,7 +133,9 @@ def _cuts(placed: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, length_power: float = LENGTH_POWER, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` and size, source_size, target, copies, taken (= copies * size); rows of 0 copies are kept."""
+    """``docs`` and size, source_size, target, copies, taken (= copies * size); rows of 0 copies are kept. ``most`` is a whole number of copies."""
+    if most != int(most) or most < 1:
+        raise ValueError(f"most must be a whole number of copies, 1 at least, not {most}")
     names = docs.columns
     inner = [f"c{k}_" for k in range(len(names))]
     at = dict(zip(names, inner, strict=True))
