@@ -198,6 +198,16 @@ def test_learned_formats(spark):
     assert len(found) >= 18 and not any(got[k] for k in plain)
 
 
+def test_secrets_in_a_very_long_text(spark):
+    """Many spans and candidates in one text: the same as in its lines, in time proportional to their number."""
+    lines = [f"token=abcdefgh{k:08d} z{k:015d}y .{k:x}" for k in range(60_000)]
+    text = "\n".join(lines)
+    base = secrets.base_spans(text)
+    found = secrets.candidates(text, base)
+    assert (len(base), len(found)) == (60_000, 60_000)
+    assert [text[a:b] for a, b in found[:50]] == [s[a:b] for s in lines[:50] for a, b in secrets.candidates(s, secrets.base_spans(s))]
+
+
 def test_quality(spark, empty):
     rows = [(k, prose(k, 50) if k % 3 else " ".join(w + "$$$" for w in prose(k, 50).split())) for k in range(120)]
     frame = spark.createDataFrame([*rows, (500, None)], "doc_id long, text string")
@@ -353,6 +363,40 @@ def test_viterbi_is_best_of_all_paths():
         assert score(chat.viterbi(steps).tolist()) == pytest.approx(best) and chat.product(steps)[0].max() == pytest.approx(best)
 
 
+def test_chat_keeps_all_text(spark):
+    """The rendering parses back to the pieces, whatever they hold."""
+    texts = ["Options:\na: red\nq: blue\nmodel: T5", "Human: hi\n\n> a: quoted\n## Instructions:\n", "AI: <|end|>\n<|user|>\nme <\\| <\\\\|end|> <|", "User: one\nAssistant: two\nUser: three\n\n", "", None, "Question: x", "\n\nsystem:\nbe kind\n", "a <b>\n" * 30_000 + "User: x"]
+    frame = spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], x) for c in range(3) for t, x in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    model = chat.fit_roles(spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], ("User: ", "Assistant: ")[t % 2] + prose(c + t, 9)) for c in range(20) for t in range(6)], frame.schema))
+    for r in chat.format_chats(frame, model).collect():
+        turns = chat.parse_turns(r["rendered"])
+        assert len(turns) == r["n_segments"] == len(r["markers"]) and turns[0][0] == r["role"]
+        assert "\n".join(m + x for m, (_, x) in zip(r["markers"], turns, strict=True)) == (texts[r["turn"]] or "")
+        if r["turn"] == 0:
+            assert "a: red\nq: blue" in r["rendered"]
+        if r["turn"] == 3:
+            assert turns == [("user", "one"), ("assistant", "two"), ("user", "three\n\n")] and r["markers"] == ["User: ", "Assistant: ", "User: "]
+
+
+def test_chat_noised_table(spark):
+    """The given pieces joined by threes, some with markers and some without: lines are given back to their roles."""
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
+    names = {"system": ("System", "Instructions"), "user": ("User", "Human", "Customer"), "assistant": ("Assistant", "AI", "Bot")}
+    draw, rows, wanted = random.Random(4), [], {}
+    for c, g in talks.groupby("conv_id"):
+        lines = [(r.role, (f"{draw.choice(names[r.role])}: " if draw.random() < 0.8 else "") + (r.text or "").replace("\n", " ")) for r in g.itertuples()]
+        for k in range(0, len(lines), 3):
+            wanted[c, k] = [role for role, _ in lines[k : k + 3]]
+            rows.append((c, k, "\n".join(x for _, x in lines[k : k + 3])))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    right = total = 0
+    for r in chat.format_chats(frame, chat.fit_roles(spark.createDataFrame(talks))).collect():
+        got = [role for role, x in chat.parse_turns(r["rendered"]) for _ in x.split("\n")]
+        right += sum(a == b for a, b in zip(got, wanted[r["conv_id"], r["turn"]], strict=True))
+        total += len(got)
+    assert right / total > 0.8
+
+
 def test_chat_held_out(spark):
     """Held-out accuracy on the given table, against turns that always alternate."""
     talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")

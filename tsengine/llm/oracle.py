@@ -147,3 +147,38 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   coalesce(base_spans, '') AS base_spans, sha256(coalesce(base_spans, '')) AS base_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+
+def _centroids(k: int = 16, rounds: int = 3, width: int = 64, scale: int = 64) -> str:
+    """Operator 13: squared distances of whole numbers are exact in doubles here."""
+    parts = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) = {width} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS k, v AS c FROM kept QUALIFY k < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rn, vec_id, v, arg_min(k, (d, k)) AS k, min(d)::BIGINT AS distance FROM (SELECT rn, vec_id, v, k, list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c) AS d FROM kept CROSS JOIN c{r}) GROUP BY ALL)")
+        if r < rounds:
+            parts.append(f"s{r} AS (SELECT k, i, sum(x::BIGINT)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT k, unnest(v) AS x, unnest(range({width})) AS i FROM a{r}) GROUP BY ALL)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT k, list(((s - (((s % n) + n) % n)) // n)::DOUBLE ORDER BY i) AS m FROM s{r} GROUP BY k) USING (k))")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a{rounds}.k::INT AS cluster, distance, sum(distance) OVER (PARTITION BY a{rounds}.k)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+CENTROIDS = _centroids()
+
+# Operator 12: the crc32 by its table of 256 remainders; near words by equal strings after a deletion.
+SPELLING = """
+WITH RECURSIVE tbl AS MATERIALIZED (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+runs AS (SELECT rn, id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT row_number() OVER () AS rn, coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+dist AS MATERIALIZED (SELECT id, run, sum(1) AS n, hex(encode(id || ':' || run)) AS code FROM runs WHERE length(run) >= 7 GROUP BY id, run),
+sums AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(code) // 2), lambda i: ('0x' || substr(code, (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM dist CROSS JOIN tbl),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+cuts AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+less AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cuts c JOIN words w ON w.word = c.cut),
+near AS MATERIALIZED (SELECT a, b FROM less UNION SELECT b, a FROM less UNION SELECT x.word, y.word FROM cuts x JOIN cuts y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min({'b': b, 'n': n}, (-n, b)) AS f FROM near JOIN words ON word = b GROUP BY 1),
+forms AS MATERIALIZED (SELECT w.word, CASE WHEN f.n >= 10 * w.n THEN f.b END AS form, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN f.n >= 10 * w.n THEN f.n END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here, 0 AS k FROM forms UNION ALL SELECT walk.word, forms.form, k + 1 FROM walk JOIN forms ON forms.word = walk.here WHERE forms.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(here, k) AS root FROM walk GROUP BY 1) USING (word)
+"""

@@ -13,7 +13,7 @@ from .decontaminate import contamination_digest, find_contamination
 from .embed_dedup import similar_vectors
 from .minhash import near_duplicates
 from .mix import mix_sources
-from .oracle import DECONTAMINATE, EMBEDDINGS, MIX, REPEATS, SECRETS
+from .oracle import CENTROIDS, DECONTAMINATE, EMBEDDINGS, MIX, REPEATS, SECRETS, SPELLING
 from .quality import THRESHOLD, held_out, score_quality, train_quality
 from .secrets import find_secrets, secrets_digest
 from .spelling import spelling_variants
@@ -98,4 +98,4 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_decontaminate, op4_token_files, op5_secret_scan, op6_suffix_dedup, op7_minhash_dedup, op8_token_counts, op9_quality, op10_embedding_dedup, op11_byte_bpe, op12_spelling, op13_centroids, secret_base_spans)}
-ORACLE_SQL = {"op2_mix_sources": MIX, "op3_decontaminate": DECONTAMINATE, "op6_suffix_dedup": REPEATS, "op10_embedding_dedup": EMBEDDINGS, "secret_base_spans": SECRETS}
+ORACLE_SQL = {"op2_mix_sources": MIX, "op3_decontaminate": DECONTAMINATE, "op6_suffix_dedup": REPEATS, "op10_embedding_dedup": EMBEDDINGS, "op12_spelling": SPELLING, "op13_centroids": CENTROIDS, "secret_base_spans": SECRETS}
