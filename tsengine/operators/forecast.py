@@ -1,13 +1,14 @@
 """The forecast pool: closed forms and smoothing on arrays, quantiles, the output contract and user forecasters.
 
-Closed forms are column expressions on the window's array; smoothing weights are fitted by a kernel on Arrow batches, all windows and points
-of the grid at once. Both run where the row is, without a shuffle.
-Forecasts are rows (input_key, model, h, mean); quantiles are rows with level and q.
+Closed forms are column expressions on the window's array; smoothing weights are fitted by a kernel on Arrow batches, all windows at once: from the best point of a
+grid by a bounded search. Both run where the row is, without a shuffle.
+Forecasts are rows (input_key, model, h, mean), with ``se`` where intervals are asked for; quantiles are rows with level and q.
 """
 
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Callable
 from statistics import NormalDist
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import centred, diff, dot, let, mean, settled, total
+from ..functions.search import ROUNDS, pattern_search
 
 ALPHAS = tuple(round(0.1 * k, 1) for k in range(1, 10))
 BETAS = (0.05, 0.1, 0.2, 0.4)
@@ -97,16 +99,34 @@ def seasonal_adjust(windows: DataFrame, period: int, array_col: str = "window")
 FIT = "struct<sse:double,alpha:double,beta:double,phi:double,level:double,slope:double>"
 #: The points of each method's grid: (alpha, beta, phi). Of equal errors the first one wins.
 GRIDS = {"ses": [(a, 0.0, 0.0) for a in ALPHAS], "holt": list(itertools.product(ALPHAS, BETAS, (1.0,))), "damped": list(itertools.product(ALPHAS, BETAS, PHIS))}
+#: The first steps of the search from a grid's best point, and the bounds of (alpha, beta, phi).
+STEPS = {"ses": (0.05, 0.0, 0.0), "holt": (0.05, 0.1, 0.0), "damped": (0.05, 0.1, 0.05)}
+LOW, HIGH = (0.01, 0.001, 0.8), (0.99, 0.99, 0.98)
 AT_ONCE = 1 << 20  # windows times points in one step of the kernel
 
 
-def fit_rows(values: list, method: str) -> list[tuple | None]:
-    """The point of a grid with the least squared one-step error for each array, with the error and the last level and slope.
+def _smoothed(x: np.ndarray, points: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of squared one-step errors, last level, last slope), each rows x points; points are (alpha, beta, phi) in the last axis."""
+    alpha, beta, phi = points[..., 0], points[..., 1], points[..., 2]
+    level = np.repeat(x[:, least - 1, None], points.shape[-2], 1)
+    slope = np.repeat(x[:, 1, None] - x[:, 0, None], points.shape[-2], 1) if least == 2 else np.zeros_like(level)
+    sse = np.zeros_like(level)
+    for k in range(least, x.shape[1]):
+        guess = level + phi * slope
+        error = x[:, k, None] - guess
+        sse += error * error
+        level = guess + alpha * error
+        slope = phi * slope + alpha * beta * error
+    return sse, level, slope
 
-    SES starts from the first value; the others from the second, with the first difference as slope. What is too short is None.
+
+def fit_rows(values: list, method: str, rounds: int = ROUNDS) -> list[tuple | None]:
+    """The weights with the least squared one-step error for each array, with the error and the last level and slope: (sse, alpha, beta, phi, level, slope).
+
+    The best point of the method's grid, and from there ``rounds`` rounds of a search, so no error is above the grid's. SES starts from the first value; the others
+    from the second, with the first difference as slope. What is too short is None.
     """
     grid = np.array(GRIDS[method], float)
-    alpha, beta, phi = grid.T
     least = 1 if method == "ses" else 2
     arrays = [None if v is None else np.asarray(v, float) for v in values]
     out: list[tuple | None] = [None] * len(arrays)
@@ -115,23 +135,16 @@ def fit_rows(values: list, method: str) -> list[tuple | None]:
         if x is not None and len(x) >= least:
             lengths.setdefault(len(x), []).append(k)
     step = max(1, AT_ONCE // len(grid))
-    for n, rows in lengths.items():
+    for rows in lengths.values():
         for begin in range(0, len(rows), step):
             at = rows[begin : begin + step]
             x = np.stack([arrays[k] for k in at])
-            level = np.repeat(x[:, least - 1, None], len(grid), 1)
-            slope = np.repeat(x[:, 1, None] - x[:, 0, None], len(grid), 1) if least == 2 else np.zeros_like(level)
-            sse = np.zeros_like(level)
-            for k in range(least, n):
-                guess = level + phi * slope
-                error = x[:, k, None] - guess
-                sse += error * error
-                level = guess + alpha * error
-                slope = phi * slope + alpha * beta * error
-            best = np.where(np.isnan(sse), np.inf, sse).argmin(1)
-            pick = np.arange(len(at))
-            for k, *fit in zip(at, sse[pick, best], alpha[best], beta[best], phi[best], level[pick, best], slope[pick, best], strict=True):
-                out[k] = tuple(map(float, fit))
+            error = lambda points, x=x: _smoothed(x, points, least)[0]
+            sse = error(grid[None])
+            best = pattern_search(error, grid[np.where(np.isnan(sse), np.inf, sse).argmin(1)], STEPS[method], LOW, HIGH, rounds)
+            fits = np.column_stack([best, *(f[:, 0] for f in _smoothed(x, best[:, None, :], least))])
+            for k, (alpha, beta, phi, sse_, level, slope) in zip(at, fits.tolist(), strict=True):
+                out[k] = (sse_, alpha, beta, phi, level, slope)
     return out
 
 
@@ -164,10 +177,37 @@ def _values(period: int) -> dict[str, Callable[[Column], Column]]:
     }
 
 
+def _errors(period: int) -> dict[str, Callable[[Column], Column]]:
+    """The standard error at step h of each method.
+
+    The smoothing methods are linear in their one-step errors of deviation sigma: with weights alpha for the level and b = alpha beta for the slope an error
+    moves the forecast j steps later by alpha + b (phi + phi ** 2 + ... + phi ** j), so the variance at step h is sigma ** 2 (1 + the sum of these squares for j < h).
+    What is restored by seasonal factors has errors in proportion.
+    """
+    back = lambda h: F.element_at("factors", ((F.col("n_") + h - 1) % period).cast("int") + 1) if period > 1 else F.lit(1.0)
+    fit = lambda m, f: F.col(f"f_.{m}.{f}")
+    sigma = lambda m, first: F.when(F.col("n_") > first, F.sqrt(fit(m, "sse") / (F.col("n_") - first)))
+    level = lambda h: sigma("ses", 1) * F.sqrt(1 + (h - 1) * fit("ses", "alpha") * fit("ses", "alpha")) * back(h)
+    b = lambda m: fit(m, "alpha") * fit(m, "beta")
+    reach = lambda j: fit("damped", "alpha") + b("damped") * fit("damped", "phi") * (1 - F.pow(fit("damped", "phi"), j)) / (1 - fit("damped", "phi"))
+    squares = lambda h: F.when(h > 1, F.aggregate(F.sequence(F.lit(1), h - 1), F.lit(0.0), lambda a, j: a + reach(j) * reach(j))).otherwise(0.0)
+    line = lambda h: (h - 1) * fit("holt", "alpha") * fit("holt", "alpha") + fit("holt", "alpha") * b("holt") * h * (h - 1) + b("holt") * b("holt") * (h - 1) * h * (2 * h - 1) / 6
+    return {
+        "naive": lambda h: F.col("sd1_") * F.sqrt(h),
+        "snaive": lambda h: F.col("sdm_") * F.sqrt(F.floor((h - 1) / max(period, 1)) + 1),
+        "rw_drift": lambda h: F.col("sdd_") * F.sqrt(h * (1 + h / (F.col("n_") - 1))),
+        "naive2": lambda h: F.col("sda_") * F.sqrt(h) * back(h),
+        "ses": level,
+        "holt": lambda h: sigma("holt", 2) * F.sqrt(1 + line(h)) * back(h),
+        "damped": lambda h: sigma("damped", 2) * F.sqrt(1 + squares(h)) * back(h),
+        "theta": level,
+    }
+
+
 POOL = ("naive", "snaive", "rw_drift", "naive2", "ses", "holt", "damped", "theta")
 
 
-def _prepared(windows: DataFrame, models: list[str], period: int, array_col: str) -> DataFrame:
+def _prepared(windows: DataFrame, models: list[str], period: int, array_col: str, errors: bool = False) -> DataFrame:
     """What the models need of a window, each once: last value, drift, adjusted values with factors, fits of all smoothing methods, slope."""
     rows = seasonal_adjust(windows, period, array_col)
     x, n = F.col(array_col), F.size(array_col)
@@ -175,11 +215,14 @@ def _prepared(windows: DataFrame, models: list[str], period: int, array_col: str
     methods = tuple(m for m in GRIDS if m in models or (m == "ses" and "theta" in models))
     if methods:
         rows = settled(rows, "adjusted").withColumn("f_", smoothing_fits(F.col("adjusted"), methods))
+    if errors:
+        drift = let(F.col("drift_"), lambda b: F.transform(diff(x), lambda v: v - b))
+        rows = rows.withColumns({"sd1_": residual_sd(x), "sdm_": residual_sd(x, max(period, 1)), "sda_": residual_sd(F.col("adjusted")), "sdd_": let(drift, lambda e: F.when(n > 1, F.sqrt(dot(e, e) / (n - 1))))})
     return rows.withColumn("s_", let(F.col("adjusted"), slope_of)) if "theta" in models else rows
 
 
-def forecast_pool(windows: DataFrame, horizon: int, models: list[str] | None = None, period: int = 1, done: DataFrame | None = None, array_col: str = "window", keep: list[str] | None = None) -> DataFrame:
-    """(input_key, model, h, mean) of all models on all windows, in one pass; ``keep``: other columns of the windows that go along.
+def forecast_pool(windows: DataFrame, horizon: int, models: list[str] | None = None, period: int = 1, done: DataFrame | None = None, array_col: str = "window", keep: list[str] | None = None, errors: bool = False) -> DataFrame:
+    """(input_key, model, h, mean) of all models on all windows, in one pass; ``keep``: other columns of the windows that go along; ``errors``: with ``se``.
 
     Keys (input_key, model) that are done already give no rows, and windows of which all models are done are not computed.
     """
@@ -193,12 +236,13 @@ def forecast_pool(windows: DataFrame, horizon: int, models: list[str] | None = N
         todo = F.array_except(todo, F.coalesce("done_", F.array().cast("array<string>")))
         windows = windows.withColumn("todo_", todo).where(F.size("todo_") > 0)
         todo = F.col("todo_")
-    values = _values(period)
+    values, spread = _values(period), _errors(period)
     steps = F.sequence(F.lit(1), F.lit(horizon))
-    paths = F.array(*[F.struct(F.lit(m).alias("model"), F.transform(steps, values[m]).alias("mean")) for m in names])
-    rows = _prepared(windows, names, period, array_col).select("input_key", *keep, F.explode(F.filter(paths, lambda p: F.array_contains(todo, p["model"]))).alias("p_"))
-    rows = rows.select("input_key", F.col("p_.model").alias("model"), *keep, F.posexplode("p_.mean").alias("h", "mean"))
-    return rows.select("input_key", "model", *keep, (F.col("h") + 1).alias("h"), "mean")
+    at = lambda m: lambda h: F.struct(values[m](h).alias("mean"), *([spread[m](h).alias("se")] if errors else []))
+    paths = F.array(*[F.struct(F.lit(m).alias("model"), F.transform(steps, at(m)).alias("path")) for m in names])
+    rows = _prepared(windows, names, period, array_col, errors).select("input_key", *keep, F.explode(F.filter(paths, lambda p: F.array_contains(todo, p["model"]))).alias("p_"))
+    rows = rows.select("input_key", F.col("p_.model").alias("model"), *keep, F.posexplode("p_.path").alias("h", "path_"))
+    return rows.select("input_key", "model", *keep, (F.col("h") + 1).alias("h"), "path_.*")
 
 
 def fc_naive2(windows: DataFrame, horizon: int, period: int = 1, array_col: str = "window") -> DataFrame:
@@ -245,6 +289,64 @@ def interval_quantiles(forecasts: DataFrame, levels: list[float]) -> DataFrame:
     return rows.select("input_key", "model", "h", F.col("l_.level").alias("level"), (F.col("mean") + F.col("l_.z") * F.col("se")).alias("q"))
 
 
+def _path_errors(x: np.ndarray, fits: np.ndarray, least: int) -> np.ndarray:
+    """One-step errors of rows at their fitted weights (alpha, beta, phi), less their mean."""
+    alpha, beta, phi = fits.T
+    level, slope = x[:, least - 1].copy(), x[:, 1] - x[:, 0] if least == 2 else np.zeros(len(x))
+    out = np.empty((len(x), x.shape[1] - least))
+    for k in range(least, x.shape[1]):
+        guess = level + phi * slope
+        out[:, k - least] = error = x[:, k] - guess
+        level, slope = guess + alpha * error, phi * slope + alpha * beta * error
+    return out - out.mean(1, keepdims=True)
+
+
+def _paths(fit: tuple, errors: np.ndarray) -> np.ndarray:
+    """Futures of one window (paths x horizon) that go on from its last state with these errors."""
+    _, alpha, beta, phi, level, slope = fit
+    level, slope, out = np.full(len(errors), level), np.full(len(errors), slope), np.empty_like(errors)
+    for h in range(errors.shape[1]):
+        guess = level + phi * slope
+        out[:, h] = guess + errors[:, h]
+        level, slope = guess + alpha * errors[:, h], phi * slope + alpha * beta * errors[:, h]
+    return out
+
+
+def mixture_quantiles(windows: DataFrame, horizon: int, levels: list[float], models: tuple[str, ...] = ("ses", "holt", "damped"), period: int = 1, paths: int = 1000, seed: int = 1234, model: str = "comb", array_col: str = "window") -> DataFrame:
+    """(input_key, model, h, level, q): quantiles of the equal mixture of smoothing methods, which have no closed form, by ``paths`` simulated futures of each method.
+
+    A future draws its errors from the window's own one-step errors at the fitted weights, moves the states by them, and is restored by the seasonal factors; quantiles
+    are median-unbiased (type 8). The draws depend on the seed and the window's key only, so a rerun gives the same rows however they are dealt. Windows of less than four values have none.
+    """
+    if bad := set(models) - set(GRIDS):
+        raise ValueError(f"no paths for {sorted(bad)}")
+
+    @F.pandas_udf("array<array<double>>")
+    def drawn(keys: pd.Series, values: pd.Series, factors: pd.Series) -> pd.Series:
+        arrays = [None if v is None or len(v) < 4 else np.asarray(v, float) for v in values]
+        fits = {m: fit_rows(arrays, m) for m in models}
+        out = []
+        for row, (key, x, back) in enumerate(zip(keys, arrays, factors, strict=True)):
+            if x is None or not np.isfinite(x).all():
+                out.append(None)
+                continue
+            rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
+            futures = []
+            for m in models:
+                fit = fits[m][row]
+                past = _path_errors(x[None], np.array([fit[1:4]]), 1 if m == "ses" else 2)[0]
+                futures.append(_paths(fit, past[rng.integers(len(past), size=(paths, horizon))]))
+            q = np.quantile(np.concatenate(futures), levels, axis=0, method="median_unbiased")
+            back = np.asarray(back, float)
+            out.append((q * back[(len(x) + np.arange(horizon)) % len(back)]).T.tolist())
+        return pd.Series(out)
+
+    rows = settled(seasonal_adjust(windows, period, array_col), "adjusted", "factors")
+    rows = rows.select("input_key", F.posexplode(drawn(F.col("input_key"), F.col("adjusted"), F.col("factors"))).alias("h", "q_"))
+    rows = rows.select("input_key", (F.col("h") + 1).alias("h"), F.explode(F.arrays_zip(F.array(*map(F.lit, map(float, levels))).alias("level"), F.col("q_").alias("q"))).alias("z"))
+    return rows.select("input_key", F.lit(model).alias("model"), "h", F.col("z.level").alias("level"), F.col("z.q").alias("q"))
+
+
 def forecast_fallback(primary: DataFrame, alternate: DataFrame, requested: str, executed: str) -> DataFrame:
     """The primary result of each (input_key, h), or the one approved alternative where it is missing or not finite."""
     good = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") != float("inf"))
