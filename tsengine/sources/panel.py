@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.files import sha256_of
+from ..functions.files import create_once, exists, sha256_of
 
 SERIES_SCHEMA = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("start", T.TimestampNTZType()), T.StructField("freq", T.StringType()), T.StructField("target", T.ArrayType(T.FloatType()))])
 
@@ -58,30 +59,70 @@ def fetch_pending_series(series: DataFrame, done_keys: DataFrame, key: str = "se
 
 
 def scan_results(results: DataFrame, keys: DataFrame | None = None, kind: str | None = None, fields: list[str] | None = None, key: str = "input_key") -> DataFrame:
-    """Results of a kind and a set of keys, projected to some fields."""
+    """Results of a kind and a set of keys, projected to some fields.
+
+    The least and the greatest key are literals of a filter that reaches the file scan, so row groups and files without such keys aren't read.
+    """
     out = results if kind is None else results.where(F.col("kind") == kind)
-    out = out if keys is None else out.join(keys.select(key), key, "left_semi")
+    if keys is not None:
+        low, high = keys.agg(F.min(key), F.max(key)).first()
+        out = out.where(F.col(key).between(F.lit(low), F.lit(high)) if low is not None else F.lit(False))
+        out = out.join(keys.select(key), key, "left_semi")
     return out.select(key, *fields) if fields else out
 
 
-def append_results(results: DataFrame, path: str, stage: str, key: str = "input_key") -> DataFrame:
-    """Append the rows whose key the stage has not accepted yet, one row a key; returns what the stage now holds."""
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """(number, stage, batch) of the committed batches, in their order; a row a batch."""
+    if not exists(spark, f"{path}/commits"):
+        return []
+    rows = spark.read.text(f"{path}/commits", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).cast("long").alias("n"), "value").collect()
+    return sorted((r["n"], *r["value"].split("\t")) for r in rows)
+
+
+def read_results(spark: SparkSession, path: str, stage: str) -> DataFrame | None:
+    """The rows that a stage has accepted: those of its committed batches. None before the first one."""
+    batches = [f"{path}/batches/{b}" for _, s, b in _commits(spark, path) if s == stage]
+    return spark.read.parquet(*batches).withColumn("stage", F.lit(stage)) if batches else None
+
+
+def append_results(results: DataFrame, path: str, stage: str, key: str = "input_key", tries: int = 100) -> DataFrame:
+    """Append the rows whose key the stage has not accepted yet, one row a key; returns what the stage now holds.
+
+    A batch is written to a folder of its own and counts once its name stands in the next numbered file of ``commits``, which only one writer can create. A writer that comes second takes the
+    keys that the others have accepted meanwhile out of its batch and tries the next number, so no key is accepted twice. What a killed writer leaves is never read. Of several
+    rows with one key, that with the smallest hash of all its values is taken.
+    """
     spark = results.sparkSession
-    rows = results.dropDuplicates([key]).withColumn("stage", F.lit(stage))
-    jvm = spark._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        rows = rows.join(spark.read.parquet(path).where(F.col("stage") == stage).select(key), key, "left_anti")
-    rows.write.mode("append").partitionBy("stage").parquet(path)
-    return spark.read.parquet(path).where(F.col("stage") == stage)
+    least = results.groupBy(key).agg(F.min_by(F.struct(*results.columns), F.xxhash64(*results.columns)).alias("r_"))
+    rows = least.select("r_.*")
+    for _ in range(tries):
+        seen = _commits(spark, path)
+        done = [f"{path}/batches/{b}" for _, s, b in seen if s == stage]
+        fresh = rows.join(spark.read.parquet(*done).select(key), key, "left_anti") if done else rows
+        batch = uuid.uuid4().hex
+        fresh.write.parquet(f"{path}/batches/{batch}")
+        rows = spark.read.schema(results.select(*fresh.columns).schema).parquet(f"{path}/batches/{batch}")
+        if (done and rows.isEmpty()) or create_once(spark, f"{path}/commits/{(seen[-1][0] if seen else 0) + 1:010d}", f"{stage}\t{batch}"):
+            return read_results(spark, path, stage)
+    raise RuntimeError(f"no commit in {tries} tries")
 
 
 def load_external_forecasts(forecasts: DataFrame, series: DataFrame, models: list[str], horizon: int, key: str = "series_id") -> DataFrame:
-    """Per wanted (series, model): the imported path as an array and a reason if it is missing, duplicated, short or not finite."""
+    """Per wanted (series, model): n, the imported path ``mean`` as an array in the order of steps, and a reason if it is missing, duplicated, short or not finite (then without the path).
+
+    ``imported_paths`` gives the valid ones as forecast rows for the later stages.
+    """
     wanted = series.select(key).distinct().crossJoin(series.sparkSession.createDataFrame([(m,) for m in models], "model string"))
-    got = forecasts.groupBy(key, "model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("n_h"), F.count_if(F.col("mean").isNull() | F.isnan("mean") | (F.abs("mean") == float("inf"))).alias("n_bad"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    path = F.transform(F.sort_array(F.collect_list(F.struct("h", "mean"))), lambda s: s["mean"])
+    got = forecasts.groupBy(key, "model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("n_h"), F.count_if(F.col("mean").isNull() | F.isnan("mean") | (F.abs("mean") == float("inf"))).alias("n_bad"), F.min("h").alias("lo"), F.max("h").alias("hi"), path.alias("path"))
     reason = F.when(F.col("n").isNull(), "missing").when(F.col("n") > F.col("n_h"), "duplicate").when((F.col("n_h") != horizon) | (F.col("lo") != 1) | (F.col("hi") != horizon), "horizon").when(F.col("n_bad") > 0, "not finite")
-    return wanted.join(got, [key, "model"], "left").select(key, "model", F.coalesce("n", F.lit(0)).cast("long").alias("n"), reason.alias("reason"), F.lit("imported").alias("origin"))
+    return wanted.join(got, [key, "model"], "left").withColumn("reason", reason).select(key, "model", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "reason", F.when(F.col("reason").isNull(), F.col("path")).alias("mean"), F.lit("imported").alias("origin"))
+
+
+def imported_paths(loaded: DataFrame, key: str = "series_id") -> DataFrame:
+    """(input_key, model, h, mean) of what ``load_external_forecasts`` found valid, as the forecast pool gives them."""
+    rows = loaded.where("reason is null").select(F.col(key).cast("string").alias("input_key"), "model", F.posexplode("mean").alias("h", "mean"))
+    return rows.withColumn("h", F.col("h") + 1)
 
 
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
