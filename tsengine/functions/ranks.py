@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 4
+_held: list[DataFrame] = []  # what ``numbered`` has persisted
 
 
 def first_by_hash(rows: DataFrame, by: list[str], digest: Column, ties: list[str], quota: Column) -> DataFrame:
@@ -32,11 +33,18 @@ def first_by_hash(rows: DataFrame, by: list[str], digest: Column, ties: list[str
 def numbered(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
     """``rows`` with row numbers from 1 in the order of columns: sorted range partitions, and a prefix sum over one count for each.
 
-    The sorted rows are persisted: both uses see the same partitions, and a lost one is made again by the same bounds.
+    The sorted rows are persisted, until ``release``: both uses see the same partitions, and a lost one is made again by the same bounds.
     """
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"part_": F.spark_partition_id(), "at_": place}).persist()
+    _held.append(ranged)
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     counts = ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    return ranged.join(F.broadcast(counts), "part_").withColumn(name, (F.col("before_") + F.col("at_") + 1).cast("int")).drop("part_", "at_", "before_")
+    return ranged.join(F.broadcast(counts), "part_").withColumn(name, F.col("before_") + F.col("at_") + 1).drop("part_", "at_", "before_")
+
+
+def release() -> None:
+    """Give back what ``numbered`` has persisted; its results can still be computed."""
+    while _held:
+        _held.pop().unpersist()

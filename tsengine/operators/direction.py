@@ -1,8 +1,8 @@
 """Directional models: time-warping and Euclidean nearest neighbours, resizing, and forests by horizon.
 
-Neighbour joins compare all queries with all references (a stated query set against all rows). Both are dealt into blocks of bounded size, a pair of
-blocks is a tile, each block is sent once a tile, and a tile keeps the best neighbour of each of its queries; a grouped minimum picks
-the best of the tiles.
+Neighbour joins (a stated query set against all references) are exact and partitioned: references belong to the cell of their nearest pivot, a cell knows the
+range of its values and its ring around the pivot, and a query goes only to the cells whose bound is no farther than the best distance in its first one. Within a cell queries and
+references are dealt into blocks of bounded size, and a pair of blocks keeps the best neighbour of each of its queries; a grouped minimum picks the best of all.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 2048
+from ..functions.files import written
+
+BLOCK, CELLS = 2048, 256
 DTW_STEP = 64  # references that are warped at once, nearest bounds first
 AT_ONCE = 6  # fits of horizons side by side
 
@@ -138,34 +140,158 @@ def nearest_by_distance(queries: list, refs: list, order: np.ndarray, own: list
     return out
 
 
-def _nearest(queries: DataFrame, refs: DataFrame, best, block: int) -> DataFrame:
-    """(input_key, ref_key, ref_order, distance): all pairs of blocks of queries and of references; ties go to the first in ref_order."""
-    counts, cores = [rows.count() for rows in (queries, refs)], int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = [max(1, -(-counts[0] // block)), max(1, -(-counts[1] // block), min(cores, counts[1] // 64))]
-    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in parts]
-    none = F.lit(None)
-    left = queries.select(F.pmod(F.xxhash64("input_key"), F.lit(parts[0])).cast("int").alias("x"), every[1].alias("y"), F.col("input_key").alias("key"), none.cast("int").alias("ref_order"), F.col("v").cast("array<double>").alias("v"))
-    right = refs.select(every[0].alias("x"), F.pmod(F.col("ref_order"), F.lit(parts[1])).cast("int").alias("y"), F.col("ref_key").alias("key"), F.col("ref_order").cast("int"), F.col("v").cast("array<double>").alias("v"))
+class Cells:
+    """What is known of the cells of references: of each its length, pivot, least and greatest distances from it, and the range of its values at each place. At most ``CELLS``."""
+
+    def __init__(self, pivots: list[np.ndarray]):
+        self.pivots = pivots
+        self.lengths = np.array([len(p) for p in pivots], int)
+        self.low = [np.full(len(p), np.inf) for p in pivots]
+        self.high = [np.full(len(p), -np.inf) for p in pivots]
+        self.near, self.far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+
+    @classmethod
+    def of(cls, refs: DataFrame, most: int, block: int) -> Cells:
+        """Pivots are some ``most`` references, fewer for few references, first by a hash of their key (the bound of what the driver holds, with ``most`` ranges); all references then count for the ranges."""
+        usable = refs.where(_usable("v"))
+        n = usable.count()
+        picked = usable.select("v", F.xxhash64("ref_key").alias("h"), "ref_order").orderBy("h", "ref_order").limit(max(1, min(most, n // max(1, block // 8)))).collect()
+        cells = cls([np.asarray(r["v"], float) for r in picked] if n else [])
+        spare = usable.select(F.size("v").alias("n")).distinct().orderBy("n").collect()  # a length without a pivot gets an empty one; lengths are few
+        cells = cls([*cells.pivots, *(np.zeros(r["n"]) for r in spare if r["n"] not in cells.lengths)])
+
+        def ranges(batches):
+            own = cls(cells.pivots)
+            for pdf in batches:
+                own.add(list(pdf["v"]))
+            rows = [(c, k, a, b, own.near[c], own.far[c]) for c in np.flatnonzero(own.far >= 0) for k, (a, b) in enumerate(zip(own.low[c], own.high[c], strict=True))]
+            yield pd.DataFrame(rows, columns=["cell", "k", "low", "high", "near", "far"])
+
+        part = usable.select("v").mapInPandas(ranges, "cell int, k int, low double, high double, near double, far double")
+        for r in part.groupBy("cell", "k").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("near").alias("near"), F.max("far").alias("far")).collect():
+            cells.low[r["cell"]][r["k"]], cells.high[r["cell"]][r["k"]] = r["low"], r["high"]
+            cells.near[r["cell"]], cells.far[r["cell"]] = r["near"], r["far"]
+        return cells
+
+    def place(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance from its pivot) of arrays: the nearest pivot of their length; -1 without one."""
+        cell, distance = np.full(len(rows), -1), np.full(len(rows), np.inf)
+        lengths = np.array([len(r) for r in rows], int)
+        for n in np.unique(lengths):
+            at, own = np.flatnonzero(lengths == n), np.flatnonzero(self.lengths == n)
+            if n and len(own):
+                x, p = np.stack([np.asarray(rows[k], float) for k in at]), np.stack([self.pivots[k] for k in own])
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T, 0))
+                cell[at], distance[at] = own[d.argmin(1)], d.min(1)
+        return cell, distance
+
+    def add(self, rows: list) -> None:
+        cell, distance = self.place(rows)
+        for c in np.unique(cell[cell >= 0]):
+            x = np.stack([np.asarray(rows[k], float) for k in np.flatnonzero(cell == c)])
+            self.low[c], self.high[c] = np.minimum(self.low[c], x.min(0)), np.maximum(self.high[c], x.max(0))
+            self.near[c], self.far[c] = min(self.near[c], distance[cell == c].min()), max(self.far[c], distance[cell == c].max())
+
+    def by_distance(self, x: np.ndarray) -> np.ndarray:
+        """Lower bounds of the Euclidean distances from x to the references of each cell: from its box, and from its ring around the pivot."""
+        out = np.full(len(self.pivots), np.inf)
+        for c in np.flatnonzero((self.lengths == len(x)) & (self.far >= 0)):
+            box = np.maximum(np.maximum(self.low[c] - x, x - self.high[c]), 0)
+            d = np.sqrt(((x - self.pivots[c]) ** 2).sum())
+            out[c] = max(np.sqrt((box * box).sum()), d - self.far[c], self.near[c] - d) - 1e-6 * (1 + d)
+        return out
+
+    def by_warping(self, x: np.ndarray, proportion: float) -> np.ndarray:
+        """The same for banded warping: each value of either side lies outside the range of what it may be paired with."""
+        out = np.full(len(self.pivots), np.inf)
+        for c in np.flatnonzero(self.far >= 0):
+            n, m = len(x), int(self.lengths[c])
+            if n < 2 or m < 2:
+                continue
+            width = _width(n, m, proportion)
+            low = lambda a, k, top: a[max(0, k - width) : min(top, k + width + 1)]
+            p = [max(low(self.low[c], k, m).min() - x[k], x[k] - low(self.high[c], k, m).max(), 0.0) if len(low(self.low[c], k, m)) else 0.0 for k in range(n)]
+            q = [max(self.low[c][k] - low(x, k, n).max(), low(x, k, n).min() - self.high[c][k], 0.0) if len(low(x, k, n)) else 0.0 for k in range(m)]
+            total = sum(p[1:]) + sum(q[1:]) + max(p[0], q[0])
+            out[c] = total - 1e-9 * (1 + total)
+        return out
+
+
+def _usable(v: str) -> Column:
+    return F.col(v).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def _visits(queries: DataFrame, cells: Cells, bounds, home: bool) -> DataFrame:
+    """(cell, input_key, v): the queries at the cell with the least bound, or at all other cells that may hold a reference no farther than ``best``."""
+    sent = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches):
+        for pdf in batches:
+            best = pdf["best"].astype(float).fillna(np.inf).to_numpy()
+            out = []
+            for key, v, d in zip(pdf["input_key"], pdf["v"], best, strict=True):
+                x = np.asarray(v, float)
+                bound = bounds(sent.value, x)
+                if not len(bound) or not np.isfinite(bound).any():
+                    continue
+                first = int(bound.argmin())
+                out += [(c, key, v) for c in ([first] if home else np.flatnonzero(bound <= d).tolist()) if home or (c != first and np.isfinite(bound[c]))]
+            yield pd.DataFrame(out, columns=["cell", "input_key", "v"]).astype({"cell": "int32"})
+
+    return queries.select("input_key", "v", "best").mapInPandas(run, "cell int, input_key string, v array<double>")
+
+
+def _tiles(queries: DataFrame, refs: DataFrame, best, block: int) -> DataFrame:
+    """(input_key, distance, ref_order, ref_key): the best reference of each query in each tile, a pair of blocks of at most about ``block`` rows of one cell."""
+    size = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = F.broadcast(size(queries, "nq").join(size(refs, "nr"), "cell"))  # a row a cell
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("input_key"), F.col("nq")).cast("int").alias("x"), every("nr").alias("y"), F.col("input_key").alias("key"), F.lit(None).cast("long").alias("ref_order"), "v")
+    right = refs.join(sizes, "cell").select("cell", every("nq").alias("x"), F.pmod(F.col("ref_order"), F.col("nr")).cast("int").alias("y"), F.col("ref_key").alias("key"), F.col("ref_order").cast("long"), "v")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["ref_order"].notna()
         q, r = pdf[~side], pdf[side]
-        keys, order = r["key"].tolist(), r["ref_order"].to_numpy(int)
+        keys, order = r["key"].tolist(), r["ref_order"].to_numpy(np.int64)
         found = best(q, r, order)
         rows = [(k, *((f[0], int(order[f[1]]), keys[f[1]]) if f is not None else (None, None, None))) for k, f in zip(q["key"], found, strict=True)]
-        return pd.DataFrame(rows, columns=["input_key", "distance", "ref_order", "ref_key"]).astype({"distance": "Float64", "ref_order": "Int32"})
+        return pd.DataFrame(rows, columns=["input_key", "distance", "ref_order", "ref_key"]).astype({"distance": "Float64", "ref_order": "Int64"})
 
-    found = left.unionByName(right).groupBy("x", "y").applyInPandas(compare, "input_key string, distance double, ref_order int, ref_key string")
-    least = found.groupBy("input_key").agg(F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "ref_order", "ref_key"))).alias("b"))
-    return least.select("input_key", F.col("b.ref_key").alias("ref_key"), F.col("b.ref_order").alias("ref_order"), F.col("b.distance").alias("distance"))
+    return left.unionByName(right).groupBy("cell", "x", "y").applyInPandas(compare, "input_key string, distance double, ref_order long, ref_key string")
 
 
-def dtw_1nn(queries: DataFrame, refs: DataFrame, proportion: float = 0.10, block: int = BLOCK) -> DataFrame:
+def _nearest(queries: DataFrame, refs: DataFrame, best, bounds, block: int, most: int) -> DataFrame:
+    """(input_key, ref_key, ref_order, distance), exact; ties go to the first in ref_order.
+
+    Each query is compared within the cell that may hold the nearest reference, and then, with the distance found there, within the other cells that may hold one as near.
+    """
+    queries = written(queries.select(F.col("input_key").cast("string").alias("input_key"), F.col("v").cast("array<double>").alias("v")), "queries")
+    refs = written(refs.select("ref_key", "ref_order", F.col("v").cast("array<double>").alias("v")), "references")
+    cells = Cells.of(refs, most, block)
+    sent = refs.sparkSession.sparkContext.broadcast(cells)
+
+    @F.pandas_udf("int")
+    def cell_of(v: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.place(list(v))[0])
+
+    placed = written(refs.where(_usable("v")).withColumn("cell", cell_of("v")).where("cell >= 0"), "placed")
+    able = queries.where(_usable("v"))
+    least = lambda found: found.groupBy("input_key").agg(F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "ref_order", "ref_key"))).alias("b"))
+    home = written(_visits(able.withColumn("best", F.lit(None).cast("double")), cells, bounds, True), "visits")
+    first = written(least(_tiles(home, placed, best, block)), "first")
+    known = able.join(first.select("input_key", F.col("b.distance").alias("best")), "input_key", "left")
+    rest = _tiles(written(_visits(known, cells, bounds, False), "visits"), placed, best, block)
+    both = least(rest.unionByName(first.select("input_key", "b.distance", "b.ref_order", "b.ref_key")))
+    out = queries.select("input_key").distinct().join(both, "input_key", "left")
+    return out.select("input_key", F.col("b.ref_key").alias("ref_key"), F.col("b.ref_order").alias("ref_order"), F.col("b.distance").alias("distance"))
+
+
+def dtw_1nn(queries: DataFrame, refs: DataFrame, proportion: float = 0.10, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
     """The nearest reference of each query by banded time warping, null without a usable one. queries: input_key, v; refs: ref_key, ref_order, v."""
-    return _nearest(queries, refs, lambda q, r, order: nearest_by_warping(list(q["v"]), list(r["v"]), order, proportion), block)
+    return _nearest(queries, refs, lambda q, r, order: nearest_by_warping(list(q["v"]), list(r["v"]), order, proportion), lambda known, x: known.by_warping(x, proportion), block, cells)
 
 
-def knn_join_l2(queries: DataFrame, refs: DataFrame, block: int = BLOCK, skip_own: bool = False) -> DataFrame:
+def knn_join_l2(queries: DataFrame, refs: DataFrame, block: int = BLOCK, skip_own: bool = False, cells: int = CELLS) -> DataFrame:
     """The same by Euclidean distance; ``skip_own``: a reference with a query's key is not its neighbour."""
     def best(q, r, order):
         own = None
@@ -176,7 +302,7 @@ def knn_join_l2(queries: DataFrame, refs: DataFrame, block: int = BLOCK, skip_ow
             own = [at.get(key, set()) for key in q["key"]]
         return nearest_by_distance(list(q["v"]), list(r["v"]), order, own)
 
-    return _nearest(queries, refs, best, block)
+    return _nearest(queries, refs, best, lambda known, x: known.by_distance(x), block, cells)
 
 
 def linear_resize(windows: DataFrame, n: int, array_col: str = "window", name: str = "resized") -> DataFrame:
