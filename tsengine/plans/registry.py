@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import decompose, ranks, search
 from ..functions.files import shared_folder
-from ..operators import clean, direction, evaluate, features, forecast, reports, sensitivity, series, store, windows
+from ..operators import clean, direction, evaluate, features, forecast, reports, sensitivity, series, store, windows, winters
 from ..sources import panel as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,9 +80,11 @@ def _kept(spark, d, name, make):
 
 
 def forget_frames() -> None:
-    """For tables that have changed."""
+    """Drop all that is kept for the session: panels, results of stages, forests, numbered rows. For tables that have changed, and between measurements."""
     while _frames:
         _frames.popitem()[1].unpersist()
+    _forests.clear()
+    ranks.release()
 
 
 def history(spark, d):
@@ -131,13 +136,23 @@ def r(c, n=4) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
-def grid_sql(name, points, first, source="offw", x="w"):
-    """The best point (alpha, beta, phi) of a grid for each array, of equal errors the first: struct f with l, b and the point."""
-    values = ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {p}::DOUBLE)" for k, (a, b, p) in enumerate(points))
+def fit_sql(name, method, source="offw", x="w"):
+    """The fit of each array: the best point (alpha, beta, phi) of the method's grid, of equal errors the first, then the rounds of the search, each a table. Struct f with l, b and the point."""
+    first = 1 if method == "ses" else 2
     guess = "(p.l + phi * p.b)"
     step = f"{{'sse': p.sse + (q.l - {guess}) * (q.l - {guess}), 'l': {guess} + alpha * (q.l - {guess}), 'b': phi * p.b + alpha * beta * (q.l - {guess})}}"
-    slope = "x2.w[2] - x2.w[1]" if first == 2 else "0.0::DOUBLE"
-    return f"""{name} AS MATERIALIZED (SELECT input_key, arg_min({{'sse': s.sse, 'l': s.l, 'b': s.b, 'alpha': alpha, 'beta': beta, 'phi': phi}}, (s.sse, k)) AS f FROM (SELECT input_key, k, alpha, beta, phi, list_reduce(list_transform(x2.w[{first}:], lambda v: {{'sse': 0.0::DOUBLE, 'l': v, 'b': {slope}}}), lambda p, q: {step}) AS s FROM (SELECT input_key, {x} AS w FROM {source}) x2 CROSS JOIN (VALUES {values}) g(k, alpha, beta, phi)) GROUP BY input_key)"""
+    slope = "w[2] - w[1]" if first == 2 else "0.0::DOUBLE"
+    best = f"SELECT input_key, arg_min({{'sse': s.sse, 'l': s.l, 'b': s.b, 'alpha': alpha, 'beta': beta, 'phi': phi}}, (s.sse, k)) AS f FROM (SELECT input_key, k, alpha, beta, phi, list_reduce(list_transform(w[{first}:], lambda v: {{'sse': 0.0::DOUBLE, 'l': v, 'b': {slope}}}), lambda p, q: {step}) AS s FROM (SELECT input_key, {x} AS w FROM {source}) CROSS JOIN g) GROUP BY input_key"
+    values = lambda rows: "(VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {p}::DOUBLE)" for k, (a, b, p) in enumerate(rows)) + ")"
+    out = [f"{name}0 AS MATERIALIZED (WITH g AS (SELECT * FROM {values(forecast.GRIDS[method])} g(k, alpha, beta, phi)) {best})"]
+    size = forecast.STEPS[method]
+    for turn in range(1, search.ROUNDS + 1):
+        moved = [f"least(greatest(f.{c} + {o} * {s}::DOUBLE, {lo}::DOUBLE), {hi}::DOUBLE)" if s else f"f.{c}" for c, o, s, lo, hi in zip(("alpha", "beta", "phi"), "abp", size, forecast.LOW, forecast.HIGH, strict=True)]
+        near = f"SELECT input_key, k, {moved[0]} AS alpha, {moved[1]} AS beta, {moved[2]} AS phi FROM {name}{turn - 1} CROSS JOIN {values(search.offsets(size))} o(k, a, b, p)"
+        last = name if turn == search.ROUNDS else f"{name}{turn}"
+        out.append(f"{last} AS MATERIALIZED (WITH g AS ({near}) {best.replace('CROSS JOIN g', 'JOIN g USING (input_key)')})")
+        size = tuple(s / 2 for s in size)
+    return ",\n".join(out)
 
 
 BASE = f"""WITH RECURSIVE facts AS MATERIALIZED (SELECT c_nationkey AS series_id, o_orderdate::DATE AS ds, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -153,9 +168,9 @@ blocks AS (SELECT series_id, (t // {L + H}) * {L + H} AS input_start, t % {L + H
 rw AS MATERIALIZED (SELECT series_id::VARCHAR || '/' || lpad(input_start::VARCHAR, 9, '0') AS input_key, series_id, input_start::INT AS input_start, list(v ORDER BY i) FILTER (WHERE i < {L}) AS w, list(v ORDER BY i) FILTER (WHERE i >= {L}) AS a FROM blocks GROUP BY ALL),
 hs AS (SELECT unnest(generate_series(1, {H}))::INT AS h),
 scale AS MATERIALIZED (SELECT series_id::VARCHAR AS input_key, avg(d) AS scale FROM (SELECT series_id, abs(y_clean - lag(y_clean) OVER (PARTITION BY series_id ORDER BY t)) AS d FROM cleaned) GROUP BY 1),
-{grid_sql("sesf", forecast.GRIDS["ses"], 1)},
-{grid_sql("holtf", forecast.GRIDS["holt"], 2)},
-{grid_sql("dampedf", forecast.GRIDS["damped"], 2)},
+{fit_sql("sesf", "ses")},
+{fit_sql("holtf", "holt")},
+{fit_sql("dampedf", "damped")},
 slope AS (SELECT input_key, regr_slope(v, i) AS b FROM off GROUP BY 1),
 fc AS MATERIALIZED (SELECT input_key, m AS model, h, w[{L}] AS mean FROM offw CROSS JOIN hs CROSS JOIN (SELECT unnest(['naive', 'snaive', 'naive2']) AS m) UNION ALL SELECT input_key, 'rw_drift', h, w[{L}] + h * (w[{L}] - w[1]) / {L - 1} FROM offw CROSS JOIN hs
  UNION ALL SELECT input_key, 'ses', h, f.l FROM sesf CROSS JOIN hs UNION ALL SELECT input_key, 'theta', h, f.l + 0.5 * b * h FROM sesf JOIN slope USING (input_key) CROSS JOIN hs UNION ALL SELECT input_key, 'holt', h, f.l + h * f.b FROM holtf CROSS JOIN hs
@@ -200,9 +215,9 @@ def check_population(spark, d):
     return src.check_population(table(spark, d, "lineitem"), 1, "l_orderkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def fetch_pending_series(spark, d):
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return src.fetch_pending_series(table(spark, d, "customer"), done, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -212,10 +227,13 @@ def scan_results(spark, d):
     return src.scan_results(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "kind"), keys, "F", ["o_totalprice"], "o_orderkey")
 
 
-@query(f"SELECT s.series_id, m.model, CASE WHEN m.model = 'naive2' THEN {H} ELSE 0 END::BIGINT AS n, CASE WHEN m.model = 'naive2' THEN NULL ELSE 'missing' END AS reason, 'imported' AS origin FROM (SELECT DISTINCT series_id FROM facts) s CROSS JOIN (SELECT unnest(['naive2', 'archived']) AS model) m")
+@query(f", own AS (SELECT input_key::INT AS series_id, model, h, CASE WHEN input_key::INT % 5 = 1 AND h = 3 THEN 'nan'::DOUBLE ELSE mean END AS mean FROM fc WHERE model = 'naive2' AND NOT (input_key::INT % 5 = 2 AND h = 14)) SELECT s.series_id, m.model, coalesce(n, 0)::BIGINT AS n, CASE WHEN n IS NULL THEN 'missing' WHEN n < {H} THEN 'horizon' WHEN bad THEN 'not finite' END AS reason, CASE WHEN n = {H} AND NOT bad THEN len(p) ELSE 0 END::INT AS steps, CASE WHEN n = {H} AND NOT bad THEN p[1] END AS first, CASE WHEN n = {H} AND NOT bad THEN p[-1] END AS last, 'imported' AS origin FROM (SELECT DISTINCT series_id FROM facts) s CROSS JOIN (SELECT unnest(['naive2', 'archived']) AS model) m LEFT JOIN (SELECT series_id, model, count(*) AS n, bool_or(isnan(mean)) AS bad, list(round(mean, 4) ORDER BY h) AS p FROM own GROUP BY ALL) o ON o.series_id = s.series_id AND o.model = m.model")
 def load_external_forecasts(spark, d):
-    own = forecast.fc_naive2(official(spark, d), H).withColumn("series_id", F.col("input_key").cast("int"))
-    return src.load_external_forecasts(own, facts(spark, d).select("series_id").distinct(), ["naive2", "archived"], H)
+    """Imported paths: some series lack a step, some have a value that is not a number, one model is missing."""
+    own = forecast.fc_naive2(official(spark, d), H).withColumn("series_id", F.col("input_key").cast("int")).where(~((F.col("series_id") % 5 == 2) & (F.col("h") == H)))
+    own = own.withColumn("mean", F.when((F.col("series_id") % 5 == 1) & (F.col("h") == 3), float("nan")).otherwise(F.col("mean")))
+    out = src.load_external_forecasts(own, facts(spark, d).select("series_id").distinct(), ["naive2", "archived"], H)
+    return out.withColumns({"steps": F.when(F.col("mean").isNotNull(), F.size("mean")).otherwise(0), "first": r(F.element_at("mean", 1)), "last": r(F.element_at("mean", -1))}).drop("mean")
 
 
 @query("WITH f AS (SELECT doc_id::VARCHAR AS path FROM documents), m AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS path, doc_id % 5 = 0 AS other FROM documents) SELECT coalesce(f.path, m.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'unexpected' WHEN other THEN 'changed' ELSE 'ok' END AS status FROM f FULL JOIN m ON f.path = m.path")
@@ -311,6 +329,12 @@ def clean_standard(spark, d):
     return cleaned(spark, d).select("series_id", "t", r("y_clean", 7).alias("y_clean"))
 
 
+@query("SELECT series_id, t, round(y_clean, 7) AS y_clean FROM cleaned")
+def clean_segments(spark, d):
+    """The same panel by segments of 100 steps, as very long series are cleaned."""
+    return clean.clean_standard(daily(spark, d).where(F.col("t") < DAYS - H), segment=100).select("series_id", "t", r("y_clean", 7).alias("y_clean"))
+
+
 ROBUST = f""", rr AS (SELECT series_id, t, y, y - quantile_cont(y, 0.5) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS resid FROM daily WHERE t < {DAYS - H}),
 qq AS (SELECT series_id, quantile_cont(resid, 0.25) AS a, quantile_cont(resid, 0.75) AS b FROM rr GROUP BY 1),
 ri AS (SELECT series_id, t, y, CASE WHEN resid >= a - 3 * (b - a) AND resid <= b + 3 * (b - a) THEN y END AS yi FROM rr JOIN qq USING (series_id)),
@@ -396,10 +420,14 @@ def invert_standardise(spark, d):
     return windows.invert_standardise(rows, state, ["v"]).select("input_key", "i", r("v", 6).alias("v"))
 
 
-@query(STD + " SELECT input_key, i::INT AS i, round(ln(1 + v), 6) AS v FROM off")
+@query(", lw AS (SELECT input_key, list_transform(w, lambda v: ln(1 + v)) AS w FROM offw), ls AS (SELECT input_key, w, list_avg(w) AS m, list_stddev_samp(w) AS s FROM lw) SELECT ls.input_key, i::INT AS i, round((w[i + 1] - m) / s, 6) + 0.0 AS v, round(v, 6) AS restored FROM ls JOIN off USING (input_key)")
 def transform_steps(spark, d):
-    rows = windows.transform_steps(official(spark, d).withColumns({"centre": F.lit(0.0), "scale": F.lit(1.0)}), ["identity", "log1p"])
-    return rows.select("input_key", F.posexplode("transformed").alias("i", "v")).select("input_key", "i", r("v", 6).alias("v"))
+    """Logarithms, standardised by a state fitted on them; and back by the inverse steps in reverse order."""
+    logs = windows.transform_steps(official(spark, d).withColumns({"centre": F.lit(0.0), "scale": F.lit(1.0)}), ["log1p"], name="logs").drop("centre", "scale")
+    rows = windows.transform_steps(windows.fit_standardise(logs, "logs"), ["log1p", "identity", "standardise"])
+    rows = windows.transform_steps(rows, ["log1p", "identity", "standardise"], "inverse", "transformed", "restored")
+    out = rows.select("input_key", F.posexplode(F.arrays_zip("transformed", "restored")).alias("i", "p"))
+    return out.select("input_key", "i", (r("p.transformed", 6) + 0.0).alias("v"), r("p.restored", 6).alias("restored"))
 
 
 DATASET = LABELS + SPLIT + f", ds AS (SELECT input_key, series_id, input_start, list_avg(w) AS centre, w[{L}] AS reference, sum(label)::INT AS ups, max(label) FILTER (WHERE h = {H}) AS label, max(label) FILTER (WHERE h = 1) AS first_label FROM lb GROUP BY ALL), dd AS (SELECT ds.*, partition FROM ds JOIN sp USING (series_id))"
@@ -443,7 +471,7 @@ def stratified_cohort_capped(spark, d):
     return cohort(spark, d, 100)
 
 
-@query(DATASET + " SELECT input_key, row_number() OVER (ORDER BY input_key)::INT AS ref_order FROM dd WHERE partition = 'train'")
+@query(DATASET + " SELECT input_key, row_number() OVER (ORDER BY input_key) AS ref_order FROM dd WHERE partition = 'train'")
 def full_cohort(spark, d):
     return windows.full_cohort(dataset(spark, d))
 
@@ -520,7 +548,7 @@ da AS (SELECT a.input_key, b.i - a.i AS lag, sum(a.c * b.c) AS s FROM dr a JOIN
 ds2 AS (SELECT input_key, var_samp((p - c * c * {L} / {L - 1}) / {L - 2}) AS spike FROM dr JOIN db USING (input_key) GROUP BY 1), dq AS (SELECT input_key, sum(s) FILTER (WHERE lag = 1) / greatest(any_value(p), 1e-300) AS e1, sum((s / greatest(p, 1e-300)) * (s / greatest(p, 1e-300))) AS e10 FROM da JOIN db USING (input_key) GROUP BY 1),
 dz AS (SELECT input_key, CASE WHEN vv > 0 THEN greatest(0.0, 1 - vr / vv) ELSE 0.0 END AS trend_ma, CASE WHEN vv > 0 THEN li ELSE 0.0 END AS linearity_ma, CASE WHEN vv > 0 THEN cu ELSE 0.0 END AS curvature_ma, CASE WHEN vv > 0 THEN e1 ELSE 0.0 END AS e_acf1_ma, CASE WHEN vv > 0 THEN e10 ELSE 0.0 END AS e_acf10_ma, 0.0::DOUBLE AS seasonal_strength_ma, 0.0::DOUBLE AS peak_ma, 0.0::DOUBLE AS trough_ma, CASE WHEN vv > 0 THEN spike ELSE 0.0 END AS spike_ma FROM db JOIN ds2 USING (input_key) JOIN dq USING (input_key))
 """
-SMOOTHING = ", " + grid_sql("zh", forecast.GRIDS["holt"], 2, "zz", "z") + ", " + grid_sql("zd", forecast.GRIDS["damped"], 2, "zz", "z") + ", sm AS (SELECT zh.input_key, zh.f.alpha AS alpha, zh.f.beta AS beta, zd.f.alpha AS hw_alpha, zd.f.beta AS hw_beta FROM zh JOIN zd USING (input_key))"
+SMOOTHING = ", " + fit_sql("zh", "holt", "zz", "z") + ", " + fit_sql("zd", "damped", "zz", "z") + ", sm AS (SELECT zh.input_key, zh.f.alpha AS alpha, zh.f.beta AS beta, zd.f.alpha AS hw_alpha, zd.f.beta AS hw_beta FROM zh JOIN zd USING (input_key))"
 
 
 def rounded(names, n=5, table=""):
@@ -583,6 +611,41 @@ def feat_smoothing(spark, d):
     return features.feat_smoothing(features.z_scored(official(spark, d).select("input_key", "window"))).select("input_key", "alpha", "beta", "hw_alpha", "hw_beta")
 
 
+def loess_sql():
+    """The robust local trend of 64 values in five rounds (dtr: input_key, i, v, t)."""
+    index, dist, weight = decompose.neighbours(L, decompose.trend_span(L), np.arange(L))
+    rows = ", ".join(f"({i}, {j}, {d}::DOUBLE, {w!r}::DOUBLE)" for i in range(L) for j, d, w in zip(index[i].tolist(), dist[i].tolist(), weight[i].tolist(), strict=True) if w > 0)
+    fit = lambda trust: f"SELECT x.input_key, n.i, sum(w * {trust}) AS s0, sum(w * {trust} * d) AS s1, sum(w * {trust} * d * d) AS s2, sum(w * {trust} * x.v) AS t0, sum(w * {trust} * d * x.v) AS t1, max(x.v) FILTER (WHERE d = 0) AS near"
+    value = "CASE WHEN s0 <= 0 THEN near WHEN s0 * s2 - s1 * s1 > 1e-9 * greatest(s0 * s0, 1e-300) THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END AS t"
+    out = [f"ln0 AS MATERIALIZED (SELECT * FROM (VALUES {rows}) n(i, j, d, w))", f"lt0 AS MATERIALIZED (SELECT input_key, i, {value} FROM ({fit('1')} FROM zl x JOIN ln0 n ON n.j = x.i GROUP BY ALL))"]
+    for k in range(1, decompose.ROBUST + 1):
+        out.append(f"lr{k} AS (SELECT input_key, i, v, v - t AS r FROM zl JOIN lt{k - 1} USING (input_key, i)), lh{k} AS (SELECT input_key, greatest(6 * median(abs(r)), 2 * avg(abs(r))) AS h FROM lr{k} GROUP BY 1)")
+        out.append(f"lw{k} AS MATERIALIZED (SELECT input_key, i, v, CASE WHEN h <= 0 THEN 1.0 WHEN abs(r) / h < 1 THEN (1 - (abs(r) / h) ** 2) ** 2 ELSE 0.0 END AS q FROM lr{k} JOIN lh{k} USING (input_key))")
+        out.append(f"lt{k} AS MATERIALIZED (SELECT input_key, i, {value} FROM ({fit('x.q')} FROM lw{k} x JOIN ln0 n ON n.j = x.i GROUP BY ALL))")
+    return ", " + ",\n".join(out)
+
+
+STL = loess_sql() + DECOMP.replace(DECOMP[: DECOMP.index("dr AS")], f", de AS (SELECT input_key, v, t, i FROM zl JOIN lt{decompose.ROBUST} USING (input_key, i)),\n").replace("_ma", "")
+
+
+@query(Z + STL + f"SELECT input_key, {rounded(features.STL)} FROM dz")
+def feat_stl(spark, d):
+    """Windows have no period here: the trend is a robust local regression."""
+    return features.feat_stl(z(spark, d)).select("input_key", *[r(c, 5).alias(c) for c in features.STL])
+
+
+def seasonal_windows(spark, d, freq):
+    return features.z_scored(panel_windows(spark, d, freq).select("input_key", "window"))
+
+
+@query()
+def feat_published(spark, d):
+    """All 42 features of the windows of the daily, monthly and hourly panels."""
+    parts = [features.feat_published(features.z_scored(official(spark, d).select("input_key", "window"))).withColumn("freq", F.lit("D"))]
+    parts += [features.feat_published(seasonal_windows(spark, d, f), p["period"]).withColumn("freq", F.lit(f)) for f, p in PANELS.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("freq", "input_key", *[r(c).alias(c) for c in features.PUBLISHED])
+
+
 VECTOR = z_sql("offw") + ACF + PACF + ARCH + UNITROOT + DECOMP + SPECTRUM + SHAPE + SMOOTHING + CROSSING + FLAT + TILES + f""", ax AS (SELECT input_key, coalesce(max(a1) FILTER (WHERE k = 0), 0) AS x_acf1, coalesce(max(a10) FILTER (WHERE k = 0), 0) AS x_acf10, coalesce(max(a1) FILTER (WHERE k = 1), 0) AS diff1_acf1, coalesce(max(a10) FILTER (WHERE k = 1), 0) AS diff1_acf10, coalesce(max(a1) FILTER (WHERE k = 2), 0) AS diff2_acf1, coalesce(max(a10) FILTER (WHERE k = 2), 0) AS diff2_acf10, 0.0::DOUBLE AS seas_acf1 FROM af GROUP BY 1),
 ve AS (SELECT *, 0.0::DOUBLE AS nperiods, 1.0::DOUBLE AS seasonal_period, {L}.0::DOUBLE AS series_length FROM ax JOIN pc USING (input_key) JOIN ah USING (input_key) JOIN ur USING (input_key) JOIN dz USING (input_key) JOIN sp USING (input_key) JOIN sh USING (input_key) JOIN sm USING (input_key) JOIN cp USING (input_key) JOIN fs USING (input_key) JOIN ts USING (input_key))
 """
@@ -673,6 +736,24 @@ def interval_quantiles(spark, d):
     return quantiles(spark, d).withColumn("q", r("q", 3))
 
 
+SPREAD = f""", s1 AS (SELECT input_key, sqrt(avg((v - p) * (v - p))) AS s, sqrt(sum((v - p - (w[{L}] - w[1]) / {L - 1}) * (v - p - (w[{L}] - w[1]) / {L - 1})) / {L - 1}) AS sd FROM (SELECT input_key, v, lag(v) OVER (PARTITION BY input_key ORDER BY i) AS p FROM off) JOIN offw USING (input_key) WHERE p IS NOT NULL GROUP BY 1),
+js AS (SELECT unnest(range(1, {H})) AS j), dv AS (SELECT input_key, h, coalesce(sum((f.alpha + f.alpha * f.beta * f.phi * (1 - pow(f.phi, j)) / (1 - f.phi)) ** 2), 0) AS v FROM dampedf CROSS JOIN hs LEFT JOIN js ON j < h GROUP BY ALL), hv AS (SELECT input_key, h, coalesce(sum((f.alpha + f.alpha * f.beta * j) ** 2), 0) AS v FROM holtf CROSS JOIN hs LEFT JOIN js ON j < h GROUP BY ALL),
+se AS (SELECT fc.*, CASE WHEN model IN ('naive', 'snaive', 'naive2') THEN s1.s * sqrt(h) WHEN model = 'rw_drift' THEN s1.sd * sqrt(h * (1 + h / {L - 1}.0::DOUBLE)) WHEN model = 'holt' THEN sqrt(hf.f.sse / {L - 2} * (1 + hv.v)) WHEN model = 'damped' THEN sqrt(df.f.sse / {L - 2} * (1 + dv.v)) ELSE sqrt(sf.f.sse / {L - 1} * (1 + (h - 1) * sf.f.alpha * sf.f.alpha)) END AS se FROM fc JOIN s1 USING (input_key) JOIN hv USING (input_key, h) JOIN dv USING (input_key, h) JOIN sesf sf USING (input_key) JOIN holtf hf USING (input_key) JOIN dampedf df USING (input_key))
+"""
+
+
+@query(SPREAD + "SELECT input_key, model, h, level, round(mean + z * se, 2) AS q FROM se CROSS JOIN (SELECT unnest([0.025, 0.1, 0.5, 0.9, 0.975])::DOUBLE AS level, unnest([-1.9599639845400536, -1.2815515655446008, 0.0, 1.2815515655446008, 1.9599639845400536])::DOUBLE AS z)")
+def pool_quantiles(spark, d):
+    """The quantiles of all models of the pool by their error recursions."""
+    return forecast.interval_quantiles(forecast.forecast_pool(official(spark, d), H, errors=True), LEVELS).withColumn("q", r("q", 2))
+
+
+@query()
+def comb_quantiles(spark, d):
+    """The mixture of the three smoothing methods by simulated futures."""
+    return forecast.mixture_quantiles(official(spark, d), H, LEVELS).withColumn("q", r("q", 3))
+
+
 @query("SELECT input_key, model, h, round(mean, 2) AS mean FROM fc WHERE NOT (model = 'rw_drift' AND input_key::INT % 2 = 1)")
 def forecast_pool(spark, d):
     done = table(spark, d, "nation").where("n_nationkey % 2 = 1").select(F.col("n_nationkey").cast("string").alias("input_key"), F.lit("rw_drift").alias("model"))
@@ -718,11 +799,11 @@ def dtw_width(spark, d):
     return rows.select(direction.dtw_width(F.col("n"), F.col("m")).alias("width"), "n", "m").distinct()
 
 
-def dtw_sql(pairs):
-    """dg: the distance of each pair (ka, kb, a, b), by diagonals of the table of costs: a cell needs its neighbours on the last two."""
+def dtw_sql(pairs, n=L, width=6):
+    """dg: the distance of each pair (ka, kb, a, b) of ``n`` values, by diagonals of the table of costs: a cell needs its neighbours on the last two."""
     return f""", dp AS ({pairs}),
-dg(ka, kb, a, b, k, d1, d2) USING KEY (ka, kb) AS (SELECT ka, kb, a, b, 0, list_transform(range({L + 1}), lambda i: CASE WHEN i = 1 THEN abs(a[1] - b[1]) ELSE 'inf'::DOUBLE END), list_transform(range({L + 1}), lambda i: 'inf'::DOUBLE) FROM dp
- UNION SELECT ka, kb, a, b, k + 1, list_transform(range({L + 1}), lambda i: CASE WHEN i >= 1 AND k + 3 - i BETWEEN 1 AND {L} AND abs(2 * i - k - 3) <= 6 THEN least(d1[i] + abs(a[i] - b[k + 3 - i]), d1[i + 1] + abs(a[i] - b[k + 3 - i]), d2[i] + 2 * abs(a[i] - b[k + 3 - i])) ELSE 'inf'::DOUBLE END), d1 FROM dg WHERE k < {2 * L - 2})"""
+dg(ka, kb, a, b, k, d1, d2) USING KEY (ka, kb) AS (SELECT ka, kb, a, b, 0, list_transform(range({n + 1}), lambda i: CASE WHEN i = 1 THEN abs(a[1] - b[1]) ELSE 'inf'::DOUBLE END), list_transform(range({n + 1}), lambda i: 'inf'::DOUBLE) FROM dp
+ UNION SELECT ka, kb, a, b, k + 1, list_transform(range({n + 1}), lambda i: CASE WHEN i >= 1 AND k + 3 - i BETWEEN 1 AND {n} AND abs(2 * i - k - 3) <= {width} THEN least(d1[i] + abs(a[i] - b[k + 3 - i]), d1[i + 1] + abs(a[i] - b[k + 3 - i]), d2[i] + 2 * abs(a[i] - b[k + 3 - i])) ELSE 'inf'::DOUBLE END), d1 FROM dg WHERE k < {2 * n - 2})"""
 
 
 @query(dtw_sql("SELECT a.input_key AS ka, b.input_key AS kb, a.w AS a, b.w AS b FROM offw a JOIN offw b ON a.input_key::INT + 1 = b.input_key::INT") + f" SELECT ka, kb, round(d1[{L + 1}], 4) AS distance FROM dg WHERE k = {2 * L - 2}")
@@ -745,11 +826,22 @@ def dtw_1nn(spark, d):
     return direction.dtw_1nn(query_windows(spark, d), refs(spark, d))
 
 
-@query("WITH q AS (SELECT vec_id::VARCHAR AS input_key, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT vec_id::VARCHAR AS ref_key, vec_id::INT AS ref_order, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT input_key, ref_key, ref_order, list_distance(q.v, r.v) AS distance FROM q JOIN r ON input_key <> ref_key), b AS (SELECT *, row_number() OVER (PARTITION BY input_key ORDER BY distance, ref_order) AS rk FROM p) SELECT input_key, ref_key, ref_order, round(distance, 6) AS distance FROM b WHERE rk = 1")
+SHORT = 16
+TAILS = f", sq1 AS (SELECT input_key, list_transform(w[{L - SHORT + 1}:], lambda v: (v - m) / CASE WHEN list_min(w) = list_max(w) THEN 1.0 ELSE s END) AS v FROM (SELECT input_key, w, list_avg(w) AS m, list_stddev_samp(w) AS s FROM offw)), sr1 AS (SELECT input_key, ref_order, list_transform(w[{L - SHORT + 1}:], lambda v: (v - m) / CASE WHEN list_min(w) = list_max(w) THEN 1.0 ELSE s END) AS v FROM (SELECT input_key, w, list_avg(w) AS m, list_stddev_samp(w) AS s FROM rw) JOIN co USING (input_key))"
+
+
+@query(COHORT + TAILS + dtw_sql("SELECT q.input_key AS ka, r.input_key AS kb, q.v AS a, r.v AS b FROM sq1 q CROSS JOIN sr1 r", SHORT, 2) + f" SELECT ka AS input_key, arg_min(kb, (d1[{SHORT + 1}], ref_order)) AS ref_key, arg_min(ref_order, (d1[{SHORT + 1}], ref_order))::BIGINT AS ref_order, round(min(d1[{SHORT + 1}]), 6) AS distance FROM dg JOIN co ON co.input_key = kb WHERE k = {2 * SHORT - 2} GROUP BY ka")
+def dtw_1nn_short(spark, d):
+    """The same over the last values of each window, which SQL can compare with all pairs."""
+    last = lambda rows: rows.withColumn("v", F.slice("v", L - SHORT + 1, SHORT))
+    return direction.dtw_1nn(last(query_windows(spark, d)), last(refs(spark, d))).withColumn("distance", r("distance", 6))
+
+
+@query("WITH q AS (SELECT vec_id::VARCHAR AS input_key, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT vec_id::VARCHAR AS ref_key, vec_id AS ref_order, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT input_key, ref_key, ref_order, list_distance(q.v, r.v) AS distance FROM q JOIN r ON input_key <> ref_key), b AS (SELECT *, row_number() OVER (PARTITION BY input_key ORDER BY distance, ref_order) AS rk FROM p) SELECT input_key, ref_key, ref_order, round(distance, 6) AS distance FROM b WHERE rk = 1")
 def knn_join_l2(spark, d):
     e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("input_key"), "v")
-    refs_ = e.select(F.col("vec_id").cast("string").alias("ref_key"), F.col("vec_id").cast("int").alias("ref_order"), "v")
+    refs_ = e.select(F.col("vec_id").cast("string").alias("ref_key"), F.col("vec_id").alias("ref_order"), "v")
     return direction.knn_join_l2(q, refs_, skip_own=True).withColumn("distance", r("distance", 6))
 
 
@@ -870,9 +962,13 @@ def metric_mask(spark, d):
     return evaluate.metric_mask(actual_long(spark, d), f)
 
 
-@query("SELECT input_key, model, m AS metric FROM (SELECT input_key, model, unnest([CASE WHEN smape IS NULL THEN 'smape' END, CASE WHEN mase IS NULL THEN 'mase' END]) AS m FROM sc) WHERE m IS NOT NULL")
+@query("SELECT input_key, model, m AS metric FROM (SELECT input_key, model, unnest([CASE WHEN k = 0 THEN 'smape' END, CASE WHEN k < 3 THEN 'mase' END]) AS m FROM (SELECT input_key, model, input_key::INT % 4 AS k FROM sc)) WHERE m IS NOT NULL")
 def finite_metrics(spark, d):
-    return evaluate.finite_metrics(series_scores(spark, d), ["smape", "mase"], ["input_key", "model"])
+    """Of every fourth series the actual values are missing; some scales are infinite or not a number."""
+    k = F.col("input_key").cast("int") % 4
+    rows = forecasts(spark, d).withColumns({"actual": F.when(k > 0, F.col("actual")), "scale": F.when(k == 1, float("nan")).when(k == 2, 0.0).otherwise(F.col("scale"))})
+    out = evaluate.series_scores(rows).withColumn("mase", F.when(k == 1, float("nan")).otherwise(F.col("mase")))
+    return evaluate.finite_metrics(out, ["smape", "mase"], ["input_key", "model"])
 
 
 @query("SELECT input_key, model, h, (mean > origin)::INT AS label FROM fc JOIN org USING (input_key)")
@@ -953,16 +1049,19 @@ def select_candidate(spark, d):
     return sensitivity.select_candidate(surface(spark, d)).select("model", "lambda_up", "lambda_down", r("smape").alias("smape"), r("mase", 5).alias("mase"), "correct_count", "evaluation_count", r("owa", 5).alias("owa"))
 
 
-@query(GATE + " SELECT input_key, model, h, round(mean * CASE gate WHEN 'up' THEN 1.02 WHEN 'down' THEN 0.95 ELSE 1 END, 3) AS mean FROM fc JOIN gt USING (input_key, model) WHERE model = 'ses'")
+WINNERS = "(SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(owa, 10), round(abs(lambda_up - 1) + abs(lambda_down - 1), 6), round(abs(lambda_up - 1), 6), round(abs(lambda_down - 1), 6), lambda_up, lambda_down) AS rk FROM sfo)"
+
+
+@query(SURFACE + f" SELECT input_key, model, h, round(mean * CASE gate WHEN 'up' THEN lambda_up WHEN 'down' THEN lambda_down ELSE 1 END, 2) AS mean FROM fc JOIN gt USING (input_key, model) JOIN (SELECT model, lambda_up, lambda_down FROM {WINNERS} WHERE rk = 1) USING (model)")
 def selected_paths(spark, d):
-    chosen = spark.createDataFrame([("ses", 1.02, 0.95)], "model string, lambda_up double, lambda_down double")
-    out = sensitivity.selected_paths(pool(spark, d), drift_direction(spark, d), origins(spark, d), chosen)
-    return out.select("input_key", "model", "h", r("mean", 3).alias("mean"))
+    """Every model's forecasts under the pair that wins on its surface."""
+    out = sensitivity.selected_paths(pool(spark, d), drift_direction(spark, d), origins(spark, d), sensitivity.select_candidate(surface(spark, d)))
+    return out.select("input_key", "model", "h", r("mean", 2).alias("mean"))
 
 
-@query(f""", om AS (SELECT input_key, round(0.5 + k * 0.001::DOUBLE, 3) AS lam, avg(CASE WHEN abs(actual) + abs(mean * round(0.5 + k * 0.001::DOUBLE, 3)) > 0 THEN 200 * abs(actual - mean * round(0.5 + k * 0.001::DOUBLE, 3)) / (abs(actual) + abs(mean * round(0.5 + k * 0.001::DOUBLE, 3))) END) AS o FROM err CROSS JOIN (SELECT unnest(range(1001)) AS k) WHERE model = 'ses' GROUP BY ALL) SELECT input_key, 'ses' AS model, round(arg_min(lam, (o, lam)), 3) AS multiplier, round(any_value(least_o), 4) AS smape, count(*) FILTER (WHERE o <= least_o + pow(2.0::DOUBLE, -26))::INT AS ties, NULL::VARCHAR AS violation FROM (SELECT *, min(o) OVER (PARTITION BY input_key) AS least_o FROM om) GROUP BY 1""")
+@query(""", om AS (SELECT input_key, model, round(0.5 + k * 0.001::DOUBLE, 3) AS lam, avg(CASE WHEN abs(actual) + abs(mean * round(0.5 + k * 0.001::DOUBLE, 3)) > 0 THEN 200 * abs(actual - mean * round(0.5 + k * 0.001::DOUBLE, 3)) / (abs(actual) + abs(mean * round(0.5 + k * 0.001::DOUBLE, 3))) END) AS o FROM err CROSS JOIN (SELECT unnest(range(1001)) AS k) GROUP BY ALL) SELECT input_key, model, round(arg_min(lam, (o, lam)), 3) AS multiplier, round(any_value(least_o), 4) AS smape, count(*) FILTER (WHERE o <= least_o + pow(2.0::DOUBLE, -26))::INT AS ties, NULL::VARCHAR AS violation FROM (SELECT *, min(o) OVER (PARTITION BY input_key, model) AS least_o FROM om) GROUP BY ALL""")
 def oracle_multiplier(spark, d):
-    return sensitivity.oracle_multiplier(pool(spark, d, ("ses",)), actual_long(spark, d)).select("input_key", "model", "multiplier", r("smape").alias("smape"), "ties", "violation")
+    return sensitivity.oracle_multiplier(pool(spark, d), actual_long(spark, d)).select("input_key", "model", "multiplier", r("smape").alias("smape"), "ties", "violation")
 
 
 # ---- reports ----
@@ -990,14 +1089,16 @@ def metrics_long(spark, d):
     return reports.metrics_long(selected(spark, d), ["model"], ["smape", "mase", "owa", "da"]).withColumn("value", r("value"))
 
 
-FREQ = ", fr AS (SELECT s.model, CASE WHEN s.input_key::INT % 2 = 0 THEN 'even' ELSE 'odd' END AS frequency, avg(s.smape) AS smape, avg(s.mase) AS mase, avg(s.smape) / 200 AS da, count(*) AS evaluation_count FROM sc s GROUP BY ALL), fa AS (SELECT model, sum(smape * evaluation_count) / sum(evaluation_count) AS smape, sum(mase * evaluation_count) / sum(evaluation_count) AS mase, sum(da * evaluation_count) / sum(evaluation_count) AS da, sum(evaluation_count)::BIGINT AS evaluation_count FROM fr GROUP BY 1)"
+FREQ = f", ld AS (SELECT input_key, model, correct FROM dsc WHERE h = {H}), fr AS (SELECT s.model, n_regionkey::VARCHAR AS frequency, avg(s.smape) AS smape, avg(s.mase) AS mase, avg(correct) AS da, count(*) AS evaluation_count FROM sc s JOIN ld ON ld.input_key = s.input_key AND ld.model = s.model JOIN nation ON n_nationkey = s.input_key::INT GROUP BY ALL), fa AS (SELECT model, sum(smape * evaluation_count) / sum(evaluation_count) AS smape, sum(mase * evaluation_count) / sum(evaluation_count) AS mase, sum(da * evaluation_count) / sum(evaluation_count) AS da, sum(evaluation_count)::BIGINT AS evaluation_count FROM fr GROUP BY 1)"
 
 
 @query(FREQ + " SELECT a.model, round(a.smape, 4) AS smape, round(a.mase, 5) AS mase, round(a.da, 5) AS da, a.evaluation_count, round(0.5 * (a.smape / b.smape + a.mase / b.mase), 5) AS owa FROM fa a CROSS JOIN (SELECT * FROM fa WHERE model = 'naive2') b")
 def aggregate_all(spark, d):
-    part = F.when(F.col("input_key").cast("int") % 2 == 0, "even").otherwise("odd")
-    rows = series_scores(spark, d).groupBy("model", part.alias("frequency")).agg(F.avg("smape").alias("smape"), F.avg("mase").alias("mase"), (F.avg("smape") / 200).alias("da"), F.count(F.lit(1)).alias("evaluation_count"))
-    out = reports.aggregate_all(rows, "naive2", 2)
+    """Scores and last-step directions by region, then over all regions."""
+    right = scored(spark, d).where(F.col("h") == H).select("input_key", "model", "correct")
+    region = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("input_key"), F.col("n_regionkey").cast("string").alias("frequency"))
+    rows = series_scores(spark, d).join(right, ["input_key", "model"]).join(region, "input_key").groupBy("model", "frequency").agg(F.avg("smape").alias("smape"), F.avg("mase").alias("mase"), F.avg("correct").alias("da"), F.count(F.lit(1)).alias("evaluation_count"))
+    out = reports.aggregate_all(rows, "naive2", table(spark, d, "region").count())
     return out.select("model", r("smape").alias("smape"), r("mase", 5).alias("mase"), r("da", 5).alias("da"), "evaluation_count", r("owa", 5).alias("owa"))
 
 
@@ -1027,11 +1128,55 @@ PANELS = {
 }
 
 
+def panel_long(spark, d, freq):
+    p = PANELS[freq]
+    return src.fill_calendar(src.build_panel(table(spark, d, p["table"]), *p["columns"], p["grain"]), p["grain"], p["bounds"])
+
+
+def fill_sql(name, source, value, columns="series_id, t, y"):
+    """A table with gaps of ``value`` filled linearly (column v)."""
+    return f"""{name}n AS (SELECT *, last_value({value} IGNORE NULLS) OVER b AS y0, last_value(CASE WHEN {value} IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value({value} IGNORE NULLS) OVER a AS y1, first_value(CASE WHEN {value} IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1 FROM {source}
+ WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{name} AS MATERIALIZED (SELECT {columns}, CASE WHEN {value} IS NOT NULL THEN {value} ELSE coalesce(y0 + (y1 - y0) * ((t - t0)::DOUBLE / (t1 - t0)::DOUBLE), y0, y1) END AS v FROM {name}n)"""
+
+
+def season_sql(name, source, m):
+    """The season of each phase from a filled table (column v)."""
+    half = m // 2
+    return f"""{name}w AS (SELECT series_id, t, CASE WHEN count(*) OVER w = {2 * half + 1} THEN v - (sum(v) OVER w{f" - (first_value(v) OVER w + last_value(v) OVER w) / 2" if m % 2 == 0 else ""}) / {m} END AS away FROM {source} WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)),
+{name}m AS (SELECT series_id, t % {m} AS phase, avg(away) AS mm, count(*) AS n FROM {name}w GROUP BY ALL), {name} AS MATERIALIZED (SELECT series_id, phase, CASE WHEN sum(n) OVER k >= {2 * m} AND count(mm) OVER k = {m} THEN mm - avg(mm) OVER k ELSE 0.0 END AS season FROM {name}m WINDOW k AS (PARTITION BY series_id))"""
+
+
+def seasonal_clean_sql(freq):
+    p = PANELS[freq]
+    series_, time_, value_ = p["columns"]
+    m = p["period"]
+    return f"""WITH facts AS (SELECT {series_}::VARCHAR AS series_id, date_diff('{p["grain"]}', TIMESTAMP '{p["bounds"][0]}', {time_}::TIMESTAMP)::INT AS t, sum({value_}::DECIMAL(18,2))::DOUBLE AS y FROM {p["table"]} GROUP BY ALL),
+whole AS MATERIALIZED (SELECT series_id, t, y FROM (SELECT series_id, unnest(range({p["steps"]}))::INT AS t FROM (SELECT DISTINCT series_id FROM facts)) LEFT JOIN facts USING (series_id, t)),
+{fill_sql("f1", "whole", "y")}, {season_sql("s1", "f1", m)},
+ad AS (SELECT w.series_id, w.t, w.y, w.y - season AS a, season FROM whole w JOIN s1 ON s1.series_id = w.series_id AND phase = w.t % {m}), {fill_sql("st", "ad", "a", "series_id, t, y, season")},
+rr AS (SELECT *, a - quantile_cont(a, 0.5) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS resid FROM ad), qq AS (SELECT series_id, quantile_cont(resid, 0.25) AS q0, quantile_cont(resid, 0.75) AS q1 FROM rr GROUP BY 1),
+ri AS (SELECT series_id, t, CASE WHEN resid >= q0 - 3 * (q1 - q0) AND resid <= q1 + 3 * (q1 - q0) THEN y END AS y FROM rr JOIN qq USING (series_id)),
+{fill_sql("f2", "ri", "y")}, {season_sql("s2", "f2", m)}, ae AS (SELECT w.series_id, w.t, w.y, w.y - season AS a, season FROM ri w JOIN s2 ON s2.series_id = w.series_id AND phase = w.t % {m}), {fill_sql("ro", "ae", "a", "series_id, t, y, season")}
+SELECT '{freq}' AS freq, st.series_id, st.t, CASE WHEN st.y IS NOT NULL THEN st.y ELSE st.v + st.season END AS standard, CASE WHEN ro.y IS NOT NULL THEN ro.y ELSE ro.v + ro.season END AS robust FROM st JOIN ro USING (series_id, t)"""
+
+
+@query("WITH u AS (" + " UNION ALL ".join(f"SELECT * FROM ({seasonal_clean_sql(f)})" for f in PANELS) + ") SELECT freq, series_id, t, round(standard, 5) + 0.0 AS standard, round(robust, 5) + 0.0 AS robust FROM u")
+def clean_seasonal(spark, d):
+    """Both ways of cleaning on the monthly and the hourly panel, with their periods."""
+    parts = []
+    for f, p in PANELS.items():
+        long = panel_long(spark, d, f).select(F.col("series_id").cast("string").alias("series_id"), "t", "y")
+        robust = clean.clean_robust(long, period=p["period"]).select("series_id", "t", F.col("y_clean").alias("robust"))
+        both = clean.clean_standard(long, period=p["period"]).join(robust, ["series_id", "t"])
+        parts.append(both.select(F.lit(f).alias("freq"), "series_id", "t", (r("y_clean", 5) + 0.0).alias("standard"), (r("robust", 5) + 0.0).alias("robust")))
+    return parts[0].unionByName(parts[1])
+
+
 def panel_windows(spark, d, freq):
     """The official window of each series, with actual, scale and origin."""
     p = PANELS[freq]
-    facts_ = src.build_panel(table(spark, d, p["table"]), *p["columns"], p["grain"])
-    rows = _frame_of(spark, d, freq, src.fill_calendar(facts_, p["grain"], p["bounds"]), p["steps"] - p["horizon"], p["horizon"])
+    rows = _frame_of(spark, d, freq, panel_long(spark, d, freq), p["steps"] - p["horizon"], p["horizon"])
     rows = rows.withColumns({"input_key": F.col("series_id").cast("string"), "scale": evaluate.naive_scale_of("history", p["period"])})
     return windows.official_window(rows, p["window"]).withColumn("origin", F.element_at("window", -1))
 
@@ -1059,9 +1204,9 @@ sq AS (SELECT input_key, {w} >= 3 * {m} AND any_value(p) > 0 AND abs(max(s / p)
 ma AS (SELECT a.input_key, a.i, any_value(a.v) / ((sum(b.v) - sum(b.v) FILTER (WHERE abs(b.i - a.i) = {half}) / 2) / {m}) AS ratio FROM off a JOIN off b ON a.input_key = b.input_key AND b.i BETWEEN a.i - {half} AND a.i + {half} WHERE a.i BETWEEN {half} AND {w - half - 1} GROUP BY ALL),
 sf AS (SELECT input_key, i % {m} AS s, avg(ratio) AS f FROM ma GROUP BY ALL), sg AS MATERIALIZED (SELECT input_key, s, CASE WHEN coalesce(seasonal, false) AND min(f) OVER (PARTITION BY input_key) > 0 THEN f / avg(f) OVER (PARTITION BY input_key) ELSE 1.0 END AS f FROM sf JOIN sq USING (input_key)),
 adj AS MATERIALIZED (SELECT input_key, list(v ORDER BY i) AS w, list(v / f ORDER BY i) AS a, regr_slope(v / f, i) AS slope FROM off JOIN sg USING (input_key) WHERE s = i % {m} GROUP BY 1),
-{grid_sql("sesf", forecast.GRIDS["ses"], 1, "adj", "a")},
-{grid_sql("holtf", forecast.GRIDS["holt"], 2, "adj", "a")},
-{grid_sql("dampedf", forecast.GRIDS["damped"], 2, "adj", "a")},
+{fit_sql("sesf", "ses", "adj", "a")},
+{fit_sql("holtf", "holt", "adj", "a")},
+{fit_sql("dampedf", "damped", "adj", "a")},
 wide AS (SELECT adj.*, h, sg.f AS back, sesf.f.l AS l, holtf.f AS ho, dampedf.f AS da FROM adj JOIN sesf USING (input_key) JOIN holtf USING (input_key) JOIN dampedf USING (input_key) CROSS JOIN hs JOIN sg ON sg.input_key = adj.input_key AND sg.s = ({w} + h - 1) % {m}),
 fc AS MATERIALIZED (SELECT input_key, h, w[{w}] AS origin, unnest({list(forecast.POOL)}) AS model, unnest([w[{w}], w[{w - m} + ((h - 1) % {m}) + 1], w[{w}] + h * (w[{w}] - w[1]) / {w - 1}, a[{w}] * back, l * back, (ho.l + h * ho.b) * back, (da.l + da.phi * (1 - pow(da.phi, h)) / (1 - da.phi) * da.b) * back, (l + 0.5 * slope * h) * back]) AS mean FROM wide),
 err AS (SELECT fc.*, actual, scale, CASE WHEN abs(actual) + abs(mean) > 0 THEN 200 * abs(actual - mean) / (abs(actual) + abs(mean)) END AS term FROM fc JOIN act USING (input_key, h) JOIN scale USING (input_key)),
@@ -1081,6 +1226,44 @@ def seasonal_paths(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+def winters_sql(freq):
+    """Additive seasonal smoothing of a panel's official windows: grid, then the rounds of the search; struct f with the last state."""
+    p = PANELS[freq]
+    n, m = p["window"], p["period"]
+    first = f"list_avg(w[1:{m}])"
+    rise = f"((list_avg(w[{m + 1}:{2 * m}]) - {first}) / {m})"
+    start = f"{{'sse': 0.0::DOUBLE, 'l': {first} + {rise} * {(m - 1) / 2}, 'b': {rise}, 's': list_transform(range({m}), lambda q: w[q + 1] - {first} - {rise} * (q - {(m - 1) / 2}))}}"
+    miss = "(q.l - (p.l + p.b + p.s[1]))"
+    step = f"{{'sse': p.sse + {miss} * {miss}, 'l': p.l + p.b + alpha * {miss}, 'b': p.b + alpha * beta * {miss}, 's': list_append(p.s[2:], p.s[1] + gamma * (1 - alpha) * {miss})}}"
+    state = f"list_reduce(list_prepend({start}, list_transform(w[{m + 1}:], lambda v: {{'sse': 0.0::DOUBLE, 'l': v, 'b': 0.0::DOUBLE, 's': NULL::DOUBLE[]}})), lambda p, q: {step})"
+    best = f"SELECT input_key, arg_min({{'sse': z.sse, 'l': z.l, 'b': z.b, 's': z.s, 'alpha': alpha, 'beta': beta, 'gamma': gamma}}, (z.sse, k)) AS f FROM (SELECT input_key, k, alpha, beta, gamma, {state} AS z FROM (SELECT input_key, w FROM adj) CROSS JOIN g) GROUP BY input_key"
+    values = lambda rows: "(VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, b, c) in enumerate(rows)) + ")"
+    out, size = [f"hw0 AS MATERIALIZED (WITH g AS (SELECT * FROM {values(winters.GRID)} g(k, alpha, beta, gamma)) {best})"], winters.STEPS
+    for turn in range(1, search.ROUNDS + 1):
+        moved = [f"least(greatest(f.{c} + {o} * {s}::DOUBLE, {lo}::DOUBLE), {hi}::DOUBLE) AS {c}" for c, o, s, lo, hi in zip(("alpha", "beta", "gamma"), "abc", size, winters.LOW, winters.HIGH, strict=True)]
+        near = f"SELECT input_key, k, {', '.join(moved)} FROM hw{turn - 1} CROSS JOIN {values(search.offsets(size))} o(k, a, b, c)"
+        out.append(f"hw{turn} AS MATERIALIZED (WITH g AS ({near}) {best.replace('CROSS JOIN g', 'JOIN g USING (input_key)')})")
+        size = tuple(s / 2 for s in size)
+    moved = f"(f.alpha + f.alpha * f.beta * j + CASE WHEN j % {m} = 0 THEN f.gamma * (1 - f.alpha) ELSE 0 END)"
+    spread = f"SELECT input_key, h, f, coalesce(sum({moved} * {moved}), 0) AS v FROM hw{search.ROUNDS} CROSS JOIN hs LEFT JOIN (SELECT unnest(range(1, {p['horizon']})) AS j) ON j < h GROUP BY ALL"
+    return panel_sql(freq, f"SELECT '{freq}' AS freq, input_key, h, f.l + h * f.b + f.s[((h - 1) % {m}) + 1] AS mean, sqrt(f.sse / {n - m} * (1 + v)) AS se FROM ({spread})").replace("\nwide AS", "\n" + ",\n".join(out) + ",\nwide AS")
+
+
+@query("WITH u AS (" + " UNION ALL ".join(f"SELECT * FROM ({winters_sql(f)})" for f in PANELS) + ") SELECT freq, input_key, 'winters' AS model, h, round(mean, 2) AS mean, round(se, 2) AS se FROM u")
+def fc_winters(spark, d):
+    """Additive seasonal smoothing of the monthly and the hourly windows."""
+    parts = [winters.fc_winters(panel_windows(spark, d, f), p["horizon"], p["period"]).select(F.lit(f).alias("freq"), "input_key", "model", "h", r("mean", 2).alias("mean"), r("se", 2).alias("se")) for f, p in PANELS.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def fc_chosen(spark, d):
+    """The method that an information criterion chooses for each window of the three panels."""
+    parts = [winters.fc_chosen(panel_windows(spark, d, f), p["horizon"], p["period"]).withColumn("freq", F.lit(f)) for f, p in PANELS.items()]
+    parts.append(winters.fc_chosen(official(spark, d), H).withColumn("freq", F.lit("D")))
+    return reduce(lambda a, b: a.unionByName(b), parts).select("freq", "input_key", "model", "h", r("mean", 2).alias("mean"), r("se", 2).alias("se"))
+
+
 def panel_scores(spark, d, freq):
     """(input_key, model, smape, mase, correct): with the direction of the last step."""
     right = ((F.col("mean") > F.col("origin")) == (F.col("actual") > F.col("origin"))).cast("int")
@@ -1110,15 +1293,16 @@ def pending_keys(spark, d):
     return store.pending_keys(table(spark, d, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def missing_keys(spark, d):
-    return store.missing_keys(table(spark, d, "customer"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return store.missing_keys(table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
-@query("SELECT c_custkey, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("WITH a AS (SELECT c_custkey FROM customer WHERE c_nationkey < 20), b AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_totalprice > 300000) SELECT c_custkey, 'left' AS side FROM a WHERE c_custkey NOT IN (SELECT c_custkey FROM b) UNION ALL SELECT c_custkey, 'right' FROM b WHERE c_custkey NOT IN (SELECT c_custkey FROM a)")
 def identity_match(spark, d):
-    other = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return store.identity_match(table(spark, d, "customer"), other, "c_custkey")
+    """Customers of some nations against those with a large order: either side has keys of its own."""
+    other = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return store.identity_match(table(spark, d, "customer").where("c_nationkey < 20"), other, "c_custkey")
 
 
 @query("SELECT o_orderpriority AS stage, count(*) AS planned, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1")
