@@ -19,7 +19,7 @@ def walks(n, length, seed=1):
 
 def test_search_finds_the_bottom():
     goal = np.array([[0.31, 0.72], [0.5, 0.0], [2.0, 0.4]])  # the last one lies beyond the bounds
-    found = pattern_search(lambda p: ((p - goal[:, None, :]) ** 2).sum(-1), np.array([[0.3, 0.6]] * 3), (0.2, 0.2), (0.0, 0.1), (0.6, 1.0), 12)
+    found = pattern_search(lambda p: ((p - goal[:, None, :]) ** 2).sum(-1), np.array([[0.3, 0.6], [0.3, 0.4], [0.3, 0.6]]), (0.2, 0.2), (0.0, 0.1), (0.6, 1.0), 12)
     assert found == pytest.approx(np.array([[0.31, 0.72], [0.5, 0.1], [0.6, 0.4]]), abs=2e-4)
 
 

@@ -49,7 +49,7 @@ def test_scan_skips_other_keys(spark):
     keys = spark.createDataFrame([(70_001,), (70_050,)], "input_key long")
     out = panel.scan_results(spark.read.parquet(path), keys, "k", ["v"])
     assert sorted(r["v"] for r in out.collect()) == [140_002, 140_100]
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(input_key,70001)" in plan and "LessThanOrEqual(input_key,70050)" in plan
     wide = spark.read.parquet(path).where("input_key between 70001 and 70050").select(F.input_file_name()).distinct().count()
     assert wide == 1 and panel.scan_results(spark.read.parquet(path), keys.limit(0), "k", ["v"]).count() == 0

@@ -56,8 +56,8 @@ def clean_segments(long: DataFrame, segment: int, key: str = "series_id", value_
     return rows.withColumn(name, _blend(F.col(value_col))).drop("y0", "t0", "y1", "t1", "a_", "b_", "c0_", "c1_", "seg_", "p_")
 
 
-def season_of(rows: DataFrame, period: int, key: str = "series_id", value_col: str = "y_clean", name: str = "season_") -> DataFrame:
-    """``rows`` (without gaps, ``t`` without holes) with the additive season of their step's phase ``t % period``: the mean distance from a centred moving average over one period, the means of all phases set to 0.
+def season_of(rows: DataFrame, period: int, key: str = "series_id", value_col: str = "y_clean", name: str = "season_", robust: bool = False) -> DataFrame:
+    """``rows`` (without gaps, ``t`` without holes) with the additive season of their step's phase ``t % period``: the mean (``robust``: the median) distance from a centred moving average over one period, less the mean of all phases.
 
     0 for series of less than two periods.
     """
@@ -67,7 +67,7 @@ def season_of(rows: DataFrame, period: int, key: str = "series_id", value_col: s
     whole = F.count(F.lit(1)).over(span) == 2 * half + 1
     away = F.when(whole, F.col(value_col) - (F.sum(value_col).over(span) - ends) / period)
     rows = rows.withColumns({"away_": away, "phase_": F.pmod(F.col("t"), F.lit(period))})
-    means = rows.groupBy(key, "phase_").agg(F.avg("away_").alias("m_"), F.count(F.lit(1)).alias("n_"))
+    means = rows.groupBy(key, "phase_").agg((F.percentile("away_", 0.5) if robust else F.avg("away_")).alias("m_"), F.count(F.lit(1)).alias("n_"))
     of_key = Window.partitionBy(key)
     enough = (F.sum("n_").over(of_key) >= 2 * period) & (F.count("m_").over(of_key) == period)
     means = means.select(F.col(key).alias("k_"), F.col("phase_").alias("f_"), F.when(enough, F.col("m_") - F.avg("m_").over(of_key)).otherwise(0.0).alias(name))
@@ -77,11 +77,11 @@ def season_of(rows: DataFrame, period: int, key: str = "series_id", value_col: s
 def clean_robust(long: DataFrame, key: str = "series_id", k: int = 3, fence: float = 3.0, period: int = 1) -> DataFrame:
     """Values whose distance from the centred rolling median leaves the quartile fence of their series become gaps; then gaps are filled.
 
-    With a ``period`` medians and fences are those of the values less their season, and so is the filling.
+    With a ``period`` medians and fences are those of the values less a season of medians, so one outlier moves no other value of its phase, and the filling is that of ``clean_standard`` with the period.
     """
     rows = long
     if period > 1:
-        rows = season_of(clean_standard(long, key, "y", "filled_"), period, key, "filled_").drop("filled_")
+        rows = season_of(clean_standard(long, key, "y", "filled_"), period, key, "filled_", robust=True).drop("filled_")
     near = Window.partitionBy(key).orderBy("t").rowsBetween(-k, k)
     level = F.col("y") - F.col("season_") if period > 1 else F.col("y")
     rows = rows.withColumn("level_", level).withColumn("resid", F.col("level_") - F.percentile("level_", 0.5).over(near))

@@ -1140,11 +1140,11 @@ def fill_sql(name, source, value, columns="series_id, t, y"):
 {name} AS MATERIALIZED (SELECT {columns}, CASE WHEN {value} IS NOT NULL THEN {value} ELSE coalesce(y0 + (y1 - y0) * ((t - t0)::DOUBLE / (t1 - t0)::DOUBLE), y0, y1) END AS v FROM {name}n)"""
 
 
-def season_sql(name, source, m):
+def season_sql(name, source, m, middle="avg(away)"):
     """The season of each phase from a filled table (column v)."""
     half = m // 2
     return f"""{name}w AS (SELECT series_id, t, CASE WHEN count(*) OVER w = {2 * half + 1} THEN v - (sum(v) OVER w{f" - (first_value(v) OVER w + last_value(v) OVER w) / 2" if m % 2 == 0 else ""}) / {m} END AS away FROM {source} WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)),
-{name}m AS (SELECT series_id, t % {m} AS phase, avg(away) AS mm, count(*) AS n FROM {name}w GROUP BY ALL), {name} AS MATERIALIZED (SELECT series_id, phase, CASE WHEN sum(n) OVER k >= {2 * m} AND count(mm) OVER k = {m} THEN mm - avg(mm) OVER k ELSE 0.0 END AS season FROM {name}m WINDOW k AS (PARTITION BY series_id))"""
+{name}m AS (SELECT series_id, t % {m} AS phase, {middle} AS mm, count(*) AS n FROM {name}w GROUP BY ALL), {name} AS MATERIALIZED (SELECT series_id, phase, CASE WHEN sum(n) OVER k >= {2 * m} AND count(mm) OVER k = {m} THEN mm - avg(mm) OVER k ELSE 0.0 END AS season FROM {name}m WINDOW k AS (PARTITION BY series_id))"""
 
 
 def seasonal_clean_sql(freq):
@@ -1153,9 +1153,10 @@ def seasonal_clean_sql(freq):
     m = p["period"]
     return f"""WITH facts AS (SELECT {series_}::VARCHAR AS series_id, date_diff('{p["grain"]}', TIMESTAMP '{p["bounds"][0]}', {time_}::TIMESTAMP)::INT AS t, sum({value_}::DECIMAL(18,2))::DOUBLE AS y FROM {p["table"]} GROUP BY ALL),
 whole AS MATERIALIZED (SELECT series_id, t, y FROM (SELECT series_id, unnest(range({p["steps"]}))::INT AS t FROM (SELECT DISTINCT series_id FROM facts)) LEFT JOIN facts USING (series_id, t)),
-{fill_sql("f1", "whole", "y")}, {season_sql("s1", "f1", m)},
+{fill_sql("f1", "whole", "y")}, {season_sql("s1", "f1", m)}, {season_sql("s0", "f1", m, "quantile_cont(away, 0.5)")},
 ad AS (SELECT w.series_id, w.t, w.y, w.y - season AS a, season FROM whole w JOIN s1 ON s1.series_id = w.series_id AND phase = w.t % {m}), {fill_sql("st", "ad", "a", "series_id, t, y, season")},
-rr AS (SELECT *, a - quantile_cont(a, 0.5) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS resid FROM ad), qq AS (SELECT series_id, quantile_cont(resid, 0.25) AS q0, quantile_cont(resid, 0.75) AS q1 FROM rr GROUP BY 1),
+ar AS (SELECT w.series_id, w.t, w.y, w.y - season AS a FROM whole w JOIN s0 ON s0.series_id = w.series_id AND phase = w.t % {m}),
+rr AS (SELECT *, a - quantile_cont(a, 0.5) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS resid FROM ar), qq AS (SELECT series_id, quantile_cont(resid, 0.25) AS q0, quantile_cont(resid, 0.75) AS q1 FROM rr GROUP BY 1),
 ri AS (SELECT series_id, t, CASE WHEN resid >= q0 - 3 * (q1 - q0) AND resid <= q1 + 3 * (q1 - q0) THEN y END AS y FROM rr JOIN qq USING (series_id)),
 {fill_sql("f2", "ri", "y")}, {season_sql("s2", "f2", m)}, ae AS (SELECT w.series_id, w.t, w.y, w.y - season AS a, season FROM ri w JOIN s2 ON s2.series_id = w.series_id AND phase = w.t % {m}), {fill_sql("ro", "ae", "a", "series_id, t, y, season")}
 SELECT '{freq}' AS freq, st.series_id, st.t, CASE WHEN st.y IS NOT NULL THEN st.y ELSE st.v + st.season END AS standard, CASE WHEN ro.y IS NOT NULL THEN ro.y ELSE ro.v + ro.season END AS robust FROM st JOIN ro USING (series_id, t)"""
