@@ -11,11 +11,11 @@ def win(spark, *rows):
 
 
 def test_standardise(spark):
-    rows = windows.apply_standardise(windows.fit_standardise(win(spark, [10, 20, 30], [-4, -2, -3], [5, 5, 5], [1, 1 + 1e-12, 1 - 1e-12])))
+    rows = windows.apply_standardise(windows.fit_standardise(win(spark, [1, 5, 9], [7, 1, 4], [8, 8, 8, 8], [2, 2 + 3e-12, 2 - 3e-12])))
     got = {r["input_key"]: r for r in rows.collect()}
-    assert got["k0"]["standard"] == [-1, 0, 1] and (got["k0"]["centre"], got["k0"]["scale"]) == (20, 10)
-    assert got["k1"]["standard"] == pytest.approx([-1, 1, 0])
-    assert got["k2"]["standard"] == [0, 0, 0] and got["k2"]["scale"] == 1 and not got["k3"]["constant"]
+    assert got["k0"]["standard"] == [-1, 0, 1] and (got["k0"]["centre"], got["k0"]["scale"]) == (5, 4)
+    assert got["k1"]["standard"] == pytest.approx([1, -1, 0])
+    assert got["k2"]["standard"] == [0] * 4 and got["k2"]["scale"] == 1 and not got["k3"]["constant"]
 
 
 def test_labels_and_blocks(spark):
@@ -57,17 +57,17 @@ def test_seasonal_and_naive2(spark):
 
 
 def test_noncrossing(spark):
-    rows = [("k", "m", h, p, q) for h, qs in enumerate([(9.0, 3.0, 7.0), (1.0, 8.0, 4.0)], 1) for p, q in zip((0.1, 0.5, 0.9), qs, strict=True)]
+    rows = [("k", "m", h, p, q) for h, qs in enumerate([(5.5, 2.0, 4.0), (-1.0, 0.0, -3.0)], 1) for p, q in zip((0.1, 0.5, 0.9), qs, strict=True)]
     out = forecast.noncrossing_quantiles(spark.createDataFrame(rows, "input_key string, model string, h int, level double, q double")).orderBy("h", "level").collect()
-    assert [r["q"] for r in out] == [3, 7, 9, 1, 4, 8]
+    assert [r["q"] for r in out] == [2, 4, 5.5, -3, -1, 0]
 
 
 def test_dtw():
-    for n, want in ((64, 63.5), (25, 24.5), (35, 34.5), (2, 1.5)):
-        assert direction.pair_distances([[0.5] * n], [[0.0] * n], 0.1)[0] == want
-    a, b = np.zeros(64), np.zeros(64)
-    a[8] = b[18] = 3
-    assert direction.pair_distances([a], [b], 0.1)[0] == 6.0
+    for n in (40, 11, 3):  # a distance of 2 in the first cell, and twice that for each further step of both
+        assert direction.pair_distances([[3.0] * n], [[1.0] * n], 0.1)[0] == 2 + 4 * (n - 1)
+    a, near, far = np.zeros(50), np.zeros(50), np.zeros(50)
+    a[5] = near[9] = far[20] = 7
+    assert direction.pair_distances([a, a], [near, far], 0.1).tolist() == [0.0, 14.0]  # 4 steps apart lie in the band of 5, 15 don't
     assert direction.pair_distances([[1.0]], [[1.0]], 0.1)[0] == np.inf
 
 
@@ -153,10 +153,10 @@ def test_reference_must_be_one_row(spark):
 
 
 def metrics_fixture(spark):
-    f = [("a", "naive2", [8.0, 10.0]), ("a", "base", [10.0, 10.0]), ("b", "naive2", [4.0, 6.0]), ("b", "base", [2.0, 6.0])]
+    f = [("a", "naive2", [10.0, 10.0]), ("a", "base", [20.0, 20.0]), ("b", "naive2", [4.0, 12.0]), ("b", "base", [4.0, 4.0])]
     fc = spark.createDataFrame([(k, m, h, v) for k, m, p in f for h, v in enumerate(p, 1)], "input_key string, model string, h int, mean double")
-    act = spark.createDataFrame([("a", 1, 12.0), ("a", 2, 8.0), ("b", 1, 6.0), ("b", 2, 2.0)], "input_key string, h int, actual double")
-    hist = spark.createDataFrame([("a", [1.0, 3.0, 2.0, 6.0, 5.0, 9.0, 10.0, 12.0]), ("b", [2.0, 6.0])], "input_key string, history array<double>")
+    act = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("b", 1, 4.0), ("b", 2, 4.0)], "input_key string, h int, actual double")
+    hist = spark.createDataFrame([("a", [0.0, 2.0, 6.0]), ("b", [5.0, 1.0])], "input_key string, history array<double>")
     return fc, act, hist
 
 
@@ -164,13 +164,14 @@ def test_owa(spark):
     fc, act, hist = metrics_fixture(spark)
     scores = evaluate.metric_smape(fc, act).join(evaluate.metric_mase(fc, act, evaluate.naive_scale(hist, 1)), ["input_key", "model"])
     got = {r["model"]: r for r in evaluate.metric_owa(scores).collect()}
-    assert got["base"]["owa"] == pytest.approx(1.0440179975, abs=1e-9)
-    assert got["naive2"]["smape"] == pytest.approx(50.5556, abs=1e-4) and got["naive2"]["mase"] == pytest.approx(1.075)
+    # sMAPE 100 / 3 and 50 against 100 / 3 and 0; MASE 5 / 3 and 1 against 5 / 3 and 0
+    assert got["naive2"]["smape"] == pytest.approx(125 / 3) and got["naive2"]["mase"] == pytest.approx(4 / 3)
+    assert got["base"]["owa"] == pytest.approx((0.4 + 0.625) / 2)
 
 
 def test_comb(spark):
-    fc = spark.createDataFrame([("k", m, h, float(v)) for m, p in (("ses", [1, 2]), ("holt", [4, 8]), ("damped", [13, 17])) for h, v in enumerate(p, 1)], "input_key string, model string, h int, mean double")
-    assert [r["mean"] for r in evaluate.combine_comb(fc).orderBy("h").collect()] == pytest.approx([6, 9])
+    fc = spark.createDataFrame([("k", m, h, float(v)) for m, p in (("ses", [3, 0]), ("holt", [6, 9]), ("damped", [0, -3])) for h, v in enumerate(p, 1)], "input_key string, model string, h int, mean double")
+    assert [r["mean"] for r in evaluate.combine_comb(fc).orderBy("h").collect()] == pytest.approx([3, 2])
 
 
 def test_oracle_multiplier(spark):
@@ -191,14 +192,14 @@ def test_oracle_multiplier(spark):
 
 
 def test_ranks_and_totals(spark):
-    rows = spark.createDataFrame([(h, m, c / 4) for h, cs in ((1, (4, 4, 2)), (2, (2, 4, 2))) for m, c in zip("abc", cs, strict=True)], "h int, model string, accuracy double")
-    assert {r["model"]: r["mean_rank"] for r in reports.mean_ranks(rows, ["a", "b", "c"], ["h"]).collect()} == {"a": 2.0, "b": 1.25, "c": 2.75}
+    rows = spark.createDataFrame([(h, m, c) for h, cs in ((1, (0.9, 0.6, 0.6)), (2, (0.5, 0.5, 0.7))) for m, c in zip("abc", cs, strict=True)], "h int, model string, accuracy double")
+    assert {r["model"]: r["mean_rank"] for r in reports.mean_ranks(rows, ["a", "b", "c"], ["h"]).collect()} == {"a": 1.75, "b": 2.5, "c": 1.75}
     lacking = rows.where("not (model = 'c' and h = 2)")
     assert reports.mean_ranks(lacking, ["a", "b", "c"], ["h"]).count() == 0
-    data = [(m, str(i), i, i * k, (7 - i) / k, i / 10) for k, m in ((1, "naive2"), (2, "second")) for i in range(1, 7)]
-    frame = spark.createDataFrame([(a, b, c, float(x), y, z) for a, b, c, x, y, z in data], "model string, frequency string, evaluation_count int, smape double, mase double, da double")
-    got = reports.aggregate_all(frame, "naive2", 6).where("model = 'second'").first()
-    assert got["smape"] == pytest.approx(182 / 21) and got["owa"] == pytest.approx(1.25)
+    data = [("naive2", "x", 1, 10.0, 2.0, 0.5), ("naive2", "y", 3, 20.0, 1.0, 0.5), ("second", "x", 1, 20.0, 1.0, 0.8), ("second", "y", 3, 10.0, 2.0, 0.4)]
+    frame = spark.createDataFrame(data, "model string, frequency string, evaluation_count int, smape double, mase double, da double")
+    got = reports.aggregate_all(frame, "naive2", 2).where("model = 'second'").first()
+    assert (got["smape"], got["da"]) == pytest.approx((12.5, 0.5)) and got["owa"] == pytest.approx((12.5 / 17.5 + 1.75 / 1.25) / 2)
 
 
 def test_sinks(spark, tmp_path):
