@@ -7,8 +7,8 @@ comes from the least and the greatest word below. A node is named by its prefix.
 shuffles or sorts it again: a task holds the edges of a bucket and the states stream past.
 
 The frontier holds (word, position, node, edits) states. Each level joins it with the edges of its nodes; a label is taken with at most one
-edit in all, and a state that ends a word with one edit is a pair of neighbours. One edit leaves either the first or the second half of a word
-as it is, so a word walks two tries, one of words and one of reversed words, and starts in each at the node of its first half.
+edit in all, and a state that ends a word with one edit is a pair of neighbours. An edit stands either behind the first half of a word or
+before the rest of it, so a word walks two tries, one of words and one of reversed words, and starts in each at the node of the part that stays.
 States are dropped where no word below has a fitting length and the same last letters, by a mask of 64 bits. Nodes with many states (at most twice ``HOT_NODES`` in a level) are
 joined by a broadcast of their edges, which are few and short. Levels after the first read only the edges of forks.
 
@@ -51,6 +51,8 @@ HOT_STATES, HOT_NODES, SAMPLED, EDGES_A_BUCKET = 100_000, 64, 200_000, 400_000
 def spelled_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, often: int = OFTEN) -> DataFrame:
     """(word, n): lower-cased runs of letters; where 31 divides the crc32 h of ``<id>:<run>``, without their code point h % length."""
 
+    pattern = re.compile(f"[A-Za-zÀ-ÿ]{{{max(least, 1)},}}")  # a shorter run gives no word
+
     def counted(batches):
         seen: Counter = Counter()
         for batch in batches:
@@ -60,7 +62,7 @@ def spelled_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     continue
                 runs: Counter = Counter()
                 for part in slices(text, CUT):
-                    runs.update(RUN.findall(part))
+                    runs.update(pattern.findall(part))
                 before = zlib.crc32(f"{'' if key.as_py() is None else key.as_py()}:".encode())
                 for run, n in runs.items():
                     run = run.lower() if run.isascii() else run.translate(LOWER)
@@ -106,7 +108,7 @@ def trie_edges(words: DataFrame) -> DataFrame:
     stands only below nodes at which the walks of words of about its length can be.
     """
     short = _both_ways(words, "f", "r")
-    depth = F.explode(F.sequence(F.greatest(F.lit(1), F.floor((F.col("m") - 1) / 2).cast("int")), F.col("m")))
+    depth = F.explode(F.sequence(F.greatest(F.lit(1), F.floor((F.col("m") - F.when(F.col("way") == "f", 1).otherwise(0)) / 2).cast("int")), F.col("m")))
     bit = _bit(F.col("m"), F.substring("key", F.col("m") - 1, F.lit(2)))
     # the last depth is the word itself: a row without a letter, so that the node of a word has one edge more
     steps = short.select("way", "key", "n", "m", bit.alias("bit"), depth.alias("d"))
@@ -130,8 +132,10 @@ def far_edges(words: DataFrame) -> DataFrame:
 
 
 def _starts(words: DataFrame, long: bool) -> DataFrame:
-    """Each word at the node of its first half; a long one at that of its first 32 letters."""
-    rows = _both_ways(words, *("FR" if long else "fr")).withColumn("pos", F.lit(32) if long else F.floor(F.col("m") / 2).cast("int"))
+    """Each word at the node of its first half, a reversed one of an odd number of letters one letter further; a long one at the node of its first 32 letters."""
+    rows = _both_ways(words, *("FR" if long else "fr"))
+    half = F.floor((F.col("m") + F.when(F.col("way") == "f", 0).otherwise(1)) / 2).cast("int")
+    rows = rows.withColumn("pos", F.lit(32) if long else half)
     node = _long_name(F.lit(32)) if long else F.concat("way", F.substring("key", F.lit(1), F.col("pos")))
     return rows.select("key", "n", "pos", node.alias("node")).withColumns({"edits": F.lit(0), "depth": F.col("pos")})
 
