@@ -133,6 +133,20 @@ def test_forests(spark):
     assert {r["h"]: r["n_rows"] for r in direction.training_rows(frame, cohort, 2).collect()} == {1: 30, 2: 30}
 
 
+def test_forests_of_dealt_rows(spark):
+    """The forests are the same however the rows come, rows in many partitions take no more tasks, and no tree is wrapped one by one."""
+    draw = np.random.default_rng(2)
+    rows = [(f"k{k:03}", k, draw.normal(size=6).tolist(), [int(draw.integers(2))]) for k in range(120)]
+    frame = spark.createDataFrame(rows, "input_key string, ref_order int, v array<double>, labels array<int>")
+    said = []
+    for parts in (3, 40):
+        some = frame.repartition(parts).cache()
+        fitted = direction.rf_fit_horizons(some, some, some, 1, trees=4, depth=6)[1]
+        assert "trees" not in vars(fitted) and fitted.getNumTrees == 4
+        said.append(fitted.toDebugString.split("\n", 1)[1])
+    assert said[0] == said[1]
+
+
 def test_manifest_of_files(spark, tmp_path):
     import hashlib
 
