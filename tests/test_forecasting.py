@@ -145,6 +145,9 @@ def test_forests_of_dealt_rows(spark):
         assert "trees" not in vars(fitted) and fitted.getNumTrees == 4
         said.append(fitted.toDebugString.split("\n", 1)[1])
     assert said[0] == said[1]
+    many = direction.rf_predict_horizons(frame.repartition(40), {1: fitted, 2: 1})
+    assert many.rdd.getNumPartitions() == 1 and many.count() == 240
+    assert direction.rf_predict_horizons(frame, {}).count() == 0
 
 
 def test_manifest_of_files(spark, tmp_path):
