@@ -59,3 +59,24 @@ def test_own_keys_are_skipped(spark):
     got = {x["input_key"]: (x["ref_key"], x["distance"]) for x in direction.knn_join_l2(rows.select(F.col("ref_key").alias("input_key"), "v"), rows, block=8, skip_own=True).collect()}
     assert got == {f"k{k}": (f"k{k ^ 1}", 0.0) for k in range(40)}
     assert direction.knn_join_l2(rows.select(F.col("ref_key").alias("input_key"), "v"), rows.limit(0)).where("ref_key is null").count() == 40
+
+
+def test_visits_are_a_row_a_query(spark, monkeypatch):
+    """Vectors without structure visit nearly all cells; Python gives one row a query for that, not one a visit."""
+    draw, stored, keep = np.random.default_rng(5), {}, direction.written
+
+    def written(rows, name):
+        out = keep(rows, name)
+        stored.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(direction, "written", written)
+    x = draw.normal(size=(400, 32))
+    refs = spark.createDataFrame([(f"r{k}", k, v.tolist()) for k, v in enumerate(x)], "ref_key string, ref_order long, v array<double>")
+    queries = refs.where("ref_order % 20 = 0").select(F.col("ref_key").alias("input_key"), "v")
+    got = {r["input_key"]: (r["ref_order"], r["distance"]) for r in direction.knn_join_l2(queries, refs, block=64, skip_own=True).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert {k: v[0] for k, v in got.items()} == {f"r{k}": int(d[k].argmin()) for k in range(0, 400, 20)}
+    assert all(abs(v[1] - d[int(k[1:])].min()) < 1e-9 for k, v in got.items())
+    assert stored["visits"] == [20, 20]
