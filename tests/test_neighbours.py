@@ -80,3 +80,12 @@ def test_visits_are_a_row_a_query(spark, monkeypatch):
     assert {k: v[0] for k, v in got.items()} == {f"r{k}": int(d[k].argmin()) for k in range(0, 400, 20)}
     assert all(abs(v[1] - d[int(k[1:])].min()) < 1e-9 for k, v in got.items())
     assert stored["visits"] == [20, 20]
+
+
+def test_customers_stay_off_the_driver(spark, capsys):
+    """The join of every daily panel, and so of the warping queries, sends no table that grows through the driver."""
+    from tsengine.plans import registry
+
+    registry.facts(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
