@@ -171,3 +171,24 @@ def test_segments_equal_one_run(spark):
     whole = key(clean.clean_standard(long))
     for segment in (1, 7, 64, 10_000):
         assert key(clean.clean_standard(long, segment=segment)) == whole
+
+
+def test_local_lines_by_products(monkeypatch):
+    """Short series take matrix products, at least three times as fast as sums over gathered neighbours; the lines are the same, also where values have no weight."""
+    import time
+
+    draw = np.random.default_rng(3)
+    x = np.cumsum(draw.normal(size=(600, 72)), 1)
+    trust = draw.random((600, 72)) * (draw.random((600, 72)) < 0.7)
+    trust[0] = 0
+    trust[1, 1:] = 0
+    cases = [(19, None, None), (19, None, trust), (11, np.arange(-1, 73), trust), (101, None, trust), (1, None, trust)]
+    took, found = [], []
+    for dense in (decompose.DENSE, 0):
+        monkeypatch.setattr(decompose, "DENSE", dense)
+        began = time.perf_counter()
+        found.append([decompose.loess(x, span, at, q) for span, at, q in cases])
+        took.append(time.perf_counter() - began)
+    for a, b in zip(*found, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-7)
+    assert took[0] * 3 < took[1]

@@ -6,6 +6,7 @@ import numpy as np
 
 #: Robust rounds of a decomposition; inner rounds of the seasonal one; cycles in the span of its seasonal part.
 ROBUST, INNER, SEASONS = 5, 2, 11
+DENSE = 512  # longest series whose local sums are matrix products
 
 
 def odd(x: float) -> int:
@@ -37,6 +38,8 @@ def loess(x: np.ndarray, span: int, at: np.ndarray | None = None, trust: np.ndar
     """
     n = x.shape[1]
     index, d, w = neighbours(n, span, np.arange(n) if at is None else at)
+    if n <= DENSE:
+        return _dense_loess(x, index, d, w, trust)
     out = np.empty((len(x), len(index)))
     step = max(1, (1 << 22) // max(index.size, 1))
     for k in range(0, len(x), step):
@@ -52,6 +55,20 @@ def loess(x: np.ndarray, span: int, at: np.ndarray | None = None, trust: np.ndar
     return out
 
 
+def _dense_loess(x: np.ndarray, index: np.ndarray, d: np.ndarray, w: np.ndarray, trust: np.ndarray | None) -> np.ndarray:
+    """The same lines with the neighbours' weights as matrices of all values by places, so that every sum is one product for all rows."""
+    places = np.arange(len(index))[:, None]
+    m0, m1, m2 = np.zeros((3, x.shape[1], len(index)))
+    m0[index, places], m1[index, places], m2[index, places] = w, w * d, w * d * d
+    q = np.ones((1, x.shape[1])) if trust is None else trust
+    s0, s1, s2, t0, t1 = q @ m0, q @ m1, q @ m2, (q * x) @ m0, (q * x) @ m1
+    under = s0 * s2 - s1 * s1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        line, flat = (s2 * t0 - s1 * t1) / under, t0 / s0
+    near = x[:, index[places[:, 0], np.abs(d).argmin(1)]]
+    return np.where(s0 <= 0, near, np.where(under > 1e-9 * np.maximum(s0 * s0, 1e-300), line, flat))
+
+
 def bisquare(rest: np.ndarray) -> np.ndarray:
     """Weights of values by their remainders: (1 - (r / reach) ** 2) ** 2, 0 beyond a reach of six medians or, where most remainders are tiny, of two means."""
     size = np.abs(rest)
